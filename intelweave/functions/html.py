@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from intelweave.functions.flow import bind
 from intelweave.functions.text import strip_ws
 
 # Stands where a tag, comment or child element interrupted a text node.
@@ -28,11 +29,14 @@ _BLOCK_EDGE = (
 
 def unescape(c: Column) -> Column:
     """Decode the named entities that matter for prose, ``&amp;`` last."""
-    out = c
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                       ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    def decoded(t: Column) -> Column:
+        out = t
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+                           ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return bind(c, decoded)
 
 
 def drop_noise(html: Column) -> Column:
@@ -55,7 +59,7 @@ def text_nodes(html: Column, opening: str, min_chars: int) -> Column:
     ``opening`` is a tag alternation such as ``p`` or ``td|p|li|span``.
     """
     blocks = F.split(drop_noise(html), rf"(?i)<(?:{opening})(?:\s[^>]*)?>")
-    inner = F.slice(blocks, F.lit(2), F.size(blocks))
+    inner = bind(blocks, lambda b: F.slice(b, F.lit(2), F.size(b)))
     direct = F.transform(inner, lambda b: _direct_text(F.regexp_replace(b, _BLOCK_EDGE, "")))
     nodes = F.transform(F.split(F.array_join(direct, _SEP), _SEP), lambda n: strip_ws(unescape(n)))
     return F.filter(nodes, lambda n: F.length(n) > min_chars)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from intelweave import vocab
+from intelweave.functions.flow import bind
 
 # Whitespace spelled out, so Java, RE2 and Python split at the same places.
 WS = r"[ \t\n\x0b\f\r]"
@@ -52,10 +53,8 @@ def strip_chars(c: Column | str) -> Column:
 
 def reinject(text: Column | str, cves: Column | str, ips: Column | str) -> Column:
     """Append the saved indicators, CVE ids first."""
-    saved = F.concat(_col(cves), _col(ips))
-    return F.when(F.size(saved) > 0, F.concat_ws(" ", _col(text), F.array_join(saved, " "))).otherwise(
-        _col(text)
-    )
+    # concat_ws takes arrays as well and skips empty ones.
+    return F.concat_ws(" ", _col(text), _col(cves), _col(ips))
 
 
 def squash_ws(c: Column | str) -> Column:
@@ -87,17 +86,17 @@ def clean_text(c: Column | str, stop_words: list[str] | None = None) -> Column:
     afterwards. Blanking and whitespace collapsing share one pass: after
     blanking the only whitespace left is the space itself.
     """
-    t = strip_tags(F.coalesce(_col(c), F.lit("")))
-    body = F.regexp_replace(t, r"[^a-zA-Z0-9.,\-]+", " ")
-    return tokenize_clean(F.trim(reinject(body, extract_cves(t), extract_ips(t))), stop_words)
+    def tagless(t: Column) -> Column:
+        body = F.regexp_replace(t, r"[^a-zA-Z0-9.,\-]+", " ")
+        return tokenize_clean(F.trim(reinject(body, extract_cves(t), extract_ips(t))), stop_words)
+
+    return bind(strip_tags(F.coalesce(_col(c), F.lit(""))), tagless)
 
 
 def word_count(c: Column | str) -> Column:
     """Number of whitespace-separated words; 0 for null or blank."""
-    # One split, no filtering lambda: squashed text has words - 1 blanks.
-    t = squash_ws(F.coalesce(_col(c), F.lit("")))
-    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
-    return F.when(t == "", F.lit(0)).otherwise(blanks + 1)
+    trimmed = F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return bind(trimmed, lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WS + "+"))))
 
 
 def strip_ws(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from intelweave import vocab
+from intelweave.functions.flow import bind
 from intelweave.functions.text import strip_ws
 
 
@@ -33,16 +34,18 @@ def is_article_url(url: Column, match: str = "suffix") -> Column:
     (so ``t.co`` also rejects ``threatpost.com``); ``'suffix'`` rejects the
     blocked domain and its subdomains only.
     """
-    host = link_host(url)
-    if match == "substring":
-        blocked = contains_any(host, vocab.BLOCKED_DOMAINS)
-    elif match == "suffix":
-        dotted = F.concat(F.lit("."), host)
-        blocked = reduce(Column.__or__, [dotted.endswith("." + d) for d in vocab.BLOCKED_DOMAINS])
-    else:
+    if match not in ("suffix", "substring"):
         raise ValueError(f"match must be 'suffix' or 'substring', not {match!r}")
-    skipped = contains_any(F.lower(url), vocab.SKIP_URL_MARKS)
-    return F.coalesce(host.isNotNull() & ~blocked & ~skipped, F.lit(False))
+
+    def blocked(host: Column) -> Column:
+        if match == "substring":
+            return contains_any(host, vocab.BLOCKED_DOMAINS)
+        return reduce(Column.__or__, [host.endswith("." + d) for d in vocab.BLOCKED_DOMAINS])
+
+    # The dot in front lets a bare domain match its own suffix form.
+    host = link_host(url) if match == "substring" else F.concat(F.lit("."), link_host(url))
+    skipped = bind(F.lower(url), lambda u: contains_any(u, vocab.SKIP_URL_MARKS))
+    return F.coalesce(~bind(host, blocked) & ~skipped, F.lit(False))
 
 
 def resolve_link(page_url: Column, href: Column) -> Column:

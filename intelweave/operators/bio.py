@@ -9,17 +9,10 @@ from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.functions import entities as E
+from intelweave.functions.flow import bind, with_computed
 from intelweave.operators.sampling import sample_exact
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``.
-
-    Catalyst would otherwise inline it into every inner lambda call.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def sentences(
     df: DataFrame, keys: list[str], column: str = "clean_text", lo: int = 8, hi: int | None = 60
 ) -> DataFrame:
@@ -49,21 +42,19 @@ def bio_tags(words: Column, malware: list[str] | None = None, actors: list[str]
     ranks = F.array(*[F.lit(t) for t in order])
     starters = F.array(*[F.lit(w) for w in sorted({t.split()[0] for t in order})])
 
+    def hits_of(low: Column, n: int, terms: list[str]) -> Column:
+        def gram(w: Column, i: Column) -> Column:
+            text = w if n == 1 else F.array_join(F.slice(low, i + 1, F.lit(n)), " ")
+            return F.struct(text.alias("t"), i.alias("i"))
+
+        def hit(s: Column) -> Column:
+            rank = F.array_position(ranks, s["t"])
+            return F.struct(rank.alias("rank"), s["i"].alias("start"), F.lit(n).alias("n"))
+
+        return F.transform(F.filter(F.transform(low, gram), lambda s: s["t"].isin(terms)), hit)
+
     def hits(low: Column) -> Column:
-        found = []
-        for n, terms in sorted(by_words.items()):
-            gram = lambda w, i, n=n: w if n == 1 else F.array_join(F.slice(low, i + 1, F.lit(n)), " ")
-            grams = F.transform(low, lambda w, i, g=gram: F.struct(g(w, i).alias("t"), i.alias("i")))
-            mine = F.filter(grams, lambda s, terms=terms: s["t"].isin(terms))
-            found.append(
-                F.transform(
-                    mine,
-                    lambda s, n=n: F.struct(
-                        F.array_position(ranks, s["t"]).alias("rank"), s["i"].alias("start"), F.lit(n).alias("n")
-                    ),
-                )
-            )
-        return F.concat(*found)
+        return F.concat(*[hits_of(low, n, terms) for n, terms in sorted(by_words.items())])
 
     def tag(found: Column, i: Column) -> Column:
         covering = F.filter(found, lambda m: (m["start"] <= i) & (i < m["start"] + m["n"]))
@@ -87,7 +78,7 @@ def bio_tags(words: Column, malware: list[str] | None = None, actors: list[str]
 
 
 def bio_label(sents: DataFrame, malware: list[str] | None = None, actors: list[str] | None = None) -> DataFrame:
-    return sents.withColumn("tags", bio_tags(F.col("words"), malware, actors))
+    return with_computed(sents, {"tags": bio_tags(F.col("words"), malware, actors)})
 
 
 def tokens(labelled: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intelweave import vocab
 from intelweave.functions import entities as E
 from intelweave.functions import text as X
+from intelweave.functions.flow import bind, with_computed
 from intelweave.session import broadcast_if_small
 
 KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
@@ -15,9 +16,9 @@ KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
 
 def with_words(df: DataFrame, column: str) -> DataFrame:
     """Add ``_lowered`` and the distinct word runs ``_words`` for gazetteer matching."""
-    lowered = df.withColumn("_lowered", F.lower(F.coalesce(F.col(column), F.lit(""))))
+    lowered = with_computed(df, {"_lowered": F.lower(F.coalesce(F.col(column), F.lit("")))})
     runs = F.regexp_extract_all("_lowered", F.lit(E.WORD_RUN), F.lit(0))
-    return lowered.withColumn("_words", F.array_distinct(runs))
+    return with_computed(lowered, {"_words": F.array_distinct(runs)})
 
 
 def extract_entities(
@@ -34,23 +35,17 @@ def extract_entities(
     """
     malware = vocab.MALWARE_TERMS if malware is None else malware
     actors = vocab.ACTOR_TERMS if actors is None else actors
-    worded = with_words(df, column)
-    low, words = F.col("_lowered"), F.col("_words")
-    matched = worded.withColumns(
-        {
-            "_malware": E.match_terms(low, words, malware),
-            "threat_actors": F.array_sort(E.match_terms(low, words, actors)),
-        }
+    low, words, text = F.col("_lowered"), F.col("_words"), F.coalesce(F.col(column), F.lit(""))
+    names = bind(
+        E.match_terms(low, words, malware), lambda found: E.drop_unsupported(low, found, ambiguous, contexts)
     )
-    supported = E.drop_unsupported(low, F.col("_malware"), ambiguous, contexts)
-    text = F.coalesce(F.col(column), F.lit(""))
-    return matched.withColumns(
-        {
-            "cve_ids": X.extract_cves(text),
-            "ip_addresses": X.extract_ips(text),
-            "malware_names": F.array_sort(supported),
-        }
-    ).select(*df.columns, *KINDS)
+    found = {
+        "cve_ids": X.extract_cves(text),
+        "ip_addresses": X.extract_ips(text),
+        "malware_names": F.array_sort(names),
+        "threat_actors": F.array_sort(E.match_terms(low, words, actors)),
+    }
+    return with_computed(with_words(df, column), found).select(*df.columns, *KINDS)
 
 
 def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text") -> DataFrame:
@@ -67,17 +62,14 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     lengths = sorted(r[0] for r in sized.select("_runs").distinct().collect())
     pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
 
-    def slices(p: Column) -> Column:
-        is_word = lambda w: w.rlike(rf"^{E.WORD_RUN}$")
-        grams = [
-            F.transform(p, lambda w, i, n=n: F.when(is_word(w), F.array_join(F.slice(p, i + 1, F.lit(n)), "")))
-            for n in lengths
-        ]
-        return F.array_compact(F.array_distinct(F.concat(*grams)))
-
-    # One-element transform binds the runs once instead of re-splitting per slice.
-    bound = F.element_at(F.transform(F.array("_p"), slices), 1)
-    grams = pieces.select(key, F.explode(bound).alias("term"))
+    def of_length(p: Column, n: int) -> Column:
+        def gram(w: Column, i: Column) -> Column:
+            return F.when(w.rlike(rf"^{E.WORD_RUN}$"), F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
+
+        return F.transform(p, gram)
+
+    slices = bind(F.col("_p"), lambda p: F.array_distinct(F.concat(*[of_length(p, n) for n in lengths])))
+    grams = pieces.select(key, F.explode(F.array_compact(slices)).alias("term"))
     hits = grams.join(broadcast_if_small(terms), "term")
     return hits.groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 

@@ -9,6 +9,8 @@ four entity arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +53,17 @@ def article_nodes(df: DataFrame, order: str) -> DataFrame:
     )
 
 
+def _noder(label: str) -> Callable[[Column], Column]:
+    return lambda key: F.struct(F.lit(label).alias("label"), key.alias("key"))
+
+
 def entity_nodes(df: DataFrame) -> DataFrame:
     """Entity and Industry nodes, unique by (label, key).
 
     All kinds leave one explode, so the text work upstream runs once.
     """
-    named = [
-        F.transform(F.col(k), lambda e, lab=lab: F.struct(F.lit(lab).alias("label"), e.alias("key")))
-        for k, lab in LABEL_OF.items()
-    ]
-    industry = F.array(F.struct(F.lit("Industry").alias("label"), _text("primary_industry").alias("key")))
+    named = [F.transform(F.col(k), _noder(label)) for k, label in LABEL_OF.items()]
+    industry = F.array(_noder("Industry")(_text("primary_industry")))
     nodes = graph_articles(df).select(F.inline(F.concat(*named, industry))).where("key <> ''").distinct()
     return nodes.select("label", "key", *[F.lit(None).cast("string").alias(c) for c in NODE_COLUMNS[2:]])
 
@@ -76,13 +79,10 @@ def _edge(src_label: str, src: Column, rel: str, dst_label: str, dst: Column) ->
 
 
 def _mentions() -> Column:
-    url = _text("url")
-    return F.concat(
-        *[
-            F.transform(F.col(k), lambda e, lab=lab: _edge("Article", url, "MENTIONS", lab, e))
-            for k, lab in LABEL_OF.items()
-        ]
-    )
+    def to(label: str) -> Callable[[Column], Column]:
+        return lambda entity: _edge("Article", _text("url"), "MENTIONS", label, entity)
+
+    return F.concat(*[F.transform(F.col(k), to(label)) for k, label in LABEL_OF.items()])
 
 
 def _article_targets() -> Column:

@@ -90,8 +90,10 @@ def knn(
     reaches the scan and each task keeps only its own best ``k``.
     """
     q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
-    scored = by_industry(vectors, industry).withColumn("distance", squared_distance(F.col("embedding"), q))
-    top = scored.orderBy("distance", tie).limit(k)
+    # The subquery becomes a column first: it may not stand inside a lambda.
+    asked = by_industry(vectors, industry).withColumn("_query", q)
+    scored = asked.withColumn("distance", squared_distance(F.col("embedding"), F.col("_query")))
+    top = scored.drop("_query").orderBy("distance", tie).limit(k)
     return top.withColumn("similarity", similarity(F.col("distance")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from intelweave import vocab
 from intelweave.functions import html as H
 from intelweave.functions import text as X
 from intelweave.functions import urls as U
+from intelweave.functions.flow import with_computed
 from intelweave.operators.quality import first_per
 
 
@@ -26,7 +29,7 @@ def routed(pages: DataFrame) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every link as ``(page_id, pos, src_url, href, target_url)``."""
     found = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(H.hrefs(F.col("html"))).alias("pos", "href"))
-    return found.withColumn("target_url", U.resolve_link(F.col("src_url"), F.col("href")))
+    return with_computed(found, {"target_url": U.resolve_link(F.col("src_url"), F.col("href"))})
 
 
 def advisory_links(links: DataFrame) -> DataFrame:
@@ -58,19 +61,23 @@ def drop_seen(df: DataFrame, seen: DataFrame, order: Column, key: str = "url") -
     return fresh.join(seen.select(key), key, "left_anti")
 
 
+def _parsed(
+    pages: DataFrame, title: Callable[[Column], Column], opening: str, min_node: int, min_content: int
+) -> DataFrame:
+    # Pages without a usable title never reach the costlier text-node step.
+    html = F.col("html")
+    titled = with_computed(pages, {"title": title(html)}).where(F.length("title") >= 5)
+    content = F.array_join(H.text_nodes(html, opening, min_node), " ")
+    return with_computed(titled, {"content": content}).where(F.length("content") >= min_content)
+
+
 def extract_articles(pages: DataFrame) -> DataFrame:
     """Generic pages to ``(page_id, id, title, url, content)``.
 
     Content is the paragraphs' text nodes over 40 characters; needs a title of
     five and content of 200 characters.
     """
-    parsed = html_only(pages).select(
-        "page_id",
-        "url",
-        H.article_title(F.col("html")).alias("title"),
-        F.array_join(H.text_nodes(F.col("html"), "p", 40), " ").alias("content"),
-    )
-    kept = parsed.where((F.length("title") >= 5) & (F.length("content") >= 200))
+    kept = _parsed(html_only(pages), H.article_title, "p", 40, min_content=200)
     return kept.select("page_id", X.url_id("url").alias("id"), "title", "url", "content")
 
 
@@ -108,13 +115,7 @@ def extract_advisories(pages: DataFrame) -> DataFrame:
     Content is the text nodes over 15 characters of cells, paragraphs, list
     items and spans; needs a title of five and content of 100 characters.
     """
-    parsed = pages.select(
-        "page_id",
-        "url",
-        H.advisory_title(F.col("html")).alias("title"),
-        F.array_join(H.text_nodes(F.col("html"), "td|p|li|span", 15), " ").alias("content"),
-    )
-    kept = parsed.where((F.length("title") >= 5) & (F.length("content") >= 100))
+    kept = _parsed(pages, H.advisory_title, "td|p|li|span", 15, min_content=100)
     return advisory_fields(kept.select("page_id", X.url_id("url").alias("id"), "title", "url", "content"))
 
 

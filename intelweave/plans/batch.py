@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intelweave.functions.flow import with_computed
 from intelweave.functions.text import clean_text
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
@@ -40,7 +41,7 @@ class Models:
 
 def cleaned(articles: DataFrame) -> DataFrame:
     """Replace ``content`` by ``clean_text``."""
-    return articles.withColumn("clean_text", clean_text("content")).drop("content")
+    return with_computed(articles, {"clean_text": clean_text("content")}).drop("content")
 
 
 def processed(articles: DataFrame, order: str) -> DataFrame:

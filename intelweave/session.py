@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,17 @@ def spread(df: DataFrame, key: str | Column) -> DataFrame:
     back unchanged: their splits already fill the cluster.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(slots, key) if size < slots * _SPREAD_BYTES_PER_SLOT else df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the cluster's shared checkpoint folder (a temporary one in tests)."""
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='intelweave-')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read on from there.
 

@@ -2,7 +2,8 @@
 
 A store is a folder with one ``increment=<n>`` partition per run. Overwriting a
 partition makes a retried run land on the same files, so an executor or driver
-lost halfway leaves nothing twice. A full rebuild replaces the whole folder.
+lost halfway leaves nothing twice. A full rebuild replaces the whole folder and
+leaves its rows in partition ``BASE``, which precedes every increment.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from intelweave.operators import graph as G
 from intelweave.operators.vectors import add_vectors
 
+BASE = -1
+
 VECTOR_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -57,7 +60,7 @@ def write_increment(df: DataFrame, path: str, increment: int) -> None:
 def write_vectors(df: DataFrame, path: str, mode: str = "rebuild", increment: int = 0) -> None:
     """``rebuild`` drops the collection first; ``add`` writes only ids not stored yet."""
     if mode == "rebuild":
-        df.withColumn("increment", F.lit(0)).write.mode("overwrite").partitionBy("increment").parquet(path)
+        df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(path)
     elif mode == "add":
         stored = read_increments(df.sparkSession, path, VECTOR_SCHEMA, before=increment)
         write_increment(add_vectors(df, stored), path, increment)
@@ -79,7 +82,7 @@ def write_graph(
     for df, name in ((nodes, "nodes"), (edges, "edges")):
         target = f"{path}/{name}"
         if clear_first:
-            df.withColumn("increment", F.lit(0)).write.mode("overwrite").partitionBy("increment").parquet(target)
+            df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(target)
         else:
             write_increment(df, target, increment)
 

@@ -27,15 +27,17 @@ def start_increments(
     available_now: bool = True,
     max_files: int | None = None,
     interval: str = "1 minute",
+    first_increment: int = 0,
 ) -> StreamingQuery:
     """Run one increment per micro-batch.
 
     The checkpoint hands out each file once; a batch repeated after a failure
     keeps its id and therefore overwrites its own partitions. A failing store
-    fails the batch, so the ledger never runs ahead of the tables.
+    fails the batch, so the ledger never runs ahead of the tables. With a new
+    checkpoint over old tables, set ``first_increment`` past the last one stored.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        run_increment(batch.sparkSession, batch, models, layout, increment=batch_id)
+        run_increment(batch.sparkSession, batch, models, layout, increment=first_increment + batch_id)
 
     writer = article_stream(spark, path, max_files).writeStream.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
