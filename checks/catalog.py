@@ -24,7 +24,7 @@ from intelweave.operators import web as P
 from intelweave.plans import api as A
 from intelweave.plans import increment as I
 from intelweave.sources import stores, tables
-from intelweave.session import scratch
+from intelweave.session import cut_lineage, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -877,7 +877,7 @@ def _(spark, sf):
 
 @query("graph_nodes", _G + "SELECT label, key, title, industry, threat_score FROM nodes")
 def _(spark, sf):
-    return G.graph_nodes(D.entities(spark, sf), "doc_id")
+    return _graph(spark, sf)[0]
 
 
 @query("graph_rebuild", _G + "SELECT 'node' AS part, label AS name, count(*) AS n FROM nodes GROUP BY label "
@@ -898,9 +898,9 @@ alln AS (SELECT label, key, CASE WHEN label = 'Article' AND key IN (SELECT src F
 SELECT 'edge' AS part, rel AS name, dst AS detail, count(*) AS n FROM alle GROUP BY rel, dst
 UNION ALL SELECT 'node', label, coalesce(industry, ''), count(*) FROM alln GROUP BY label, coalesce(industry, '')""")
 def _(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    again = D.entities(spark, sf).where("doc_id % 5 = 0").withColumn("primary_industry", F.lit("Finance"))
-    n, e = G.merge_graph(nodes, edges, *G.build_graph(again, "doc_id"))
+    rows = cut_lineage(D.entities(spark, sf).drop("clean_text"))
+    again = rows.where("doc_id % 5 = 0").withColumn("primary_industry", F.lit("Finance"))
+    n, e = G.merge_graph(*G.build_graph(rows, "doc_id"), *G.build_graph(again, "doc_id"))
     by_edge = e.groupBy(F.col("rel").alias("name"), F.col("dst").alias("detail")).agg(F.count("*").alias("n"))
     by_node = n.groupBy(F.col("label").alias("name"), F.coalesce("industry", F.lit("")).alias("detail")).agg(F.count("*").alias("n"))
     return by_edge.withColumn("part", F.lit("edge")).unionByName(by_node.withColumn("part", F.lit("node")))
@@ -922,7 +922,8 @@ def _(spark, sf):
 
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return G.build_graph(D.entities(spark, sf), "doc_id")
+    # Nodes and edges both read the entity rows, so the text work is done and written once.
+    return G.build_graph(cut_lineage(D.entities(spark, sf).drop("clean_text")), "doc_id")
 
 
 # == Query surface ==========================================================

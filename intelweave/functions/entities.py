@@ -12,6 +12,7 @@ from intelweave import vocab
 # A maximal run of word characters; a one-word term stands as a whole word
 # exactly when it equals one of these runs.
 WORD_RUN = r"[\p{L}\p{N}_]+"
+NOT_WORD_RUN = r"[^\p{L}\p{N}_]+"
 
 
 def _strings(values: list[str]) -> Column:

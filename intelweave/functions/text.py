@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,9 @@ from intelweave.functions.flow import bind
 
 # Whitespace spelled out, so Java, RE2 and Python split at the same places.
 WS = r"[ \t\n\x0b\f\r]"
+# Characters that survive blanking, each spelled out: Java tests such a class with
+# one table look-up, while a class of several ranges costs eight times as much.
+_KEPT = string.ascii_letters + string.digits + r".,\-"
 # Clitic pairs a word tokenizer splits; the tail is always a stop word or too
 # short to keep, so only the head survives.
 _PAIRS = r"\b(?:(can)not|(gim)me|(gon)na|(got)ta|(lem)me|(wan)na)\b"
@@ -42,13 +46,16 @@ def is_private_ip(c: Column | str) -> Column:
 
 def extract_ips(c: Column | str) -> Column:
     """Distinct public IPv4 addresses, sorted as strings."""
-    hits = F.regexp_extract_all(_col(c), F.lit(vocab.IPV4_PATTERN), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(hits, lambda ip: ~is_private_ip(ip))))
+    c = _col(c)
+    hits = F.regexp_extract_all(c, F.lit(vocab.IPV4_PATTERN), F.lit(0))
+    public = F.array_sort(F.array_distinct(F.filter(hits, lambda ip: ~is_private_ip(ip))))
+    # The cheap test spares most texts the backtracking octet pattern.
+    return F.when(c.rlike(r"[0-9]\.[0-9]"), public).otherwise(F.array().cast("array<string>"))
 
 
 def strip_chars(c: Column | str) -> Column:
     """Blank out everything but ASCII letters, digits, ``. , -`` and the space."""
-    return F.regexp_replace(_col(c), r"[^a-zA-Z0-9., \-]", " ")
+    return F.regexp_replace(_col(c), f"[^{_KEPT} ]", " ")
 
 
 def reinject(text: Column | str, cves: Column | str, ips: Column | str) -> Column:
@@ -62,6 +69,15 @@ def squash_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), WS + "+", " "))
 
 
+def _replace_if(c: Column, marks: list[str], pattern: str, by: str) -> Column:
+    """``regexp_replace`` for the texts that hold one of ``marks`` at all."""
+    def replaced(t: Column) -> Column:
+        held = reduce(Column.__or__, [F.contains(t, F.lit(m)) for m in marks])
+        return F.when(held, F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    return bind(c, replaced)
+
+
 def tokenize_clean(c: Column | str, stop_words: list[str] | None = None) -> Column:
     """Lower-case words longer than two characters, stop words removed, joined by blanks.
 
@@ -72,8 +88,8 @@ def tokenize_clean(c: Column | str, stop_words: list[str] | None = None) -> Colu
     stop = vocab.STOP_WORDS if stop_words is None else stop_words
     t = F.lower(_col(c))
     t = F.regexp_replace(t, r",([^0-9]|$)", r" , $1")
-    t = F.regexp_replace(t, r"(\.\.+|--)", r" $1 ")
-    t = F.regexp_replace(t, _PAIRS, r"$1$2$3$4$5$6 ")
+    t = _replace_if(t, ["..", "--"], r"(\.\.+|--)", r" $1 ")
+    t = _replace_if(t, ["cannot", "gimme", "gonna", "gotta", "lemme", "wanna"], _PAIRS, r"$1$2$3$4$5$6 ")
     t = F.regexp_replace(t, r"([^. ])\.( |$)", r"$1$2")
     kept = F.filter(F.split(t, " "), lambda w: (F.length(w) > 2) & ~w.isin(stop))
     return F.array_join(kept, " ")
@@ -87,7 +103,7 @@ def clean_text(c: Column | str, stop_words: list[str] | None = None) -> Column:
     blanking the only whitespace left is the space itself.
     """
     def tagless(t: Column) -> Column:
-        body = F.regexp_replace(t, r"[^a-zA-Z0-9.,\-]+", " ")
+        body = F.regexp_replace(t, f"[^{_KEPT}]+", " ")
         return tokenize_clean(F.trim(reinject(body, extract_cves(t), extract_ips(t))), stop_words)
 
     return bind(strip_tags(F.coalesce(_col(c), F.lit(""))), tagless)

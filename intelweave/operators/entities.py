@@ -15,10 +15,9 @@ KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
 
 
 def with_words(df: DataFrame, column: str) -> DataFrame:
-    """Add ``_lowered`` and the distinct word runs ``_words`` for gazetteer matching."""
+    """Add ``_lowered`` and its word runs ``_words`` for gazetteer matching."""
     lowered = with_computed(df, {"_lowered": F.lower(F.coalesce(F.col(column), F.lit("")))})
-    runs = F.regexp_extract_all("_lowered", F.lit(E.WORD_RUN), F.lit(0))
-    return with_computed(lowered, {"_words": F.array_distinct(runs)})
+    return with_computed(lowered, {"_words": F.split("_lowered", E.NOT_WORD_RUN)})
 
 
 def extract_entities(
@@ -56,7 +55,7 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     joined by hash; nothing is broadcast unless the table was counted as small.
     """
     terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
-    runs = rf"{E.WORD_RUN}|[^\p{{L}}\p{{N}}_]+"
+    runs = f"{E.WORD_RUN}|{E.NOT_WORD_RUN}"
     sized = terms.withColumn("_runs", F.size(F.regexp_extract_all("term", F.lit(runs), F.lit(0))))
     # A handful of small integers, however many terms there are.
     lengths = sorted(r[0] for r in sized.select("_runs").distinct().collect())
@@ -64,9 +63,10 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
 
     def of_length(p: Column, n: int) -> Column:
         def gram(w: Column, i: Column) -> Column:
-            return F.when(w.rlike(rf"^{E.WORD_RUN}$"), F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
+            return F.when(w.rlike(f"^{E.WORD_RUN}"), F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
 
-        return F.transform(p, gram)
+        # A one-run term is the run itself.
+        return p if n == 1 else F.transform(p, gram)
 
     slices = bind(F.col("_p"), lambda p: F.array_distinct(F.concat(*[of_length(p, n) for n in lengths])))
     grams = pieces.select(key, F.explode(F.array_compact(slices)).alias("term"))
