@@ -519,7 +519,8 @@ SELECT doc_id, sent, entity_tokens FROM per WHERE entity_tokens > 0
 UNION ALL SELECT doc_id, sent, 0 FROM plain
 WHERE r <= (SELECT least(count(*), 2000) FROM per WHERE entity_tokens > 0)""")
 def _(spark, sf):
-    sample = B.ner_training_sample(B.bio_label(_sentences(spark, sf)), ["doc_id"])
+    # The sample reads its input several times (count, prefix sizes, rows): label once, write, read.
+    sample = B.ner_training_sample(cut_lineage(B.bio_label(_sentences(spark, sf))), ["doc_id"])
     n = F.size(F.filter("tags", lambda t: t != "O"))
     return sample.select("doc_id", long("sent").alias("sent"), long(n).alias("entity_tokens"))
 

@@ -71,4 +71,6 @@ def resolve_link(page_url: Column, href: Column) -> Column:
     tidy = F.regexp_replace(joined, r"/(?:\./)+", "/")
     for _ in range(3):
         tidy = F.regexp_replace(tidy, r"([^/:])/[^/]+/\.\./", r"$1/")
+    # Climbing past the root stays at the root.
+    tidy = F.regexp_replace(tidy, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*)/(?:\.\./)+", r"$1/")
     return F.when(F.contains(href, F.lit("./")), tidy).otherwise(joined)

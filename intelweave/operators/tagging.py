@@ -172,8 +172,9 @@ def encode_labels(df: DataFrame, column: str, mapping: DataFrame | None = None)
 def class_weights(df: DataFrame, column: str) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total, classes = (counts.agg(f.alias("v")).scalar() for f in (F.sum("n"), F.count("*")))
-    return counts.withColumn("weight", total / (classes * F.col("n")))
+    # One scan: the window runs over the counted classes, of which a model has few.
+    every = Window.partitionBy()
+    return counts.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
 def with_weights(df: DataFrame, column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from intelweave import vocab
 from intelweave.functions.text import url_id
 from intelweave.functions.vectors import similarity, squared_distance
-from intelweave.operators.quality import first_per
+from intelweave.operators.quality import first_per, not_stored
 
 METADATA = ["title", "url", "threat_score", "primary_industry", "industry_score"]
 
@@ -67,7 +67,7 @@ def vector_metadata(df: DataFrame) -> DataFrame:
 def add_vectors(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``new`` whose id is not stored yet, each id once."""
     once = first_per(new, ["id"], F.col("url").asc(), F.col("title").asc())
-    return once.join(existing.select("id"), "id", "left_anti").select(*new.columns)
+    return not_stored(once, existing, "id").select(*new.columns)
 
 
 def by_industry(df: DataFrame, industry: str | None, column: str = "primary_industry") -> DataFrame:

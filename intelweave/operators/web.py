@@ -12,7 +12,7 @@ from intelweave.functions import html as H
 from intelweave.functions import text as X
 from intelweave.functions import urls as U
 from intelweave.functions.flow import with_computed
-from intelweave.operators.quality import first_per
+from intelweave.operators.quality import first_per, not_stored
 
 
 def html_only(pages: DataFrame) -> DataFrame:
@@ -55,10 +55,10 @@ def frontier(links: DataFrame, seen: DataFrame, match: str = "suffix") -> DataFr
     return once.join(seen.select(F.col("url").alias("target_url")), "target_url", "left_anti")
 
 
-def drop_seen(df: DataFrame, seen: DataFrame, order: Column, key: str = "url") -> DataFrame:
+def drop_seen(df: DataFrame, seen: DataFrame, *order: Column, key: str = "url") -> DataFrame:
     """First row per ``key`` whose key is not blank and not in ``seen``."""
-    fresh = first_per(df.where(F.col(key) != ""), [key], order)
-    return fresh.join(seen.select(key), key, "left_anti")
+    fresh = first_per(df.where(F.col(key) != ""), [key], *order)
+    return not_stored(fresh, seen, key)
 
 
 def _parsed(

@@ -68,6 +68,6 @@ def build(spark: SparkSession, articles: DataFrame, models: Models, layout: Layo
     tagged = C.tag_articles(clean, models.binary, models.industry, models.labels)
     found = stage(spark, E.combine(E.extract_entities(tagged)), layout.at("entities"))
     complete = Q.require(found, ["clean_text", "title", "url"])
-    latest = Q.first_per(complete, ["url"], F.col(order).asc())
+    latest = Q.first_per(complete, ["url"], F.col(order).asc(), F.col("title").asc(), F.col("clean_text").asc())
     S.write_vectors(V.vector_rows(V.embed(latest, models.embedder)), layout.at("vectors"))
     S.write_graph(*G.build_graph(found, order), layout.at("graph"))

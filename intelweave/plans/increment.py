@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intelweave import vocab
-from intelweave.functions.text import word_count
+from intelweave.functions.text import url_id, word_count
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import quality as Q
@@ -22,7 +22,8 @@ LEDGER_SCHEMA = T.StructType([T.StructField("url", T.StringType())])
 
 def new_articles(raw: DataFrame, ledger: DataFrame, order: str = "title") -> DataFrame:
     """Articles with a URL the ledger does not hold, each URL once."""
-    return drop_seen(raw, ledger, F.col(order).asc())
+    ties = [F.col(c).asc() for c in ("content",) if c in raw.columns]
+    return drop_seen(raw, ledger, F.col(order).asc(), *ties)
 
 
 def advance_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:
@@ -68,8 +69,11 @@ def run_increment(
     S.write_increment(E.extract_entities(tagged), layout.at("entities"), increment)
     found = spark.read.parquet(f"{layout.at('entities')}/increment={increment}")
 
-    rows = V.vector_rows(V.embed(found, models.embedder))
-    S.write_vectors(rows, layout.at("vectors"), "add", increment)
+    # Ids already stored drop out before the embedding, not after it.
+    stored = S.read_increments(spark, layout.at("vectors"), S.VECTOR_SCHEMA, before=increment)
+    unseen = V.add_vectors(found.withColumn("id", url_id("url")), stored)
+    rows = V.vector_rows(V.embed(unseen, models.embedder))
+    S.write_increment(rows, layout.at("vectors"), increment)
     nodes, edges = G.build_graph(found, "url")
     S.write_graph(nodes, edges, layout.at("graph"), clear_first=False, increment=increment)
     S.write_increment(fresh.select("url"), layout.at("ledger"), increment)
