@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from intelweave import vocab
+from intelweave.functions.flow import string_array
 
 # A maximal run of word characters; a one-word term stands as a whole word
 # exactly when it equals one of these runs.
@@ -15,10 +16,6 @@ WORD_RUN = r"[\p{L}\p{N}_]+"
 NOT_WORD_RUN = r"[^\p{L}\p{N}_]+"
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-
-
 def boundary_pattern(term: str) -> str:
     return r"\b" + re.escape(term) + r"\b"
 
@@ -32,7 +29,7 @@ def match_terms(lowered: Column, words: Column, terms: list[str]) -> Column:
     """
     single = [t for t in terms if re.fullmatch(r"\w+", t)]
     several = [t for t in terms if not re.fullmatch(r"\w+", t)]
-    parts = [F.array_intersect(words, _strings(single))]
+    parts = [F.array_intersect(words, string_array(single))]
     if several:
         # An impossible term (final non-word sign) keeps its pattern and never matches.
         hits = [
@@ -76,7 +73,7 @@ def drop_unsupported(
         for term in ambiguous
     ]
     cleaned = F.array_except(matched, F.array_compact(F.array(*unsupported)))
-    return F.when(F.arrays_overlap(matched, _strings(ambiguous)), cleaned).otherwise(matched)
+    return F.when(F.arrays_overlap(matched, string_array(ambiguous)), cleaned).otherwise(matched)
 
 
 def combine_entities(

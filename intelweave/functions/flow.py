@@ -14,6 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def string_array(values: list[str]) -> Column:
+    """Array literal parsed from one SQL text, rather than one driver call per element."""
+    if not values:
+        return F.array().cast("array<string>")
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"array({', '.join(quoted)})")
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)

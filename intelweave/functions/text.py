@@ -40,8 +40,8 @@ def extract_cves(c: Column | str) -> Column:
 
 def is_private_ip(c: Column | str) -> Column:
     """Textual prefix test; ``010.1.1.1`` counts as public on purpose."""
-    c = _col(c)
-    return reduce(Column.__or__, [c.startswith(p) for p in vocab.PRIVATE_IP_PREFIXES])
+    prefixes = "|".join(p.replace(".", r"\.") for p in vocab.PRIVATE_IP_PREFIXES)
+    return _col(c).rlike(f"^(?:{prefixes})")
 
 
 def extract_ips(c: Column | str) -> Column:

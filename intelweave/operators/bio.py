@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.functions import entities as E
-from intelweave.functions.flow import bind, with_computed
+from intelweave.functions.flow import bind, string_array, with_computed
 from intelweave.operators.sampling import sample_exact
 
 
@@ -39,8 +39,8 @@ def bio_tags(words: Column, malware: list[str] | None = None, actors: list[str]
     by_words: dict[int, list[str]] = {}
     for term in order:
         by_words.setdefault(len(term.split()), []).append(term)
-    ranks = F.array(*[F.lit(t) for t in order])
-    starters = F.array(*[F.lit(w) for w in sorted({t.split()[0] for t in order})])
+    ranks = string_array(order)
+    starters = string_array(sorted({t.split()[0] for t in order}))
 
     def hits_of(low: Column, n: int, terms: list[str]) -> Column:
         def gram(w: Column, i: Column) -> Column:

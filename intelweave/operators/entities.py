@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from intelweave import vocab
 from intelweave.functions import entities as E
 from intelweave.functions import text as X
-from intelweave.functions.flow import bind, with_computed
+from intelweave.functions.flow import bind, string_array, with_computed
 from intelweave.session import broadcast_if_small
 
 KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
@@ -47,29 +47,49 @@ def extract_entities(
     return with_computed(with_words(df, column), found).select(*df.columns, *KINDS)
 
 
-def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text") -> DataFrame:
+def match_gazetteer(
+    df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text", literal_terms: int = 2_000
+) -> DataFrame:
     """``(key, kind, terms)`` against a gazetteer *table* ``(kind, term)`` of any size.
 
-    Word and separator runs alternate in a text, so a term of n words is a slice
-    of 2n-1 runs. Slices of the lengths in use are made distinct per text, then
-    joined by hash; nothing is broadcast unless the table was counted as small.
+    Word and separator runs alternate in a text, so a term is a slice of a fixed
+    number of runs. Slices are made distinct per text and joined to the table by
+    hash. With at most ``literal_terms`` terms the slices are first cut down to
+    terms inside the row, so only hits leave it.
     """
-    terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
     runs = f"{E.WORD_RUN}|{E.NOT_WORD_RUN}"
-    sized = terms.withColumn("_runs", F.size(F.regexp_extract_all("term", F.lit(runs), F.lit(0))))
-    # A handful of small integers, however many terms there are.
-    lengths = sorted(r[0] for r in sized.select("_runs").distinct().collect())
-    pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
+    terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
+    shaped = terms.select(
+        "term",
+        F.col("term").rlike(f"^{E.WORD_RUN}").alias("starts"),
+        F.size(F.regexp_extract_all("term", F.lit(runs), F.lit(0))).alias("n"),
+        F.regexp_extract("term", runs, 0).alias("first"),
+    ).distinct()
+    known = shaped.limit(literal_terms + 1).collect()
+    literal = len(known) <= literal_terms
+    # A handful of shapes, however many terms there are.
+    shapes = sorted({(r["starts"], r["n"]) for r in (known if literal else shaped.select("starts", "n").distinct().collect())})
+
+    def of_shape(p: Column, starts: bool, n: int) -> Column:
+        firsts = sorted({r["first"] for r in known if (r["starts"], r["n"]) == (starts, n)})
+        # A word boundary needs a word run on one side: a term's outer separator
+        # counts only with another run beyond it.
+        ends_with_word = starts == (n % 2 == 1)
 
-    def of_length(p: Column, n: int) -> Column:
         def gram(w: Column, i: Column) -> Column:
-            return F.when(w.rlike(f"^{E.WORD_RUN}"), F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
+            opens = w.isin(firsts) if literal else w.rlike(f"^{E.WORD_RUN}") == F.lit(starts)
+            before = F.lit(True) if starts else i > 0
+            after = i + n <= F.size(p) if ends_with_word else i + n < F.size(p)
+            return F.when(opens & before & after, F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
+
+        return p if starts and n == 1 else F.transform(p, gram)
 
-        # A one-run term is the run itself.
-        return p if n == 1 else F.transform(p, gram)
+    def slices(p: Column) -> Column:
+        every = F.array_compact(F.concat(*[of_shape(p, starts, n) for starts, n in shapes]))
+        return F.array_intersect(every, string_array([r["term"] for r in known])) if literal else F.array_distinct(every)
 
-    slices = bind(F.col("_p"), lambda p: F.array_distinct(F.concat(*[of_length(p, n) for n in lengths])))
-    grams = pieces.select(key, F.explode(F.array_compact(slices)).alias("term"))
+    pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
+    grams = pieces.select(key, F.explode(bind(F.col("_p"), slices)).alias("term"))
     hits = grams.join(broadcast_if_small(terms), "term")
     return hits.groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 

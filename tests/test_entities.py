@@ -3,6 +3,7 @@ import re
 
 from intelweave import vocab
 from intelweave.operators import entities as E
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -54,12 +55,15 @@ def test_agrees_with_brute_force(texts):
     assert [(r["malware_names"], r["threat_actors"]) for r in rows] == [brute(t) for t in raw]
 
 
-def test_gazetteer_table_equals_term_lists(spark, texts):
-    raw = random_texts(200, seed=11)
-    gaz = spark.createDataFrame([("a", t) for t in vocab.ACTOR_TERMS], "kind string, term string")
-    by_table = {r["doc_id"]: r["terms"] for r in E.match_gazetteer(texts(raw), "doc_id", gaz).collect()}
-    for r in E.extract_entities(texts(raw)).collect():
-        assert by_table.get(r["doc_id"], []) == r["threat_actors"]
+@pytest.mark.parametrize("literal_terms", [2000, 3])
+def test_gazetteer_table_equals_term_lists(spark, texts, literal_terms):
+    raw = random_texts(200, seed=11) + ["lapsus$", "lapsus$x", "lapsus$ x", "a$-b", "$-b", "x $-b", "x$-b"]
+    terms = [*vocab.ACTOR_TERMS, "$-b"]
+    gaz = spark.createDataFrame([("a", t) for t in terms], "kind string, term string")
+    found = E.match_gazetteer(texts(raw), "doc_id", gaz, literal_terms=literal_terms)
+    by_table = {r["doc_id"]: r["terms"] for r in found.collect()}
+    for r in E.extract_entities(texts(raw), actors=terms).collect():
+        assert by_table.get(r["doc_id"], []) == r["threat_actors"], raw[r["doc_id"]]
 
 
 def test_combine(spark):
