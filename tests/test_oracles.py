@@ -8,7 +8,6 @@ from checks.catalog import ORACLES, QUERIES
 from checks.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-# Empty at this scale for lack of a matching sample row, which the twin confirms.
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not present")
 
 
