@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,23 +36,26 @@ def spread(df: DataFrame, key: str | Column) -> DataFrame:
     return df.repartition(slots, key) if size < slots * _SPREAD_BYTES_PER_SLOT else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one inside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intelweave").rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the cluster's shared checkpoint folder (a temporary one in tests)."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='intelweave-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name inside the shared folder; whoever writes there removes it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read on from there.
+    """Checkpoint ``df`` in the shared folder and read on from there.
 
-    Survives lost executors, unlike a cache. A temporary folder is used only when
-    the session names none (tests).
+    Survives lost executors, unlike a cache. Spark drops the files with the frame
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="intelweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
