@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelweave.llm import licenses, packing, quality_gam, repetition, secret_scan, token_store, url_filter
+from intelweave.llm import decontam, licenses, packing, passages, quality_gam, repetition, secret_scan, simhash_dedup, token_store, url_filter
 from intelweave.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,19 @@ def _(spark, sf):
 @query("op8_repetition")
 def _(spark, sf):
     return repetition.judge_repetition(read(spark, sf, "documents"))
+
+
+@query("op9_simhash_dedup")
+def _(spark, sf):
+    found = simhash_dedup.near_duplicates(read(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_decontamination")
+def _(spark, sf):
+    return decontam.find_contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op6_passages")
+def _(spark, sf):
+    return passages.repeated_passages(read(spark, sf, "documents"))
