@@ -1,9 +1,81 @@
-"""The corpus pipeline: ``documents`` through five operators of ``intelweave.llm``, each stage a written table."""
+"""The corpus pipeline: ``documents`` through five operators of ``intelweave.llm``.
+
+``STAGES`` are (name, function) in order. A function takes (spark, docs, sf_dir) and returns a frame
+with the columns of ``documents``; the last one returns packed pieces. ``run`` writes each stage's
+frame to the shared folder as Parquet and hands the next stage what it reads from there.
+
+Rows are told apart by their id and a hash of their text, so null and repeated ids are no exception;
+of rows that are equal in both one stays. Null texts count as empty. Columns beyond those of
+``documents`` pass through all stages but the last. An empty table passes as one.
+"""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from intelweave.llm import decontam, packing, quality_gam, secret_scan, simhash_dedup
+from intelweave.llm.common import row_key, staged
+from intelweave.llm.queries import tokenizer
+
+QUALITY_THRESHOLD = 0.3
+KEY, NOTE = "__row_key", "__row_note"  # names that the stages add and drop again
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.withColumn(NOTE, quality_gam.score_column(F.col("text"), model)).filter(F.col(NOTE) >= QUALITY_THRESHOLD).drop(NOTE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates."""
+    keyed = docs.withColumn(KEY, row_key(docs))
+    found = simhash_dedup.near_duplicates(keyed, id_col=KEY)
+    chosen = found.filter(F.col(KEY) == F.col("component_id")).groupBy(KEY).agg(F.count("*").alias(NOTE))
+    chosen = staged(chosen, "chosen")
+    kept = keyed.join(chosen, KEY)
+    if not chosen.filter(F.col(NOTE) > 1).isEmpty():
+        kept = kept.dropDuplicates([KEY])
+    return kept.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    keyed = docs.withColumn(KEY, row_key(docs))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.find_windows(keyed.select(F.col(KEY).alias("key"), "text"), benchmark, 0.8)
+    return keyed.join(found.select(F.col("key").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark; ``n_chars`` follows the text where there is one."""
+    masked = docs.withColumn("text", secret_scan.mask_column(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token sequences."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", mask_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The classifier's scores and the tokenizer's ids cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
