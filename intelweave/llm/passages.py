@@ -268,7 +268,10 @@ def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
 
 
 def exact_ranges(large: DataFrame) -> DataFrame:
-    """(hub, t, first, last, sig, c): the ranges of each window of a large group, with a hash of their shingles as hub."""
+    """(hub, t, first, last, sig, c): the ranges of each window of a large group, with a hash of their shingles as hub.
+
+    ``first`` and ``last`` are those of the unit windows around the range, which share it and so are similar enough.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, sig, c, before, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -280,8 +283,11 @@ def exact_ranges(large: DataFrame) -> DataFrame:
                     h = sig[part][on].view(np.uint64) + np.uint64(at)
                     for k in range(at, at + RANGE):
                         h = (h ^ m[on, k]) * np.uint64(_PRIME)
-                    first = c[part][on] - SIDE + at
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), t[part][on], first, first + RANGE + SHINGLE - 1, sig[part][on], c[part][on])],
+                    left = SIDE - before[part][on]
+                    right = left + filled[on].sum(1) - 1
+                    first = c[part][on] - SIDE + np.maximum(at - STEP + 1, left)
+                    last = c[part][on] - SIDE + np.minimum(at + UNIT - 1, right) + SHINGLE
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), t[part][on], first, last, sig[part][on], c[part][on])],
                                                      names=["hub", "t", "first", "last", "sig", "c"])
 
     return large.select("t", "sig", "c", "before", "context").mapInArrow(run, "hub long, t long, first long, last long, sig long, c long")

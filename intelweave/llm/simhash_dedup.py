@@ -120,7 +120,7 @@ def star_links(fingerprints: DataFrame) -> DataFrame:
     """Links (a, b) that join all fingerprints within the radius, by whole keys: each to the least one within a bit of the key."""
     def ball(radius: int, side: int) -> DataFrame:
         flips = F.array(*[F.lit(x).cast("long") for x in _ball(radius)])
-        return fingerprints.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR("x").alias("key"), F.lit(side).alias("side"), "fp")
+        return fingerprints.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("key"), F.lit(side).alias("side"), "fp")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center = None  # (key, least fingerprint) of the run before
