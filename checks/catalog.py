@@ -221,25 +221,58 @@ def _(spark, sf):
     return P.html_only(D.pages(spark, sf)).select("page_id")
 
 
-_UNESCAPE = ("replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
-             "'&apos;', ''''), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')")
+_CHAR = "CASE WHEN {n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111 THEN chr(cast({n} AS int)) ELSE chr(65533) END"
+_NUMERIC = ("array_to_string(list_transform(string_split({c}, '&#'), lambda s, i: CASE WHEN i = 1 THEN s "
+            "WHEN regexp_matches(s, '^[0-9]{{1,9}};') THEN " + _CHAR.format(n="try_cast(split_part(s, ';', 1) AS bigint)") + " || substr(s, instr(s, ';') + 1) "
+            "WHEN regexp_matches(s, '^[xX][0-9a-fA-F]{{1,7}};') THEN " + _CHAR.format(n="try_cast('0x' || substr(split_part(s, ';', 1), 2) AS bigint)")
+            + " || substr(s, instr(s, ';') + 1) ELSE '&#' || s END), '')")
+_UNESCAPE = ("replace(replace(replace(replace(replace(replace(" + _NUMERIC + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
+             "'&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')")
+_CLEAN_HTML = r"""clean AS (SELECT * REPLACE (regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>', chr(1), 'g') AS html) FROM p)"""
+_QUOTED = """(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+
+
+def _sql_attribute(tag: str, name: str) -> str:
+    """Raw value of a tag's attribute, null without it."""
+    pairs = f"""list_filter(regexp_extract_all({tag}, '(?s)[^\\s=>"''/]+\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''>]+)'), lambda x: regexp_matches(x, '(?i)^{name}\\s*='))[1]"""
+    value = f"regexp_replace({pairs}, '^[^=]*=\\s*', '')"
+    return f"""CASE WHEN left({value}, 1) IN ('"', '''') THEN {value}[2:-2] ELSE {value} END"""
+
+
+def _sql_tags_of(name: str) -> str:
+    return f"regexp_extract_all(html, '(?is)<{name}[\\s/]{_QUOTED}|<{name}[\\s/][^>]*>')"
+
+
+# Segments of a path folded one by one.
+_FOLDED = """list_reduce([[]::VARCHAR[]] || list_transform(string_split({path}, '/'), lambda s: [s]), lambda acc, s:
+   CASE WHEN s[1] = '..' THEN acc[:len(acc) - 1] WHEN s[1] IN ('.', '') THEN acc ELSE acc || s END)"""
+
+
+def _sql_resolved(page: str, href: str, source: str) -> str:
+    """``source`` with ``target``: the absolute form of ``href`` on ``page``."""
+    return f"""
+SELECT *, CASE WHEN h0 = '' THEN pg
+   WHEN regexp_matches(h0, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN h0
+   WHEN starts_with(h0, '//') THEN regexp_extract(pg, '^(https?):', 1) || ':' || h0
+   WHEN starts_with(h0, '#') THEN split_part(pg, '#', 1) || h0
+   WHEN starts_with(h0, '?') THEN noq || h0
+   ELSE origin || '/' || array_to_string(fold, '/') || CASE WHEN len(fold) > 0 AND (ends_with(way, '/') OR ends_with(way, '/.') OR ends_with(way, '/..')) THEN '/' ELSE '' END
+        || substr(h0, length(own) + 1) END AS target
+FROM (SELECT *, {_FOLDED.format(path='way')} AS fold FROM
+  (SELECT *, CASE WHEN starts_with(own, '/') THEN own WHEN noq = origin THEN '/' || own ELSE regexp_replace(substr(noq, length(origin) + 1), '[^/]*$', '') || own END AS way FROM
+    (SELECT *, {page} AS pg, trim({href}) AS h0, regexp_extract({page}, '^(https?://[^/?#]*)', 1) AS origin, regexp_replace({page}, '[?#].*$', '') AS noq,
+            regexp_extract(trim({href}), '^([^?#]*)', 1) AS own FROM {source})))"""
+
+
 _LINKS = f"""
-raw AS (SELECT page_id, url AS src_url, regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref="([^"]*)"', 1) AS hs FROM p),
-pos AS (SELECT page_id, src_url, unnest(generate_series(1, len(hs))) AS k, hs FROM raw WHERE len(hs) > 0),
-href AS (SELECT page_id, src_url, k - 1 AS pos, trim({_UNESCAPE.format(c='hs[k]')}) AS href FROM pos),
-parts AS (SELECT *, regexp_extract(src_url, '^(https?):', 1) AS scheme,
-                 regexp_extract(src_url, '^(https?://[^/?#]*)', 1) AS origin,
-                 regexp_replace(src_url, '[?#].*$', '') AS noq, regexp_replace(src_url, '#.*$', '') AS nof FROM href),
-abs AS (SELECT page_id, pos, src_url, href, CASE
-   WHEN href = '' THEN src_url
-   WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN href
-   WHEN starts_with(href, '//') THEN scheme || ':' || href
-   WHEN starts_with(href, '/') THEN origin || href
-   WHEN starts_with(href, '#') THEN nof || href
-   WHEN starts_with(href, '?') THEN noq || href
-   WHEN starts_with(href, '../') THEN
-     regexp_replace(regexp_replace(noq, '[^/]*$', ''), '[^/]+/$', '') || substr(href, 4)
-   ELSE regexp_replace(noq, '[^/]*$', '') || href END AS target_url FROM parts)
+{_CLEAN_HTML},
+bases AS (SELECT page_id, url AS src_url, html, {_UNESCAPE.format(c="coalesce((" + _sql_attribute("list_filter(" + _sql_tags_of("base") + ", lambda x: regexp_matches(x, '(?i)href'))[1]", "href") + "), '')")} AS bh FROM clean),
+based AS ({_sql_resolved('src_url', 'bh', 'bases')}),
+tags AS (SELECT page_id, src_url, target AS base, {_sql_tags_of('a')} AS ts FROM based),
+tag AS (SELECT page_id, src_url, base, unnest(generate_series(1, len(ts))) AS k, ts FROM tags WHERE len(ts) > 0),
+raw AS (SELECT page_id, src_url, base, k, {_sql_attribute('ts[k]', 'href')} AS v FROM tag),
+href AS (SELECT page_id, src_url, base, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, trim({_UNESCAPE.format(c='v')}) AS href FROM raw WHERE v IS NOT NULL),
+abs AS (SELECT page_id, pos, src_url, href, target AS target_url FROM ({_sql_resolved('base', 'href', 'href')}))
 """
 
 
@@ -297,43 +330,56 @@ def _(spark, sf):
     return P.frontier(links, seen).select("target_url", "page_id", long("pos").alias("pos"))
 
 
-_EDGE_TAGS = ("</?(?:p|div|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|h[1-6]|article|section|main|body|html|"
-              "header|footer|nav|aside|form|blockquote|pre|address|fieldset|center)\\b.*")
-_VOIDS = "<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\\b[^>]*>"
+_VOIDS = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr'"
+_BLOCKS = ("'p', 'div', 'ul', 'ol', 'dl', 'table', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'article', 'section', 'main', 'header', 'footer', 'nav', 'aside', "
+           "'form', 'blockquote', 'pre', 'address', 'fieldset', 'center', 'hr'")
+# Start tags, the open elements they end, and the elements an end does not reach beyond.
+_IMPLIED_ENDS = [(_BLOCKS, "'p'", "''"), ("'li'", "'li'", "'ul', 'ol'"), ("'dd', 'dt'", "'dd', 'dt'", "'dl'"), ("'td', 'th'", "'td', 'th'", "'table', 'tr'"), ("'tr'", "'tr'", "'table'"),
+                 ("'tbody', 'thead', 'tfoot'", "'tbody', 'thead', 'tfoot'", "'table'")]
+
+
+def _sql_depth(names: str) -> str:
+    """How far from the top of the stack the nearest of the names is; far away without one."""
+    return f"coalesce(nullif(list_position(list_transform(list_reverse(stack), lambda e: e IN ({names})), true), 0), 1000000)"
 
 
 def _sql_nodes(opening: str, min_chars: int) -> str:
-    """Trimmed direct text nodes: blocks unnested to rows, then children dissolved round by round."""
-    pair = "<[a-zA-Z][^>]*>[^<]*</[^>]*>"
-    dissolve = f"regexp_replace(cut, '(?i){_VOIDS}', chr(1), 'g')"
-    for _ in range(3):
-        dissolve = f"regexp_replace({dissolve}, '{pair}', chr(1), 'g')"
-    dissolve = f"regexp_replace(regexp_replace({dissolve}, '</[^>]*>', chr(1), 'g'), '(?s)<.*', '')"
+    """Trimmed direct text nodes: tokens as rows, the open elements carried from row to row as a list."""
+    ends = " ".join(f"WHEN nm IN ({starts}) AND {_sql_depth(closed)} < {_sql_depth(bar)} THEN stack[:len(stack) - {_sql_depth(closed)}]" for starts, closed, bar in _IMPLIED_ENDS)
     trimmed = f"trim({_UNESCAPE.format(c='n')}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+    names = ", ".join(f"'{x}'" for x in opening.split("|"))
     return f"""
-blk AS (SELECT page_id, string_split_regex(regexp_replace(html,
-          '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', chr(1), 'g'),
-          '(?i)<(?:{opening})(?:\\s[^>]*)?>')[2:] AS bs FROM p),
-one AS (SELECT page_id, unnest(generate_series(1, len(bs))) AS k, bs FROM blk WHERE len(bs) > 0),
-cuts AS (SELECT page_id, k, regexp_replace(bs[k], '(?is){_EDGE_TAGS}', '') AS cut FROM one),
-dis AS (SELECT page_id, k, string_split({dissolve}, chr(1)) AS ns FROM cuts),
-nod AS (SELECT page_id, k, unnest(generate_series(1, len(ns))) AS j, ns FROM dis),
-txt AS (SELECT page_id, k, j, ns[j] AS n FROM nod),
-body AS (SELECT page_id, string_agg(v, ' ' ORDER BY k, j) AS content FROM
-          (SELECT page_id, k, j, {trimmed} AS v FROM txt) WHERE length(v) > {min_chars} GROUP BY page_id)"""
+{_CLEAN_HTML},
+toks AS (SELECT page_id, regexp_extract_all(html, '(?s)</?[a-zA-Z]{_QUOTED}|</?[a-zA-Z][^>]*>|[^<]+|<') AS ts FROM clean),
+numbered AS (SELECT page_id, unnest(generate_series(1, len(ts))) AS i, ts FROM toks WHERE len(ts) > 0),
+tok AS (SELECT page_id, i, ts[i] AS t, lower(regexp_extract(ts[i], '^</?([a-zA-Z][^\\s/>]*)', 1)) AS nm FROM numbered),
+walk AS (
+  SELECT page_id, 0 AS i, []::VARCHAR[] AS stack, '' AS t, false AS txt, false AS wanted FROM p
+  UNION ALL
+  SELECT page_id, i, CASE WHEN nm = '' OR left(t, 2) = '</' OR nm IN ({_VOIDS}) OR ends_with(t, '/>') THEN rest ELSE rest || [nm] END, t, nm = '', wanted FROM (
+    SELECT tok.page_id, tok.i, tok.t, nm, stack[-1] IN ({names}) AS wanted,
+      CASE WHEN nm = '' THEN stack
+           WHEN left(tok.t, 2) = '</' THEN CASE WHEN list_contains(stack, nm) THEN stack[:len(stack) - list_position(list_reverse(stack), nm)] ELSE stack END
+           {ends} ELSE stack END AS rest
+    FROM walk JOIN tok ON tok.page_id = walk.page_id AND tok.i = walk.i + 1)),
+runs AS (SELECT page_id, i, t, txt, wanted, sum(CASE WHEN txt THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS g FROM walk),
+glued AS (SELECT page_id, g, string_split(string_agg(t, '' ORDER BY i), chr(1)) AS ns FROM runs WHERE txt AND wanted GROUP BY page_id, g),
+nod AS (SELECT page_id, g, unnest(generate_series(1, len(ns))) AS j, ns FROM glued),
+txt AS (SELECT page_id, g, j, ns[j] AS n FROM nod),
+body AS (SELECT page_id, string_agg(v, ' ' ORDER BY g, j) AS content FROM
+          (SELECT page_id, g, j, {trimmed} AS v FROM txt) WHERE length(v) > {min_chars} GROUP BY page_id)"""
 
 
 def _sql_first(pattern: str) -> str:
     return f"nullif(regexp_extract(html, '{pattern}', 1), '')"
 
 
-_OG = ("nullif(regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bproperty=\"og:title\"[^>]*>'), "
-       "'(?i)\\bcontent=\"([^\"]*)\"', 1), '')")
+_OG = "(" + _sql_attribute("list_filter(" + _sql_tags_of("meta") + ", lambda x: (" + _sql_attribute("x", "property") + ") = 'og:title')[1]", "content") + ")"
 
 
 @query("extract_articles", D.with_pages("") + "," + _sql_nodes("p", 40) + f""",
 head AS (SELECT page_id, url, content_type,
-  trim({_UNESCAPE.format(c="coalesce(" + _OG + ", " + _sql_first('(?i)<title[^>]*>([^<]+)') + ", " + _sql_first('(?i)<h1[^>]*>([^<]+)') + ", '')")}) AS title FROM p)
+  trim({_UNESCAPE.format(c="coalesce(nullif(" + _OG + ", ''), " + _sql_first('(?i)<title[^>]*>([^<]+)') + ", " + _sql_first('(?i)<h1[^>]*>([^<]+)') + ", '')")}) AS title FROM clean)
 SELECT head.page_id, md5(url) AS id, title, url, content FROM head JOIN body ON head.page_id = body.page_id
 WHERE lower(content_type) LIKE '%text/html%' AND length(title) >= 5 AND length(content) >= 200""")
 def _(spark, sf):
@@ -343,7 +389,7 @@ def _(spark, sf):
 @query("extract_advisories", D.with_pages("") + "," + _sql_nodes("td|p|li|span", 15) + f""",
 head AS (SELECT page_id, url,
   trim({_UNESCAPE.format(c="coalesce(" + _sql_first('(?i)<h[234][^>]*>([^<]+)') + ", " + _sql_first('(?i)<title[^>]*>([^<]+)') + ", '')")}) AS title
-  FROM p WHERE contains(url, 'cert-in.org.in'))
+  FROM clean WHERE contains(url, 'cert-in.org.in'))
 SELECT head.page_id, md5(url) AS id, title, url, 'CERT-In' AS source,
        upper(regexp_extract(content, '(?i)(CI(?:VN|AD)-[0-9]{{4}}-[0-9]{{4,6}})', 1)) AS advisory_id,
        {D.sql_join(D.sql_cves('content'))} AS cves,

@@ -49,11 +49,13 @@ SELECT page_id,
            'Note civn-2024-', lpad(cast(page_id AS string), 4, '0'), ' covers CVE-2024-1', lpad(cast(page_id AS string), 4, '0'),
            ' and cve-2021-44228</td></tr></table><a href="s2cMainServlet?pageid=PUBVLNOTES02&amp;VLCODE=CIVN-2024-9">n</a>',
            '<a class="x" href="/s2cMainServlet?pageid=PUBVLNOTES03">i</a><a href="/advisory/list">a</a>')
-         WHEN 1 THEN '<meta property="og:title" content="Shared &quot;story&quot; title"><p>Plain opening of the paragraph, before <b>a bold part nobody should read as direct text here</b> and its long enough closing part.<br>Second text node after the break of this paragraph</p>'
+         WHEN 1 THEN '<!-- <meta property="og:title" content="not this one"> --><meta property="og:title" content="Shared &quot;story&quot; title"><p>Plain opening of the paragraph, before <b>a bold part nobody should read as direct text here</b> and its long enough closing part.<br>Second text node after the break of this paragraph</p><p>Deep markup follows right here in the text <b>a<i>b<u>c<em>d</em>e</u>f</i>g</b> and this tail with 5 < 6 stands behind all of it, isn&#8217;t it &#x201c;so&#x201d;</p>'
          WHEN 2 THEN concat('<a href="https://news.example.net/story/', cast(page_id % 20 AS string),
-           '">s</a><a href="//cdn.example.org/lib">l</a><a href="more/x">m</a><a href="../up">u</a><a href="?q=1">q</a>')
+           '">s</a><a href="//cdn.example.org/lib">l</a><a href="more/x">m</a><a href="../up">u</a><a href="?q=1">q</a>',
+           '<a href=''/single''>s</a><a class="a > b" href=/bare/x>b</a><a href = "../../../../four">f</a><a href="x?u=../../y/../z">z</a>',
+           '<!-- <a href="/comment">c</a> --><script>"<a href=/script>"</script><a data-href="/no" title=" href=/no ">n</a><a href="a/./b/../c/..">d</a><A HREF="..">p</A>')
          WHEN 3 THEN '<a href="https://threatpost.com/item">t</a><a href="https://www.t.co/abc">c</a><a href="mailto:a@b.c">m</a><a href="#top">h</a><a href="/tag/x">g</a>'
-         ELSE '<h4></h4><a>no target</a>' END) AS html
+         ELSE '<h4></h4><a>no target</a><base href="../base/"><a href="from-base">b</a><a href="&#47;rooted&#x2F;x">r</a>' END) AS html
 FROM {pages}
 """
 
@@ -150,7 +152,7 @@ def with_articles(body: str) -> str:
 
 
 def with_pages(body: str) -> str:
-    return f"WITH p AS ({PAGES_SQL})\n{body}"
+    return f"WITH RECURSIVE p AS ({PAGES_SQL})\n{body}"
 
 
 CLEAN_CTES = f"""

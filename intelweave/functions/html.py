@@ -1,9 +1,9 @@
-"""Text nodes, titles and links of a page, taken with regular expressions.
+"""Text nodes, titles and links of a page, taken from its tokens.
 
-Pages stay in the JVM: each function is a Column over the raw markup. A block's
-*direct* text is what stands in the block itself, not in a child element, which
-is reached by dissolving innermost child elements first. Children nested deeper
-than ``_DEPTH`` inside one block are the one thing dropped beyond that.
+Pages stay in the JVM: each function is a Column over the raw markup. Comments,
+scripts and styles go first; the rest is cut into tags and text, and one fold
+carries the open elements along, so the depth of nesting does not matter. An
+element's *direct* text is what stands in it and in no child element.
 """
 
 from __future__ import annotations
@@ -14,25 +14,56 @@ from pyspark.sql import functions as F
 from intelweave.functions.flow import bind
 from intelweave.functions.text import strip_ws
 
-# Stands where a tag, comment or child element interrupted a text node.
+# Stands where a tag or comment interrupted a text node.
 _SEP = "\x01"
-_DEPTH = 3
-_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_VOID = r"(?i)<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b[^>]*>"
-_CHILD = r"<[a-zA-Z][^>]*>[^<]*</[^>]*>"
-_BLOCK_EDGE = (
-    r"(?is)</?(?:p|div|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|h[1-6]|article|"
-    r"section|main|body|html|header|footer|nav|aside|form|blockquote|pre|address|"
-    r"fieldset|center)\b.*"
+_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>"
+# A tag whose quoted values may hold ">"; with a quote left open, up to the next ">".
+_TAG = r"(?:</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>)"
+_TOKEN = rf"(?s){_TAG}|[^<]+|<"
+_ATTRIBUTE = r"""(?s)[^\s=>"'/]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_VOID = r"^(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)$"
+# Fixed values of HTML's implied end tags: what a start tag closes, as the tail of the open elements.
+_BLOCKS = (
+    r"^(?:p|div|ul|ol|dl|table|h[1-6]|article|section|main|header|footer|nav|aside|form|blockquote|pre|address|fieldset|center|hr)$"
 )
+_IMPLIED = [
+    (_BLOCKS, r"/p(?:/(?!p(?:/|$))[^/]+)*$"),
+    (r"^li$", r"/li(?:/(?!(?:ul|ol|li)(?:/|$))[^/]+)*$"),
+    (r"^d[td]$", r"/d[td](?:/(?!(?:dl|d[td])(?:/|$))[^/]+)*$"),
+    (r"^t[dh]$", r"/t[dh](?:/(?!(?:table|t[rdh])(?:/|$))[^/]+)*$"),
+    (r"^tr$", r"/tr(?:/(?!(?:table|tr)(?:/|$))[^/]+)*$"),
+    (r"^(?:tbody|thead|tfoot)$", r"/t(?:body|head|foot)(?:/(?!(?:table|t(?:body|head|foot))(?:/|$))[^/]+)*$"),
+]
+
+
+def _numeric(t: Column) -> Column:
+    """Decode ``&#8217;`` and ``&#x27;``; what names no character becomes U+FFFD."""
+    def char(code: Column) -> Column:
+        ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def piece(p: Column) -> Column:
+        dec = F.regexp_extract(p, r"^([0-9]{1,9});", 1)
+        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,7});", 1)
+        rest = F.substring_index(p, ";", 1)
+        tail = p.substr(F.length(rest) + 2, F.length(p))
+        return (
+            F.when(dec != "", F.concat(char(F.nullif(dec, F.lit("")).cast("long")), tail))
+            .when(hexa != "", F.concat(char(F.conv(hexa, 16, 10).cast("long")), tail))
+            .otherwise(F.concat(F.lit("&#"), p))
+        )
+
+    parts = F.split(t, "&#")
+    decoded = bind(parts, lambda b: F.concat(b[0], F.array_join(F.transform(F.slice(b, F.lit(2), F.size(b)), piece), "")))
+    return F.when(F.contains(t, F.lit("&#")), decoded).otherwise(t)
 
 
 def unescape(c: Column) -> Column:
-    """Decode the named entities that matter for prose, ``&amp;`` last."""
+    """Decode numeric references and the named ones that matter for prose, ``&amp;`` last."""
     def decoded(t: Column) -> Column:
-        out = t
+        out = _numeric(t)
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                           ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+                           ("&nbsp;", "\u00a0"), ("&amp;", "&")):
             out = F.replace(out, F.lit(name), F.lit(char))
         return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
 
@@ -40,17 +71,36 @@ def unescape(c: Column) -> Column:
 
 
 def drop_noise(html: Column) -> Column:
-    """Remove comments, scripts and styles, leaving a text-node break behind."""
+    """Remove comments, scripts, styles and declarations, leaving a text-node break behind."""
     return F.regexp_replace(html, _NOISE, _SEP)
 
 
-def _direct_text(block: Column) -> Column:
-    t = F.regexp_replace(block, _VOID, _SEP)
-    for _ in range(_DEPTH):
-        t = F.regexp_replace(t, _CHILD, _SEP)
-    t = F.regexp_replace(t, r"</[^>]*>", _SEP)
-    # A tag still open here swallows the rest of the block.
-    return F.regexp_replace(t, r"(?s)<.*", "")
+def _tag_name(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1))
+
+
+def _opened(stack: Column, tag: Column) -> Column:
+    """Open elements behind a start tag: implied ends first; void and self-closed elements stay out."""
+    def after(name: Column) -> Column:
+        closed = stack
+        for starts, tail in reversed(_IMPLIED):
+            closed = F.when(name.rlike(starts), F.regexp_replace(stack, tail, "")).otherwise(closed)
+        return F.when(name.rlike(_VOID) | tag.endswith("/>"), closed).otherwise(F.concat(closed, F.lit("/"), name))
+
+    return bind(_tag_name(tag), after)
+
+
+def _closed(stack: Column, tag: Column) -> Column:
+    """Open elements behind an end tag: cut at the last element of its name; a stray one changes nothing."""
+    def after(name: Column) -> Column:
+        mark = F.concat(F.lit("/"), name, F.lit("/"))
+        whole = F.concat(stack, F.lit("/"))
+        back = F.instr(F.reverse(whole), F.reverse(mark))
+        cut = F.substring(whole, F.lit(1), F.length(whole) - back - F.length(mark) + 1)
+        return F.when(stack.endswith(F.concat(F.lit("/"), name)), F.substring(stack, F.lit(1), F.length(stack) - F.length(name) - 1)).when(
+            back > 0, cut).otherwise(stack)
+
+    return bind(_tag_name(tag), after)
 
 
 def text_nodes(html: Column, opening: str, min_chars: int) -> Column:
@@ -58,40 +108,77 @@ def text_nodes(html: Column, opening: str, min_chars: int) -> Column:
 
     ``opening`` is a tag alternation such as ``p`` or ``td|p|li|span``.
     """
-    blocks = F.split(drop_noise(html), rf"(?i)<(?:{opening})(?:\s[^>]*)?>")
-    inner = bind(blocks, lambda b: F.slice(b, F.lit(2), F.size(b)))
-    direct = F.transform(inner, lambda b: _direct_text(F.regexp_replace(b, _BLOCK_EDGE, "")))
-    nodes = F.transform(F.split(F.array_join(direct, _SEP), _SEP), lambda n: strip_ws(unescape(n)))
+    def step(state: Column, token: Column) -> Column:
+        stack, out = state["stack"], state["out"]
+        is_tag = F.length(token).__gt__(1) & token.startswith("<")
+        wanted = F.substring_index(stack, "/", -1).rlike(rf"^(?:{opening})$")
+        return F.struct(
+            F.when(~is_tag, stack).when(token.startswith("</"), _closed(stack, token)).otherwise(_opened(stack, token)).alias("stack"),
+            F.when(~is_tag & wanted, F.concat(out, token)).when(is_tag & ~out.endswith(_SEP), F.concat(out, F.lit(_SEP))).otherwise(out).alias("out"),
+        )
+
+    start = F.struct(F.lit("").alias("stack"), F.lit(_SEP).alias("out"))
+    folded = F.aggregate(F.regexp_extract_all(drop_noise(html), F.lit(_TOKEN), F.lit(0)), start, step, lambda s: s["out"])
+    nodes = F.transform(F.split(folded, _SEP), lambda n: strip_ws(unescape(n)))
     return F.filter(nodes, lambda n: F.length(n) > min_chars)
 
 
+def _tags(html: Column, name: str) -> Column:
+    """All start tags of a name, comments and scripts already gone."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}(?=[\s/])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)"), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Raw value of an attribute, quoted in either way or not at all; null without it."""
+    pairs = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+    first = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+
+    def value(v: Column) -> Column:
+        quoted = v.startswith('"') | v.startswith("'")
+        return F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+    return bind(F.regexp_replace(first, r"^[^=]*=\s*", ""), value)
+
+
 def _first(html: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
 def article_title(html: Column) -> Column:
     """``og:title``, else ``<title>``, else the first heading; emptiness is tested before trimming."""
-    og = F.regexp_extract(html, r'(?i)<meta\b[^>]*\bproperty="og:title"[^>]*>', 0)
-    raw = F.coalesce(
-        _first(og, r'(?i)\bcontent="([^"]*)"'),
-        _first(html, r"(?i)<title\b[^>]*>([^<]+)"),
-        _first(html, r"(?i)<h1\b[^>]*>([^<]+)"),
-        F.lit(""),
-    )
-    return strip_ws(unescape(raw))
+    def title(clean: Column) -> Column:
+        og = F.filter(_tags(clean, "meta"), lambda t: F.coalesce(_attribute(t, "property") == "og:title", F.lit(False)))
+        raw = F.coalesce(
+            F.nullif(_attribute(F.get(og, F.lit(0)), "content"), F.lit("")),
+            _first(clean, r"(?i)<title\b[^>]*>([^<]+)"),
+            _first(clean, r"(?i)<h1\b[^>]*>([^<]+)"),
+            F.lit(""),
+        )
+        return strip_ws(unescape(raw))
+
+    return bind(drop_noise(html), title)
 
 
 def advisory_title(html: Column) -> Column:
     """First second- to fourth-level heading, else ``<title>``."""
-    raw = F.coalesce(
-        _first(html, r"(?i)<h[2-4]\b[^>]*>([^<]+)"),
-        _first(html, r"(?i)<title\b[^>]*>([^<]+)"),
-        F.lit(""),
-    )
-    return strip_ws(unescape(raw))
+    def title(clean: Column) -> Column:
+        raw = F.coalesce(
+            _first(clean, r"(?i)<h[2-4]\b[^>]*>([^<]+)"),
+            _first(clean, r"(?i)<title\b[^>]*>([^<]+)"),
+            F.lit(""),
+        )
+        return strip_ws(unescape(raw))
+
+    return bind(drop_noise(html), title)
 
 
 def hrefs(html: Column) -> Column:
     """All ``a[href]`` values in document order."""
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?\bhref="([^"]*)"'), F.lit(1))
-    return F.transform(found, unescape)
+    found = F.transform(_tags(drop_noise(html), "a"), lambda t: _attribute(t, "href"))
+    return F.transform(F.filter(found, lambda v: v.isNotNull()), unescape)
+
+
+def base_href(html: Column) -> Column:
+    """Value of the first ``base[href]``; null without one."""
+    found = F.transform(_tags(drop_noise(html), "base"), lambda t: _attribute(t, "href"))
+    return unescape(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))

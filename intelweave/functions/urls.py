@@ -48,29 +48,38 @@ def is_article_url(url: Column, match: str = "suffix") -> Column:
     return F.coalesce(~bind(host, blocked) & ~skipped, F.lit(False))
 
 
+def _settle(path: Column) -> Column:
+    """Path with its dot segments resolved: ``..`` climbs, at most to the root, ``.`` and empty ones drop out."""
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part.isin(".", ""), kept).otherwise(F.concat(kept, F.array(part)))
+
+    def joined(kept: Column) -> Column:
+        open_end = (F.size(kept) > 0) & path.rlike(r"/\.{0,2}$")
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+
+    folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"//|/\.{1,2}(?:/|$)"), bind(folded, joined)).otherwise(path)
+
+
 def resolve_link(page_url: Column, href: Column) -> Column:
-    """Absolute form of ``href`` as found on ``page_url``."""
+    """Absolute form of ``href`` as found on ``page_url``; only the path is tidied, never a query."""
     href = strip_ws(href)
     scheme = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
     origin = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    no_query = F.regexp_replace(page_url, r"[?#].*$", "")
-    no_fragment = F.regexp_replace(page_url, r"#.*$", "")
+    no_query = F.regexp_replace(page_url, r"(?s)[?#].*$", "")
+    no_fragment = F.regexp_replace(page_url, r"(?s)#.*$", "")
     # Directory of the page: everything up to the last "/" behind the host.
     path = F.substring(no_query, F.length(origin) + 1, F.length(no_query))
-    folder = F.concat(origin, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")))
-    joined = (
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    own_path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    rest = F.substring(href, F.length(own_path) + 1, F.length(href))
+    climbed = bind(F.when(href.startswith("/"), own_path).otherwise(F.concat(folder, own_path)), _settle)
+    return (
         F.when(href == "", page_url)
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("#"), F.concat(no_fragment, href))
         .when(href.startswith("?"), F.concat(no_query, href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(origin, climbed, rest))
     )
-    # Dot segments: three rounds settle every "a/../" up to depth three.
-    tidy = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(3):
-        tidy = F.regexp_replace(tidy, r"([^/:])/[^/]+/\.\./", r"$1/")
-    # Climbing past the root stays at the root.
-    tidy = F.regexp_replace(tidy, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*)/(?:\.\./)+", r"$1/")
-    return F.when(F.contains(href, F.lit("./")), tidy).otherwise(joined)

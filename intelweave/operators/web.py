@@ -27,9 +27,11 @@ def routed(pages: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Every link as ``(page_id, pos, src_url, href, target_url)``."""
-    found = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(H.hrefs(F.col("html"))).alias("pos", "href"))
-    return with_computed(found, {"target_url": U.resolve_link(F.col("src_url"), F.col("href"))})
+    """Every link as ``(page_id, pos, src_url, href, target_url)``; a ``base[href]`` is what relative links start from."""
+    read = with_computed(pages.select("page_id", F.col("url").alias("src_url"), "html"), {
+        "base": F.coalesce(U.resolve_link(F.col("src_url"), H.base_href(F.col("html"))), F.col("src_url")), "hrefs": H.hrefs(F.col("html"))})
+    found = read.select("page_id", "src_url", "base", F.posexplode("hrefs").alias("pos", "href"))
+    return with_computed(found, {"target_url": U.resolve_link(F.col("base"), F.col("href"))}).drop("base")
 
 
 def advisory_links(links: DataFrame) -> DataFrame:

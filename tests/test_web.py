@@ -11,7 +11,9 @@ def pages(spark, *htmls, url="https://site.example.org/a/b.html"):
 
 def test_links_resolve_like_urljoin(spark):
     bases = ["https://h.example.org", "https://h.example.org/", "http://h.example.org/a/b?q=1#f", "https://h.example.org/a/b/"]
+    bases += ["https://h.example.org/a/b/c/d/e/f/p.html", "https://h.example.org/a/b/p.html?u=../x/../y"]
     hrefs = ["/x", "x/y", "../up", "./same", "//other.example.net/z", "?p=2", "#top", "https://abs.example.com/", "mailto:a@b", ""]
+    hrefs += ["../" * n + "x" for n in range(1, 8)] + ["..", ".", "../..", "a/..", "a/./b/../c", "/a/../../b/", "x?u=../../y/../z", "#a/../b", "../?q=./", "a//b/../c", "..x/...", "a/b/.", "/./"]
     rows = [(b, h) for b in bases for h in hrefs]
     df = spark.createDataFrame(rows, "b string, h string").select("b", "h", U.resolve_link(F.col("b"), F.col("h")).alias("u"))
     for r in df.collect():
@@ -38,6 +40,36 @@ def test_article_text_is_direct_text_of_paragraphs(spark):
     assert row["content"] == " ".join(f"{long} {s}" for s in ("first", "tail", "broken", "closed by div", "last"))
 
 
+def test_nested_markup_loses_no_text(spark):
+    long = "x" * 41
+    html = (f"<title>Good title</title><p>{long} lead <b>a<i>b<u>c<em>d</em>e</u>f</i>g</b> {long} tail 5 < 6 and <3</p>"
+            f"<p>{long} stray</b> {long} end<!-- {long} --> {long} behind <img alt='a > b'> {long} image</p>")
+    row = P.extract_articles(pages(spark, html)).first()
+    assert row["content"] == " ".join([f"{long} lead", f"{long} tail 5 < 6 and <3", f"{long} stray", f"{long} end", f"{long} behind", f"{long} image"])
+
+
+def test_advisory_text_behind_inner_blocks(spark):
+    html = ("<h2>Some flaw</h2><ul><li>outer item text is first<ul><li>inner item text is here<li>second inner item is here</ul>outer item text at the end"
+            "</ul><table><tr><td>cell text before a block<div>not a wanted element at all</div>cell text behind the block<td>next cell of this row</table><p>a paragraph closes it all")
+    row = P.extract_advisories(pages(spark, html)).first()
+    assert row["content"] == ("outer item text is first inner item text is here second inner item is here outer item text at the end "
+                              "cell text before a block cell text behind the block next cell of this row a paragraph closes it all")
+
+
+def test_link_and_title_forms(spark):
+    html = ("<!-- <a href='/comment'>c</a><title>Comment title</title> --><script>'<a href=/script>'</script><meta property='og:title' content='It&#8217;s &#x27;ok&#x27; &amp;#39; &#0;'>"
+            "<a href='/one'>1</a><a class=\"a > b\" href=/two>2</a><A HREF = \"/three\">3</A><a data-href='/no' title=' href=/no '>4</a><a href=''>5</a><a\nhref=/six/>6</a><abbr href=/no>" + "<p>" + "y" * 300)
+    df = pages(spark, html, url="https://h.example.org/d/p.html")
+    got = [r["target_url"] for r in P.extract_links(df).orderBy("pos").collect()]
+    assert got == [urljoin("https://h.example.org/d/p.html", x) for x in ("/one", "/two", "/three", "", "/six/")]
+    assert P.extract_articles(df).first()["title"] == "It\u2019s 'ok' &#39; \ufffd"
+
+
+def test_base_href(spark):
+    got = P.extract_links(pages(spark, "<base href='../q/'><a href=x>x</a><a href=/y>y</a>", "<a href=x>x</a>")).orderBy("page_id", "pos").collect()
+    assert [r["target_url"] for r in got] == ["https://site.example.org/q/x", "https://site.example.org/y", "https://site.example.org/a/x"]
+
+
 def test_short_articles_are_dropped(spark):
     assert P.extract_articles(pages(spark, "<title>Good title</title><p>" + "y" * 199, "<title>abc</title><p>" + "y" * 300)).count() == 0
 
