@@ -21,6 +21,7 @@ _MIXED_SPACE = re.compile(r" \s")
 _JOINED_MARKS = re.compile(r"(?<=[\W_])[,.]\s")
 _SENTENCE = re.compile(r"[.!?…。][\"')\]»”’]*$")
 _SEPARATOR = "<|endoftext|>"  # a special token of both files: what stands between two is a text of its own
+_NO_LEAD = "\x00"  # before a unit that no blank leads
 _WORDS = 700_000  # words whose ids a worker keeps; beyond, it starts anew
 _JOIN = 32  # new words that go to the tokenizer in one text
 
@@ -59,7 +60,7 @@ class Encoder:
         """Ids of the new words, many in one text between separators."""
         for i in range(0, len(self.new), 64 * _JOIN):
             blocks = [self.new[k:k + _JOIN] for k in range(i, min(i + 64 * _JOIN, len(self.new)), _JOIN)]
-            joint = [_SEPARATOR.join([self.lead + w for w in b] + [""]) for b in blocks]
+            joint = [_SEPARATOR.join([w[1:] if w[:1] == _NO_LEAD else self.lead + w for w in b] + [""]) for b in blocks]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(joint, add_special_tokens=False)])
             at = np.flatnonzero(ids == self.cut)
             self.size.frombytes((np.diff(at, prepend=-1) - 1).tobytes())
@@ -75,6 +76,15 @@ class Encoder:
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         return text.split()
 
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Words each led by a blank that is cut off; a plain comma or period, with the line behind it, is a unit without."""
+        if _MIXED_SPACE.search(text):
+            return _SPACED.split(text)
+        if _NO_LEAD not in text and not _JOINED_MARKS.search(text):
+            text = text.replace(", ", f" {_NO_LEAD}, ").replace(". ", f" {_NO_LEAD}. ").replace(".\n", f" {_NO_LEAD}.\n")
+        return text.split(" ")
+
     def encode(self, texts: list[str], last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the id ``last`` behind it; ids per text; sentence ends (ids before the cut)."""
         if len(self.code) > _WORDS:
@@ -91,7 +101,7 @@ class Encoder:
             if self.kind == "word":
                 words = self._words(text)
             else:
-                words = _SPACED.split(text) if _MIXED_SPACE.search(text) else text.split(" ")
+                words = self._units(text)
                 if text[:1] == " " and words[0] == "":
                     words.pop(0)  # every unit is led by its blank, the first one too
                 elif words:
