@@ -454,10 +454,10 @@ def _(spark, sf):
 
 @query("ambiguity_guard", f"WITH {D.ENTITY_CTES} SELECT f.doc_id, f.term, b.term IS NOT NULL AS supported FROM found f "
        f"LEFT JOIN backed b ON f.doc_id = b.doc_id AND f.term = b.term WHERE f.kind = 'malware' "
-       f"AND list_contains({D.sql_list(vocab.AMBIGUOUS_TERMS)}, f.term)")
+       f"AND list_contains({D.sql_list(list(vocab.AMBIGUOUS_CONTEXTS))}, f.term)")
 def _(spark, sf):
     worded = E.with_words(D.cleaned(spark, sf), "clean_text")
-    hits = FE.match_terms(F.col("_lowered"), F.col("_words"), vocab.AMBIGUOUS_TERMS)
+    hits = FE.match_terms(F.col("_lowered"), F.col("_words"), list(vocab.AMBIGUOUS_CONTEXTS))
     both = worded.select("doc_id", hits.alias("hits"), "_lowered").withColumn(
         "kept", FE.drop_unsupported(F.col("_lowered"), F.col("hits")))
     return both.select("doc_id", F.explode("hits").alias("term"), "kept").select(
@@ -727,7 +727,7 @@ def _binary_training(spark, sf) -> DataFrame:
 
 def _industry_training(spark, sf) -> DataFrame:
     rows = D.cleaned(spark, sf).select("doc_id", C.model_input().alias("text"), "primary_industry")
-    return C.encode_labels(rows, "primary_industry")
+    return C.encode_labels(rows, "primary_industry", C.label_map(D.articles(spark, sf), "primary_industry"))
 
 
 @query("train_binary")
@@ -740,7 +740,7 @@ def _(spark, sf):
 @query("train_industry")
 def _(spark, sf):
     train, test = R.split(_industry_training(spark, sf), ["doc_id"])
-    model = C.train_industry(train, features=1 << 10, iterations=5)
+    model = C.train_industry(train)
     return C.evaluate(C.predict(test, model), "label_id")
 
 
@@ -762,10 +762,9 @@ def _models(spark, sf):
 
     clean = D.cleaned(spark, sf)
     labelled = clean.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    binary = C.train_binary(labelled.select(C.model_input().alias("text"), F.col("quality").cast("int").alias("label")),
-                            features=1 << 10, iterations=5)
-    labels = C.label_map(clean, "primary_industry")
-    industry = C.train_industry(_industry_training(spark, sf), features=1 << 10, iterations=5)
+    binary = C.train_binary(labelled.select(C.model_input().alias("text"), F.col("quality").cast("int").alias("label")))
+    labels = C.label_map(D.articles(spark, sf), "primary_industry")
+    industry = C.train_industry(_industry_training(spark, sf))
     untagged = clean.drop("primary_industry", "threat_score")
     return Models(binary, industry, labels, V.fit_embedder(clean)), untagged
 
@@ -773,7 +772,7 @@ def _models(spark, sf):
 # == Vectors ================================================================
 
 
-@query("embed_documents")
+@query("embed_documents", "SELECT doc_id, 384 AS dim, 1.0 AS squared_norm FROM documents")
 def _(spark, sf):
     clean = D.cleaned(spark, sf)
     out = V.embed(clean, V.fit_embedder(clean))
@@ -1052,12 +1051,6 @@ def _(spark, sf):
     return A.alerts(D.collection(spark, sf), industry="IoT")
 
 
-@query("alerts_scan_cap", f"WITH {D.COLLECTION_CTES} " + _ALERTS.format(
-    src="(SELECT * FROM col ORDER BY url LIMIT 200)", where=""))
-def _(spark, sf):
-    return A.alerts(D.collection(spark, sf), scan_cap=200)
-
-
 # == Increments =============================================================
 
 
@@ -1077,7 +1070,7 @@ def _(spark, sf):
 @query("drop_seen_pages", "SELECT min(page_id) AS page_id, url FROM pages WHERE url NOT IN "
        "(SELECT url FROM pages WHERE page_id % 10 = 0) GROUP BY url")
 def _(spark, sf):
-    rows = tables.read_table(spark, sf, "pages", "page_id")
+    rows = D.read_table(spark, sf, "pages", "page_id")
     fresh = P.drop_seen(rows, rows.where("page_id % 10 = 0"), F.col("page_id").asc())
     return fresh.select("page_id", "url")
 
@@ -1158,4 +1151,4 @@ def _(spark, sf):
 
 @query("read_negatives", "SELECT text FROM conversations WHERE text IS NOT NULL")
 def _(spark, sf):
-    return tables.read_negatives(tables.read_table(spark, sf, "conversations", "conv_id"))
+    return tables.read_negatives(D.read_table(spark, sf, "conversations", "conv_id"))

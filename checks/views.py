@@ -7,11 +7,11 @@ some by row number. Both engines derive the same rows from the same tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.operators import entities as E
 from intelweave.plans import batch
-from intelweave.sources.tables import read_table
 
 _URL = "concat('https://', source, '.example.org/', lang, '/', cast(doc_id AS string))"
 ARTICLE_SELECT = f"""
@@ -63,6 +63,11 @@ ARTICLES_SQL = ARTICLE_SELECT.format(documents="documents")
 PAGES_SQL = PAGE_SELECT.format(pages="pages")
 
 
+def read_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A sample table, which is one small file, dealt out over the task slots."""
+    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", "doc_id")
 
@@ -84,14 +89,15 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def collection(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of the ``embeddings`` table with the metadata of the article of the same number."""
+    """Every article's metadata with a vector of the ``embeddings`` table, taken in turn."""
     rows = articles(spark, sf).selectExpr(
         "doc_id", "id", "content AS document", "title", "url",
         "CASE WHEN doc_id % 10 = 9 THEN 'n/a' ELSE cast(threat_score AS string) END AS threat_score",
         "primary_industry", "'0.5' AS industry_score",
     )
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS doc_id", "embedding")
-    return rows.join(vectors, "doc_id")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    turn = F.col("doc_id") % vectors.agg(F.count("*").alias("n")).scalar()
+    return rows.withColumn("vec_id", turn).join(vectors, "vec_id").drop("vec_id")
 
 
 # -- SQL building blocks -------------------------------------------------
@@ -174,13 +180,13 @@ found AS (SELECT doc_id, kind, term, clean_text FROM clean, terms
 # Ambiguous terms: token windows spelled out row by row.
 _GUARD = f"""
 toks AS (SELECT doc_id, term, string_split(lower(clean_text), ' ') AS tk FROM found
-         WHERE kind = 'malware' AND list_contains({sql_list(vocab.AMBIGUOUS_TERMS)}, term)),
+         WHERE kind = 'malware' AND list_contains({sql_list(list(vocab.AMBIGUOUS_CONTEXTS))}, term)),
 spots AS (SELECT doc_id, term, tk, unnest(list_filter(generate_series(1, len(tk)), lambda i: tk[i] = term)) AS pos FROM toks),
 near AS (SELECT doc_id, term, array_to_string(tk[greatest(pos - 10, 1):pos + 10], ' ') AS ctx FROM spots),
 backed AS (SELECT DISTINCT doc_id, term FROM near
-           WHERE regexp_matches(ctx, '\\b(' || array_to_string({sql_list(vocab.AMBIGUOUS_CONTEXTS)}, '|') || ')\\b')),
+           WHERE regexp_matches(ctx, '\\b(' || array_to_string({sql_list(vocab.AMBIGUOUS_CONTEXTS['play'])}, '|') || ')\\b')),
 kept AS (SELECT f.doc_id, f.kind, f.term FROM found f
-         WHERE f.kind = 'actor' OR NOT list_contains({sql_list(vocab.AMBIGUOUS_TERMS)}, f.term)
+         WHERE f.kind = 'actor' OR NOT list_contains({sql_list(list(vocab.AMBIGUOUS_CONTEXTS))}, f.term)
             OR EXISTS (SELECT 1 FROM backed b WHERE b.doc_id = f.doc_id AND b.term = f.term)),
 listed AS (SELECT doc_id, coalesce(list(term ORDER BY term) FILTER (kind = 'malware'), []) AS m,
                   coalesce(list(term ORDER BY term) FILTER (kind = 'actor'), []) AS t FROM kept GROUP BY doc_id),
@@ -219,5 +225,5 @@ a AS ({ARTICLES_SQL}),
 col AS (SELECT doc_id, id, content AS document, title, url,
                CASE WHEN doc_id % 10 = 9 THEN 'n/a' ELSE cast(threat_score AS varchar) END AS threat_score,
                primary_industry, '0.5' AS industry_score, embedding
-        FROM a JOIN embeddings e ON e.vec_id = a.doc_id)
+        FROM a JOIN embeddings e ON e.vec_id = a.doc_id % (SELECT count(*) FROM embeddings))
 """

@@ -27,6 +27,7 @@ def match_terms(lowered: Column, words: Column, terms: list[str]) -> Column:
     are a set intersection; the few terms with blanks or signs are searched by a
     substring test first, so the regular expression runs on hits only.
     """
+    terms = [t.lower() for t in terms]
     single = [t for t in terms if re.fullmatch(r"\w+", t)]
     several = [t for t in terms if not re.fullmatch(r"\w+", t)]
     parts = [F.array_intersect(words, string_array(single))]
@@ -58,22 +59,23 @@ def context_pattern(term: str, contexts: list[str], window: int) -> str:
 def drop_unsupported(
     lowered: Column,
     matched: Column,
-    ambiguous: list[str] | None = None,
-    contexts: list[str] | None = None,
+    ambiguous: dict[str, list[str]] | None = None,
     window: int = vocab.CONTEXT_WINDOW,
 ) -> Column:
-    """Remove ambiguous terms that no context phrase supports."""
-    ambiguous = vocab.AMBIGUOUS_TERMS if ambiguous is None else ambiguous
-    contexts = vocab.AMBIGUOUS_CONTEXTS if contexts is None else contexts
+    """Remove ambiguous terms that none of their own context phrases supports; case does not matter."""
+    guards = vocab.AMBIGUOUS_CONTEXTS if ambiguous is None else ambiguous
+    guards = {term.lower(): [c.lower() for c in contexts] for term, contexts in guards.items()}
+    if not guards:
+        return matched
     unsupported = [
         F.when(
-            F.array_contains(matched, term) & ~lowered.rlike(context_pattern(term, contexts, window)),
+            F.array_contains(matched, term) & (~lowered.rlike(context_pattern(term, contexts, window)) if contexts else F.lit(True)),
             F.lit(term),
         )
-        for term in ambiguous
+        for term, contexts in guards.items()
     ]
     cleaned = F.array_except(matched, F.array_compact(F.array(*unsupported)))
-    return F.when(F.arrays_overlap(matched, string_array(ambiguous)), cleaned).otherwise(matched)
+    return F.when(F.arrays_overlap(matched, string_array(list(guards))), cleaned).otherwise(matched)
 
 
 def combine_entities(
@@ -110,7 +112,7 @@ def decode_spans(words: Column, tags: Column) -> Column:
         )
 
     def step(acc: Column, tok: Column) -> Column:
-        tag, kind = tok["tag"], F.substring(tok["tag"], 3, 64)
+        tag, kind = tok["tag"], tok["tag"].substr(F.lit(3), F.length(tok["tag"]))
         opens = tag.startswith("B-")
         extends = tag.startswith("I-") & acc["open"].isNotNull() & (acc["open"]["kind"] == kind)
         fresh = F.struct(kind.alias("kind"), F.array(tok["word"]).alias("words"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from intelweave import vocab
 from intelweave.functions import entities as E
 from intelweave.functions import text as X
-from intelweave.functions.flow import bind, string_array, with_computed
-from intelweave.session import broadcast_if_small
+from intelweave.functions.bitmap import bitmap_of, may_hold
+from intelweave.functions.flow import bind, with_computed
 
 KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
 
@@ -25,18 +25,17 @@ def extract_entities(
     column: str = "clean_text",
     malware: list[str] | None = None,
     actors: list[str] | None = None,
-    ambiguous: list[str] | None = None,
-    contexts: list[str] | None = None,
+    ambiguous: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Add the sorted arrays ``cve_ids, ip_addresses, malware_names, threat_actors``.
 
-    Null or blank text gives four empty arrays.
+    ``ambiguous`` maps a term to the phrases of which one must stand near it. Null or blank text gives four empty arrays.
     """
     malware = vocab.MALWARE_TERMS if malware is None else malware
     actors = vocab.ACTOR_TERMS if actors is None else actors
     low, words, text = F.col("_lowered"), F.col("_words"), F.coalesce(F.col(column), F.lit(""))
     names = bind(
-        E.match_terms(low, words, malware), lambda found: E.drop_unsupported(low, found, ambiguous, contexts)
+        E.match_terms(low, words, malware), lambda found: E.drop_unsupported(low, found, ambiguous)
     )
     found = {
         "cve_ids": X.extract_cves(text),
@@ -47,51 +46,44 @@ def extract_entities(
     return with_computed(with_words(df, column), found).select(*df.columns, *KINDS)
 
 
-def match_gazetteer(
-    df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text", literal_terms: int = 2_000
-) -> DataFrame:
-    """``(key, kind, terms)`` against a gazetteer *table* ``(kind, term)`` of any size.
+def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text") -> DataFrame:
+    """``(key, kind, terms)`` against a gazetteer *table* ``(kind, term)`` of any size; case does not matter.
 
     Word and separator runs alternate in a text, so a term is a slice of a fixed
-    number of runs. Slices are made distinct per text and joined to the table by
-    hash. With at most ``literal_terms`` terms the slices are first cut down to
-    terms inside the row, so only hits leave it.
+    number of runs. A bitmap of the terms, of one size for any table, drops
+    nearly all other slices inside the row; what leaves it is joined by hash.
     """
     runs = f"{E.WORD_RUN}|{E.NOT_WORD_RUN}"
     terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
     shaped = terms.select(
-        "term",
+        F.xxhash64("term").alias("h"),
         F.col("term").rlike(f"^{E.WORD_RUN}").alias("starts"),
         F.size(F.regexp_extract_all("term", F.lit(runs), F.lit(0))).alias("n"),
-        F.regexp_extract("term", runs, 0).alias("first"),
-    ).distinct()
-    known = shaped.limit(literal_terms + 1).collect()
-    literal = len(known) <= literal_terms
+    )
+    bitmap = bitmap_of(shaped, "h")
     # A handful of shapes, however many terms there are.
-    shapes = sorted({(r["starts"], r["n"]) for r in (known if literal else shaped.select("starts", "n").distinct().collect())})
+    shapes = sorted((r["starts"], r["n"]) for r in shaped.select("starts", "n").distinct().collect() if r["n"])
 
     def of_shape(p: Column, starts: bool, n: int) -> Column:
-        firsts = sorted({r["first"] for r in known if (r["starts"], r["n"]) == (starts, n)})
         # A word boundary needs a word run on one side: a term's outer separator
         # counts only with another run beyond it.
         ends_with_word = starts == (n % 2 == 1)
 
         def gram(w: Column, i: Column) -> Column:
-            opens = w.isin(firsts) if literal else w.rlike(f"^{E.WORD_RUN}") == F.lit(starts)
+            opens = w.rlike(f"^{E.WORD_RUN}") == F.lit(starts)
             before = F.lit(True) if starts else i > 0
             after = i + n <= F.size(p) if ends_with_word else i + n < F.size(p)
             return F.when(opens & before & after, F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
 
-        return p if starts and n == 1 else F.transform(p, gram)
-
-    def slices(p: Column) -> Column:
-        every = F.array_compact(F.concat(*[of_shape(p, starts, n) for starts, n in shapes]))
-        return F.array_intersect(every, string_array([r["term"] for r in known])) if literal else F.array_distinct(every)
+        grams = p if n == 1 and starts else F.array_compact(F.transform(p, gram))
+        return F.filter(grams, lambda t: may_hold(bitmap, F.xxhash64(t)))
 
+    if not shapes:
+        return df.limit(0).select(key, F.lit("").alias("kind"), F.array().cast("array<string>").alias("terms"))
+    slices = lambda p: F.array_distinct(F.concat(*[of_shape(p, starts, n) for starts, n in shapes]))
     pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
     grams = pieces.select(key, F.explode(bind(F.col("_p"), slices)).alias("term"))
-    hits = grams.join(broadcast_if_small(terms), "term")
-    return hits.groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return grams.join(terms, "term").groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def combine(df: DataFrame, model_malware: str | None = None, model_actors: str | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def graph_articles(df: DataFrame) -> DataFrame:
 def article_nodes(df: DataFrame, order: str) -> DataFrame:
     """One Article node per URL; the last row by ``order`` sets the properties."""
     ties = [F.col(c).desc() for c in ("title", "primary_industry", "threat_score")]
-    last = first_per(graph_articles(df), ["url"], F.col(order).desc(), *ties)
+    last = first_per(graph_articles(df), [_text("url")], F.col(order).desc(), *ties)
     return last.select(
         F.lit("Article").alias("label"),
         _text("url").alias("key"),

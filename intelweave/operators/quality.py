@@ -19,18 +19,16 @@ def first_per(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFr
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def not_stored(df: DataFrame, stored: DataFrame, key: str, small_rows: int = 200_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``stored``; ``df`` should be cheap to read (a staged table).
+def not_stored(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is neither blank nor in ``stored``.
 
-    A store outgrows any increment, and an anti-join can only broadcast its
-    right side, so the store would be shuffled whole. When ``df`` is counted as
-    small, its keys are broadcast instead and the store is merely scanned.
-    Above the bound both sides shuffle.
+    Keys alone meet the store: they are made distinct and anti-joined, and the
+    few new ones pick the rows. Texts are read once, behind that, and are not
+    shuffled where the new keys are few enough for adaptive execution to
+    broadcast them.
     """
-    keys = df.select(key)
-    if keys.limit(small_rows + 1).count() <= small_rows:
-        stored = stored.select(key).join(F.broadcast(keys), key, "left_semi")
-    return df.join(stored.select(key), key, "left_anti")
+    fresh = df.where(F.col(key) != "").select(key).distinct().join(stored.select(key), key, "left_anti")
+    return df.join(fresh, key, "left_semi")
 
 
 def min_words(

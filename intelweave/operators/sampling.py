@@ -12,8 +12,8 @@ def row_hash(keys: list[str], seed: int) -> Column:
 
 def split(df: DataFrame, keys: list[str], fraction: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Hash split on a row key: same rows on every run and any partitioning."""
-    edge = F.lit(format(int(fraction * 16**8), "08x"))
-    prefix = F.substring(row_hash(keys, seed), 1, 8)
+    prefix = F.conv(F.substring(row_hash(keys, seed), 1, 8), 16, 10).cast("long")
+    edge = int(fraction * 16**8)
     return df.where(prefix < edge), df.where(prefix >= edge)
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intelweave import vocab
+from intelweave.functions.flow import with_computed
 from intelweave.functions.text import strip_ws
 from intelweave.operators.quality import min_words
 from intelweave.operators.sampling import sample_exact
-from intelweave.session import broadcast_if_small
+from intelweave.session import cut_lineage
 
 _SCORES = "array<struct<label:string,score:double>>"
 
@@ -131,9 +132,9 @@ def bootstrap_tags(
 ) -> DataFrame:
     """Tag articles with no trained model: score, then pick."""
     text = model_input()
-    scored = df.withColumn("binary", score_labels(text, [threat_label, unrelated_label], False))
+    scored = with_computed(df, {"binary": score_labels(text, [threat_label, unrelated_label], False)})
     kept = scored.where(F.get("binary", F.lit(0))["label"] == threat_label)
-    return pick_labels(kept.withColumn("industry", score_labels(text, list(industries), True)))
+    return pick_labels(with_computed(kept, {"industry": score_labels(text, list(industries), True)}))
 
 
 # -- training tables --------------------------------------------------------
@@ -155,7 +156,9 @@ def balanced_training_set(positives: DataFrame, negatives: DataFrame, key: str,
 def label_map(df: DataFrame, column: str) -> DataFrame:
     """Distinct labels in ascending order numbered from 0: ``(label_id, label)``.
 
-    The ranking runs over the class list only; a classifier's classes are few.
+    The ranking runs over the class list in one task: a column with very many
+    values is no class column. Give it the narrow source, not a frame that
+    computes texts.
     """
     labels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
     ids = F.dense_rank().over(Window.orderBy("label")) - 1
@@ -166,7 +169,7 @@ def encode_labels(df: DataFrame, column: str, mapping: DataFrame | None = None)
     """Add ``label_id``; rows with an unknown or null label are dropped."""
     mapping = label_map(df, column) if mapping is None else mapping
     ids = mapping.select("label_id", F.col("label").alias(column))
-    return df.join(broadcast_if_small(ids), column)
+    return df.join(ids, column)
 
 
 def class_weights(df: DataFrame, column: str) -> DataFrame:
@@ -179,7 +182,7 @@ def class_weights(df: DataFrame, column: str) -> DataFrame:
 
 def with_weights(df: DataFrame, column: str) -> DataFrame:
     weights = class_weights(df, column).select(column, "weight")
-    return df.join(broadcast_if_small(weights), column)
+    return df.join(weights, column)
 
 
 # -- models -----------------------------------------------------------------
@@ -203,14 +206,14 @@ def _text_classifier(text: str, label: str, features: int, iterations: int, weig
 
 def train_binary(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14,
                  iterations: int = 20) -> PipelineModel:
-    """Threat / no threat classifier on ``(text, label)``."""
-    return _text_classifier(text, label, features, iterations, None).fit(df)
+    """Threat / no threat classifier on ``(text, label)``; the rows are computed once and staged."""
+    return _text_classifier(text, label, features, iterations, None).fit(cut_lineage(df.select(text, label)))
 
 
 def train_industry(df: DataFrame, text: str = "text", label: str = "label_id", features: int = 1 << 14,
                    iterations: int = 20) -> PipelineModel:
     """Multi-class classifier whose loss carries balanced class weights."""
-    return _text_classifier(text, label, features, iterations, "weight").fit(with_weights(df, label))
+    return _text_classifier(text, label, features, iterations, "weight").fit(with_weights(cut_lineage(df.select(text, label)), label))
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -240,7 +243,7 @@ def tag_articles(
     )
     named = predict(threats, industry).withColumn("industry_score", F.round("confidence", 4))
     ids = mapping.select(F.col("label_id").alias("prediction"), F.col("label").alias("primary_industry"))
-    return named.join(broadcast_if_small(ids), "prediction").drop("prediction", "confidence", "text")
+    return named.join(ids, "prediction").drop("prediction", "confidence", "text")
 
 
 def evaluate(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -66,8 +66,7 @@ def vector_metadata(df: DataFrame) -> DataFrame:
 
 def add_vectors(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``new`` whose id is not stored yet, each id once."""
-    once = first_per(new, ["id"], F.col("url").asc(), F.col("title").asc())
-    return not_stored(once, existing, "id").select(*new.columns)
+    return first_per(not_stored(new, existing, "id"), ["id"], F.col("url").asc(), F.col("title").asc()).select(*new.columns)
 
 
 def by_industry(df: DataFrame, industry: str | None, column: str = "primary_industry") -> DataFrame:

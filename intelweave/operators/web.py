@@ -46,21 +46,22 @@ def advisory_links(links: DataFrame) -> DataFrame:
     return links.withColumn("link_class", cls).where("link_class is not null")
 
 
-def frontier(links: DataFrame, seen: DataFrame, match: str = "suffix") -> DataFrame:
+def frontier(links: DataFrame, seen: DataFrame, match: str | None = "suffix") -> DataFrame:
     """Admissible targets not seen before, each with its first referrer.
 
+    ``match=None`` leaves the admissibility test out, as for advisory and index links.
+
     Repeats go first (each map task keeps one row per target), so a link every
     page carries reaches the anti-join as a single row.
     """
-    ok = links.where(U.is_article_url(F.col("target_url"), match))
+    ok = links if match is None else links.where(U.is_article_url(F.col("target_url"), match))
     once = first_per(ok, ["target_url"], F.col("page_id").asc(), F.col("pos").asc())
     return once.join(seen.select(F.col("url").alias("target_url")), "target_url", "left_anti")
 
 
 def drop_seen(df: DataFrame, seen: DataFrame, *order: Column, key: str = "url") -> DataFrame:
-    """First row per ``key`` whose key is not blank and not in ``seen``."""
-    fresh = first_per(df.where(F.col(key) != ""), [key], *order)
-    return not_stored(fresh, seen, key)
+    """First row per ``key`` whose key is not blank and not in ``seen``; the ledger is asked before rows are ordered."""
+    return first_per(not_stored(df, seen, key), [key], *order)
 
 
 def _parsed(

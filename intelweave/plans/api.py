@@ -62,20 +62,23 @@ def graph_listing(
     """Edges with display names, optionally those that touch an industry.
 
     An edge qualifies when either end is that Industry node or its source is an
-    article with that industry property. Only articles need a lookup, and they
-    are always sources, so one join decides and the titles are read for the
-    listed edges alone.
+    article with that industry property. The titles are read for the listed
+    edges alone.
     """
     articles = nodes.where("label = 'Article'").select(F.col("key").alias("src"), "title", "industry")
     if industry != vocab.ALL_GRAPH:
-        of_industry = articles.where(F.col("industry") == industry).select("src", F.lit(True).alias("_own"))
-        marked = edges.join(of_industry, "src", "left")
-        own = F.coalesce(F.col("_own"), F.lit(False)) & (F.col("src_label") == "Article")
+        # Only articles' edges meet a join; edges at the Industry node are a plain filter.
         at_src = (F.col("src_label") == "Industry") & (F.col("src") == industry)
         at_dst = (F.col("dst_label") == "Industry") & (F.col("dst") == industry)
-        edges = marked.where(own | at_src | at_dst).drop("_own")
+        at_node = F.coalesce(at_src | at_dst, F.lit(False))
+        of_industry = articles.where(F.col("industry") == industry).select("src")
+        own = edges.where((F.col("src_label") == "Article") & ~at_node).join(of_industry, "src", "left_semi")
+        edges = edges.where(at_node).unionByName(own.select(*edges.columns))
     listed = edges.orderBy(*_EDGE_ORDER).limit(limit)
-    named = listed.join(articles.select("src", "title"), "src", "left")
+    # At most `limit` keys pick the titles; articles that are not listed stay where they are.
+    wanted = listed.where("src_label = 'Article'").select("src").distinct()
+    titles = articles.select("src", "title").join(F.broadcast(wanted), "src", "left_semi")
+    named = listed.join(F.broadcast(titles), "src", "left")
     return named.select(
         _shown(F.col("src_label"), F.col("src"), F.col("title")).alias("source"),
         F.col("src_label").alias("source_type"),
@@ -141,17 +144,13 @@ def alerts(
     vectors: DataFrame,
     limit: int = 10,
     industry: str = vocab.ALL_INDUSTRIES,
-    scan_cap: int | None = None,
     tie: str = "url",
 ) -> DataFrame:
     """Highest threat scores; an unreadable score counts as 0.0.
 
-    ``count`` repeats how many alerts are returned. ``scan_cap`` looks at only
-    that many rows before ranking (off by default).
+    ``count`` repeats how many alerts are returned.
     """
     rows = V.by_industry(vectors, industry)
-    if scan_cap is not None:
-        rows = rows.orderBy(tie).limit(scan_cap)
     score = F.coalesce(F.col("threat_score").try_cast("double"), F.lit(0.0))
     scored = rows.select("title", "url", "primary_industry", score.alias("threat_score"))
     top = scored.orderBy(F.desc("threat_score"), tie).limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -31,12 +32,32 @@ class Layout:
 
 @dataclass(frozen=True)
 class Models:
-    """Fitted models of the tagging cascade and the embedder, with the industry names."""
+    """Fitted models of the tagging cascade and the embedder, with the industry names.
 
-    binary: PipelineModel
-    industry: PipelineModel
-    labels: DataFrame
+    ``tagger`` replaces the cascade: a function from cleaned articles to the rows
+    it keeps, with ``threat_score``, ``primary_industry`` and ``industry_score``.
+    ``names`` adds the arrays ``model_malware`` and ``model_actors`` of a named
+    entity model to articles with keyword entities.
+    """
+
+    binary: PipelineModel | None
+    industry: PipelineModel | None
+    labels: DataFrame | None
     embedder: PipelineModel
+    tagger: Callable[[DataFrame], DataFrame] | None = None
+    names: Callable[[DataFrame], DataFrame] | None = None
+
+    def tag(self, clean: DataFrame) -> DataFrame:
+        if self.tagger is not None:
+            return self.tagger(clean)
+        return C.tag_articles(clean, self.binary, self.industry, self.labels)
+
+    def entities(self, tagged: DataFrame) -> DataFrame:
+        """Keyword entities, merged with the model's where there is one, vendors removed."""
+        found = E.extract_entities(tagged)
+        if self.names is None:
+            return E.combine(found)
+        return E.combine(self.names(found), "model_malware", "model_actors").drop("model_malware", "model_actors")
 
 
 def cleaned(articles: DataFrame) -> DataFrame:
@@ -65,9 +86,12 @@ def build(spark: SparkSession, articles: DataFrame, models: Models, layout: Layo
     feeds both the vectors and the graph.
     """
     clean = stage(spark, processed(articles, order), layout.at("processed"))
-    tagged = C.tag_articles(clean, models.binary, models.industry, models.labels)
-    found = stage(spark, E.combine(E.extract_entities(tagged)), layout.at("entities"))
+    S.write_base(models.entities(models.tag(clean)), layout.at("entities"))
+    found = spark.read.parquet(f"{layout.at('entities')}/increment={S.BASE}")
     complete = Q.require(found, ["clean_text", "title", "url"])
-    latest = Q.first_per(complete, ["url"], F.col(order).asc(), F.col("title").asc(), F.col("clean_text").asc())
+    ties = [F.col(c).desc() for c in ("title", "primary_industry", "threat_score", "clean_text")]
+    latest = Q.first_per(complete, ["url"], F.col(order).desc(), *ties)
     S.write_vectors(V.vector_rows(V.embed(latest, models.embedder)), layout.at("vectors"))
     S.write_graph(*G.build_graph(found, order), layout.at("graph"))
+    # Increments start behind what the build has read, filtered rows included.
+    S.write_base(articles.select("url").where("url <> ''").distinct(), layout.at("ledger"))

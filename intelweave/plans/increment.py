@@ -11,7 +11,6 @@ from intelweave.functions.text import url_id, word_count
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import quality as Q
-from intelweave.operators import tagging as C
 from intelweave.operators import vectors as V
 from intelweave.operators.web import drop_seen
 from intelweave.plans.batch import Layout, Models, cleaned
@@ -65,8 +64,7 @@ def run_increment(
     fresh = spark.read.parquet(fresh_path)
 
     clean = clean_increment(fresh, strict)
-    tagged = C.tag_articles(clean, models.binary, models.industry, models.labels)
-    S.write_increment(E.extract_entities(tagged), layout.at("entities"), increment)
+    S.write_increment(E.extract_entities(models.tag(clean)), layout.at("entities"), increment)
     found = spark.read.parquet(f"{layout.at('entities')}/increment={increment}")
 
     # Ids already stored drop out before the embedding, not after it.
@@ -77,6 +75,8 @@ def run_increment(
     nodes, edges = G.build_graph(found, "url")
     S.write_graph(nodes, edges, layout.at("graph"), clear_first=False, increment=increment)
     S.write_increment(fresh.select("url"), layout.at("ledger"), increment)
+    # The raw copy has served; an empty table takes its place.
+    spark.createDataFrame([], fresh.schema).write.mode("overwrite").parquet(fresh_path)
     return summary(spark, layout, increment)
 
 

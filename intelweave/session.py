@@ -1,16 +1,10 @@
-"""Session defaults, input spreading and lineage cuts."""
+"""Session defaults, shared folders and lineage cuts."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Inputs below this many bytes per task slot do not fill the slots by
-# themselves (a single small file is one task); only those are dealt out anew.
-_SPREAD_BYTES_PER_SLOT = 8 * 1024 * 1024
-
+from pyspark.sql import DataFrame, SparkSession
 
 def get_session(app: str = "intelweave", **conf: str) -> SparkSession:
     """Session with adaptive execution and UTC; ``conf`` overrides, e.g. ``**{"spark.master": ...}``."""
@@ -25,17 +19,6 @@ def get_session(app: str = "intelweave", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, key: str | Column) -> DataFrame:
-    """Deal a small input out over all task slots by a unique ``key``.
-
-    Text work costs far more than moving a few megabytes. Large inputs come
-    back unchanged: their splits already fill the cluster.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slots, key) if size < slots * _SPREAD_BYTES_PER_SLOT else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else one inside the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -57,11 +40,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    Above the bound the frame is returned as is and the planner joins by shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,6 +8,7 @@ leaves its rows in partition ``BASE``, which precedes every increment.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,19 +38,17 @@ EDGE_SCHEMA = T.StructType(
 )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def read_increments(
     spark: SparkSession, path: str, schema: T.StructType, before: int | None = None
 ) -> DataFrame:
     """All partitions of a store, or only those of earlier increments; empty if absent."""
     full = T.StructType([*schema.fields, T.StructField("increment", T.LongType())])
-    if not path_exists(spark, path):
+    try:
+        df = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
-    df = spark.read.schema(full).parquet(path)
     return df if before is None else df.where(F.col("increment") < before)
 
 
@@ -57,10 +56,15 @@ def write_increment(df: DataFrame, path: str, increment: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/increment={increment}")
 
 
+def write_base(df: DataFrame, path: str) -> None:
+    """Replace the whole store by ``df``, as the partition in front of all increments."""
+    df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(path)
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "rebuild", increment: int = 0) -> None:
     """``rebuild`` drops the collection first; ``add`` writes only ids not stored yet."""
     if mode == "rebuild":
-        df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(path)
+        write_base(df, path)
     elif mode == "add":
         stored = read_increments(df.sparkSession, path, VECTOR_SCHEMA, before=increment)
         write_increment(add_vectors(df, stored), path, increment)
@@ -82,11 +86,24 @@ def write_graph(
     for df, name in ((nodes, "nodes"), (edges, "edges")):
         target = f"{path}/{name}"
         if clear_first:
-            df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(target)
+            write_base(df, target)
         else:
             write_increment(df, target, increment)
 
 
+def compact_graph(spark: SparkSession, path: str) -> None:
+    """Merge all increments into the base, so that later reads do not merge them again.
+
+    The merged tables are written aside first; they are what to restore from if
+    the run ends while the old files are being replaced.
+    """
+    aside = f"{path}/compacted"
+    for df, name in zip(read_graph(spark, path), ("nodes", "edges")):
+        df.write.mode("overwrite").parquet(f"{aside}/{name}")
+    for name in ("nodes", "edges"):
+        write_base(spark.read.parquet(f"{aside}/{name}"), f"{path}/{name}")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Merged nodes and edges over all increments; later article properties win."""
     nodes = read_increments(spark, f"{path}/nodes", NODE_SCHEMA)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intelweave.functions.text import join_list, parse_list
-from intelweave.session import spread
 
 ARTICLE_FIELDS = ["id", "title", "url", "content", "crawled_at"]
 ARTICLE_SCHEMA = T.StructType(
@@ -26,11 +25,6 @@ LIST_COLUMNS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """One parquet table of a data directory, dealt out by ``key`` when small."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
-
-
 # -- articles -------------------------------------------------------------
 
 
@@ -124,7 +118,7 @@ def load_label_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages ``(page_id, url, html[, content_type])``."""
-    return spread(spark.read.parquet(path), "page_id")
+    return spark.read.parquet(path)
 
 
 def read_negatives(df: DataFrame, column: str = "text") -> DataFrame:

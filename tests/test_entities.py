@@ -2,6 +2,7 @@ import random
 import re
 
 from intelweave import vocab
+from intelweave.functions import bitmap
 from intelweave.operators import entities as E
 import pytest
 from pyspark.sql import functions as F
@@ -33,10 +34,10 @@ def brute(text):
         return re.search(r"\b" + re.escape(term) + r"\b", where, re.I) is not None
 
     def backed(term):
-        if term not in vocab.AMBIGUOUS_TERMS:
+        if term not in list(vocab.AMBIGUOUS_CONTEXTS):
             return True
         near = [" ".join(tokens[max(0, i - 10): i + 11]) for i, t in enumerate(tokens) if t == term]
-        return any(whole(c, n) for n in near for c in vocab.AMBIGUOUS_CONTEXTS)
+        return any(whole(c, n) for n in near for c in vocab.AMBIGUOUS_CONTEXTS[term])
 
     return (sorted(t for t in vocab.MALWARE_TERMS if whole(t, text) and backed(t)),
             sorted(t for t in vocab.ACTOR_TERMS if whole(t, text)))
@@ -44,7 +45,7 @@ def brute(text):
 
 def random_texts(n, seed=7):
     rng = random.Random(seed)
-    pool = (vocab.MALWARE_TERMS + vocab.ACTOR_TERMS + vocab.AMBIGUOUS_TERMS * 4 + vocab.AMBIGUOUS_CONTEXTS * 4
+    pool = (vocab.MALWARE_TERMS + vocab.ACTOR_TERMS + list(vocab.AMBIGUOUS_CONTEXTS) * 4 + vocab.AMBIGUOUS_CONTEXTS['play'] * 4
             + ["word", "other", "x-hive", "hive,", "(royal)", "leak", "site", "ransomware."] * 12)
     return [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
@@ -55,12 +56,13 @@ def test_agrees_with_brute_force(texts):
     assert [(r["malware_names"], r["threat_actors"]) for r in rows] == [brute(t) for t in raw]
 
 
-@pytest.mark.parametrize("literal_terms", [2000, 3])
-def test_gazetteer_table_equals_term_lists(spark, texts, literal_terms):
+@pytest.mark.parametrize("words", [1 << 16, 1])
+def test_gazetteer_table_equals_term_lists(spark, texts, words, monkeypatch):
+    monkeypatch.setattr(bitmap, "WORDS", words)  # a full bitmap lets every slice pass
     raw = random_texts(200, seed=11) + ["lapsus$", "lapsus$x", "lapsus$ x", "a$-b", "$-b", "x $-b", "x$-b"]
     terms = [*vocab.ACTOR_TERMS, "$-b"]
     gaz = spark.createDataFrame([("a", t) for t in terms], "kind string, term string")
-    found = E.match_gazetteer(texts(raw), "doc_id", gaz, literal_terms=literal_terms)
+    found = E.match_gazetteer(texts(raw), "doc_id", gaz)
     by_table = {r["doc_id"]: r["terms"] for r in found.collect()}
     for r in E.extract_entities(texts(raw), actors=terms).collect():
         assert by_table.get(r["doc_id"], []) == r["threat_actors"], raw[r["doc_id"]]
@@ -90,3 +92,14 @@ def test_text_work_runs_once(texts):
         F.lit(1.0).alias("threat_score"), *E.KINDS)
     plan = G.graph_edges(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^\\p{L}\\p{N}_]+") == 1
+
+
+def test_terms_in_capitals_and_contexts_per_term(texts):
+    df = texts(["the lockbit crew and apt28 near play music", "hive honey", "hive gang", "play on stage"])
+    out = E.extract_entities(df, malware=["LockBit", "Play", "Hive"], actors=["APT28"], ambiguous={"Play": ["Music"], "HIVE": ["gang"]})
+    got = {r["doc_id"]: (r["malware_names"], r["threat_actors"]) for r in out.collect()}
+    assert got == {0: (["lockbit", "play"], ["apt28"]), 1: ([], []), 2: (["hive"], []), 3: ([], [])}
+
+
+def test_empty_gazetteer(spark, texts):
+    assert E.match_gazetteer(texts(["a"]), "doc_id", spark.createDataFrame([], "kind string, term string")).count() == 0

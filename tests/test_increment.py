@@ -99,3 +99,37 @@ def test_sources(spark, tmp_path):
     T.append_ledger(spark.createDataFrame([(" a ",), ("",)], "url string"), ledger)
     T.append_ledger(spark.createDataFrame([("b",)], "url string"), ledger)
     assert sorted(r["url"] for r in T.read_ledger(spark, ledger).collect()) == ["a", "b"]
+
+
+def test_build_then_increment_keeps_all_entities(spark, models, raw, tmp_path):
+    layout = B.Layout(str(tmp_path / "bi"))
+    B.build(spark, raw.drop("id").where("length(url) = 19"), models, layout)
+    ledger = S.read_increments(spark, layout.at("ledger"), I.LEDGER_SCHEMA)
+    assert ledger.count() == 10
+    done = I.run_increment(spark, raw, models, layout, 0).first()
+    assert done["new_articles"] == 14
+    rows = spark.read.parquet(layout.at("entities"))
+    assert rows.select("url").distinct().count() == rows.count() == 8
+    assert spark.read.parquet(f"{layout.at('fresh')}/increment=0").count() == 0
+    before = [sorted(map(repr, df.collect())) for df in S.read_graph(spark, layout.at("graph"))]
+    S.compact_graph(spark, layout.at("graph"))
+    assert before == [sorted(map(repr, df.collect())) for df in S.read_graph(spark, layout.at("graph"))]
+    assert spark.read.parquet(f"{layout.at('graph')}/nodes").select("increment").distinct().collect()[0][0] == S.BASE
+
+
+def test_ledger_is_asked_before_rows_are_ordered(spark, tmp_path):
+    spark.createDataFrame([("u", "t", "c")], "url string, title string, content string").write.parquet(str(tmp_path / "raw"))
+    raw, ledger = spark.read.parquet(str(tmp_path / "raw")), spark.createDataFrame([("v",)], "url string")
+    plan = I.new_articles(raw, ledger)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<url:string>") == 1 and plan.count("ReadSchema: ") == 2
+    assert plan.index("Window") < plan.index("LeftSemi") < plan.index("LeftAnti")
+
+
+def test_tagger_and_names_in_the_build(spark, models, raw, tmp_path):
+    stand_in = B.Models(None, None, None, models.embedder, tagger=lambda df: df.withColumns({
+        "threat_score": F.lit(0.9), "primary_industry": F.lit("Finance"), "industry_score": F.lit(0.8)}),
+        names=lambda df: df.withColumns({"model_malware": F.array(F.lit("newkit")), "model_actors": F.array(F.lit("microsoft"))}))
+    layout = B.Layout(str(tmp_path / "t"))
+    B.build(spark, raw.drop("id"), stand_in, layout)
+    rows = spark.read.parquet(layout.at("entities")).collect()
+    assert len(rows) == 20 and all("newkit" in r["malware_names"] and "microsoft" not in r["threat_actors"] for r in rows)
