@@ -452,6 +452,38 @@ def _(spark, sf):
     return found.withColumn("terms", X.join_list("terms"))
 
 
+# Every other document's words are the terms: far more than fit a list.
+_WORD_TERMS = """
+words AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'))) AS term FROM documents),
+named AS (SELECT doc_id, term FROM words WHERE length(term) BETWEEN 4 AND 12)"""
+
+
+@query("gazetteer_large", f"""WITH {_WORD_TERMS}, gaz AS (SELECT DISTINCT term FROM named WHERE doc_id % 2 = 0)
+SELECT doc_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS terms FROM named JOIN gaz USING (term) GROUP BY doc_id""")
+def _(spark, sf):
+    rows = D.documents(spark, sf).select("doc_id", "text")
+    words = rows.where("doc_id % 2 = 0").select(F.explode(F.split(F.lower("text"), FE.NOT_WORD_RUN)).alias("term"))
+    terms = words.where(F.length("term").between(4, 12)).select(F.lit("word").alias("kind"), F.col("term")).distinct()
+    found = E.match_gazetteer(rows, "doc_id", terms, column="text")
+    return found.select("doc_id", long(F.size("terms")).alias("n"), F.md5(F.array_join(F.array_sort("terms"), ",")).alias("terms"))
+
+
+_OWN = {"Hive": ["gang"], "Play": ["Display"], "WannaCry": ["bold"]}
+
+
+@query("entities_own_terms", f"""WITH {D.CLEAN_CTES},
+hit AS (SELECT doc_id, t.term, t.ctx, string_split(lower(clean_text), ' ') AS tk FROM clean,
+        (VALUES ('hive', 'gang'), ('play', 'display'), ('wannacry', 'bold'), ('lazarus group', NULL)) t(term, ctx)
+        WHERE regexp_matches(lower(clean_text), '\\b' || term || '\\b')),
+near AS (SELECT doc_id, term, ctx, unnest(CASE WHEN ctx IS NULL THEN [0] ELSE list_filter(generate_series(1, len(tk)), lambda i: tk[i] = term) END) AS i, tk FROM hit),
+kept AS (SELECT DISTINCT doc_id, term FROM near WHERE ctx IS NULL OR regexp_matches(array_to_string(tk[greatest(i - 10, 1):i + 10], ' '), '\\b' || ctx || '\\b'))
+SELECT doc_id, string_agg(term, ', ' ORDER BY term) AS names FROM kept GROUP BY doc_id""")
+def _(spark, sf):
+    terms = [*_OWN, "LAZARUS Group"]
+    found = E.extract_entities(D.cleaned(spark, sf), malware=terms, actors=["no such actor"], ambiguous=_OWN)
+    return found.where(F.size("malware_names") > 0).select("doc_id", X.join_list("malware_names").alias("names"))
+
+
 @query("ambiguity_guard", f"WITH {D.ENTITY_CTES} SELECT f.doc_id, f.term, b.term IS NOT NULL AS supported FROM found f "
        f"LEFT JOIN backed b ON f.doc_id = b.doc_id AND f.term = b.term WHERE f.kind = 'malware' "
        f"AND list_contains({D.sql_list(list(vocab.AMBIGUOUS_CONTEXTS))}, f.term)")

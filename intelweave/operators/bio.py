@@ -32,7 +32,7 @@ def bio_tags(words: Column, malware: list[str] | None = None, actors: list[str]
     Terms are applied malware first, then actors, each from long to short;
     a later term overwrites an earlier one where they meet.
     """
-    by_length = lambda terms: sorted(terms, key=len, reverse=True)
+    by_length = lambda terms: sorted((t.lower() for t in terms), key=len, reverse=True)
     actor_order = by_length(vocab.ACTOR_TERMS if actors is None else actors)
     mal_order = [t for t in by_length(vocab.MALWARE_TERMS if malware is None else malware) if t not in actor_order]
     order = mal_order + actor_order

@@ -60,3 +60,18 @@ def test_minority_class_is_learned(spark):
     assert pred.where("label_id = 1 and prediction = 1").count() == 6
     score = C.evaluate(pred, "label_id").first()
     assert score["accuracy"] == 1.0 and score["weighted_f1"] == 1.0
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from intelweave.plans import train
+
+    rows = [(f"u{i}", f"bank ransomware {i}", "emotet attack on the bank network " * 30, ["Finance", "ICS"][i % 2]) for i in range(12)]
+    tagged = spark.createDataFrame(rows, "url string, title string, clean_text string, primary_industry string")
+    negatives = spark.createDataFrame([(f"n{i}", "flowers and a quiet picnic by the river " * 10) for i in range(30)], "url string, text string")
+    assert train.binary_training(tagged, negatives).groupBy("label").count().orderBy("label").collect() == [(0, 12), (1, 12)]
+    models = train.fit_models(tagged, negatives, features=256, iterations=5)
+    train.save_models(models, str(tmp_path / "m"))
+    train.save_models(models, str(tmp_path / "m"))
+    again = train.load_models(spark, str(tmp_path / "m"))
+    same = lambda m: sorted(map(tuple, m.tag(tagged.drop("primary_industry")).select("url", "threat_score", "primary_industry", "industry_score").collect()))
+    assert same(models) == same(again) and len(same(again)) == 12
