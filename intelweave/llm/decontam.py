@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intelweave.functions.bitmap import bitmap_of, may_hold
 from intelweave.functions.flow import bind, with_computed
 from intelweave.llm.common import row_key, staged
 
 SHINGLE = 5
 RADIUS = 15
 BLOCK_BITS = 4  # 16 blocks of 4 bits
-BITMAP_WORDS = 1 << 16  # 64 bits each: half a megabyte that travels with the tasks
 LANES = 0x0001000100010001  # four counters of 16 bits
 MOST_SHINGLES = 32_767  # of an item: what a counter holds
 
@@ -41,21 +41,6 @@ def shingles_of(words: Column, k: int) -> Column:
     return bind(words, lambda w: bind(F.transform(w, lambda x: F.xxhash64(x)), runs))
 
 
-def _slots(h: Column) -> list[Column]:
-    most = BITMAP_WORDS * 64 - 1
-    return [h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most)]
-
-
-def shingle_bitmap(shingles: DataFrame) -> Column:
-    """Array of longs with two bits set for each ``s``; at most ``BITMAP_WORDS`` rows reach the driver."""
-    slots = shingles.select(F.explode(F.array(*_slots(F.col("s")))).alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).collect()
-    words = [0] * BITMAP_WORDS
-    for r in rows:
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-
 def simhash_of(shingles: Column) -> Column:
     """64-bit SimHash: a bit is set if it is set in over half of the hashes. Counted four bits to a long."""
     def majority(lanes: Column) -> Column:
@@ -131,14 +116,10 @@ def _windows_of_size(keyed: DataFrame, items: DataFrame, k: int, threshold: floa
     items = with_computed(items.select("item", "n", "words"), {"item_sh": shingles_of(F.col("words"), k)}).select("item", "n", "item_sh")
     items = staged(with_computed(items, {"item_fp": simhash_of(F.col("item_sh"))}), "item-shingles")
     wanted = items.select("n", F.explode("item_sh").alias("s")).distinct()
-    bitmap = shingle_bitmap(wanted.select("s"))
-
-    def known(h: Column) -> Column:
-        tests = [F.getbit(F.get(bitmap, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _slots(h)]
-        return tests[0] & tests[1]
+    bitmap = bitmap_of(wanted, "s")
 
     rows = with_computed(keyed, {"sh": shingles_of(words_of(F.col("text")), k)}).select("key", "sh")
-    places = F.when(F.size("sh") > 0, F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: known(F.col("sh")[i]))).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.size("sh") > 0, F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: may_hold(bitmap, F.col("sh")[i]))).otherwise(F.array().cast("array<int>"))
     rows = staged(with_computed(rows, {"hits": places}).filter(F.size("hits") > 0), "shingled")
 
     hits = rows.select("key", F.size("sh").alias("m"), F.explode(F.transform("hits", lambda i: F.struct(i.alias("at"), F.col("sh")[i].alias("s")))).alias("h"))

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from intelweave.functions import bitmap
 from intelweave.llm import decontam, passages, simhash_dedup
 from intelweave.llm.common import components
 from intelweave.llm.licenses import words_of
@@ -102,7 +103,7 @@ def brute_windows(text, item, threshold):
 @pytest.mark.parametrize("bits", [None, 1])
 def test_contamination(spark, docs_of, odd_texts, bits, monkeypatch):
     if bits:
-        monkeypatch.setattr(decontam, "BITMAP_WORDS", bits)  # a full bitmap lets all rows pass
+        monkeypatch.setattr(bitmap, "WORDS", bits)  # a full bitmap lets all rows pass
     item = prose(40, 50)
     words = item.split()
     edited = " ".join(words[:3] + ["zzz"] + words[4:])
