@@ -66,8 +66,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles_of(text: str) -> np.ndarray:
-    """64-bit hashes of all runs of five words; none for shorter texts."""
+def shingles_of(text: str, t: int) -> np.ndarray:
+    """64-bit hashes of all runs of five words; none for shorter texts.
+
+    One word five times over is no passage: such a run is a number of the text's own (by its key ``t``).
+    """
     words = words_of(text)
     n = len(words) - SHINGLE + 1
     if n < 1:
@@ -76,7 +79,11 @@ def shingles_of(text: str) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         out = out * np.uint64(_PRIME) + h[j:j + n]
-    return mix(out)
+    twin = np.append(0, np.cumsum(h[1:] == h[:-1]))
+    alone = twin[SHINGLE - 1:] - twin[:n] == SHINGLE - 1
+    out = mix(out)
+    out[alone] = mix(mix(np.uint64(t & (1 << 64) - 1) + np.arange(n, dtype=np.uint64))[alone])
+    return out
 
 
 def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -110,7 +117,7 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
                     if t in seen:
                         continue
                     seen.add(t)
-                    h = shingles_of(text)
+                    h = shingles_of(text, t)
                     for f in range(hashes if len(h) >= UNIT else 0):
                         c, low, high = np.array(compact_windows(mix(h ^ np.uint64(_SEEDS[f])), UNIT), np.int64).T
                         near = (np.minimum(c - low, SIDE) << 8 | np.minimum(high - c, SIDE)).astype(np.int32)
@@ -161,7 +168,7 @@ def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
                 if t in seen:
                     continue
                 seen.add(t)
-                h = (shingles_of(text) >> np.uint64(32)).astype("<u4")
+                h = (shingles_of(text, t) >> np.uint64(32)).astype("<u4")
                 out = []
                 for w in rows:
                     before, behind = w["near"] >> 8, w["near"] & 255
@@ -172,12 +179,12 @@ def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
     return texts.join(lists, "t").select("t", "text", "w").mapInArrow(run, CONTEXT)
 
 
-def matrix(before: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts in rows with c in one column, and which cells are filled."""
+def matrix(before: np.ndarray, context: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in rows with c in one column, and which cells are filled; rows not in ``use`` stay empty."""
     m = np.zeros((len(context), 2 * SIDE + 1), np.uint32)
     filled = np.zeros(m.shape, bool)
-    for i, (b, raw) in enumerate(zip(before, context)):
-        h = np.frombuffer(raw, "<u4")
+    for i in range(len(m)) if use is None else np.flatnonzero(use).tolist():
+        b, h = before[i], np.frombuffer(context[i], "<u4")
         m[i, SIDE - b:SIDE - b + len(h)] = h
         filled[i, SIDE - b:SIDE - b + len(h)] = True
     return m, filled
@@ -199,13 +206,26 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
     good = whole & (sums(both & (x == y)) >= least)
     # equal in place is enough; where words were put in or left out, the windows are compared as multisets
     rest = np.flatnonzero(whole.any(1) & ~good.any(1))
-    for i in rest:
-        if np.isin(x[i][fx[i]], y[i][fy[i]]).sum() >= least:
-            for k in np.flatnonzero(whole[i]):
-                a, n = np.unique(x[i, k:k + UNIT], return_counts=True)
-                b, m = np.unique(y[i, k:k + UNIT], return_counts=True)
-                _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                good[i, k] = np.minimum(n[p], m[q]).sum() >= least
+    for a in range(0, len(rest), 256):
+        some = rest[a:a + 256]
+        met = (x[some][:, :, None] == y[some][:, None, :]) & fx[some][:, :, None] & fy[some][:, None, :]
+        bound = np.minimum(sums(met.any(2)), sums(met.any(1)))  # no window shares more
+        some = some[(whole[some] & (bound >= least)).any(1)]
+        if not len(some):
+            continue
+        xs, ys, fxs = x[some], y[some], fx[some]
+
+        def upto(other: np.ndarray, filled: np.ndarray) -> np.ndarray:
+            """[pair, p, q]: how often x's shingle at p stands in front of q."""
+            same = (xs[:, :, None] == other[:, None, :]) & fxs[:, :, None] & filled[:, None, :]
+            return np.pad(np.cumsum(same, 2, dtype=np.int16), ((0, 0), (0, 0), (1, 0)))
+
+        own, others = upto(xs, fxs), upto(ys, fy[some])
+        for k in range(good.shape[1]):
+            p = np.arange(k, k + UNIT)
+            # the n-th of equal shingles in x's window is shared if y's window has n of them
+            shared = own[:, p, p] - own[:, p, k] < others[:, p, k + UNIT] - others[:, p, k]
+            good[some, k] = whole[some, k] & (shared.sum(1) >= least)
     return good.any(1), good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1)
 
 
@@ -223,43 +243,49 @@ def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
         for sig, t, c, before, context in sorted_runs(batches, group):
             fresh = np.append(True, (sig[1:] != sig[:-1]) | (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
             sig, t, c, before, context = (x[fresh] for x in (sig, t, c, before, context))
-            start = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-            parts, large = [], []
-            for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
-                if b - a > group or sig[a] == hot:
-                    hot = sig[a]
-                    large.append(np.arange(a, b))
-                    continue
-                if b - a < 2:
-                    continue
-                m, filled = matrix(before[a:b], context[a:b])
-                i, j = np.triu_indices(b - a, 1)
-                apart = t[a:b][i] != t[a:b][j]
+            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(start, len(sig)))
+            many = (size > group) | ((sig[start] == hot) if hot is not None else False)
+            hot = sig[-1] if len(sig) and many[-1] else None
+            large = np.flatnonzero(np.repeat(many, size))
+            m, filled = matrix(before, context, ~np.repeat(many | (size < 2), size))
+            left, right = [], []
+            for n in np.unique(size[~many]):
+                if n > 1:
+                    block = start[(size == n) & ~many][:, None] + np.arange(n)
+                    i, j = np.triu_indices(n, 1)
+                    left.append(block[:, i].ravel())
+                    right.append(block[:, j].ravel())
+            lo, hi, root = np.full(len(sig), 1 << 30), np.full(len(sig), -1), np.arange(len(sig))
+            links = []
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                apart = t[i] != t[j]
                 i, j = i[apart], j[apart]
-                if not len(i):
-                    continue
-                ok, first, last = verify(m[i], filled[i], m[j], filled[j], least)
-                i, j, first, last = i[ok], j[ok], first[ok], last[ok]
-                if len(i):
-                    root = np.arange(b - a)
-                    for p, q in zip(i.tolist(), j.tolist()):
-                        p, q = root[p], root[q]
-                        if p != q:
-                            root[root == max(p, q)] = min(p, q)
-                    lo, hi = np.full(b - a, 1 << 30), np.full(b - a, -1)
-                    for side in (i, j):
-                        np.minimum.at(lo, side, first)
-                        np.maximum.at(hi, side, last)
-                    on = hi >= 0
-                    hub = mix(np.full(on.sum(), sig[a]).view(np.uint64) + root[on].astype(np.uint64) + np.uint64(1)).view(np.int64)
-                    parts.append((t[a:b][on], c[a:b][on], lo[on], hi[on], hub))
-            if parts:
-                cols = _members(*(np.concatenate(x) for x in zip(*parts)))
-                n = len(cols[0])
+                for k in range(0, len(i), 4096):
+                    p, q = i[k:k + 4096], j[k:k + 4096]
+                    ok, first, last = verify(m[p], filled[p], m[q], filled[q], least)
+                    links.append((p[ok], q[ok]))
+                    for side in links[-1]:
+                        np.minimum.at(lo, side, first[ok])
+                        np.maximum.at(hi, side, last[ok])
+            if links:
+                i, j = (np.concatenate(x) for x in zip(*links))
+                was = None
+                while was is None or (was != root).any():  # the least row that each one reaches
+                    was = root.copy()
+                    np.minimum.at(root, i, root[j])
+                    np.minimum.at(root, j, root[i])
+                    root = root[root]
+            on = np.flatnonzero(hi >= 0)
+            if len(on):
+                hub = mix(mix(sig[on].view(np.uint64)) + c[root[on]].astype(np.uint64) + t[root[on]].view(np.uint64)).view(np.int64)
+                cols = _members(t[on], c[on], lo[on], hi[on], hub)
+                n = len(on)
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(n, ty) for ty in (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
                                                  names=["t", "first", "last", "hub", "sig", "c", "before", "context"])
-            if large:
-                at = np.concatenate(large)
+            if len(large):
+                at = large
                 yield pa.RecordBatch.from_arrays([pa.array(t[at]), *(pa.nulls(len(at), pa.int64()) for _ in range(3)), pa.array(sig[at]), pa.array(c[at]),
                                                   pa.array(before[at].astype(np.int32)), pa.array(context[at].tolist(), pa.binary())],
                                                  names=["t", "first", "last", "hub", "sig", "c", "before", "context"])
@@ -293,28 +319,56 @@ def exact_ranges(large: DataFrame) -> DataFrame:
     return large.select("t", "sig", "c", "before", "context").mapInArrow(run, "hub long, t long, first long, last long, sig long, c long")
 
 
+PAIR = ["sig", "t", "c", "before", "context", "t2", "c2", "before2", "context2"]
+
+
 def compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """MEMBER rows, two for each verified pair of windows."""
+    """Two MEMBER rows for each verified pair of windows, with the first one's (sig, t0, c0)."""
     least = need(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for a in range(0, batch.num_rows, 2048):
-                t, c, before, context, t2, c2, before2, context2 = (x[a:a + 2048] for x in cols)
+                sig, t, c, before, context, t2, c2, before2, context2 = (x[a:a + 2048] for x in cols)
                 ok, first, last = verify(*matrix(before, context), *matrix(before2, context2), least)
                 hub = mix(mix(t.view(np.uint64)) + c.astype(np.uint64)).view(np.int64)
                 for x, y in ((t, c), (t2, c2)):
-                    yield pa.RecordBatch.from_arrays(_members(x[ok], y[ok], first[ok], last[ok], hub[ok]), names=["t", "first", "last", "hub"])
+                    yield pa.RecordBatch.from_arrays([*_members(x[ok], y[ok], first[ok], last[ok], hub[ok]), *(pa.array(v[ok]) for v in (sig, t, c))],
+                                                     names=["t", "first", "last", "hub", "sig", "t0", "c0"])
+
+    return pairs.select(*PAIR).mapInArrow(run, MEMBER + ", sig long, t0 long, c0 long")
+
+
+def without_partner(alone: DataFrame, large: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
+    """MEMBER rows of windows of large groups that share no exact range with another text.
+
+    They are compared with the most frequent contexts of their signature first: an edited copy is near
+    the text that most others still have. Only those that match none meet every other context of it; windows with one context share its ranges.
+    """
+    kinds = large.groupBy("sig", "before", "context").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "one"))
+    kinds = staged(kinds.withColumn("rank", rank), "contexts")
+
+    def beside(rows: DataFrame, some: DataFrame) -> DataFrame:
+        """Windows with the contexts of other texts; of two texts that have it one is not the window's own."""
+        other = some.select("sig", F.col("before").alias("before2"), F.col("context").alias("context2"), "one", "two")
+        pairs = rows.join(other, "sig").withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
+        return pairs.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c")}).filter("t <> t2")
 
-    return pairs.mapInArrow(run, MEMBER)
+    first = staged(compared(beside(alone, kinds.filter(F.col("rank") <= leaders)), threshold), "led")
+    rest = staged(alone.join(first.select("sig", F.col("t0").alias("t"), F.col("c0").alias("c")).distinct(), ["sig", "t", "c"], "left_anti"), "rest")
+    found = first.select("t", "first", "last", "hub")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(compared(beside(rest, kinds.filter(F.col("rank") > leaders)), threshold).select("t", "first", "last", "hub"))
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2, group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, start_word, end_word, class_id): the maximal runs of words that lie in near-duplicate passages of other documents.
 
     Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z); ``end_word`` is
-    exclusive; ``class_id`` is the least id that a passage reaches over near-duplicate passages. A text
+    exclusive. Of one word repeated, no five are a shingle that texts can share. ``class_id`` is the least id that a passage reaches over near-duplicate passages. A text
     of at least fifty words that stands in several rows is a passage as a whole. Null, empty and shorter
     texts have no passages; repeats inside one text do not count. Rows that share an id are looked at
     one by one and reported under it; ids that are null are reported, but name no class unless all are.
@@ -335,9 +389,7 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2,
         members = members.unionByName(exact.select("t", "first", "last", "hub"))
         alone = staged(large.join(exact.select("sig", "t", "c").distinct(), ["sig", "t", "c"], "left_anti"), "alone")
         if not alone.isEmpty():
-            other = large.select("sig", *(F.col(x).alias(f"{x}2") for x in ("t", "c", "before", "context")))
-            pairs = alone.join(other, "sig").filter("t <> t2").select("t", "c", "before", "context", "t2", "c2", "before2", "context2")
-            members = members.unionByName(compared(pairs, threshold))
+            members = members.unionByName(without_partner(alone, large, threshold))
     words = F.regexp_count(F.col("text"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     texts = staged(rows.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(words).cast("long").alias("words")), "texts")
     copies = texts.filter((F.col("copies") > 1) & (F.col("words") >= PASSAGE))
