@@ -1119,6 +1119,25 @@ def _(spark, sf):
     return I.run_increment(spark, raw, models, layout, 1)
 
 
+@query("build_then_increment", f"""WITH {D.CLEAN_CTES},
+sized AS (SELECT doc_id, url, clean_text, {D.sql_words('clean_text')} AS n FROM clean)
+SELECT url, -1 AS increment FROM sized WHERE doc_id % 2 = 0 AND n > 100 QUALIFY row_number() OVER (PARTITION BY clean_text ORDER BY url) = 1
+UNION ALL SELECT url, 0 FROM sized WHERE doc_id % 2 = 1 AND n >= 100""")
+def _(spark, sf):
+    """A full build of half the articles, then an increment over all of them: the rows of the entity table."""
+    from intelweave.plans import batch
+
+    def tagger(df):
+        return df.withColumns({"threat_score": F.lit(0.9), "primary_industry": F.lit("Finance"), "industry_score": F.lit(0.8)})
+
+    raw = D.articles(spark, sf).select("doc_id", "id", "title", "url", "content")
+    models = batch.Models(None, None, None, V.fit_embedder(D.cleaned(spark, sf)), tagger=tagger)
+    layout = batch.Layout(scratch(spark, "build"))
+    batch.build(spark, raw.where("doc_id % 2 = 0").drop("doc_id", "id"), models, layout)
+    I.run_increment(spark, raw.drop("doc_id"), models, layout, 0)
+    return spark.read.parquet(layout.at("entities")).select("url", long("increment").alias("increment"))
+
+
 # == Sources and sinks ======================================================
 
 
