@@ -24,7 +24,8 @@ from intelweave.operators import web as P
 from intelweave.plans import api as A
 from intelweave.plans import increment as I
 from intelweave.sources import stores, tables
-from intelweave.session import cut_lineage, scratch
+from intelweave.plans.batch import stage
+from intelweave.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -598,7 +599,7 @@ UNION ALL SELECT doc_id, sent, 0 FROM plain
 WHERE r <= (SELECT least(count(*), 2000) FROM per WHERE entity_tokens > 0)""")
 def _(spark, sf):
     # The sample reads its input several times (count, prefix sizes, rows): label once, write, read.
-    sample = B.ner_training_sample(cut_lineage(B.bio_label(_sentences(spark, sf))), ["doc_id"])
+    sample = B.ner_training_sample(stage(spark, B.bio_label(_sentences(spark, sf)), scratch(spark, "bio")), ["doc_id"])
     n = F.size(F.filter("tags", lambda t: t != "O"))
     return sample.select("doc_id", long("sent").alias("sent"), long(n).alias("entity_tokens"))
 
@@ -976,7 +977,7 @@ alln AS (SELECT label, key, CASE WHEN label = 'Article' AND key IN (SELECT src F
 SELECT 'edge' AS part, rel AS name, dst AS detail, count(*) AS n FROM alle GROUP BY rel, dst
 UNION ALL SELECT 'node', label, coalesce(industry, ''), count(*) FROM alln GROUP BY label, coalesce(industry, '')""")
 def _(spark, sf):
-    rows = cut_lineage(D.entities(spark, sf).drop("clean_text"))
+    rows = stage(spark, D.entities(spark, sf).drop("clean_text"), scratch(spark, "entities"))
     again = rows.where("doc_id % 5 = 0").withColumn("primary_industry", F.lit("Finance"))
     n, e = G.merge_graph(*G.build_graph(rows, "doc_id"), *G.build_graph(again, "doc_id"))
     by_edge = e.groupBy(F.col("rel").alias("name"), F.col("dst").alias("detail")).agg(F.count("*").alias("n"))
@@ -1001,7 +1002,7 @@ def _(spark, sf):
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     # Nodes and edges both read the entity rows, so the text work is done and written once.
-    return G.build_graph(cut_lineage(D.entities(spark, sf).drop("clean_text")), "doc_id")
+    return G.build_graph(stage(spark, D.entities(spark, sf).drop("clean_text"), scratch(spark, "entities")), "doc_id")
 
 
 # == Query surface ==========================================================
