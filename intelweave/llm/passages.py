@@ -11,7 +11,8 @@ differ somewhere. Passages that are equal over a passage's length always share a
 
 A short line that very many documents share would bring all their windows together. A signature
 therefore holds a second shingle, half a passage before or behind the minimum (a row for each side):
-a passage that holds the minimum reaches at least one of the two places.
+a passage that holds the minimum reaches at least one of the two places. In a run of one word over that
+place the run's ends stand for it, and runs of a passage or more are grouped by their word, not paired.
 
 A signature that more than ``group`` windows share is not paired up: its windows are grouped by the
 exact shingles of ten fixed ranges around c, one of which two windows with a whole passage in common
@@ -66,11 +67,8 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles_of(text: str, t: int) -> np.ndarray:
-    """64-bit hashes of all runs of five words; none for shorter texts.
-
-    One word five times over is no passage: such a run is a number of the text's own (by its key ``t``).
-    """
+def shingles_of(text: str) -> np.ndarray:
+    """64-bit hashes of all runs of five words; none for shorter texts."""
     words = words_of(text)
     n = len(words) - SHINGLE + 1
     if n < 1:
@@ -79,36 +77,60 @@ def shingles_of(text: str, t: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         out = out * np.uint64(_PRIME) + h[j:j + n]
-    twin = np.append(0, np.cumsum(h[1:] == h[:-1]))
-    alone = twin[SHINGLE - 1:] - twin[:n] == SHINGLE - 1
-    out = mix(out)
-    out[alone] = mix(mix(np.uint64(t & (1 << 64) - 1) + np.arange(n, dtype=np.uint64))[alone])
-    return out
+    return mix(out)
 
 
 def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(c, l, r) of all compact windows that hold a subsequence of ``length``; of equal minima, the middle one."""
-    out, todo, ties = [], [(0, len(values) - 1)], len(np.unique(values)) < len(values)
+    """(c, l, r) of all compact windows that hold a subsequence of ``length``.
+
+    Of equal minima c is the first one, so it depends on the subsequence alone and not on what is around it.
+    """
+    n = len(values)
+    if len(np.unique(values)) < n:
+        low, high, open_ = [0] * n, [n - 1] * n, []
+        for i, v in enumerate(values.tolist()):
+            while open_ and open_[-1][1] > v:
+                high[open_.pop()[0]] = i - 1
+            low[i] = open_[-1][0] + 1 if open_ else 0
+            open_.append((i, v))
+        return [(c, x, y) for c, (x, y) in enumerate(zip(low, high)) if y - x + 1 >= length]
+    out, todo = [], [(0, n - 1)]
     while todo:
         low, high = todo.pop()
         if high - low + 1 >= length:
-            part = values[low:high + 1]
-            c = low + int(part.argmin())
-            if ties:
-                same = np.flatnonzero(part == values[c])
-                c = low + int(same[len(same) // 2])
+            c = low + int(values[low:high + 1].argmin())
             out.append((c, low, high))
             todo.append((low, c - 1))
             todo.append((c + 1, high))
     return out
 
 
+def runs_of(h: np.ndarray) -> np.ndarray:
+    """For each place, how many equal shingles stand from there on in a row."""
+    end = np.append(np.flatnonzero(h[1:] != h[:-1]), len(h) - 1)
+    return end[np.searchsorted(end, np.arange(len(h)))] + 1 - np.arange(len(h))
+
+
 def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
     """Signatures of the compact windows of each distinct text (t, text); a task looks at equal texts once.
 
-    ``near`` holds how far the window reaches before and behind c, as far as a unit window can.
+    ``near`` holds how far the window reaches before and behind c, as far as a unit window can. In a run of
+    one shingle over the place behind c, that shingle tells nothing: the run's length with what follows it
+    and what stands before it are the anchors. Whole unit windows of one shingle need none: their run is
+    one row with its length, negative, as ``near``.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(h: np.ndarray, seed: int, run: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        near = (np.minimum(c - low, SIDE) << 8 | np.minimum(high - c, SIDE)).astype(np.int32)
+        long = run[c] > HALF
+        has = c - HALF >= low
+        behind = ~long & (c + HALF <= high)
+        ends = long & (run[c] <= SIDE) & (c + run[c] <= high)
+        starts = long & (c > low)
+        for on, at, kind in ((has, c - HALF, 1), (behind, c + HALF, 0), (ends, c + run[c], 2 + run[c]), (starts, c - 1, 2)):
+            kind = np.broadcast_to(np.asarray(kind, np.uint64), c.shape)[on]
+            yield mix(mix(h[c[on]] + np.uint64(seed)) ^ h[at[on]] + kind).view(np.int64), c[on], near[on]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
@@ -117,19 +139,20 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
                     if t in seen:
                         continue
                     seen.add(t)
-                    h = shingles_of(text, t)
-                    for f in range(hashes if len(h) >= UNIT else 0):
+                    h = shingles_of(text)
+                    if len(h) < UNIT:
+                        continue
+                    run = runs_of(h)
+                    at = np.flatnonzero((run >= UNIT) & np.append(True, h[1:] != h[:-1]))
+                    cols.append((mix(h[at]).view(np.int64), np.full(len(at), t, np.int64), at, -run[at].astype(np.int32)))
+                    for f in range(hashes):
                         c, low, high = np.array(compact_windows(mix(h ^ np.uint64(_SEEDS[f])), UNIT), np.int64).T
-                        near = (np.minimum(c - low, SIDE) << 8 | np.minimum(high - c, SIDE)).astype(np.int32)
-                        for side in (-HALF, HALF):
-                            has = (c + side >= low) & (c + side <= high)
-                            at = c[has]
-                            sig = mix(mix(h[at] + np.uint64(_SEEDS[f])) ^ h[at + side] + np.uint64(side < 0)).view(np.int64)
-                            cols.append((sig, np.full(len(sig), t, np.int64), at, near[has]))
+                        for sig, at, near in rows_of(h, _SEEDS[f], run, c, low, high):
+                            cols.append((sig, np.full(len(sig), t, np.int64), at, near))
                 if cols:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], names=["sig", "t", "c", "near"])
 
-    return texts.select("t", "text").mapInArrow(run, WINDOW)
+    return texts.select("t", "text").mapInArrow(windows, WINDOW)
 
 
 def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
@@ -168,7 +191,7 @@ def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
                 if t in seen:
                     continue
                 seen.add(t)
-                h = (shingles_of(text, t) >> np.uint64(32)).astype("<u4")
+                h = (shingles_of(text) >> np.uint64(32)).astype("<u4")
                 out = []
                 for w in rows:
                     before, behind = w["near"] >> 8, w["near"] & 255
@@ -368,7 +391,7 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2,
     """Rows (id, start_word, end_word, class_id): the maximal runs of words that lie in near-duplicate passages of other documents.
 
     Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z); ``end_word`` is
-    exclusive. Of one word repeated, no five are a shingle that texts can share. ``class_id`` is the least id that a passage reaches over near-duplicate passages. A text
+    exclusive. ``class_id`` is the least id that a passage reaches over near-duplicate passages. A text
     of at least fifty words that stands in several rows is a passage as a whole. Null, empty and shorter
     texts have no passages; repeats inside one text do not count. Rows that share an id are looked at
     one by one and reported under it; ids that are null are reported, but name no class unless all are.
@@ -379,8 +402,9 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2,
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     shared = staged(shared_windows(text_windows(rows, hashes)), "windows")
-    found = staged(group_windows(contexts(rows.select("t", "text"), shared), threshold, group), "groups")
+    found = staged(group_windows(contexts(rows.select("t", "text"), shared.filter("near >= 0")), threshold, group), "groups")
     members = found.filter("hub IS NOT NULL").select("t", "first", "last", "hub")
+    members = members.unionByName(shared.filter("near < 0").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
     large = found.filter("hub IS NULL").select("t", "sig", "c", "before", "context")
     if not large.isEmpty():
         ranges = staged(exact_ranges(large), "ranges")

@@ -175,6 +175,19 @@ def test_compact_windows_hold_each_long_subsequence_once():
                     assert len(holding) == 1 and values[holding[0]] == values[i:j + 1].min()
 
 
+def test_passages_with_one_word_in_a_row(docs_of):
+    head, tail = prose(60, 300).split(), prose(60, 301).split()
+    cases = [head[:20] + ["na"] * 12 + tail[:18], head[:12] + ["na"] * 38, ["na"] * 38 + tail[:12], head[:5] + ["na"] * 40 + tail[:5], ["0"] * 70, head[:1] + ["na"] * 49, ["na", "no"] * 25]
+    for n, case in enumerate(cases):
+        around = [(["na"] * 9 if n in (1, 2, 5) and i else []) for i in range(2)]
+        texts = [" ".join(prose(60, 310 + i).split() + around[i] + case + around[i] + prose(60, 320 + i).split()) for i in range(2)]
+        rows = passages.repeated_passages(docs_of(texts)).collect()
+        for i in range(2):
+            start = 60 + len(around[i])
+            assert any(r.doc_id == i and r.start_word <= start and r.end_word >= start + len(case) for r in rows), n
+        assert {r.class_id for r in rows} == {0}
+
+
 # == Pipeline
 
 
