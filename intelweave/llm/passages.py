@@ -227,13 +227,14 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
     both = fx & fy
     whole = sums(both) == UNIT
     good = whole & (sums(both & (x == y)) >= least)
-    # equal in place is enough; where words were put in or left out, the windows are compared as multisets
-    rest = np.flatnonzero(whole.any(1) & ~good.any(1))
+    # equal in place is enough; where words were put in or left out, each other window is compared as a multiset
+    rest = np.flatnonzero((whole & ~good).any(1))
     for a in range(0, len(rest), 256):
         some = rest[a:a + 256]
         met = (x[some][:, :, None] == y[some][:, None, :]) & fx[some][:, :, None] & fy[some][:, None, :]
         bound = np.minimum(sums(met.any(2)), sums(met.any(1)))  # no window shares more
-        some = some[(whole[some] & (bound >= least)).any(1)]
+        open_ = whole[some] & ~good[some] & (bound >= least)
+        some, open_ = some[open_.any(1)], open_[open_.any(1)]
         if not len(some):
             continue
         xs, ys, fxs = x[some], y[some], fx[some]
@@ -244,11 +245,11 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
             return np.pad(np.cumsum(same, 2, dtype=np.int16), ((0, 0), (0, 0), (1, 0)))
 
         own, others = upto(xs, fxs), upto(ys, fy[some])
-        for k in range(good.shape[1]):
+        for k in np.flatnonzero(open_.any(0)):
             p = np.arange(k, k + UNIT)
             # the n-th of equal shingles in x's window is shared if y's window has n of them
             shared = own[:, p, p] - own[:, p, k] < others[:, p, k + UNIT] - others[:, p, k]
-            good[some, k] = whole[some, k] & (shared.sum(1) >= least)
+            good[some, k] |= open_[:, k] & (shared.sum(1) >= least)
     return good.any(1), good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1)
 
 

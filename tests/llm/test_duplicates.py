@@ -188,6 +188,28 @@ def test_passages_with_one_word_in_a_row(docs_of):
         assert {r.class_id for r in rows} == {0}
 
 
+def test_verify_looks_at_every_window_across_an_edit():
+    rng = np.random.default_rng(6)
+    width, unit, least = 2 * passages.SIDE + 1, passages.UNIT, passages.need(0.8)
+    x = rng.integers(0, 2**32, (40, width), dtype=np.uint32)
+    y = x.copy()
+    for i in range(40):  # a word put in replaces four shingles by five and moves the rest
+        at = rng.integers(20, 80)
+        y[i] = np.concatenate([x[i, :at], rng.integers(0, 2**32, 5, dtype=np.uint32), x[i, at + 4:]])[:width]
+    y[:5] = rng.integers(0, 3, (5, width))
+    x[:5] = rng.integers(0, 3, (5, width))
+    full = np.ones(x.shape, bool)
+    ok, first, last = passages.verify(x, full, y, full, least)
+    across = 0
+    for i in range(40):
+        both = [sum((collections.Counter(x[i, k:k + unit].tolist()) & collections.Counter(y[i, k:k + unit].tolist())).values()) for k in range(width - unit + 1)]
+        place = [int((x[i, k:k + unit] == y[i, k:k + unit]).sum()) for k in range(width - unit + 1)]
+        want = [k for k, n in enumerate(both) if n >= least]
+        assert ok[i] == bool(want) and (not want or (first[i], last[i]) == (want[0], want[-1]))
+        across += max(place) >= least and want[-1] != max(k for k, n in enumerate(place) if n >= least)
+    assert across > 5
+
+
 # == Pipeline
 
 
