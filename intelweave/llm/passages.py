@@ -16,7 +16,8 @@ place the run's ends stand for it, and runs of a passage or more are grouped by
 
 A signature that more than ``group`` windows share is not paired up: its windows are grouped by the
 exact shingles of ten fixed ranges around c, one of which two windows with a whole passage in common
-always share; only windows without any such partner are compared with the others of their signature.
+always share; its distinct contexts are compared with the most frequent ones, and those that exact ranges
+and these comparisons leave in different classes with each other.
 Groups, not pairs, are the result: each has a number, and a passage is linked to the groups it is in.
 """
 
@@ -318,13 +319,13 @@ def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
 
 
 def exact_ranges(large: DataFrame) -> DataFrame:
-    """(hub, t, first, last, sig, c): the ranges of each window of a large group, with a hash of their shingles as hub.
+    """(hub, t, first, last, kind): the ranges of each window of a large group, with a hash of their shingles as hub.
 
     ``first`` and ``last`` are those of the unit windows around the range, which share it and so are similar enough.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, sig, c, before, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            t, sig, c, before, context, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             for a in range(0, len(t), 2048):
                 part = slice(a, a + 2048)
                 m, filled = matrix(before[part], context[part])
@@ -337,55 +338,68 @@ def exact_ranges(large: DataFrame) -> DataFrame:
                     right = left + filled[on].sum(1) - 1
                     first = c[part][on] - SIDE + np.maximum(at - STEP + 1, left)
                     last = c[part][on] - SIDE + np.minimum(at + UNIT - 1, right) + SHINGLE
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), t[part][on], first, last, sig[part][on], c[part][on])],
-                                                     names=["hub", "t", "first", "last", "sig", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), t[part][on], first, last, kind[part][on])],
+                                                     names=["hub", "t", "first", "last", "kind"])
 
-    return large.select("t", "sig", "c", "before", "context").mapInArrow(run, "hub long, t long, first long, last long, sig long, c long")
+    return large.select("t", "sig", "c", "before", "context", "kind").mapInArrow(run, "hub long, t long, first long, last long, kind long")
 
 
-PAIR = ["sig", "t", "c", "before", "context", "t2", "c2", "before2", "context2"]
+PAIR = ["t", "c", "before", "context", "kind", "t2", "c2", "before2", "context2", "kind2"]
 
 
 def compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Two MEMBER rows for each verified pair of windows, with the first one's (sig, t0, c0)."""
+    """Two MEMBER rows for each verified pair of windows, with the kinds of both."""
     least = need(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for a in range(0, batch.num_rows, 2048):
-                sig, t, c, before, context, t2, c2, before2, context2 = (x[a:a + 2048] for x in cols)
+                t, c, before, context, kind, t2, c2, before2, context2, kind2 = (x[a:a + 2048] for x in cols)
                 ok, first, last = verify(*matrix(before, context), *matrix(before2, context2), least)
                 hub = mix(mix(t.view(np.uint64)) + c.astype(np.uint64)).view(np.int64)
                 for x, y in ((t, c), (t2, c2)):
-                    yield pa.RecordBatch.from_arrays([*_members(x[ok], y[ok], first[ok], last[ok], hub[ok]), *(pa.array(v[ok]) for v in (sig, t, c))],
-                                                     names=["t", "first", "last", "hub", "sig", "t0", "c0"])
+                    yield pa.RecordBatch.from_arrays([*_members(x[ok], y[ok], first[ok], last[ok], hub[ok]), *(pa.array(v[ok]) for v in (kind, kind2))],
+                                                     names=["t", "first", "last", "hub", "kind", "kind2"])
 
-    return pairs.select(*PAIR).mapInArrow(run, MEMBER + ", sig long, t0 long, c0 long")
+    return pairs.select(*PAIR).mapInArrow(run, MEMBER + ", kind long, kind2 long")
 
 
-def without_partner(alone: DataFrame, large: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
-    """MEMBER rows of windows of large groups that share no exact range with another text.
+def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
+    """MEMBER rows of windows of large groups by comparing the distinct contexts (kinds) of each signature.
 
-    They are compared with the most frequent contexts of their signature first: an edited copy is near
-    the text that most others still have. Only those that match none meet every other context of it; windows with one context share its ranges.
+    All kinds meet the most frequent ones first: an edited copy is near the text that most others still
+    have. Then every two kinds that neither this nor a shared exact range (``exact``) has brought into one
+    class are compared. A kind of one text stands for all its windows; one of several texts is
+    compared once, as its windows share all their ranges anyway.
     """
-    kinds = large.groupBy("sig", "before", "context").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "one"))
-    kinds = staged(kinds.withColumn("rank", rank), "contexts")
-
-    def beside(rows: DataFrame, some: DataFrame) -> DataFrame:
+    kinds = large.groupBy("sig", "kind").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c", "before", "context")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "one.t", "one.c"))
+    kinds = staged(kinds.select("sig", "kind", "n", "one.before", "one.context", F.struct("one.t", "one.c").alias("one"), "two", rank.alias("rank")), "contexts")
+    plain = ["sig", "kind", "t", "c", "before", "context"]
+    single = large.join(kinds.filter("n = 1").select("kind"), "kind", "left_semi").select(*plain)
+    rows = staged(single.unionByName(kinds.filter("n > 1").select("sig", "kind", "one.t", "one.c", "before", "context")), "kinds")
+
+    def beside(left: DataFrame, some: DataFrame) -> DataFrame:
         """Windows with the contexts of other texts; of two texts that have it one is not the window's own."""
-        other = some.select("sig", F.col("before").alias("before2"), F.col("context").alias("context2"), "one", "two")
-        pairs = rows.join(other, "sig").withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
+        other = some.select("sig", *[F.col(x).alias(x + "2") for x in ("kind", "before", "context")], "one", "two", *(["root2", "most2"] if "root2" in some.columns else []))
+        pairs = left.join(other, "sig").filter("kind <> kind2").withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
         return pairs.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c")}).filter("t <> t2")
 
-    first = staged(compared(beside(alone, kinds.filter(F.col("rank") <= leaders)), threshold), "led")
-    rest = staged(alone.join(first.select("sig", F.col("t0").alias("t"), F.col("c0").alias("c")).distinct(), ["sig", "t", "c"], "left_anti"), "rest")
-    found = first.select("t", "first", "last", "hub")
-    if rest.isEmpty():
-        return found
-    return found.unionByName(compared(beside(rest, kinds.filter(F.col("rank") > leaders)), threshold).select("t", "first", "last", "hub"))
+    led = staged(compared(beside(rows, kinds.filter(F.col("rank") <= leaders)), threshold), "led")
+    found = led.select("t", "first", "last", "hub")
+    links = exact.select(F.col("kind").alias("a"), F.col("hub").alias("b")).unionByName(led.select(F.col("kind").alias("a"), F.col("kind2").alias("b"))).distinct()
+    roots = components(links).select(F.col("node").alias("kind"), "root")
+    classed = kinds.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
+    classed = staged(classed, "classes")
+    sizes = classed.groupBy("sig", "root").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("sig").agg(F.count("*").alias("classes"), F.max(F.struct("size", "root")).alias("top")).filter("classes > 1").select("sig", F.col("top.root").alias("most"))
+    classed = classed.join(most, "sig")
+    small = rows.join(classed.filter("root <> most").select("kind", "root"), "kind")
+    # kinds of the largest class meet those of the others, and these each other
+    other = classed.withColumnsRenamed({"root": "root2", "most": "most2"})
+    rest = beside(small, other).filter("root2 = most2 or root < root2")
+    return found.unionByName(staged(compared(rest, threshold), "rest").select("t", "first", "last", "hub"))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,15 +420,12 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2,
     found = staged(group_windows(contexts(rows.select("t", "text"), shared.filter("near >= 0")), threshold, group), "groups")
     members = found.filter("hub IS NOT NULL").select("t", "first", "last", "hub")
     members = members.unionByName(shared.filter("near < 0").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
-    large = found.filter("hub IS NULL").select("t", "sig", "c", "before", "context")
+    large = found.filter("hub IS NULL").select("t", "sig", "c", "before", "context", F.xxhash64("sig", "before", "context").alias("kind"))
     if not large.isEmpty():
         ranges = staged(exact_ranges(large), "ranges")
         both = ranges.groupBy("hub").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("hub")
         exact = staged(ranges.join(both, "hub", "left_semi"), "exact")
-        members = members.unionByName(exact.select("t", "first", "last", "hub"))
-        alone = staged(large.join(exact.select("sig", "t", "c").distinct(), ["sig", "t", "c"], "left_anti"), "alone")
-        if not alone.isEmpty():
-            members = members.unionByName(without_partner(alone, large, threshold))
+        members = members.unionByName(exact.select("t", "first", "last", "hub")).unionByName(across_kinds(large, exact, threshold))
     words = F.regexp_count(F.col("text"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     texts = staged(rows.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(words).cast("long").alias("words")), "texts")
     copies = texts.filter((F.col("copies") > 1) & (F.col("words") >= PASSAGE))

@@ -210,6 +210,14 @@ def test_verify_looks_at_every_window_across_an_edit():
     assert across > 5
 
 
+def test_large_groups_link_what_pairs_link(docs_of):
+    shared = prose(60, 400).split()
+    edited = shared[:30] + ["zzzz"] + shared[31:]
+    texts = [" ".join(prose(50, 410 + i).split() + (edited if i > 13 else shared) + prose(50, 440 + i).split()) for i in range(18)]
+    found = [{(r.doc_id, r.class_id) for r in passages.repeated_passages(docs_of(texts), group=group).collect()} for group in (256, 4)]
+    assert found[0] == {(i, 0) for i in range(18)} and found[1] == found[0]
+
+
 # == Pipeline
 
 
