@@ -24,8 +24,7 @@ from intelweave.llm.common import row_key, staged
 SHINGLE = 5
 RADIUS = 15
 BLOCK_BITS = 4  # 16 blocks of 4 bits
-LANES = 0x0001000100010001  # four counters of 16 bits
-MOST_SHINGLES = 32_767  # of an item: what a counter holds
+SHORT = 32_767  # shingles that counters of 16 bits hold; more are counted in 32 bits
 
 
 def words_of(text: Column) -> Column:
@@ -42,17 +41,23 @@ def shingles_of(words: Column, k: int) -> Column:
 
 
 def simhash_of(shingles: Column) -> Column:
-    """64-bit SimHash: a bit is set if it is set in over half of the hashes. Counted four bits to a long."""
-    def majority(lanes: Column) -> Column:
-        half = (F.lit(16383) - F.floor(F.size(shingles) / 2)).cast("long") * F.lit(LANES)
-        bits = [F.shiftleft(F.shiftrightunsigned((lanes[t] + half), 14).bitwiseAND(LANES), t) for t in range(16)]
+    """64-bit SimHash: a bit is set if it is set in over half of the hashes. Counted four bits to a long, of long windows two."""
+    return F.when(F.size(shingles) <= SHORT, _majority(shingles, 16)).otherwise(_majority(shingles, 32))
+
+
+def _majority(shingles: Column, width: int) -> Column:
+    lanes, top = sum(1 << i for i in range(0, 64, width)), width - 2
+
+    def majority(counts: Column) -> Column:
+        half = (F.lit((1 << top) - 1) - F.floor(F.size(shingles) / 2)).cast("long") * F.lit(lanes)
+        bits = [F.shiftleft(F.shiftrightunsigned((counts[t] + half), top).bitwiseAND(lanes), t) for t in range(width)]
         out = bits[0]
         for b in bits[1:]:
             out = out.bitwiseOR(b)
         return out
 
-    zero = F.array(*[F.lit(0).cast("long")] * 16)
-    counted = F.aggregate(shingles, zero, lambda acc, h: F.array(*[acc[t] + F.shiftrightunsigned(h, t).bitwiseAND(LANES) for t in range(16)]))
+    zero = F.array(*[F.lit(0).cast("long")] * width)
+    counted = F.aggregate(shingles, zero, lambda acc, h: F.array(*[acc[t] + F.shiftrightunsigned(h, t).bitwiseAND(lanes) for t in range(width)]))
     return bind(counted, majority)
 
 
@@ -85,7 +90,7 @@ def find_contamination(
     sequence; null, empty and wordless items match nothing, and neither do null or empty texts. A
     document shorter than an item is compared whole. Repeated documents, and rows that share an id or
     have none, are looked at one by one and reported under their id; repeated items are all reported.
-    An item of more than 32,767 shingles is refused. Other columns are left out, so their names cannot clash.
+    Items may be of any length. Other columns are left out, so their names cannot clash.
 
     Work: one pass over the texts; what leaves it are documents with a shared shingle. A passage that
     very many documents share is one join key, which adaptive execution splits on the documents' side.
@@ -100,8 +105,6 @@ def find_windows(keyed: DataFrame, benchmark: DataFrame, threshold: float, item_
     """All verified windows (key, item, similarity, hamming, start_word, n_words) of rows (key, text)."""
     items = staged(with_computed(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), {"words": words_of(F.col("text"))})
                    .filter(F.size("words") > 0).select("item", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k")), "items")
-    if items.filter(F.col("n") - F.col("k") >= MOST_SHINGLES).limit(1).count():
-        raise ValueError(f"an item has more than {MOST_SHINGLES} shingles")
     parts = [_windows_of_size(keyed, items.filter(F.col("k") == r["k"]), r["k"], threshold) for r in items.select("k").distinct().collect()]  # at most five
     if not parts:
         return keyed.limit(0).select("key", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0.0).alias("similarity"),

@@ -134,6 +134,18 @@ def test_packed_fingerprint_counts(spark):
         assert got == int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def test_long_windows_and_items(spark, docs_of):
+    h = np.random.default_rng(7).integers(-2**63, 2**63 - 1, 40_000, dtype=np.int64)
+    h[:15_000] = h[0]
+    got = spark.createDataFrame([(h.tolist(),)], "h array<long>").select(decontam.simhash_of(F.col("h"))).first()[0]
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    assert got == int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0])
+    long, item = " ".join(f"w{i}" for i in range(33_000)), prose(40, 50)
+    benchmark = spark.createDataFrame([(1, long), (2, item)], "item_id long, text string")
+    found = decontam.find_contamination(docs_of([long + " end", prose(50, 51) + " " + item, "w1 w2 w3 w4 w5"]), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in found} == {(0, 1, 1.0), (1, 2, 1.0)}
+
+
 # == Passages
 
 
