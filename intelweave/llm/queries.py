@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelweave.llm import decontam, licenses, packing, passages, quality_gam, repetition, secret_scan, simhash_dedup, token_store, url_filter
+from intelweave.llm import decontam, fill_middle, licenses, packing, passages, quality_gam, repetition, secret_scan, simhash_dedup, token_store, url_filter
 from intelweave.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,26 @@ def _(spark, sf):
 @query("op6_passages")
 def _(spark, sf):
     return passages.repeated_passages(read(spark, sf, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+  CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT doc_id, text, w, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+       WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(list_slice(w, 1, a), ''), '') AS x, coalesce(array_to_string(list_slice(w, a + 1, b), ''), '') AS y,
+  coalesce(array_to_string(list_slice(w, b + 1, n), ''), '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def _(spark, sf):
+    made = fill_middle.transform_texts(read(spark, sf, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
