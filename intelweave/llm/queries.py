@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intelweave.llm import decontam, fill_middle, licenses, packing, passages, quality_gam, repetition, secret_scan, simhash_dedup, token_store, url_filter, whitening
+from intelweave.llm import decontam, fill_middle, licenses, main_text, packing, passages, quality_gam, repetition, secret_scan, simhash_dedup, token_store, url_filter, whitening
 from intelweave.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,13 @@ def _(spark, sf):
     return whitening.whiten(read(spark, sf, "embeddings"))
 
 
+@query("op13_main_text")
+def _(spark, sf):
+    pages = read(spark, sf, "pages")
+    found = main_text.extract(pages, main_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
 OP12_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
 u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
