@@ -18,6 +18,7 @@ from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import quality as Q
 from intelweave.operators import sampling as R
+from intelweave.operators import tagger as N
 from intelweave.operators import tagging as C
 from intelweave.operators import vectors as V
 from intelweave.operators import web as P
@@ -604,6 +605,50 @@ def _(spark, sf):
     return sample.select("doc_id", long("sent").alias("sent"), long(n).alias("entity_tokens"))
 
 
+_SAMPLE = f"""
+WITH {D.CLEAN_CTES},{_BIO},
+per AS (SELECT doc_id, sent, count(*) FILTER (tag <> 'O') AS entity_tokens FROM bio GROUP BY doc_id, sent),
+plain AS (SELECT doc_id, sent, row_number() OVER (ORDER BY md5('42|' || doc_id || '|' || sent), doc_id, sent) AS r FROM per WHERE entity_tokens = 0),
+chosen AS (SELECT doc_id, sent FROM per WHERE entity_tokens > 0
+           UNION ALL SELECT doc_id, sent FROM plain WHERE r <= (SELECT least(count(*), 2000) FROM per WHERE entity_tokens > 0)),
+part AS (SELECT doc_id, sent, substr(md5('42|' || doc_id || '|' || sent), 1, 8) < 'e6666666' AS train FROM chosen)
+"""
+
+
+def _tagger_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    sample = B.ner_training_sample(stage(spark, B.bio_label(_sentences(spark, sf)), scratch(spark, "bio")), ["doc_id"])
+    return R.split(stage(spark, sample, scratch(spark, "sample")), ["doc_id", "sent"], 0.9)
+
+
+@query("train_tagger", _SAMPLE + """
+SELECT (SELECT count(*) FROM part WHERE train) AS train_sentences, (SELECT count(*) FROM part WHERE NOT train) AS test_sentences,
+       count(*) AS test_tokens, round(avg(CASE WHEN tag = 'O' THEN 1.0 ELSE 0 END), 4) AS majority_accuracy, true AS above_majority,
+       true AS names_found
+FROM bio JOIN part USING (doc_id, sent) WHERE NOT train""")
+def _(spark, sf):
+    train, test = _tagger_parts(spark, sf)
+    model = N.train_tagger(train, ["doc_id"])
+    tagged = N.tag_sentences(test, model, ["doc_id"]).withColumnRenamed("tags", "pred")
+    both = tagged.join(test.select("doc_id", "sent", "tags"), ["doc_id", "sent"])
+    flat = both.select("doc_id", "sent", F.inline(F.arrays_zip(F.col("tags").alias("tag"), F.col("pred").alias("pred"))))
+    right, named = F.count_if(F.col("tag") == F.col("pred")), F.count_if((F.col("tag") != "O") & (F.col("tag") == F.col("pred")))
+    counts = flat.agg(F.count("*").alias("test_tokens"), F.count_if(F.col("tag") == "O").alias("plain"), right.alias("right"), named.alias("named"))
+    return counts.select(
+        train.agg(F.count("*").alias("n")).scalar().alias("train_sentences"), test.agg(F.count("*").alias("n")).scalar().alias("test_sentences"), "test_tokens",
+        F.round(F.col("plain") / F.col("test_tokens"), 4).alias("majority_accuracy"), (F.col("right") > F.col("plain")).alias("above_majority"),
+        # nine of ten tokens of names bear the right tag
+        (F.col("named") >= 0.9 * (F.col("test_tokens") - F.col("plain"))).alias("names_found"))
+
+
+@query("tag_sentences", f"WITH {D.CLEAN_CTES},{_SENT} SELECT doc_id, sent, len(words) AS tags, true AS consistent FROM sents WHERE len(words) >= 3")
+def _(spark, sf):
+    model = N.train_tagger(_tagger_parts(spark, sf)[0], ["doc_id"])
+    tagged = N.tag_sentences(_sentences(spark, sf, 3, None), model, ["doc_id"])
+    before = F.concat(F.array(F.lit("O")), F.slice("tags", 1, F.size("tags") - 1))
+    continues = F.zip_with("tags", before, lambda t, b: ~t.startswith("I-") | ((b != "O") & (F.substring(t, 3, 9) == F.substring(b, 3, 9))))
+    return tagged.select("doc_id", long("sent").alias("sent"), long(F.size("tags")).alias("tags"), F.forall(continues, lambda c: c).alias("consistent"))
+
+
 # Arbitrary tag sequences, spelled from the position, to exercise every transition.
 @query("bio_decode", f"""
 WITH {D.CLEAN_CTES},{_SENT},
