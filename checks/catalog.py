@@ -16,6 +16,7 @@ from intelweave.functions.vectors import similarity, squared_distance
 from intelweave.operators import bio as B
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
+from intelweave.operators import knn_join as K
 from intelweave.operators import quality as Q
 from intelweave.operators import sampling as R
 from intelweave.operators import tagger as N
@@ -907,6 +908,18 @@ def _(spark, sf):
     return top.select("doc_id", F.round("distance", 6).alias("distance"))
 
 
+@query("knn_join", """
+WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_sum(list_transform(generate_series(1, len(a.embedding)),
+             lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS d
+           FROM embeddings a, embeddings b)
+SELECT query_id, id, round(d, 6) AS distance, round(greatest(0.0, 1 - d / 2), 3) AS similarity FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 5""")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    near = K.knn_join(rows, rows, 5, "vec_id")
+    return near.select("query_id", "id", F.round("distance", 6).alias("distance"), "similarity")
+
+
 @query("similarity_scores", f"""
 WITH s AS (SELECT vec_id, {_DIST} AS d FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0))
 SELECT vec_id, round(greatest(0.0, 1 - d / 2), 3) AS similarity FROM s""")
