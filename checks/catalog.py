@@ -467,6 +467,7 @@ def _(spark, sf):
     rows = D.documents(spark, sf).select("doc_id", "text")
     words = rows.where("doc_id % 2 = 0").select(F.explode(F.split(F.lower("text"), FE.NOT_WORD_RUN)).alias("term"))
     terms = words.where(F.length("term").between(4, 12)).select(F.lit("word").alias("kind"), F.col("term")).distinct()
+    terms = stage(spark, terms, scratch(spark, "terms"))  # a table, as gazetteers are
     found = E.match_gazetteer(rows, "doc_id", terms, column="text")
     return found.select("doc_id", long(F.size("terms")).alias("n"), F.md5(F.array_join(F.array_sort("terms"), ",")).alias("terms"))
 

@@ -1,31 +1,49 @@
-"""A set of hashes as a bitmap of a fixed size: a cheap test inside a row, in front of an exact join."""
+"""A set of hashes as a bitmap sized from the set: a cheap test inside a row, in front of an exact join."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = 1 << 16  # 64 bits each: half a megabyte that travels with the tasks, however large the set
+PER_ITEM = 32  # bits: with two of them set for each hash, under 0.4 % of other hashes pass
+WORDS = 1 << 22  # of 64 bits, at most; beyond eight million hashes a bitmap fills up, and the join does more
+
+
+@dataclass
+class Bitmap:
+    """``words``: the bits as an array of longs, a constant in the plan; ``bits``: how many, a power of two."""
+
+    words: Column
+    bits: int
+
+
+def bits_for(n: int) -> int:
+    """The power of two from ``PER_ITEM`` bits a hash on, at least 1,024, at most ``WORDS`` words."""
+    return min(max(1 << max(n * PER_ITEM - 1, 0).bit_length(), 1024), WORDS * 64)
+
 
+def _slots(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
 
-def _slots(h: Column) -> list[Column]:
-    most = WORDS * 64 - 1
-    return [h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most)]
 
+def bitmap_of(df: DataFrame, column: str) -> Bitmap:
+    """Bitmap of the hashes (longs) in ``column``, sized by their number; at most 32 MB of bits reach the driver.
 
-def bitmap_of(df: DataFrame, column: str) -> Column:
-    """Array of longs with two bits set for each hash in ``column``; at most ``WORDS`` rows reach the driver."""
-    slots = df.select(F.explode(F.array(*_slots(F.col(column)))).alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).collect()
-    words = [0] * WORDS
-    for r in rows:
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    ``df`` is read twice, to be counted and to set bits; bits are merged on the map side.
+    """
+    bits = bits_for(df.count())
+    slots = df.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return Bitmap(F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>"), bits)
 
 
-def may_hold(bitmap: Column, h: Column) -> Column:
-    """False only for a hash that is not in the set; a fuller bitmap lets more others pass."""
+def may_hold(bitmap: Bitmap, h: Column) -> Column:
+    """False only for a hash that is not in the set."""
     first, second = [
-        F.getbit(F.get(bitmap, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _slots(h)]
+        F.getbit(F.get(bitmap.words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _slots(h, bitmap.bits)]
     return first & second

@@ -21,18 +21,17 @@ _NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?]
 _TAG = r"(?:</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>)"
 _TOKEN = rf"(?s){_TAG}|[^<]+|<"
 _ATTRIBUTE = r"""(?s)[^\s=>"'/]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_VOID = r"^(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)$"
+_VOID = "area base br col embed hr img input link meta param source track wbr".split()
 # Fixed values of HTML's implied end tags: what a start tag closes, as the tail of the open elements.
-_BLOCKS = (
-    r"^(?:p|div|ul|ol|dl|table|h[1-6]|article|section|main|header|footer|nav|aside|form|blockquote|pre|address|fieldset|center|hr)$"
-)
+_BLOCKS = ("p div ul ol dl table h1 h2 h3 h4 h5 h6 article section main header footer nav aside form blockquote pre address fieldset "
+           "center hr").split()
 _IMPLIED = [
-    (_BLOCKS, r"/p(?:/(?!p(?:/|$))[^/]+)*$"),
-    (r"^li$", r"/li(?:/(?!(?:ul|ol|li)(?:/|$))[^/]+)*$"),
-    (r"^d[td]$", r"/d[td](?:/(?!(?:dl|d[td])(?:/|$))[^/]+)*$"),
-    (r"^t[dh]$", r"/t[dh](?:/(?!(?:table|t[rdh])(?:/|$))[^/]+)*$"),
-    (r"^tr$", r"/tr(?:/(?!(?:table|tr)(?:/|$))[^/]+)*$"),
-    (r"^(?:tbody|thead|tfoot)$", r"/t(?:body|head|foot)(?:/(?!(?:table|t(?:body|head|foot))(?:/|$))[^/]+)*$"),
+    (_BLOCKS, "/p", r"/p(?:/(?!p(?:/|$))[^/]+)*$"),
+    (["li"], "/li", r"/li(?:/(?!(?:ul|ol|li)(?:/|$))[^/]+)*$"),
+    (["dd", "dt"], "/d", r"/d[td](?:/(?!(?:dl|d[td])(?:/|$))[^/]+)*$"),
+    (["td", "th"], "/t", r"/t[dh](?:/(?!(?:table|t[rdh])(?:/|$))[^/]+)*$"),
+    (["tr"], "/tr", r"/tr(?:/(?!(?:table|tr)(?:/|$))[^/]+)*$"),
+    (["tbody", "thead", "tfoot"], "/t", r"/t(?:body|head|foot)(?:/(?!(?:table|t(?:body|head|foot))(?:/|$))[^/]+)*$"),
 ]
 
 
@@ -83,9 +82,9 @@ def _opened(stack: Column, tag: Column) -> Column:
     """Open elements behind a start tag: implied ends first; void and self-closed elements stay out."""
     def after(name: Column) -> Column:
         closed = stack
-        for starts, tail in reversed(_IMPLIED):
-            closed = F.when(name.rlike(starts), F.regexp_replace(stack, tail, "")).otherwise(closed)
-        return F.when(name.rlike(_VOID) | tag.endswith("/>"), closed).otherwise(F.concat(closed, F.lit("/"), name))
+        for starts, mark, tail in reversed(_IMPLIED):
+            closed = F.when(name.isin(starts) & F.contains(stack, F.lit(mark)), F.regexp_replace(stack, tail, "")).otherwise(closed)
+        return F.when(name.isin(_VOID) | tag.endswith("/>"), closed).otherwise(F.concat(closed, F.lit("/"), name))
 
     return bind(_tag_name(tag), after)
 
@@ -108,18 +107,31 @@ def text_nodes(html: Column, opening: str, min_chars: int) -> Column:
 
     ``opening`` is a tag alternation such as ``p`` or ``td|p|li|span``.
     """
+    names = opening.split("|")
+
     def step(state: Column, token: Column) -> Column:
         stack, out = state["stack"], state["out"]
         is_tag = F.length(token).__gt__(1) & token.startswith("<")
-        wanted = F.substring_index(stack, "/", -1).rlike(rf"^(?:{opening})$")
+        wanted = F.substring_index(stack, "/", -1).isin(names)
         return F.struct(
             F.when(~is_tag, stack).when(token.startswith("</"), _closed(stack, token)).otherwise(_opened(stack, token)).alias("stack"),
             F.when(~is_tag & wanted, F.concat(out, token)).when(is_tag & ~out.endswith(_SEP), F.concat(out, F.lit(_SEP))).otherwise(out).alias("out"),
         )
 
-    start = F.struct(F.lit("").alias("stack"), F.lit(_SEP).alias("out"))
-    folded = F.aggregate(F.regexp_extract_all(drop_noise(html), F.lit(_TOKEN), F.lit(0)), start, step, lambda s: s["out"])
-    nodes = F.transform(F.split(folded, _SEP), lambda n: strip_ws(unescape(n)))
+    # Appending copies what is there. So each of about sqrt(n) chunks of tokens is folded into a text of its
+    # own, which is then appended once: copies add up to n * sqrt(n) small steps and not to n * n.
+    def folded(tokens: Column, chunk: Column) -> Column:
+        def part(state: Column, i: Column) -> Column:
+            begin = F.struct(state["stack"].alias("stack"), F.lit("").alias("out"))
+            return bind(F.aggregate(F.slice(tokens, i * chunk + 1, chunk), begin, step),
+                        lambda s: F.struct(s["stack"].alias("stack"), F.concat(state["out"], s["out"]).alias("out")))
+
+        start = F.struct(F.lit("").alias("stack"), F.lit(_SEP).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(tokens) / chunk).cast("int")), start, part, lambda s: s["out"])
+
+    tokens = F.regexp_extract_all(drop_noise(html), F.lit(_TOKEN), F.lit(0))
+    text = bind(tokens, lambda t: folded(t, F.greatest(F.lit(64), F.sqrt(F.size(t)).cast("int"))))
+    nodes = F.transform(F.split(text, _SEP), lambda n: strip_ws(unescape(n)))
     return F.filter(nodes, lambda n: F.length(n) > min_chars)
 
 
@@ -172,13 +184,23 @@ def advisory_title(html: Column) -> Column:
     return bind(drop_noise(html), title)
 
 
+def _values(clean: Column, tag: str, name: str) -> Column:
+    found = F.transform(_tags(clean, tag), lambda t: _attribute(t, name))
+    return F.filter(found, lambda v: v.isNotNull())
+
+
 def hrefs(html: Column) -> Column:
     """All ``a[href]`` values in document order."""
-    found = F.transform(_tags(drop_noise(html), "a"), lambda t: _attribute(t, "href"))
-    return F.transform(F.filter(found, lambda v: v.isNotNull()), unescape)
+    return F.transform(_values(drop_noise(html), "a", "href"), unescape)
 
 
 def base_href(html: Column) -> Column:
     """Value of the first ``base[href]``; null without one."""
-    found = F.transform(_tags(drop_noise(html), "base"), lambda t: _attribute(t, "href"))
-    return unescape(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
+    return unescape(F.get(_values(drop_noise(html), "base", "href"), F.lit(0)))
+
+
+def links(html: Column) -> Column:
+    """``struct<base, hrefs>``: both of the above from one clean-up of the markup."""
+    return bind(drop_noise(html), lambda clean: F.struct(
+        F.when(F.contains(F.lower(clean), F.lit("<base")), unescape(F.get(_values(clean, "base", "href"), F.lit(0)))).alias("base"),
+        F.transform(_values(clean, "a", "href"), unescape).alias("hrefs")))

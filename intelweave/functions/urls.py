@@ -62,24 +62,40 @@ def _settle(path: Column) -> Column:
     return F.when(path.rlike(r"//|/\.{1,2}(?:/|$)"), bind(folded, joined)).otherwise(path)
 
 
-def resolve_link(page_url: Column, href: Column) -> Column:
-    """Absolute form of ``href`` as found on ``page_url``; only the path is tidied, never a query."""
-    href = strip_ws(href)
-    scheme = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+def page_parts(page_url: Column) -> Column:
+    """What relative links of a page are resolved against, as one struct: compute it once a page."""
     origin = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     no_query = F.regexp_replace(page_url, r"(?s)[?#].*$", "")
-    no_fragment = F.regexp_replace(page_url, r"(?s)#.*$", "")
     # Directory of the page: everything up to the last "/" behind the host.
     path = F.substring(no_query, F.length(origin) + 1, F.length(no_query))
-    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
-    own_path = F.regexp_extract(href, r"^([^?#]*)", 1)
-    rest = F.substring(href, F.length(own_path) + 1, F.length(href))
-    climbed = bind(F.when(href.startswith("/"), own_path).otherwise(F.concat(folder, own_path)), _settle)
-    return (
-        F.when(href == "", page_url)
-        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("#"), F.concat(no_fragment, href))
-        .when(href.startswith("?"), F.concat(no_query, href))
-        .otherwise(F.concat(origin, climbed, rest))
+    return F.struct(
+        page_url.alias("url"),
+        F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1).alias("scheme"),
+        origin.alias("origin"),
+        no_query.alias("no_query"),
+        F.regexp_replace(page_url, r"(?s)#.*$", "").alias("no_fragment"),
+        F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")).alias("folder"),
     )
+
+
+def resolve(page: Column, href: Column) -> Column:
+    """Absolute form of ``href`` on a page given by its :func:`page_parts`; only the path is tidied, never a query."""
+    def of(href: Column) -> Column:
+        own_path = F.regexp_extract(href, r"^([^?#]*)", 1)
+        rest = F.substring(href, F.length(own_path) + 1, F.length(href))
+        climbed = bind(F.when(href.startswith("/"), own_path).otherwise(F.concat(page["folder"], own_path)), _settle)
+        return (
+            F.when(href == "", page["url"])
+            .when(href.startswith("//"), F.concat(page["scheme"], F.lit(":"), href))
+            .when(href.startswith("#"), F.concat(page["no_fragment"], href))
+            .when(href.startswith("?"), F.concat(page["no_query"], href))
+            .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
+            .otherwise(F.concat(page["origin"], climbed, rest))
+        )
+
+    return bind(strip_ws(href), of)
+
+
+def resolve_link(page_url: Column, href: Column) -> Column:
+    """Absolute form of ``href`` as found on ``page_url``."""
+    return bind(page_parts(page_url), lambda page: resolve(page, href))

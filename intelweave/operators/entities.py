@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.functions import entities as E
 from intelweave.functions import text as X
-from intelweave.functions.bitmap import bitmap_of, may_hold
+from intelweave.functions.bitmap import Bitmap, bitmap_of, may_hold
 from intelweave.functions.flow import bind, with_computed
 
 KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
@@ -49,40 +51,58 @@ def extract_entities(
 def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str = "clean_text") -> DataFrame:
     """``(key, kind, terms)`` against a gazetteer *table* ``(kind, term)`` of any size; case does not matter.
 
-    Word and separator runs alternate in a text, so a term is a slice of a fixed
-    number of runs. A bitmap of the terms, of one size for any table, drops
-    nearly all other slices inside the row; what leaves it is joined by hash.
+    Word and separator runs alternate in a text, so a term is a slice of a fixed number of runs. Two bitmaps,
+    sized from the table, stand in front of the exact join: a run is looked up among the first runs of terms,
+    and only where one may begin slices are formed and looked up among whole terms. Nearly all other slices
+    are never made, whatever the table's size. The table is read a few times: stage one that is costly.
     """
     runs = f"{E.WORD_RUN}|{E.NOT_WORD_RUN}"
     terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
-    shaped = terms.select(
+    cut = terms.select("term", F.regexp_extract_all("term", F.lit(runs), F.lit(0)).alias("p"))
+    shaped = cut.where(F.size("p") > 0).select(
         F.xxhash64("term").alias("h"),
+        F.xxhash64(F.get("p", F.lit(0))).alias("first"),
         F.col("term").rlike(f"^{E.WORD_RUN}").alias("starts"),
-        F.size(F.regexp_extract_all("term", F.lit(runs), F.lit(0))).alias("n"),
+        F.size("p").alias("n"),
     )
-    bitmap = bitmap_of(shaped, "h")
     # A handful of shapes, however many terms there are.
-    shapes = sorted((r["starts"], r["n"]) for r in shaped.select("starts", "n").distinct().collect() if r["n"])
-
-    def of_shape(p: Column, starts: bool, n: int) -> Column:
-        # A word boundary needs a word run on one side: a term's outer separator
-        # counts only with another run beyond it.
-        ends_with_word = starts == (n % 2 == 1)
-
-        def gram(w: Column, i: Column) -> Column:
-            opens = w.rlike(f"^{E.WORD_RUN}") == F.lit(starts)
-            before = F.lit(True) if starts else i > 0
-            after = i + n <= F.size(p) if ends_with_word else i + n < F.size(p)
-            return F.when(opens & before & after, F.array_join(F.slice(p, i + 1, F.lit(n)), ""))
-
-        grams = p if n == 1 and starts else F.array_compact(F.transform(p, gram))
-        return F.filter(grams, lambda t: may_hold(bitmap, F.xxhash64(t)))
-
+    shapes = sorted((r["n"], r["starts"]) for r in shaped.select("starts", "n").distinct().collect())
     if not shapes:
         return df.limit(0).select(key, F.lit("").alias("kind"), F.array().cast("array<string>").alias("terms"))
-    slices = lambda p: F.array_distinct(F.concat(*[of_shape(p, starts, n) for starts, n in shapes]))
+    known = bitmap_of(shaped.select("h").distinct(), "h")
+    # Terms of one run are their own first run: they need no second look.
+    longer = [(n, starts) for n, starts in shapes if n > 1]
+    first = bitmap_of(shaped.where("n > 1").select("first").distinct(), "first") if longer else None
+
+    def slices(p: Column) -> Column:
+        return held(known, lambda k: held(first, lambda f: grams_of(p, k, f)) if first else grams_of(p, k, None))
+
+    def held(bitmap: Bitmap, body: Callable[[Bitmap], Column]) -> Column:
+        # One copy of the constant in the plan, however often it is looked into.
+        return bind(bitmap.words, lambda w: body(Bitmap(w, bitmap.bits)))
+
+    def grams_of(p: Column, known: Bitmap, first: Bitmap | None) -> Column:
+        places = F.transform(p, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.xxhash64(w).alias("h")))
+        found = F.transform(F.filter(places, lambda x: may_hold(known, x["h"]) & lone(p, x)), lambda x: x["w"])
+        if first is None:
+            return found
+        open_ = F.filter(places, lambda x: may_hold(first, x["h"]))
+        grams = F.flatten(F.transform(open_, lambda x: F.array(*[gram(p, x, n, starts) for n, starts in longer])))
+        return F.concat(found, F.filter(grams, lambda t: t.isNotNull() & may_hold(known, F.xxhash64(t))))
+
+    def lone(p: Column, x: Column) -> Column:
+        # A word boundary needs a word run on one side: an outer separator counts only with another run beyond it.
+        return x["w"].rlike(f"^{E.WORD_RUN}") | ((x["i"] > 0) & (x["i"] + 1 < F.size(p)))
+
+    def gram(p: Column, x: Column, n: int, starts: bool) -> Column:
+        opens = x["w"].rlike(f"^{E.WORD_RUN}") == F.lit(starts)
+        before = F.lit(True) if starts else x["i"] > 0
+        ends_with_word = starts == (n % 2 == 1)
+        after = x["i"] + n <= F.size(p) if ends_with_word else x["i"] + n < F.size(p)
+        return F.when(opens & before & after, F.array_join(F.slice(p, x["i"] + 1, F.lit(n)), ""))
+
     pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
-    grams = pieces.select(key, F.explode(bind(F.col("_p"), slices)).alias("term"))
+    grams = pieces.select(key, F.explode(F.array_distinct(bind(F.col("_p"), slices))).alias("term"))
     return grams.join(terms, "term").groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 

@@ -28,10 +28,12 @@ def routed(pages: DataFrame) -> DataFrame:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every link as ``(page_id, pos, src_url, href, target_url)``; a ``base[href]`` is what relative links start from."""
-    read = with_computed(pages.select("page_id", F.col("url").alias("src_url"), "html"), {
-        "base": F.coalesce(U.resolve_link(F.col("src_url"), H.base_href(F.col("html"))), F.col("src_url")), "hrefs": H.hrefs(F.col("html"))})
-    found = read.select("page_id", "src_url", "base", F.posexplode("hrefs").alias("pos", "href"))
-    return with_computed(found, {"target_url": U.resolve_link(F.col("base"), F.col("href"))}).drop("base")
+    read = with_computed(pages.select("page_id", F.col("url").alias("src_url"), "html"), {"links": H.links(F.col("html"))})
+    start = F.coalesce(U.resolve_link(F.col("src_url"), F.col("links.base")), F.col("src_url"))
+    # What links are resolved against is cut out of the page's address once, not for each of them.
+    placed = with_computed(read.select("page_id", "src_url", "links"), {"page": U.page_parts(start)})
+    found = placed.select("page_id", "src_url", "page", F.posexplode("links.hrefs").alias("pos", "href"))
+    return with_computed(found, {"target_url": U.resolve(F.col("page"), F.col("href"))}).drop("page")
 
 
 def advisory_links(links: DataFrame) -> DataFrame:

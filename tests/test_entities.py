@@ -103,3 +103,22 @@ def test_terms_in_capitals_and_contexts_per_term(texts):
 
 def test_empty_gazetteer(spark, texts):
     assert E.match_gazetteer(texts(["a"]), "doc_id", spark.createDataFrame([], "kind string, term string")).count() == 0
+
+
+def test_bitmaps_are_sized_from_the_set(spark, monkeypatch):
+    for n in (1, 5_000, 1_040_000):
+        held = spark.range(n).select(F.xxhash64("id").alias("h"))
+        found = bitmap.bitmap_of(held, "h")
+        assert 32 * n <= max(found.bits, 1024) <= max(64 * n, 1024)
+        assert held.where(~bitmap.may_hold(found, F.col("h"))).isEmpty()
+        others = spark.range(1 << 40, (1 << 40) + 100_000).where(bitmap.may_hold(found, F.xxhash64("id")))
+        assert others.count() < 1000  # under one in a hundred
+
+
+def test_a_gazetteer_of_over_a_million_terms(spark, texts):
+    # two-word terms whose first word is rare among the texts' words, and texts with one, none and several
+    gaz = spark.range(1_040_000).select((F.when(F.col("id") % 2 == 0, "even").otherwise("odd")).alias("kind"),
+                                        F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") % 7).cast("string")).alias("term"))
+    raw = ["w5 x5 and w5 x4", "W14 X0, w1039999 x" + str(1039999 % 7), "w1040000 x0", "x5 w5", "", None]
+    got = {(r.doc_id, r.kind): r.terms for r in E.match_gazetteer(texts(raw), "doc_id", gaz).collect()}
+    assert got == {(0, "odd"): ["w5 x5"], (1, "even"): ["w14 x0"], (1, "odd"): ["w1039999 x" + str(1039999 % 7)]}
