@@ -1167,16 +1167,26 @@ def _(spark, sf):
     return fresh.select("page_id", "url")
 
 
-@query("incremental_runs")
+def _plain_tagger(df):
+    """Keeps all articles but those whose title ends in a seven; something SQL can say as well."""
+    kept = df.where(~F.col("title").endswith("7"))
+    return kept.withColumns({"threat_score": F.lit(0.9), "primary_industry": F.lit("Finance"), "industry_score": F.lit(0.8)})
+
+
+@query("incremental_runs", f"""WITH {D.CLEAN_CTES},
+kept AS (SELECT length(url) % 2 = 0 AS earlier FROM clean WHERE {D.sql_words('clean_text')} >= 100 AND title NOT LIKE '%7')
+SELECT 1 AS increment, (SELECT count(*) FROM clean WHERE length(url) % 2 = 1) AS new_articles, count(*) FILTER (NOT earlier) AS threat_relevant,
+       count(*) FILTER (NOT earlier) AS embedded, count(*) AS vectors_total FROM kept""")
 def _(spark, sf):
     """Two increments over halves of the articles; the summary of the second."""
-    from intelweave.plans.batch import Layout
+    from intelweave.plans.batch import Layout, Models
 
-    models, _clean = _models(spark, sf)
+    models = Models(None, None, None, V.fit_embedder(D.cleaned(spark, sf)), tagger=_plain_tagger)
     raw = D.articles(spark, sf).select("id", "title", "url", "content")
     layout = Layout(scratch(spark, "increments"))
     I.run_increment(spark, raw.where("length(url) % 2 = 0"), models, layout, 0)
-    return I.run_increment(spark, raw, models, layout, 1)
+    done = I.run_increment(spark, raw, models, layout, 1)
+    return done.select(*[long(c).alias(c) for c in done.columns])
 
 
 @query("build_then_increment", f"""WITH {D.CLEAN_CTES},

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from intelweave import vocab
 from intelweave.functions.text import url_id, word_count
-from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import quality as Q
 from intelweave.operators import vectors as V
@@ -64,7 +63,7 @@ def run_increment(
     fresh = spark.read.parquet(fresh_path)
 
     clean = clean_increment(fresh, strict)
-    S.write_increment(E.extract_entities(models.tag(clean)), layout.at("entities"), increment)
+    S.write_increment(models.entities(models.tag(clean)), layout.at("entities"), increment)
     found = spark.read.parquet(f"{layout.at('entities')}/increment={increment}")
 
     # Ids already stored drop out before the embedding, not after it.

@@ -91,21 +91,56 @@ def write_graph(
             write_increment(df, target, increment)
 
 
+STATE_SCHEMA = "number long, step string, upto long"
+
+
+def _compaction(spark: SparkSession, path: str) -> tuple[int, int | None]:
+    """Number of the last compaction begun, and the last increment it covers while its tables are not all in place."""
+    try:
+        rows = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/compacted/state").collect()  # two rows a compaction
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    number = max((r["number"] for r in rows), default=0)
+    last = {r["step"]: r["upto"] for r in rows if r["number"] == number}
+    return number, last["merged"] if "merged" in last and "placed" not in last else None
+
+
+def _mark(spark: SparkSession, path: str, number: int, step: str, upto: int) -> None:
+    spark.createDataFrame([(number, step, upto)], STATE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/compacted/state")
+
+
 def compact_graph(spark: SparkSession, path: str) -> None:
     """Merge all increments into the base, so that later reads do not merge them again.
 
-    The merged tables are written aside first; they are what to restore from if
-    the run ends while the old files are being replaced.
+    The merged tables are written aside, and a row of state says that they are whole; only then the base is
+    replaced and the merged increments are emptied, oldest first. A run that ends at any point loses nothing:
+    until the last row of state is there, readers look at the tables aside too, and a repeated run goes on from
+    them. Increments that arrive in between are kept.
     """
     aside = f"{path}/compacted"
-    for df, name in zip(read_graph(spark, path), ("nodes", "edges")):
-        df.write.mode("overwrite").parquet(f"{aside}/{name}")
-    for name in ("nodes", "edges"):
-        write_base(spark.read.parquet(f"{aside}/{name}"), f"{path}/{name}")
-
-
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Merged nodes and edges over all increments; later article properties win."""
-    nodes = read_increments(spark, f"{path}/nodes", NODE_SCHEMA)
-    edges = read_increments(spark, f"{path}/edges", EDGE_SCHEMA)
+    number, upto = _compaction(spark, path)
+    if upto is None:
+        number += 1
+        seen = [read_increments(spark, f"{path}/{name}", schema).agg(F.max("increment")).first()[0] for name, schema in (("nodes", NODE_SCHEMA), ("edges", EDGE_SCHEMA))]
+        upto = max((n for n in seen if n is not None), default=BASE)
+        for df, name in zip(read_graph(spark, path, upto), ("nodes", "edges")):
+            df.write.mode("overwrite").parquet(f"{aside}/{name}")
+        _mark(spark, path, number, "merged", upto)
+    for name, schema in (("nodes", NODE_SCHEMA), ("edges", EDGE_SCHEMA)):
+        write_increment(spark.read.schema(schema).parquet(f"{aside}/{name}"), f"{path}/{name}", BASE)
+        held = read_increments(spark, f"{path}/{name}", schema).select("increment").distinct().where(F.col("increment").between(BASE + 1, upto))
+        for n in sorted(r["increment"] for r in held.collect()):
+            write_increment(spark.createDataFrame([], schema), f"{path}/{name}", n)
+    _mark(spark, path, number, "placed", upto)
+
+
+def read_graph(spark: SparkSession, path: str, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged nodes and edges over all increments (or those up to one); later article properties win."""
+    nodes = read_increments(spark, f"{path}/nodes", NODE_SCHEMA, None if upto is None else upto + 1)
+    edges = read_increments(spark, f"{path}/edges", EDGE_SCHEMA, None if upto is None else upto + 1)
+    if _compaction(spark, path)[1] is not None:
+        nodes, edges = (df.unionByName(spark.read.schema(schema).parquet(f"{path}/compacted/{name}").withColumn("increment", F.lit(BASE).cast("long")))
+                        for df, name, schema in ((nodes, "nodes", NODE_SCHEMA), (edges, "edges", EDGE_SCHEMA)))
     return G.latest_nodes(nodes, "increment"), G.unique_edges(edges)

@@ -133,3 +133,49 @@ def test_tagger_and_names_in_the_build(spark, models, raw, tmp_path):
     B.build(spark, raw.drop("id"), stand_in, layout)
     rows = spark.read.parquet(layout.at("entities")).collect()
     assert len(rows) == 20 and all("newkit" in r["malware_names"] and "microsoft" not in r["threat_actors"] for r in rows)
+
+
+@pytest.mark.parametrize("stopped_at", range(6))
+def test_a_compaction_that_died_is_repeated_without_loss(spark, tmp_path, monkeypatch, stopped_at):
+    path = str(tmp_path / "g")
+    nodes = lambda n, industry: spark.createDataFrame([("Article", f"u{n}", "t", industry, "0.5"), ("Article", "u", "t", industry, "0.5")], S.NODE_SCHEMA)
+    edges = lambda n: spark.createDataFrame([("Article", f"u{n}", "TARGETS", "Industry", "x")], S.EDGE_SCHEMA)
+    S.write_graph(nodes(0, "a"), edges(0), path)
+    for n in (1, 2):
+        S.write_graph(nodes(n, f"i{n}"), edges(n), path, clear_first=False, increment=n)
+    rows = lambda: [sorted(map(repr, df.collect())) for df in S.read_graph(spark, path)]
+    want, calls = rows(), [0]
+
+    def failing(df, target, increment, write=S.write_increment):
+        if calls[0] == stopped_at:
+            # as an overwrite ends that has removed the old files and not yet written new ones
+            write(df.limit(0), target, increment)
+            raise OSError("lost")
+        calls[0] += 1
+        write(df, target, increment)
+
+    monkeypatch.setattr(S, "write_increment", failing)
+    with pytest.raises(OSError):
+        S.compact_graph(spark, path)
+    monkeypatch.undo()
+    assert rows() == want
+    S.write_graph(nodes(3, "i3"), edges(3), path, clear_first=False, increment=3)
+    later = rows()
+    assert len(later[0]) == len(want[0]) + 1 and len(later[1]) == len(want[1]) + 1
+    S.compact_graph(spark, path)
+    assert rows() == later
+    S.compact_graph(spark, path)
+    assert rows() == later
+    assert {r[0] for r in spark.read.parquet(f"{path}/nodes").select("increment").distinct().collect()} == {S.BASE}
+
+
+def test_entities_of_an_increment_are_those_of_a_build(spark, models, raw, tmp_path):
+    stand_in = B.Models(None, None, None, models.embedder, tagger=lambda df: df.withColumns({
+        "threat_score": F.lit(0.9), "primary_industry": F.lit("Finance"), "industry_score": F.lit(0.8)}),
+        names=lambda df: df.withColumns({"model_malware": F.array(F.lit("newkit")), "model_actors": F.array(F.lit("microsoft"))}))
+    built, grown = B.Layout(str(tmp_path / "b")), B.Layout(str(tmp_path / "g"))
+    B.build(spark, raw.drop("id"), stand_in, built)
+    I.run_increment(spark, raw, stand_in, grown, 0)
+    keep = ["url", "cve_ids", "ip_addresses", "malware_names", "threat_actors"]
+    a, b = (sorted(map(repr, spark.read.parquet(x.at("entities")).select(*keep).collect())) for x in (built, grown))
+    assert a == b and len(a) == 20
