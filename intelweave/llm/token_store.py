@@ -26,7 +26,7 @@ CHECKSUM_FLAG = 0x80
 ENTRY = struct.Struct("<III")
 FOOTER = struct.Struct("<IBI")
 
-MANIFEST = "part long, file string, documents long, n_ids long, width int"
+MANIFEST = "part long, file string, documents long, n_ids long, width int, id_type string"
 
 
 def _checksum(data: bytes) -> int:
@@ -128,12 +128,11 @@ def write_store(
     renames the whole file at its end, so a repeated or a second attempt leaves one whole file. The
     manifest, written last, lists the files that count.
     """
-    id_type = docs.schema[id_col].dataType
+    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = ["id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     rows = rows.select("id", "text", F.spark_partition_id().cast("long").alias("part"))
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from intelweave.llm.tokens import encoder
@@ -149,7 +148,7 @@ def write_store(
                 writer = FrameWriter(out)
             for a in range(0, batch.num_rows, 500):
                 ids, n, _ = enc.encode(batch.column(1).slice(a, 500).to_pylist(), end_id)
-                names.append(batch.column(0).slice(a, 500).cast(arrow_id))
+                names.append(batch.column(0).slice(a, 500))
                 counts.append(n)
                 total += len(ids)
                 rest = np.concatenate([rest, ids])
@@ -161,7 +160,7 @@ def write_store(
             return
         if len(rest):
             writer.frame(rest.astype(f"<u{width}").tobytes())
-        index = pa.table({"id": pa.chunked_array(names, arrow_id), "count": np.concatenate(counts)})
+        index = pa.table({"id": pa.chunked_array(names), "count": np.concatenate(counts)})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, index.schema) as stream:
             stream.write_table(index)
@@ -170,22 +169,25 @@ def write_store(
         out.close()
         name = f"part-{part:08d}.zst"
         fs.move(own, f"{at}/{name}")
-        yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "documents": len(index), "n_ids": total, "width": width}],
-                                         pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
+        yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "documents": len(index), "n_ids": total, "width": width, "id_type": id_type}],
+                                         pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("id_type", pa.string())]))
 
     rows.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def read_store(spark: SparkSession, folder: str, id_type: str = "long", only: list | None = None, id_col: str = "doc_id") -> DataFrame:
+def read_store(spark: SparkSession, folder: str, only: list | None = None, id_col: str = "doc_id") -> DataFrame:
     """Documents of a store: id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` as 32-bit little-endian.
 
     ``only`` names a few ids: then no other documents' frames are decompressed. The running sum over
-    the manifest has one row per file, not per document.
+    the manifest has one row per file, not per document. Each file is a task of its own: the number of
+    partitions is given, so adaptive execution leaves them apart, and ranges of ``part`` hold a file each.
     """
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("file", "width", before.cast("long").alias("before")).repartition("file")
+    held = files.agg(F.count("*").alias("n"), F.min("id_type").alias("id_type")).first()
+    id_type = held["id_type"] or "bigint"
+    files = files.select("part", "file", "width", before.cast("long").alias("before")).repartitionByRange(max(held["n"], 1), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

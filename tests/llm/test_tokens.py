@@ -116,3 +116,25 @@ def test_empty_store(spark, docs_of, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert token_store.write_store(docs_of([]), folder, P.path("byte_bpe_50k.json")).count() == 0
     assert token_store.read_store(spark, folder).count() == 0
+
+
+def test_files_are_read_back_in_parallel(spark, docs_of, tmp_path):
+    docs = docs_of([f"document {i} of many words " * (i % 7) for i in range(60)])
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many files of a small table
+        token_store.write_store(docs, str(tmp_path), P.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(f"{tmp_path}/_manifest").count()
+    rows = token_store.read_store(spark, str(tmp_path)).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert files > 2 and len({r.task for r in rows}) == files and len(rows) == 60
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "date", "string", "double"])
+def test_ids_of_other_types(spark, docs_of, tmp_path, kind):
+    docs = docs_of(["a", "b c", None]).withColumn("doc_id", F.expr(f"cast({'date_add(date\'2024-01-01\', cast(doc_id AS int))' if kind == 'date' else 'doc_id'} AS {kind})"))
+    token_store.write_store(docs, str(tmp_path), P.path("byte_bpe_50k.json"))
+    rows = token_store.read_store(spark, str(tmp_path))
+    assert rows.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(str, (r.doc_id for r in rows.collect()))) == sorted(map(str, (r.doc_id for r in docs.collect())))
