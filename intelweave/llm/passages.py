@@ -3,21 +3,23 @@
 Every text is a row of word shingles. For each of a few hash functions a Cartesian tree over the
 shingles' hashes cuts all its subsequences of a passage's length or more into compact windows
 (l, c, r): the subsequences that lie in [l, r] and hold c all have the shingle at c as their minimum.
-Their number is about twice the text's length over a passage's length. Windows of different texts with
-one minimum are joined, their intervals overlap around c, and the unit windows (one passage length,
-holding c in both) inside the overlap are verified by the exact Jaccard similarity of their shingles.
-One shared minimum is enough to be verified; each hash function is another chance for passages that
-differ somewhere. Passages that are equal over a passage's length always share all of them.
-
-A short line that very many documents share would bring all their windows together. A signature
-therefore holds a second shingle, half a passage before or behind the minimum (a row for each side):
-a passage that holds the minimum reaches at least one of the two places. In a run of one word over that
-place the run's ends stand for it, and runs of a passage or more are grouped by their word, not paired.
-
-A signature that more than ``group`` windows share is not paired up: its windows are grouped by the
-exact shingles of ten fixed ranges around c, one of which two windows with a whole passage in common
-always share; its distinct contexts are compared with the most frequent ones, and those that exact ranges
-and these comparisons leave in different classes with each other.
+Their number is about twice the text's length over a passage's length. Only nodes of the tree that hold a
+passage matter, and they are the minima of sliding windows of that length; the tree is built over those.
+
+One shared minimum is no evidence: a short line that very many documents share would bring all their windows
+together. So the windows of two hash functions are joined where their intervals overlap, and the signature
+of an overlap holds both minima. Two unit windows (one passage length) of similarity j share a signature with
+a probability of j², wherever in them words differ, were put in or left out; ``hashes`` such pairs of functions
+miss a passage with a similarity of 0.8 with a probability of 0.36 to the power of ``hashes``. Equal passages
+share all of them. Windows of different texts with one signature are laid over each other at c, and the unit
+windows inside their overlap are verified by the exact Jaccard similarity of their shingles.
+Whole unit windows of one shingle (a word repeated on and on) are grouped by it.
+
+A signature that more than ``group`` windows share is not paired up, nor brought into one task: its windows are
+grouped by the exact shingles of ten fixed ranges around c, one of which two windows with a whole passage in
+common always share; its distinct contexts are compared with the most frequent ones; and those that this
+leaves in different classes are compared where they share one of their rarest shingles, as two similar windows
+must (prefix filter). A boilerplate too short for a passage thus costs what its documents are many, not their pairs.
 Groups, not pairs, are the result: each has a number, and a passage is linked to the groups it is in.
 """
 
@@ -37,14 +39,14 @@ SHINGLE = 5
 PASSAGE = 50  # words
 UNIT = PASSAGE - SHINGLE + 1  # shingles of a unit window
 SIDE = UNIT - 1  # shingles of a context before and behind c
-HALF = UNIT // 2
 STEP = 5  # between the ranges of a window in a large group
 RANGE = UNIT - STEP + 1  # shingles of such a range
 _PRIME = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of the 64-bit mixing function
-_SEEDS = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB, 0xC2B2AE3D27D4EB4F)
+_SEED = 0xD1B54A32D192ED03
+_TOGETHER = 1 << 18  # shingles worked on at a time, unless one text has more
 WINDOW = "sig long, t long, c long, near int"
-CONTEXT = "sig long, t long, c long, before int, context binary"
+CONTEXT = "sig long, t long, c long, before int, context binary, kind long"
 MEMBER = "t long, first long, last long, hub long"
 _WORDS = 300_000  # word hashes that a worker keeps
 
@@ -81,85 +83,127 @@ def shingles_of(text: str) -> np.ndarray:
     return mix(out)
 
 
-def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(c, l, r) of all compact windows that hold a subsequence of ``length``.
+def window_minima(values: np.ndarray, length: int) -> np.ndarray:
+    """Place of the first minimum of each run of ``length`` values, by doubling."""
+    least, at, size = values, np.arange(len(values)), 1
+
+    def joined(k: int) -> tuple[np.ndarray, np.ndarray]:
+        later = least[k:] < least[:-k]
+        return np.where(later, least[k:], least[:-k]), np.where(later, at[k:], at[:-k])
+
+    while 2 * size <= length:
+        least, at = joined(size)
+        size *= 2
+    return joined(length - size)[1] if size < length else at
+
+
+def compact_windows(values: np.ndarray, length: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Rows (c, l, r) of all compact windows that hold a subsequence of ``length``, in order of c.
 
     Of equal minima c is the first one, so it depends on the subsequence alone and not on what is around it.
+    ``ends`` are the ends of several texts in a row; windows stay inside a text. The nodes of the Cartesian
+    tree that hold ``length`` values are the minima of the runs of that length, and so are all nodes above them;
+    one pass with a stack over these few nodes gives their intervals.
     """
-    n = len(values)
-    if len(np.unique(values)) < n:
-        low, high, open_ = [0] * n, [n - 1] * n, []
-        for i, v in enumerate(values.tolist()):
-            while open_ and open_[-1][1] > v:
-                high[open_.pop()[0]] = i - 1
-            low[i] = open_[-1][0] + 1 if open_ else 0
-            open_.append((i, v))
-        return [(c, x, y) for c, (x, y) in enumerate(zip(low, high)) if y - x + 1 >= length]
-    out, todo = [], [(0, n - 1)]
-    while todo:
-        low, high = todo.pop()
-        if high - low + 1 >= length:
-            c = low + int(values[low:high + 1].argmin())
-            out.append((c, low, high))
-            todo.append((low, c - 1))
-            todo.append((c + 1, high))
-    return out
-
-
-def runs_of(h: np.ndarray) -> np.ndarray:
-    """For each place, how many equal shingles stand from there on in a row."""
-    end = np.append(np.flatnonzero(h[1:] != h[:-1]), len(h) - 1)
-    return end[np.searchsorted(end, np.arange(len(h)))] + 1 - np.arange(len(h))
+    ends = np.array([len(values)]) if ends is None else ends
+    if len(values) < length:
+        return np.zeros((0, 3), np.int64)
+    begins = np.append(0, ends[:-1])
+    minima = window_minima(values, length)
+    end = np.repeat(ends, ends - begins)[:len(minima)]
+    nodes = minima[np.arange(len(minima)) + length <= end]  # in rising order, as a run's minimum never moves back
+    nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])[:len(nodes)]]
+    of = np.searchsorted(ends, nodes, "right")
+    low, high, open_ = begins[of].tolist(), (ends[of] - 1).tolist(), []
+    before = -1
+    for k, (i, v, d) in enumerate(zip(nodes.tolist(), values[nodes].tolist(), of.tolist())):
+        if d != before:
+            open_, before = [], d
+        while open_ and open_[-1][1] > v:
+            high[open_.pop()[2]] = i - 1
+        if open_:
+            low[k] = open_[-1][0] + 1
+        open_.append((i, v, k))
+    return np.stack([nodes, np.array(low, np.int64), np.array(high, np.int64)], 1)
+
+
+def joint_windows(h: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """(signature, c, first start, last start) where compact windows of two hash functions overlap.
+
+    Each unit window begins in exactly one compact window of each function, so both cut the starts into
+    intervals; the overlaps are what both leave whole. c is the first function's minimum.
+    """
+    sides = []
+    for f in (0, 1):
+        c, low, high = compact_windows(mix(h + np.uint64((_SEED * (2 * seed + f + 1)) & 0xFFFFFFFFFFFFFFFF)), UNIT, ends).T
+        first, last = np.maximum(low, c - UNIT + 1), np.minimum(c, high - UNIT + 1)
+        order = np.argsort(first, kind="stable")
+        sides.append((c[order], first[order], last[order]))
+    (c, first, last), (d, first2, last2) = sides
+    if not len(c):
+        return (np.empty(0, np.int64),) * 4
+    start = np.union1d(first, first2)
+    i, j = np.searchsorted(first, start, "right") - 1, np.searchsorted(first2, start, "right") - 1
+    sig = mix(mix(h[c[i]] + np.uint64(seed)) ^ h[d[j]])
+    return sig.view(np.int64), c[i], start, np.minimum(last[i], last2[j])
 
 
 def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
-    """Signatures of the compact windows of each distinct text (t, text); a task looks at equal texts once.
+    """Signatures of the joint windows of each distinct text (t, text); a task looks at equal texts once.
 
-    ``near`` holds how far the window reaches before and behind c, as far as a unit window can. In a run of
-    one shingle over the place behind c, that shingle tells nothing: the run's length with what follows it
-    and what stands before it are the anchors. Whole unit windows of one shingle need none: their run is
-    one row with its length, negative, as ``near``.
+    ``near`` holds how far the unit windows reach before and behind c. Whole unit windows of one shingle are
+    one row with their run's length, negative, as ``near``.
     """
-    def rows_of(h: np.ndarray, seed: int, run: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        near = (np.minimum(c - low, SIDE) << 8 | np.minimum(high - c, SIDE)).astype(np.int32)
-        long = run[c] > HALF
-        has = c - HALF >= low
-        behind = ~long & (c + HALF <= high)
-        ends = long & (run[c] <= SIDE) & (c + run[c] <= high)
-        starts = long & (c > low)
-        for on, at, kind in ((has, c - HALF, 1), (behind, c + HALF, 0), (ends, c + run[c], 2 + run[c]), (starts, c - 1, 2)):
-            kind = np.broadcast_to(np.asarray(kind, np.uint64), c.shape)[on]
-            yield mix(mix(h[c[on]] + np.uint64(seed)) ^ h[at[on]] + kind).view(np.int64), c[on], near[on]
+    def of_texts(ts: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, size = np.concatenate(parts), np.array([len(p) for p in parts])
+        ends = np.cumsum(size)
+        t = np.repeat(np.array(ts, np.int64), size)
+        edge = np.zeros(len(h), np.uint64)
+        edge[ends - size] = 1
+        new = np.append(True, (h[1:] != h[:-1]) | (edge[1:] > 0))
+        run = np.diff(np.append(np.flatnonzero(new), len(h)))
+        head = np.flatnonzero(new)[run >= UNIT]
+        cols = [(mix(h[head]).view(np.int64), t[head], (head - (ends - size)[np.searchsorted(ends, head, "right")]), -run[run >= UNIT].astype(np.int32))]
+        left = np.append(np.flatnonzero(new), len(h))
+        rest = left[np.searchsorted(left, np.arange(len(h)), "right")] - np.arange(len(h))  # equal shingles from here on
+        for f in range(hashes):
+            sig, c, first, last = joint_windows(h, ends, f)
+            # starts whose whole unit window is one shingle have the row above; they come one by one
+            some = rest[first] < UNIT
+            sig, c, first, last = sig[some], c[some], first[some], last[some]
+            begin = (ends - size)[np.searchsorted(ends, c, "right")]
+            cols.append((sig, t[c], c - begin, ((c - first) << 8 | (last + UNIT - 1 - c)).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols)], names=["sig", "t", "c", "near"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ts, parts, n = [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part, cols = batch.slice(a, 1000), []
-                for t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if t in seen:
-                        continue
-                    seen.add(t)
-                    h = shingles_of(text)
-                    if len(h) < UNIT:
-                        continue
-                    run = runs_of(h)
-                    at = np.flatnonzero((run >= UNIT) & np.append(True, h[1:] != h[:-1]))
-                    cols.append((mix(h[at]).view(np.int64), np.full(len(at), t, np.int64), at, -run[at].astype(np.int32)))
-                    for f in range(hashes):
-                        c, low, high = np.array(compact_windows(mix(h ^ np.uint64(_SEEDS[f])), UNIT), np.int64).T
-                        for sig, at, near in rows_of(h, _SEEDS[f], run, c, low, high):
-                            cols.append((sig, np.full(len(sig), t, np.int64), at, near))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], names=["sig", "t", "c", "near"])
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t in seen:
+                    continue
+                seen.add(t)
+                h = shingles_of(text)
+                if len(h) < UNIT:
+                    continue
+                ts.append(t)
+                parts.append(h)
+                n += len(h)
+                if n >= _TOGETHER:
+                    yield from of_texts(ts, parts)
+                    ts, parts, n = [], [], 0
+        if ts:
+            yield from of_texts(ts, parts)
 
     return texts.select("t", "text").mapInArrow(windows, WINDOW)
 
 
 def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
     """The windows whose signature stands in two texts at least."""
+    names = ["sig", "t", "c", "near"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (signature, text, whether shared) of the row before, which may be a piece of a long run
+        before, held = None, []  # (signature, text, whether shared) of the row before, and rows of that text that may yet be shared
         for sig, t, c, near in sorted_runs(batches, limit):
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             size = np.diff(np.append(start, len(sig)))
@@ -168,39 +212,62 @@ def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
             if joins and (before[2] or before[1] != t[0]):
                 many[0] = True
             keep = np.repeat(many, size)
-            if joins and many[0] and not before[2]:
-                # the piece before was taken for one text's: its rows come after all
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["sig", "t", "c", "near"])
-            held = [x[start[-1]:] for x in (sig, t, c, near)]
+            if joins and many[0]:
+                # the pieces before were taken for one text's: their rows come after all
+                for piece in held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in piece], names=names)
+            if not joins or many[0]:
+                held = []
+            if len(start) > 1:
+                held = []
+            if not many[-1]:
+                held.append([x[start[-1]:] for x in (sig, t, c, near)])
             before = (sig[-1], t[-1], bool(many[-1]))
-            fresh = np.append(True, (sig[1:] != sig[:-1]) | (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-            keep &= fresh
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, t, c, near)], names=["sig", "t", "c", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, t, c, near)], names=names)
 
-    return windows.repartition("sig").sortWithinPartitions("sig", "t", "c").mapInArrow(run, WINDOW)
+    return windows.repartition("sig").sortWithinPartitions("sig", "t", "c", "near").mapInArrow(run, WINDOW)
 
 
 def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """The windows with the shingles around c, 32 bits of each, as far as a unit window can reach."""
+    """The windows with the shingles around c, 32 bits of each, as far as a unit window can reach.
+
+    ``kind`` is a hash of the signature, the place of c and these shingles: equal for windows with one context.
+    """
     lists = windows.groupBy("t").agg(F.collect_list(F.struct("sig", "c", "near")).alias("w"))  # of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         seen: set[int] = set()
+        names = ["sig", "t", "c", "before", "context", "kind"]
         for batch in batches:
-            for t, text, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ends = np.cumsum([len(x) for x in batch.column(2)])
+            sig, c, near = (batch.column(i).flatten().to_numpy() for i in (2, 3, 4))
+            out: list[list] = [[] for _ in names]
+            for k, (t, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if t in seen:
                     continue
                 seen.add(t)
-                h = (shingles_of(text) >> np.uint64(32)).astype("<u4")
-                out = []
-                for w in rows:
-                    before, behind = w["near"] >> 8, w["near"] & 255
-                    out.append((w["sig"], t, w["c"], before, h[w["c"] - before:w["c"] + behind + 1].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                                 names=["sig", "t", "c", "before", "context"])
-
-    return texts.join(lists, "t").select("t", "text", "w").mapInArrow(run, CONTEXT)
+                h = (shingles_of(text) >> np.uint64(32)).astype("<u4").tobytes()
+                own = slice(ends[k - 1] if k else 0, ends[k])
+                before = near[own] >> 8
+                low, high = 4 * (c[own] - before), 4 * (c[own] + (near[own] & 255) + 1)
+                parts = [h[i:j] for i, j in zip(low.tolist(), high.tolist())]
+                kinds = [xxhash.xxh3_64_intdigest(p, s & 0xFFFFFFFFFFFFFF00 | b) for p, s, b in zip(parts, sig[own].tolist(), before.tolist())]
+                for x, y in zip(out, (sig[own], np.full(len(parts), t, np.int64), c[own], before, parts, np.array(kinds, np.uint64).view(np.int64))):
+                    x.append(y)
+                if len(out[0]) >= 500:
+                    yield packed(out)
+                    out = [[] for _ in names]
+            if out[0]:
+                yield packed(out)
+
+    def packed(out: list[list]) -> pa.RecordBatch:
+        cols = [pa.array([p for parts in x for p in parts], pa.binary()) if i == 4 else pa.array(np.concatenate(x)) for i, x in enumerate(out)]
+        return pa.RecordBatch.from_arrays(cols, names=["sig", "t", "c", "before", "context", "kind"])
+
+    return texts.join(lists, "t").select("t", "text", "w.sig", "w.c", "w.near").mapInArrow(run, CONTEXT)
 
 
 def matrix(before: np.ndarray, context: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -260,32 +327,36 @@ def _members(t: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray,
 
 
 def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
-    """MEMBER rows of small groups; rows of larger ones come back with a null hub and their context."""
+    """MEMBER rows of signatures that at most ``group`` windows share, by comparing all their distinct contexts.
+
+    Windows with one context are alike without a look; between contexts, all pairs of different texts are verified.
+    """
     least = need(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = None
-        for sig, t, c, before, context in sorted_runs(batches, group):
-            fresh = np.append(True, (sig[1:] != sig[:-1]) | (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-            sig, t, c, before, context = (x[fresh] for x in (sig, t, c, before, context))
-            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(start, len(sig)))
-            many = (size > group) | ((sig[start] == hot) if hot is not None else False)
-            hot = sig[-1] if len(sig) and many[-1] else None
-            large = np.flatnonzero(np.repeat(many, size))
-            m, filled = matrix(before, context, ~np.repeat(many | (size < 2), size))
+        for sig, t, c, before, context, kind in sorted_runs(batches, group):
+            # rows are sorted by signature, context and text: ``at`` holds the first row of each context
+            new = np.append(True, (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1]))
+            at, of = np.flatnonzero(new), np.cumsum(new) - 1
+            last_row = np.append(at[1:], len(sig)) - 1
+            single = t[at] == t[last_row]
+            start = np.flatnonzero(np.append(True, sig[at][1:] != sig[at][:-1]))
+            size = np.diff(np.append(start, len(at)))
+            m, filled = matrix(before[at], context[at], np.repeat(size > 1, size))
             left, right = [], []
-            for n in np.unique(size[~many]):
+            for n in np.unique(size):
                 if n > 1:
-                    block = start[(size == n) & ~many][:, None] + np.arange(n)
+                    block = start[size == n][:, None] + np.arange(n)
                     i, j = np.triu_indices(n, 1)
                     left.append(block[:, i].ravel())
                     right.append(block[:, j].ravel())
-            lo, hi, root = np.full(len(sig), 1 << 30), np.full(len(sig), -1), np.arange(len(sig))
-            links = []
+            # a context of several texts is similar to itself, over all its unit windows
+            lo = np.where(single, 1 << 30, SIDE - before[at])
+            hi = np.where(single, -1, SIDE - before[at] + np.array([len(x) // 4 for x in context[at]]) - UNIT)
+            root, links = np.arange(len(at)), []
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
-                apart = t[i] != t[j]
+                apart = ~(single[i] & single[j] & (t[at][i] == t[at][j]))
                 i, j = i[apart], j[apart]
                 for k in range(0, len(i), 4096):
                     p, q = i[k:k + 4096], j[k:k + 4096]
@@ -297,25 +368,18 @@ def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
             if links:
                 i, j = (np.concatenate(x) for x in zip(*links))
                 was = None
-                while was is None or (was != root).any():  # the least row that each one reaches
+                while was is None or (was != root).any():  # the least context that each one reaches
                     was = root.copy()
                     np.minimum.at(root, i, root[j])
                     np.minimum.at(root, j, root[i])
                     root = root[root]
-            on = np.flatnonzero(hi >= 0)
+            on = np.flatnonzero((hi >= 0)[of])
             if len(on):
-                hub = mix(mix(sig[on].view(np.uint64)) + c[root[on]].astype(np.uint64) + t[root[on]].view(np.uint64)).view(np.int64)
-                cols = _members(t[on], c[on], lo[on], hi[on], hub)
-                n = len(on)
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(n, ty) for ty in (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                                 names=["t", "first", "last", "hub", "sig", "c", "before", "context"])
-            if len(large):
-                at = large
-                yield pa.RecordBatch.from_arrays([pa.array(t[at]), *(pa.nulls(len(at), pa.int64()) for _ in range(3)), pa.array(sig[at]), pa.array(c[at]),
-                                                  pa.array(before[at].astype(np.int32)), pa.array(context[at].tolist(), pa.binary())],
-                                                 names=["t", "first", "last", "hub", "sig", "c", "before", "context"])
+                one = at[root[of[on]]]
+                hub = mix(mix(sig[on].view(np.uint64)) + c[one].astype(np.uint64) + t[one].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(_members(t[on], c[on], lo[of[on]], hi[of[on]], hub), names=["t", "first", "last", "hub"])
 
-    return found.repartition("sig").sortWithinPartitions("sig", "t", "c").mapInArrow(run, MEMBER + ", sig long, c long, before int, context binary")
+    return found.repartition("sig").sortWithinPartitions("sig", "kind", "t", "c").mapInArrow(run, MEMBER)
 
 
 def exact_ranges(large: DataFrame) -> DataFrame:
@@ -365,44 +429,89 @@ def compared(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*PAIR).mapInArrow(run, MEMBER + ", kind long, kind2 long")
 
 
+def rare_shingles(kinds: DataFrame, threshold: float) -> DataFrame:
+    """(sig, kind, shingle): of each unit window of a context the shingles of which a similar window must share one.
+
+    Two unit windows that share ``need`` shingles share one of the rarest UNIT - need + 1 of each. Rarity is
+    the number of contexts of the signature that hold a shingle, counted on the map side first.
+    """
+    prefix = UNIT - need(threshold) + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, kind, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            parts = [np.frombuffer(x, "<u4") for x in context]
+            size = np.array([len(x) for x in parts], np.int64)
+            if len(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, size)), pa.array(np.repeat(kind, size)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size])),
+                                                  pa.array(np.concatenate(parts).astype(np.int64))], names=["sig", "kind", "at", "shingle"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for sig, kind, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows.sort(key=lambda r: r["at"])
+                order = np.array([(r["n"], r["shingle"]) for r in rows], np.int64)
+                rank = np.empty(len(rows), np.int64)
+                rank[np.lexsort((order[:, 1], order[:, 0]))] = np.arange(len(rows))
+                found: set[int] = set()
+                for k in range(len(rows) - UNIT + 1):
+                    found.update(order[k + np.argpartition(rank[k:k + UNIT], prefix - 1)[:prefix], 1].tolist())
+                out[0].extend([sig] * len(found))
+                out[1].extend([kind] * len(found))
+                out[2].extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["sig", "kind", "shingle"])
+
+    tokens = staged(kinds.select("sig", "kind", "context").mapInArrow(cut, "sig long, kind long, at int, shingle long"), "shingles")
+    counts = tokens.groupBy("sig", "shingle").agg(F.count("*").alias("n"))
+    ranked = tokens.join(counts, ["sig", "shingle"])
+    lists = ranked.groupBy("sig", "kind").agg(F.collect_list(F.struct("at", "n", "shingle")).alias("rows"))  # at most 91 a context
+    return lists.mapInArrow(choose, "sig long, kind long, shingle long")
+
+
 def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
     """MEMBER rows of windows of large groups by comparing the distinct contexts (kinds) of each signature.
 
     All kinds meet the most frequent ones first: an edited copy is near the text that most others still
-    have. Then every two kinds that neither this nor a shared exact range (``exact``) has brought into one
-    class are compared. A kind of one text stands for all its windows; one of several texts is
-    compared once, as its windows share all their ranges anyway.
+    have. Then kinds that neither this nor a shared exact range (``exact``) has brought into one class are
+    compared where they share a rare shingle. A kind of one text stands for all its windows; one of several
+    texts is compared once, as its windows share all their ranges anyway.
     """
     kinds = large.groupBy("sig", "kind").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c", "before", "context")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
+    kinds = staged(kinds.select("sig", "kind", "n", "one.before", "one.context", F.struct("one.t", "one.c").alias("one"), "two"), "contexts")
+    # Ranks are cut off on the map side, so a signature's window sees a few rows of each task.
     rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "one.t", "one.c"))
-    kinds = staged(kinds.select("sig", "kind", "n", "one.before", "one.context", F.struct("one.t", "one.c").alias("one"), "two", rank.alias("rank")), "contexts")
+    first = kinds.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
     plain = ["sig", "kind", "t", "c", "before", "context"]
     single = large.join(kinds.filter("n = 1").select("kind"), "kind", "left_semi").select(*plain)
     rows = staged(single.unionByName(kinds.filter("n > 1").select("sig", "kind", "one.t", "one.c", "before", "context")), "kinds")
 
-    def beside(left: DataFrame, some: DataFrame) -> DataFrame:
+    def beside(left: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
         """Windows with the contexts of other texts; of two texts that have it one is not the window's own."""
-        other = some.select("sig", *[F.col(x).alias(x + "2") for x in ("kind", "before", "context")], "one", "two", *(["root2", "most2"] if "root2" in some.columns else []))
-        pairs = left.join(other, "sig").filter("kind <> kind2").withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
+        other = some.select(*on, *[F.col(x).alias(x + "2") for x in ("kind", "before", "context")], "one", "two")
+        pairs = left.join(other, on).filter("kind <> kind2").withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
         return pairs.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c")}).filter("t <> t2")
 
-    led = staged(compared(beside(rows, kinds.filter(F.col("rank") <= leaders)), threshold), "led")
+    led = staged(compared(beside(rows, first, ["sig"]), threshold), "led")
     found = led.select("t", "first", "last", "hub")
     links = exact.select(F.col("kind").alias("a"), F.col("hub").alias("b")).unionByName(led.select(F.col("kind").alias("a"), F.col("kind2").alias("b"))).distinct()
     roots = components(links).select(F.col("node").alias("kind"), "root")
-    classed = kinds.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
-    classed = staged(classed, "classes")
-    sizes = classed.groupBy("sig", "root").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("sig").agg(F.count("*").alias("classes"), F.max(F.struct("size", "root")).alias("top")).filter("classes > 1").select("sig", F.col("top.root").alias("most"))
-    classed = classed.join(most, "sig")
-    small = rows.join(classed.filter("root <> most").select("kind", "root"), "kind")
-    # kinds of the largest class meet those of the others, and these each other
-    other = classed.withColumnsRenamed({"root": "root2", "most": "most2"})
-    rest = beside(small, other).filter("root2 = most2 or root < root2")
+    classed = staged(kinds.select("sig", "kind", "context").join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")), "classes")
+    several = classed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig")
+    rare = rare_shingles(classed.join(several, "sig", "left_semi"), threshold)
+    rare = staged(rare.join(classed.select("kind", "root"), "kind"), "rare")
+    # A shingle of one class alone brings nobody together.
+    both = rare.groupBy("sig", "shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig", "shingle")
+    open_ = rare.join(both, ["sig", "shingle"], "left_semi")
+    other = open_.withColumnsRenamed({"kind": "kind2", "root": "root2"})
+    pairs = open_.join(other, ["sig", "shingle"]).filter("root < root2").select("kind", "kind2").distinct()
+    rest = rows.join(staged(pairs, "pairs"), "kind").join(kinds.select(*[F.col(x).alias(x + "2") for x in ("kind", "before", "context")], "one", "two"), "kind2")
+    rest = rest.withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
+    rest = rest.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c")}).filter("t <> t2")
     return found.unionByName(staged(compared(rest, threshold), "rest").select("t", "first", "last", "hub"))
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, start_word, end_word, class_id): the maximal runs of words that lie in near-duplicate passages of other documents.
 
     Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z); ``end_word`` is
@@ -417,11 +526,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 2,
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     shared = staged(shared_windows(text_windows(rows, hashes)), "windows")
-    found = staged(group_windows(contexts(rows.select("t", "text"), shared.filter("near >= 0")), threshold, group), "groups")
-    members = found.filter("hub IS NOT NULL").select("t", "first", "last", "hub")
-    members = members.unionByName(shared.filter("near < 0").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
-    large = found.filter("hub IS NULL").select("t", "sig", "c", "before", "context", F.xxhash64("sig", "before", "context").alias("kind"))
-    if not large.isEmpty():
+    texts_of = rows.select("t", "text")
+    windows = shared.filter("near >= 0")
+    hot = staged(windows.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("sig"), "hot")
+    members = group_windows(contexts(texts_of, windows.join(hot, "sig", "left_anti")), threshold, group)
+    members = staged(members, "groups").unionByName(shared.filter("near < 0").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
+    large = contexts(texts_of, windows.join(hot, "sig", "left_semi")).dropDuplicates(["sig", "t", "c", "kind"])
+    large = large if hot.isEmpty() else staged(large, "large")
+    if not hot.isEmpty():
         ranges = staged(exact_ranges(large), "ranges")
         both = ranges.groupBy("hub").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("hub")
         exact = staged(ranges.join(both, "hub", "left_semi"), "exact")
