@@ -3,47 +3,50 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_ITEM = 32  # bits: with two of them set for each hash, under 0.4 % of other hashes pass
+PER_ITEM, PROBES = 32, 2  # bits in all and bits set for a hash: under 0.4 % of other hashes pass
 WORDS = 1 << 22  # of 64 bits, at most; beyond eight million hashes a bitmap fills up, and the join does more
 
 
 @dataclass
 class Bitmap:
-    """``words``: the bits as an array of longs, a constant in the plan; ``bits``: how many, a power of two."""
+    """``words``: the bits as an array of longs, a constant in the plan; ``bits``: how many, a power of two; ``probes``: set for each hash."""
 
     words: Column
     bits: int
+    probes: int = PROBES
 
 
-def bits_for(n: int) -> int:
-    """The power of two from ``PER_ITEM`` bits a hash on, at least 1,024, at most ``WORDS`` words."""
-    return min(max(1 << max(n * PER_ITEM - 1, 0).bit_length(), 1024), WORDS * 64)
+def bits_for(n: int, per_item: int = PER_ITEM) -> int:
+    """The power of two from ``per_item`` bits a hash on, at least 1,024, at most ``WORDS`` words."""
+    return min(max(1 << max(n * per_item - 1, 0).bit_length(), 1024), WORDS * 64)
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
-    return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
+def _slots(h: Column, bits: int, probes: int) -> list[Column]:
+    step = F.shiftrightunsigned(h, 32)
+    return [(h.bitwiseAND(bits - 1) + step * i).bitwiseAND(bits - 1) if i else h.bitwiseAND(bits - 1) for i in range(probes)]
 
 
-def bitmap_of(df: DataFrame, column: str) -> Bitmap:
+def bitmap_of(df: DataFrame, column: str, per_item: int = PER_ITEM, probes: int = PROBES) -> Bitmap:
     """Bitmap of the hashes (longs) in ``column``, sized by their number; at most 32 MB of bits reach the driver.
 
-    ``df`` is read twice, to be counted and to set bits; bits are merged on the map side.
+    With 64 bits and four probes a hash, one other hash in 50,000 passes: for rows of many hashes, of which one
+    alone brings the row along. ``df`` is read twice, to be counted and to set bits; bits are merged on the map side.
     """
-    bits = bits_for(df.count())
-    slots = df.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("slot"))
+    bits = bits_for(df.count(), per_item)
+    slots = df.select(F.explode(F.array(*_slots(F.col(column), bits, probes))).alias("slot"))
     rows = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return Bitmap(F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>"), bits)
+    return Bitmap(F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>"), bits, probes)
 
 
 def may_hold(bitmap: Bitmap, h: Column) -> Column:
     """False only for a hash that is not in the set."""
-    first, second = [
-        F.getbit(F.get(bitmap.words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _slots(h, bitmap.bits)]
-    return first & second
+    found = [F.getbit(F.get(bitmap.words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in _slots(h, bitmap.bits, bitmap.probes)]
+    return reduce(Column.__and__, found)

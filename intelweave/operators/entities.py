@@ -79,7 +79,7 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
 
     def held(bitmap: Bitmap, body: Callable[[Bitmap], Column]) -> Column:
         # One copy of the constant in the plan, however often it is looked into.
-        return bind(bitmap.words, lambda w: body(Bitmap(w, bitmap.bits)))
+        return bind(bitmap.words, lambda w: body(Bitmap(w, bitmap.bits, bitmap.probes)))
 
     def grams_of(p: Column, known: Bitmap, first: Bitmap | None) -> Column:
         places = F.transform(p, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.xxhash64(w).alias("h")))

@@ -122,3 +122,10 @@ def test_a_gazetteer_of_over_a_million_terms(spark, texts):
     raw = ["w5 x5 and w5 x4", "W14 X0, w1039999 x" + str(1039999 % 7), "w1040000 x0", "x5 w5", "", None]
     got = {(r.doc_id, r.kind): r.terms for r in E.match_gazetteer(texts(raw), "doc_id", gaz).collect()}
     assert got == {(0, "odd"): ["w5 x5"], (1, "even"): ["w14 x0"], (1, "odd"): ["w1039999 x" + str(1039999 % 7)]}
+
+
+def test_more_probes_let_fewer_others_pass(spark):
+    held = spark.range(40_000).select(F.xxhash64("id").alias("h"))
+    found = bitmap.bitmap_of(held, "h", per_item=64, probes=4)
+    assert held.where(~bitmap.may_hold(found, F.col("h"))).isEmpty()
+    assert spark.range(1 << 40, (1 << 40) + 400_000).where(bitmap.may_hold(found, F.xxhash64("id"))).count() < 40
