@@ -1,29 +1,34 @@
 """Benchmark decontamination with item-sized SimHash windows, in DataFrame operations only.
 
 For each benchmark item, windows of its size slide over the documents. A window and an item are
-candidates if their SimHash fingerprints differ in at most ``RADIUS`` bits: fingerprints are cut into
-``RADIUS + 1`` blocks, and two within the radius agree in one block at least, so an equi-join on
-(size, block number, block) finds every such pair. Candidates are verified by the exact weighted
-Jaccard similarity of their word shingles, where a shingle weighs as often as it stands there.
+candidates if their SimHash fingerprints differ in at most ``RADIUS`` bits: fingerprints are cut into four
+blocks of 16 bits, and two within the radius differ in at most ``NEAR`` bits of one block at least. So items
+are listed under all values near each of their blocks, windows under their blocks as they are, and an
+equi-join on (size, block number, value) finds every such pair, and few others: 4 % of unrelated ones.
+Only fingerprints travel in that join. Candidates get their shingles back and are verified by the exact
+weighted Jaccard similarity, where a shingle weighs as often as it stands there.
 
 Which windows are fingerprinted: a window that verifies shares shingles with its item, and moving its
 start on to its first shared shingle loses none of them. So windows begin at shared shingles (or end
-with the document), and documents without any are left out early: a bitmap of the items' shingles, of
-a fixed size whatever the benchmark's, is looked up while the row is read, and an exact join follows.
+with the document), and documents without any are left out early: a bitmap of the items' shingles, sized by
+their number, is looked up while the row is read, and an exact join follows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intelweave.functions.bitmap import bitmap_of, may_hold
+from intelweave.functions.bitmap import Bitmap, bitmap_of, may_hold
 from intelweave.functions.flow import bind, with_computed
 from intelweave.llm.common import row_key, staged
 
 SHINGLE = 5
 RADIUS = 15
-BLOCK_BITS = 4  # 16 blocks of 4 bits
+BLOCKS, BLOCK_BITS = 4, 16
+NEAR = RADIUS // BLOCKS  # bits: were all blocks further apart, the fingerprints would be so by BLOCKS * (NEAR + 1) > RADIUS
 SHORT = 32_767  # shingles that counters of 16 bits hold; more are counted in 32 bits
 
 
@@ -61,8 +66,19 @@ def _majority(shingles: Column, width: int) -> Column:
     return bind(counted, majority)
 
 
+def _block(fp: Column, b: int) -> Column:
+    return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)
+
+
 def _blocks(fp: Column) -> Column:
-    return F.array(*[F.struct(F.lit(b).alias("n"), F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1).alias("v")) for b in range(RADIUS + 1)])
+    return F.array(*[F.struct(F.lit(b).alias("b"), _block(fp, b).alias("v")) for b in range(BLOCKS)])
+
+
+def _near_blocks(fp: Column) -> Column:
+    """All (block number, value) that a fingerprint with a block within ``NEAR`` bits of this one's may hold."""
+    masks = [sum(1 << i for i in bits) for n in range(NEAR + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    return F.flatten(F.transform(_blocks(fp), lambda x: F.transform(flips, lambda m: F.struct(x["b"].alias("b"), x["v"].bitwiseXOR(m).alias("v")))))
 
 
 def shared_weight(a: Column, b: Column) -> Column:
@@ -117,12 +133,14 @@ def find_windows(keyed: DataFrame, benchmark: DataFrame, threshold: float, item_
 
 def _windows_of_size(keyed: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     items = with_computed(items.select("item", "n", "words"), {"item_sh": shingles_of(F.col("words"), k)}).select("item", "n", "item_sh")
-    items = staged(with_computed(items, {"item_fp": simhash_of(F.col("item_sh"))}), "item-shingles")
+    items = with_computed(items, {"item_fp": simhash_of(F.col("item_sh"))}).withColumn("number", F.monotonically_increasing_id())
+    items = staged(items, "item-shingles")  # numbered once and for all: items may repeat
     wanted = items.select("n", F.explode("item_sh").alias("s")).distinct()
-    bitmap = bitmap_of(wanted, "s")
+    bitmap = bitmap_of(wanted, "s", per_item=64, probes=4)  # one shingle of a document's hundreds is enough to keep it
 
     rows = with_computed(keyed, {"sh": shingles_of(words_of(F.col("text")), k)}).select("key", "sh")
-    places = F.when(F.size("sh") > 0, F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: may_hold(bitmap, F.col("sh")[i]))).otherwise(F.array().cast("array<int>"))
+    held = lambda w: F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: may_hold(Bitmap(w, bitmap.bits, bitmap.probes), F.col("sh")[i]))
+    places = F.when(F.size("sh") > 0, bind(bitmap.words, held)).otherwise(F.array().cast("array<int>"))
     rows = staged(with_computed(rows, {"hits": places}).filter(F.size("hits") > 0), "shingled")
 
     hits = rows.select("key", F.size("sh").alias("m"), F.explode(F.transform("hits", lambda i: F.struct(i.alias("at"), F.col("sh")[i].alias("s")))).alias("h"))
@@ -131,21 +149,31 @@ def _windows_of_size(keyed: DataFrame, items: DataFrame, k: int, threshold: floa
     windows = starts.join(rows.select("key", "sh"), "key")
     windows = with_computed(windows.select("key", "n", "start_word", F.slice("sh", F.col("start_word") + 1, F.col("n") - k + 1).alias("win")), {"fp": simhash_of(F.col("win"))})
 
-    blocks = windows.select("key", "n", "start_word", "win", "fp", F.explode(_blocks(F.col("fp"))).alias("b"))
-    index = items.select("item", "n", "item_sh", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("b"))
-    pairs = blocks.join(index, ["n", "b"])
-    hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # of the blocks that agree, the first one reports the pair
-    pairs = pairs.filter(hamming <= RADIUS).filter(_first_agreeing(F.col("fp").bitwiseXOR(F.col("item_fp"))) == F.col("b.n"))
-    shared = shared_weight(F.col("win"), F.col("item_sh"))
-    pairs = with_computed(pairs.select("key", "item", "n", "start_word", hamming.alias("hamming"), "win", "item_sh"), {"shared": shared})
+    # Of copies of a row one is enough.
+    windows = windows.select("key", "n", "start_word", "fp").distinct()
+    pairs = candidates(windows, items.select("number", "n", "item_fp"))
+    pairs = staged(pairs, "candidates")
+    texts = rows.join(pairs.select("key").distinct(), "key", "left_semi").select("key", "sh").dropDuplicates(["key"])
+    pairs = pairs.join(texts, "key").join(items.select("number", "item", "item_sh"), "number")
+    pairs = with_computed(pairs, {"win": F.slice("sh", F.col("start_word") + 1, F.col("n") - k + 1)}).drop("sh")
+    pairs = with_computed(pairs, {"shared": shared_weight(F.col("win"), F.col("item_sh"))})
     similarity = F.col("shared") / (F.size("win") + F.size("item_sh") - F.col("shared"))
     return pairs.select("key", "item", similarity.alias("similarity"), "hamming", "start_word", F.col("n").alias("n_words")).filter(F.col("similarity") >= threshold)
 
 
-def _first_agreeing(difference: Column) -> Column:
-    """Number of the first block in which two fingerprints agree, from their exclusive or."""
+def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, n, start_word, number, hamming) of all windows and items of one size within the radius, each pair once."""
+    blocks = windows.select("key", "n", "start_word", "fp", F.inline(_blocks(F.col("fp"))))
+    index = items.select("number", "n", "item_fp", F.inline(_near_blocks(F.col("item_fp"))))
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    met = blocks.join(index, ["n", "b", "v"]).withColumn("hamming", F.bit_count(apart)).filter(F.col("hamming") <= RADIUS)
+    # of the blocks that are near each other, the first one reports the pair
+    return met.filter(_first_near(apart) == F.col("b")).select("key", "n", "start_word", "number", "hamming")
+
+
+def _first_near(difference: Column) -> Column:
+    """Number of the first block in which two fingerprints are near each other, from their exclusive or."""
     out = F.lit(None).cast("int")
-    for b in range(RADIUS, -1, -1):
-        out = F.when(F.shiftrightunsigned(difference, b * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) == 0, b).otherwise(out)
+    for b in range(BLOCKS - 1, -1, -1):
+        out = F.when(F.bit_count(_block(difference, b)) <= NEAR, b).otherwise(out)
     return out

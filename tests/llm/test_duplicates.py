@@ -275,3 +275,114 @@ def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# == Recall of passages
+
+
+def edited(words, how):
+    at = len(words) // 2
+    return {"equal": words, "replaced": words[:at] + ["zzzz"] + words[at + 1:], "inserted": words[:at] + ["zzzz"] + words[at:], "deleted": words[:at] + words[at + 1:]}[how]
+
+
+def holds_similar_windows(a, b):
+    a, b = (list(zip(*[w[i:] for i in range(passages.SHINGLE)])) for w in (a, b))
+    unit, least = passages.UNIT, passages.need(0.8)
+    return any(sum((collections.Counter(a[i:i + unit]) & collections.Counter(b[j:j + unit])).values()) >= least
+               for i in range(len(a) - unit + 1) for j in range(len(b) - unit + 1))
+
+
+def test_recall_of_edited_passages(docs_of):
+    cells, texts, pairs = {}, [], []
+    for length in (52, 60, 80):
+        for how in ("equal", "replaced", "inserted", "deleted"):
+            for n in range(25):
+                words = prose(length, 10_000 + 1000 * length + n).split()
+                seed = 50_000 + 4 * len(texts)
+                two = [prose(70, seed).split() + words + prose(70, seed + 1).split(), prose(70, seed + 2).split() + edited(words, how) + prose(70, seed + 3).split()]
+                if holds_similar_windows(*[words_of(" ".join(t)) for t in two]):
+                    pairs.append((length, how, len(texts), len(texts) + 1))
+                    texts += [" ".join(t) for t in two]
+    classes = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs_of(texts)).collect():
+        classes[r.doc_id].add(r.class_id)
+    for length, how, a, b in pairs:
+        found, total = cells.get((length, how), (0, 0))
+        cells[length, how] = (found + bool(classes[a] & classes[b]), total + 1)
+    print({k: f"{f}/{n}" for k, (f, n) in cells.items()})
+    assert len(cells) == 12
+    for (_, how), (f, n) in cells.items():
+        assert n >= 20 and f >= (n if how == "equal" else 0.9 * n)
+    # unrelated pairs share no class
+    assert all(not classes[a] & classes[c] for (*_, a, _), (*_, c, _) in zip(pairs, pairs[1:]))
+
+
+def test_boilerplate_costs_what_its_documents_are_many(spark, docs_of, monkeypatch):
+    line, counted = prose(36, 900), {}
+
+    def compared(pairs, threshold, real=passages.compared):
+        pairs = pairs.persist()
+        counted[n] = counted.get(n, 0) + pairs.count()
+        return real(pairs, threshold)
+
+    monkeypatch.setattr(passages, "compared", compared)
+    for n in (150, 300):
+        texts = [f"{prose(60, 20_000 + i)} {line} {prose(60, 30_000 + i)}" for i in range(n)]
+        assert passages.repeated_passages(docs_of(texts), group=16).count() == 0
+    assert 0 < counted[300] <= 3 * counted[150] and counted[300] < 300 * 60
+
+
+def test_groups_of_any_size_give_the_same_classes(docs_of):
+    shared, line = prose(70, 500).split(), prose(36, 501)
+    texts = []
+    for i in range(24):
+        own = shared[:]
+        if i % 3:
+            own[20 + i] = f"edit{i}"
+        texts.append(" ".join(prose(50, 510 + i).split() + own + prose(20, 540 + i).split()) + " " + line + " " + prose(50, 570 + i))
+    found = [{(r.doc_id, r.class_id) for r in passages.repeated_passages(docs_of(texts), group=group).collect()} for group in (256, 8, 2)]
+    assert found[0] == found[1] == found[2] and {c for _, c in found[0]} == {0}
+
+
+# == Filters of the decontamination
+
+
+def test_blocks_find_all_pairs_within_the_radius_and_few_others(spark):
+    rng = random.Random(4)
+    items = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    near = []
+    for i, fp in enumerate(items):
+        for n in (0, 3, 9, 14, 15, 16, 22):
+            bits = rng.sample(range(64), n)
+            near.append((i, 10, n, fp ^ sum((1 << b) if b < 63 else -(1 << 63) for b in bits)))
+    index = spark.createDataFrame([(i, 10, fp) for i, fp in enumerate(items)] + [(i, 11, fp) for i, fp in enumerate(items)], "number long, n int, item_fp long")
+    windows = spark.createDataFrame(near, "key long, n int, start_word int, fp long")
+    got = {(r.key, r.start_word, r.number): r.hamming for r in decontam.candidates(windows, index).collect()}
+    mask = (1 << 64) - 1
+    want = {(k, w, i): ((fp ^ other) & mask).bit_count() for k, _, w, fp in near for i, other in enumerate(items) if ((fp ^ other) & mask).bit_count() <= 15}
+    assert got == want and len(want) >= 60 * 5
+    blocks = windows.select("n", F.inline(decontam._blocks(F.col("fp")))).join(index.select("n", F.inline(decontam._near_blocks(F.col("item_fp")))), ["n", "b", "v"])
+    assert blocks.count() < 0.06 * len(near) * len(items) + 4 * len(near)
+
+
+def test_recall_at_the_threshold(spark, docs_of):
+    cases, texts = [], []
+    for i in range(150):
+        item = prose(50, 40_000 + i).split()
+        changed = item[:25] + ["zzzz"] + item[26:]  # five of 46 shingles differ: 41 of 51 are shared
+        cases.append((i, " ".join(item)))
+        texts.append(prose(40, 41_000 + i) + " " + " ".join(changed) + " " + prose(40, 42_000 + i))
+    found = decontam.find_contamination(docs_of(texts), spark.createDataFrame(cases, "item_id long, text string")).collect()
+    hits = {r.doc_id for r in found if r.item_id == r.doc_id}
+    print(f"found at a similarity of {41 / 51:.3f}: {len(hits)} of {len(cases)}")
+    assert len(hits) >= 0.94 * len(cases) and all(r.item_id == r.doc_id for r in found)
+
+
+def test_pipeline_leaves_columns_of_any_name_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    added = {c: F.concat(F.lit(c), F.coalesce(F.col("text"), F.lit("")).substr(1, 3)) for c in ("__row_key", "__row_note", "key", "row", "score", "n", "a.b", "text2")}
+    wide = docs.drop("key").withColumns(added)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, wide, sf_dir)
+        assert out.dtypes == wide.dtypes, name
+        assert out.filter(F.col("__row_key") != F.concat(F.lit("__row_key"), F.coalesce(F.col("text"), F.lit("")).substr(1, 3))).filter("text NOT LIKE '[SECRET]%'").isEmpty()
