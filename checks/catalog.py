@@ -1189,6 +1189,20 @@ def _(spark, sf):
     return done.select(*[long(c).alias(c) for c in done.columns])
 
 
+@query("ledger_buckets", D.with_articles("""SELECT url, 'new' AS part FROM a WHERE doc_id % 4 = 0
+UNION ALL SELECT url, 'kept' FROM a WHERE doc_id % 4 <> 0 AND doc_id % 40 = 1"""))
+def _(spark, sf):
+    """A ledger in three increments, asked for some of its URLs and some others: what is new, and what of the asked it holds."""
+    rows = stage(spark, D.articles(spark, sf).select("doc_id", "title", "url"), scratch(spark, "articles"))
+    path = scratch(spark, "ledger")
+    for n in (stores.BASE, 0, 1):
+        stores.write_ledger(rows.where(F.col("doc_id") % 4 == n + 2), path, n)
+    asked = rows.where("doc_id % 4 = 0 OR doc_id % 40 = 1")
+    ledger = stores.read_ledger(spark, path, near=asked)
+    new = I.new_articles(asked, ledger).select("url", F.lit("new").alias("part"))
+    return new.unionByName(ledger.join(asked, "url", "left_semi").select("url", F.lit("kept").alias("part")))
+
+
 @query("build_then_increment", f"""WITH {D.CLEAN_CTES},
 sized AS (SELECT doc_id, url, clean_text, {D.sql_words('clean_text')} AS n FROM clean)
 SELECT url, -1 AS increment FROM sized WHERE doc_id % 2 = 0 AND n > 100 QUALIFY row_number() OVER (PARTITION BY clean_text ORDER BY url) = 1

@@ -94,4 +94,4 @@ def build(spark: SparkSession, articles: DataFrame, models: Models, layout: Layo
     S.write_vectors(V.vector_rows(V.embed(latest, models.embedder)), layout.at("vectors"))
     S.write_graph(*G.build_graph(found, order), layout.at("graph"))
     # Increments start behind what the build has read, filtered rows included.
-    S.write_base(articles.select("url").where("url <> ''").distinct(), layout.at("ledger"))
+    S.write_ledger(articles.select("url").where("url <> ''").distinct(), layout.at("ledger"), S.BASE)

@@ -15,7 +15,7 @@ from intelweave.operators.web import drop_seen
 from intelweave.plans.batch import Layout, Models, cleaned
 from intelweave.sources import stores as S
 
-LEDGER_SCHEMA = T.StructType([T.StructField("url", T.StringType())])
+LEDGER_SCHEMA = S.LEDGER_SCHEMA
 
 
 def new_articles(raw: DataFrame, ledger: DataFrame, order: str = "title") -> DataFrame:
@@ -56,7 +56,7 @@ def run_increment(
     else. The ledger goes last: after any failure the run is repeated whole.
     Empty inputs flow through as empty partitions.
     """
-    ledger = S.read_increments(spark, layout.at("ledger"), LEDGER_SCHEMA, before=increment)
+    ledger = S.read_ledger(spark, layout.at("ledger"), before=increment, near=raw)
     fresh_path = f"{layout.at('fresh')}/increment={increment}"
     # Staged once: three later steps need the new articles.
     new_articles(raw, ledger).write.mode("overwrite").parquet(fresh_path)
@@ -73,7 +73,7 @@ def run_increment(
     S.write_increment(rows, layout.at("vectors"), increment)
     nodes, edges = G.build_graph(found, "url")
     S.write_graph(nodes, edges, layout.at("graph"), clear_first=False, increment=increment)
-    S.write_increment(fresh.select("url"), layout.at("ledger"), increment)
+    S.write_ledger(fresh, layout.at("ledger"), increment)
     # The raw copy has served; an empty table takes its place.
     spark.createDataFrame([], fresh.schema).write.mode("overwrite").parquet(fresh_path)
     return summary(spark, layout, increment)

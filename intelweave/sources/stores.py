@@ -9,7 +9,7 @@ leaves its rows in partition ``BASE``, which precedes every increment.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,47 @@ def write_base(df: DataFrame, path: str) -> None:
     df.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment").parquet(path)
 
 
+LEDGER_SCHEMA = T.StructType([T.StructField("url", T.StringType())])
+BUCKETS = 64  # of the ledger: at most so many folders an increment
+
+
+def url_bucket(url: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def write_ledger(urls: DataFrame, path: str, increment: int) -> None:
+    """One increment of the ledger, a folder for each bucket of URLs; ``BASE`` replaces the whole ledger."""
+    rows = urls.select("url", url_bucket(F.col("url")).alias("bucket"))
+    # A bucket is one task's, and with it one file.
+    rows = rows.repartition("bucket")
+    if increment == BASE:
+        rows.withColumn("increment", F.lit(BASE)).write.mode("overwrite").partitionBy("increment", "bucket").parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/increment={increment}")
+
+
+def read_ledger(spark: SparkSession, path: str, before: int | None = None, near: DataFrame | None = None) -> DataFrame:
+    """``(url, increment)`` of all increments or of earlier ones; with ``near``, only buckets that its URLs fall into.
+
+    Whatever ``near`` holds, its URLs are found if the ledger has them: other buckets cannot hold them. The
+    buckets, at most ``BUCKETS`` numbers, become a filter on the folder names, so other folders are not read.
+    """
+    full = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("increment", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    try:
+        df = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], full)
+    if before is not None:
+        df = df.where(F.col("increment") < before)
+    if near is not None:
+        touched = sorted(r["bucket"] for r in near.select(url_bucket(F.col("url")).alias("bucket")).where("bucket IS NOT NULL").distinct().collect())
+        # Folders of ledgers from before there were buckets have no number and are always read.
+        df = df.where(F.col("bucket").isin(touched) | F.col("bucket").isNull())
+    return df.drop("bucket")
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "rebuild", increment: int = 0) -> None:
     """``rebuild`` drops the collection first; ``add`` writes only ids not stored yet."""
     if mode == "rebuild":

@@ -179,3 +179,33 @@ def test_entities_of_an_increment_are_those_of_a_build(spark, models, raw, tmp_p
     keep = ["url", "cve_ids", "ip_addresses", "malware_names", "threat_actors"]
     a, b = (sorted(map(repr, spark.read.parquet(x.at("entities")).select(*keep).collect())) for x in (built, grown))
     assert a == b and len(a) == 20
+
+
+def test_only_touched_buckets_of_the_ledger_are_read(spark, tmp_path):
+    urls = lambda a, b: spark.range(a, b).select(F.concat(F.lit("https://x/"), F.col("id").cast("string")).alias("url"))
+    path = str(tmp_path / "ledger")
+    assert S.read_ledger(spark, path, near=urls(0, 3)).count() == 0
+    S.write_ledger(urls(0, 500), path, S.BASE)
+    S.write_ledger(urls(500, 700), path, 0)
+    S.write_ledger(urls(700, 800), path, 1)
+    S.write_ledger(urls(700, 900), path, 1)  # a repeated run
+    assert S.read_ledger(spark, path).count() == 900 and S.read_ledger(spark, path, before=1).count() == 700
+    some = urls(498, 502)
+    near = S.read_ledger(spark, path, near=some)
+    assert near.join(some, "url", "left_semi").count() == 4 and near.count() < 200
+    scan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    files = {f.split("bucket=")[1].split("/")[0] for f in near.inputFiles()}
+    held = {str(r[0]) for r in some.select(S.url_bucket(F.col("url"))).collect()}
+    assert files >= held  # inputFiles lists before pruning; what is read is counted below
+    read = near.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("bucket=")[1].split("/")[0] for r in read} == held
+    new = I.new_articles(urls(895, 905).withColumn("title", F.lit("t")), S.read_ledger(spark, path, near=urls(895, 905)))
+    assert sorted(r.url for r in new.collect()) == [f"https://x/{i}" for i in range(900, 905)]
+
+
+def test_a_ledger_without_buckets_is_still_read(spark, tmp_path):
+    path = str(tmp_path / "old")
+    S.write_increment(spark.createDataFrame([("u",), ("v",)], "url string"), path, 0)
+    near = S.read_ledger(spark, path, near=spark.createDataFrame([("u",), (None,)], "url string"))
+    assert {r.url for r in near.collect()} == {"u", "v"}
