@@ -22,6 +22,7 @@ from intelweave import vocab
 from intelweave.operators import bio as B
 
 SLOTS = 1 << 17
+PER_SHARD = 500  # sentences
 _WORDS = 300_000  # word types that a worker keeps the slots of
 _FORBIDDEN = np.float32(-1e9)
 
@@ -166,16 +167,17 @@ def _pass(batches: Iterator[pa.RecordBatch], tags: list[str], start: np.ndarray,
     yield pa.RecordBatch.from_arrays(cols, names=["slot", "seen", *[f"{m}{j}" for m in "em" for j in range(k)]])
 
 
-def train_tagger(labelled: DataFrame, keys: list[str], epochs: int = 5, shards: int = 4, together: int = 8, tags: list[str] | None = None) -> Tagger:
+def train_tagger(labelled: DataFrame, keys: list[str], epochs: int = 5, shards: int | None = None, together: int = 8, tags: list[str] | None = None) -> Tagger:
     """Fit a tagger to sentences with ``words`` and ``tags``; the same rows give the same weights on any cluster.
 
-    ``keys`` with ``sent`` tell sentences apart and deal them over ``shards`` passes that run in parallel; more
-    shards train faster and mix more. Each round brings at most one row a weight slot to the driver. Unknown
+    ``keys`` with ``sent`` tell sentences apart and deal them over ``shards`` passes that run in parallel: one for
+    every ``PER_SHARD`` sentences unless given, as a shard of few sentences learns little before it is mixed. Each round brings at most one row a weight slot to the driver. Unknown
     tags count as ``O``; no sentences give a tagger that tags everything ``O``.
     """
     tags = list(vocab.BIO_TAGS if tags is None else tags)
     k = len(tags)
     key = F.xxhash64(*keys, "sent")
+    shards = max(labelled.count() // PER_SHARD, 1) if shards is None else shards
     dealt = labelled.select("words", "tags", key.alias("key")).repartition(shards, "key").sortWithinPartitions("key", "words")
     dealt = dealt.select("words", "tags")
     schema = "slot int, seen double, " + ", ".join(f"{m}{j} double" for m in "em" for j in range(k))
