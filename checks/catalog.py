@@ -849,6 +849,49 @@ def _models(spark, sf):
     return Models(binary, industry, labels, V.fit_embedder(clean)), untagged
 
 
+# Texts whose class can be read off planted words: what a model has to learn, SQL can say.
+
+
+def _planted(spark, sf) -> DataFrame:
+    rows = D.cleaned(spark, sf).drop("threat_score").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    names = F.array(F.concat(F.lit("class"), F.col("quality").cast("string")), F.regexp_replace("primary_industry", " ", ""))
+    # Forty words of its own for each class: one alone would not outweigh what the other words overfit.
+    words = F.flatten(F.transform(names, lambda n: F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(n, F.lit("_"), i.cast("string")))))
+    rows = rows.withColumns({"title": F.concat_ws(" ", words, "title"), "label": F.col("quality").cast("int")})
+    return stage(spark, rows.withColumn("text", C.model_input()), scratch(spark, "planted"))
+
+
+_PLANTED = D.with_articles("""SELECT a.doc_id, {columns} FROM a JOIN labels l ON a.doc_id = l.doc_id
+WHERE substr(md5('42|' || a.doc_id), 1, 8) >= 'cccccccc' {where}""")
+
+
+@query("train_binary_planted", _PLANTED.format(columns="cast(quality AS int) AS prediction, true AS likelier", where=""))
+def _(spark, sf):
+    """Class of each held-out article by a model of the others, and whether its probability is over a half."""
+    train, test = R.split(_planted(spark, sf), ["doc_id"])
+    return C.predict(test, C.train_binary(train)).select("doc_id", "prediction", (F.col("confidence") > 0.5).alias("likelier"))
+
+
+@query("train_industry_planted", _PLANTED.format(columns="primary_industry AS predicted, true AS likelier", where=""))
+def _(spark, sf):
+    rows = _planted(spark, sf)
+    names = C.label_map(D.articles(spark, sf), "primary_industry")
+    train, test = R.split(C.encode_labels(rows.drop("label"), "primary_industry", names), ["doc_id"])
+    out = C.predict(test, C.train_industry(train)).join(names.withColumnRenamed("label_id", "prediction"), "prediction")
+    return out.select("doc_id", F.col("label").alias("predicted"), (F.col("confidence") > 1 / 7).alias("likelier"))
+
+
+@query("tag_articles_planted", _PLANTED.format(
+    columns="primary_industry, true AS threat, true AS scored", where="AND quality = 1"))
+def _(spark, sf):
+    """The cascade over held-out articles: those of class 1 with their industry."""
+    names = C.label_map(D.articles(spark, sf), "primary_industry")
+    train, test = R.split(_planted(spark, sf), ["doc_id"])
+    industry = C.train_industry(C.encode_labels(train.drop("label"), "primary_industry", names))
+    tagged = C.tag_articles(test.drop("text", "label", "primary_industry"), C.train_binary(train), industry, names)
+    return tagged.select("doc_id", "primary_industry", F.col("threat_score").between(0.5, 1).alias("threat"), F.col("industry_score").between(0, 1).alias("scored"))
+
+
 # == Vectors ================================================================
 
 
@@ -1222,6 +1265,29 @@ def _(spark, sf):
     return spark.read.parquet(layout.at("entities")).select("url", long("increment").alias("increment"))
 
 
+@query("kept_counts", _G + """,
+moved AS (SELECT url, threat_actors FROM ga WHERE doc_id % 5 = 0),
+e AS (SELECT * FROM edges UNION SELECT 'Article', url, 'TARGETS', 'Industry', 'Moved' FROM moved
+      UNION SELECT 'ThreatActor', unnest(threat_actors), 'TARGETS', 'Industry', 'Moved' FROM moved),
+n AS (SELECT label, key, CASE WHEN label = 'Article' AND key IN (SELECT url FROM moved) THEN 'Moved' ELSE industry END AS industry FROM nodes
+      UNION ALL SELECT 'Industry', 'Moved', NULL WHERE EXISTS (SELECT 1 FROM moved))
+SELECT 'node' AS measure, label AS kind, '' AS name, '' AS industry, count(*) AS n FROM n GROUP BY label
+UNION ALL SELECT 'edge', rel, '', '', count(*) FROM e GROUP BY rel
+UNION ALL SELECT 'article', 'Article', '', industry, count(*) FROM n WHERE label = 'Article' GROUP BY industry
+UNION ALL SELECT 'mention', dst_label, dst, n.industry, count(*) FROM e JOIN n ON label = 'Article' AND key = src
+          WHERE src_label = 'Article' AND rel = 'MENTIONS' GROUP BY dst_label, dst, n.industry
+UNION ALL SELECT 'target', 'Industry', dst, '', count(*) FROM e WHERE src_label = 'Article' AND rel = 'TARGETS' GROUP BY dst""")
+def _(spark, sf):
+    """Counts kept over a build and three increments, the last of which moves a fifth of the articles to another industry."""
+    rows = stage(spark, D.entities(spark, sf).drop("clean_text"), scratch(spark, "entities"))
+    parts = [rows.where(F.col("doc_id") % 3 == n) for n in range(3)]
+    path = scratch(spark, "counted")
+    for n, part in enumerate([*parts, rows.where("doc_id % 5 = 0").withColumn("primary_industry", F.lit("Moved"))], stores.BASE):
+        stores.write_graph(*G.build_graph(part, "doc_id"), f"{path}/graph", clear_first=n == stores.BASE, increment=n)
+        stores.write_counts(spark, f"{path}/graph", f"{path}/counts", n)
+    return stores.read_counts(spark, f"{path}/counts")
+
+
 # == Sources and sinks ======================================================
 
 

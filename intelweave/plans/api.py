@@ -140,6 +140,41 @@ def industry_stats(edges: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("count"), "industry")
 
 
+# -- the same answers from kept counts (`stores.read_counts`), without the graph --
+
+
+def kept_stats(vectors: DataFrame, counts: DataFrame) -> DataFrame:
+    """:func:`stats`, of whose totals only the collection's still need a scan."""
+    def total(measure: str, kind: str | None = None) -> Column:
+        rows = counts.where(F.col("measure") == measure)
+        rows = rows if kind is None else rows.where(F.col("kind") == kind)
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+
+    return vectors.agg(
+        F.count("*").alias("total_articles"), F.max(F.size("embedding")).alias("embedding_dimensions")
+    ).select(
+        "total_articles",
+        total("node", "Industry").alias("industries_covered"),
+        "embedding_dimensions",
+        total("node").alias("graph_nodes"),
+        total("edge").alias("graph_relationships"),
+    )
+
+
+def kept_top_entities(counts: DataFrame, industry: str = vocab.ALL_INDUSTRIES, limit: int = 10) -> DataFrame:
+    """:func:`top_entities`."""
+    hits = counts.where((F.col("measure") == "mention") & F.col("kind").isin("Malware", "CVE", "ThreatActor"))
+    if industry != vocab.ALL_INDUSTRIES:
+        hits = hits.where(F.col("industry") == industry)
+    return top_per_kind(hits.groupBy("kind", "name").agg(F.sum("n").alias("connections")), limit)
+
+
+def kept_industry_stats(counts: DataFrame) -> DataFrame:
+    """:func:`industry_stats`."""
+    hits = counts.where("measure = 'target'").select(F.col("name").alias("industry"), F.col("n").alias("count"))
+    return hits.orderBy(F.desc("count"), "industry")
+
+
 def alerts(
     vectors: DataFrame,
     limit: int = 10,

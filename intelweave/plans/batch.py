@@ -93,5 +93,6 @@ def build(spark: SparkSession, articles: DataFrame, models: Models, layout: Layo
     latest = Q.first_per(complete, ["url"], F.col(order).desc(), *ties)
     S.write_vectors(V.vector_rows(V.embed(latest, models.embedder)), layout.at("vectors"))
     S.write_graph(*G.build_graph(found, order), layout.at("graph"))
+    S.write_counts(spark, layout.at("graph"), layout.at("counts"), S.BASE)
     # Increments start behind what the build has read, filtered rows included.
     S.write_ledger(articles.select("url").where("url <> ''").distinct(), layout.at("ledger"), S.BASE)

@@ -73,6 +73,7 @@ def run_increment(
     S.write_increment(rows, layout.at("vectors"), increment)
     nodes, edges = G.build_graph(found, "url")
     S.write_graph(nodes, edges, layout.at("graph"), clear_first=False, increment=increment)
+    S.write_counts(spark, layout.at("graph"), layout.at("counts"), increment)
     S.write_ledger(fresh, layout.at("ledger"), increment)
     # The raw copy has served; an empty table takes its place.
     spark.createDataFrame([], fresh.schema).write.mode("overwrite").parquet(fresh_path)

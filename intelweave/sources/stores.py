@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intelweave.operators import graph as G
+from intelweave.operators import kept_counts as K
 from intelweave.operators.vectors import add_vectors
 
 BASE = -1
@@ -177,11 +178,38 @@ def compact_graph(spark: SparkSession, path: str) -> None:
     _mark(spark, path, number, "placed", upto)
 
 
-def read_graph(spark: SparkSession, path: str, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Merged nodes and edges over all increments (or those up to one); later article properties win."""
+def _graph_rows(spark: SparkSession, path: str, upto: int | None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge rows with their increments, not merged."""
     nodes = read_increments(spark, f"{path}/nodes", NODE_SCHEMA, None if upto is None else upto + 1)
     edges = read_increments(spark, f"{path}/edges", EDGE_SCHEMA, None if upto is None else upto + 1)
     if _compaction(spark, path)[1] is not None:
         nodes, edges = (df.unionByName(spark.read.schema(schema).parquet(f"{path}/compacted/{name}").withColumn("increment", F.lit(BASE).cast("long")))
                         for df, name, schema in ((nodes, "nodes", NODE_SCHEMA), (edges, "edges", EDGE_SCHEMA)))
+    return nodes, edges
+
+
+def read_graph(spark: SparkSession, path: str, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged nodes and edges over all increments (or those up to one); later article properties win."""
+    nodes, edges = _graph_rows(spark, path, upto)
     return G.latest_nodes(nodes, "increment"), G.unique_edges(edges)
+
+
+def write_counts(spark: SparkSession, path: str, counts_path: str, increment: int) -> None:
+    """Keep the counts of the graph at ``path`` up to date with the increment written last.
+
+    Only the part of the graph that the increment touches is counted. A graph from before counts were kept is
+    counted whole, once. A repeated run overwrites its own partition, as everywhere here.
+    """
+    if increment == BASE:
+        return write_base(K.count_graph(*read_graph(spark, path, BASE)), counts_path)
+    counts = T.StructType.fromDDL(K.COUNT_SCHEMA)
+    if read_increments(spark, counts_path, counts, before=increment).isEmpty():
+        write_increment(K.count_graph(*read_graph(spark, path, increment - 1)), counts_path, BASE)
+    old = _graph_rows(spark, path, increment - 1)
+    new = [read_increments(spark, f"{path}/{name}", schema).where(F.col("increment") == increment)
+           for name, schema in (("nodes", NODE_SCHEMA), ("edges", EDGE_SCHEMA))]
+    write_increment(K.count_changes(*old, *new), counts_path, increment)
+
+
+def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
+    return K.add_up(read_increments(spark, counts_path, T.StructType.fromDDL(K.COUNT_SCHEMA)))
