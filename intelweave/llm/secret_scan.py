@@ -1,16 +1,19 @@
 """Secret scan: patterns, and encoded candidates that are reported only after their structure is parsed.
 
-Base kinds are plain patterns. The method's own kinds come from long base64 or hex runs: a run is
-decoded and reported where the bytes parse as a key: DER whose nested lengths add up to a private
-key's layout, the binary layout of an OpenSSH key, or a signed token whose header is a JSON object
-with an algorithm. Random words never parse.
+Base kinds are plain patterns. The method's own kinds come from long base64 or hex runs, wrapped over
+lines or not: a run is decoded and reported from where the bytes parse as a key: DER whose nested
+lengths add up to a private key's layout, the binary layout of an OpenSSH key, or a signed token whose
+header is a JSON object with an algorithm. Random words never parse. An encrypted PEM block shows no
+key layout; its header fields and whole cipher blocks confirm it.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -28,10 +31,17 @@ BASE_KINDS = ("assign", "access", "hex")
 METHOD_KINDS = ("jwt", "pem", "der", "openssh")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]{16,}?)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+# The body ends at the next five dashes; its tempered run is atomic, so a text of open headers stays linear.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))++)-----END \1-----")
+_PEM_FIELD = re.compile(r"([A-Za-z][A-Za-z0-9-]*):\s*(.*)")
+_DEK = re.compile(r"[A-Z0-9-]+,((?:[0-9A-F]{2}){8,16})", re.I)
+_BREAK = re.compile(r"(?:\\r)?\\n|\r?\n[ \t]*")  # a line end, also one spelled out as in JSON strings
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:%s)[A-Za-z0-9+/_-]{40,})*(?:(?:%s)[A-Za-z0-9+/_-]+)?={0,2}" % (_BREAK.pattern, _BREAK.pattern))
+_ANY_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 _OPENSSH = b"openssh-key-v1\0"
+# Where a key may begin in decoded bytes: a sequence whose first element is a version or another sequence.
+_KEY_START = re.compile(rb"0(?=(?:[\x00-\x7f]|\x81.|\x82..|\x83...)(?:\x02\x01[\x00\x01]|0))|" + _OPENSSH, re.S)
+LEAST_KEY, LEAST_MODULUS, LEAST_OCTETS = 32, 32, 16  # bytes
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"
 
 
@@ -64,33 +74,35 @@ def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#8, RSA or EC, or their encrypted form; trailing bytes are not allowed."""
-    top = der_node(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
+def der_key_end(data: bytes, at: int) -> int | None:
+    """End of the private key that begins at ``at``: PKCS#8, RSA or EC, or their encrypted form."""
+    top = der_node(data, at, len(data))
+    if top is None or top[0] != 0x30:
+        return None
     kids = der_children(data, top[1], top[2])
     if not kids:
-        return False
-    tags = [k[0] for k in kids]
-    if tags[0] == 0x02 and kids[0][2] - kids[0][1] == 1:
-        if tags[:9] == [0x02] * 9:  # RSA: version and eight integers
-            return True
-        if tags[1:3] == [0x30, 0x04]:  # PKCS#8: algorithm, octets
+        return None
+    tags, sizes = [k[0] for k in kids], [k[2] - k[1] for k in kids]
+    key = False
+    if tags[0] == 0x02 and sizes[0] == 1:
+        if tags[:9] == [0x02] * 9:  # RSA: version, modulus and seven more integers
+            key = sizes[1] >= LEAST_MODULUS
+        elif tags[1:3] == [0x30, 0x04]:  # PKCS#8: algorithm, octets
             inner = der_children(data, *kids[1][1:])
-            return bool(inner) and inner[0][0] == 0x06
-        return tags[1:2] == [0x04] and any(t in (0xA0, 0xA1) for t in tags[2:])  # EC: octets, curve or point
-    if tags == [0x30, 0x04]:  # encrypted PKCS#8: the algorithm holds an identifier and its parameters
+            key = bool(inner) and inner[0][0] == 0x06 and sizes[2] >= LEAST_OCTETS
+        else:  # EC: octets, curve or point
+            key = tags[1:2] == [0x04] and sizes[1] >= LEAST_OCTETS and any(t in (0xA0, 0xA1) for t in tags[2:])
+    elif tags == [0x30, 0x04]:  # encrypted PKCS#8: the algorithm holds an identifier and its parameters
         inner = der_children(data, *kids[0][1:])
-        return bool(inner) and [k[0] for k in inner] == [0x06, 0x30] and der_children(data, *inner[1][1:]) is not None
-    return False
+        key = bool(inner) and [k[0] for k in inner] == [0x06, 0x30] and der_children(data, *inner[1][1:]) is not None
+    return top[2] if key else None
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Magic, three length-prefixed strings, a count of keys, then that many public keys and one private part."""
-    if not data.startswith(_OPENSSH):
-        return False
-    at = len(_OPENSSH)
+def openssh_end(data: bytes, at: int) -> int | None:
+    """End of magic, three length-prefixed strings, a count of keys, then that many public keys and one private part."""
+    if not data.startswith(_OPENSSH, at):
+        return None
+    at += len(_OPENSSH)
 
     def chunk() -> bool:
         nonlocal at
@@ -100,10 +112,11 @@ def is_openssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not all(chunk() for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     count = struct.unpack(">I", data[at:at + 4])[0]
     at += 4
-    return 1 <= count <= 16 and all(chunk() for _ in range(count + 1))
+    # Each step takes four bytes or ends the loop, so a large count costs no more than the data.
+    return at if count >= 1 and all(chunk() for _ in range(count + 1)) else None
 
 
 def decode64(run: str) -> bytes | None:
@@ -114,10 +127,85 @@ def decode64(run: str) -> bytes | None:
         return None
 
 
-def key_kind(data: bytes | None) -> str | None:
-    if data is None or len(data) < 32:
-        return None
-    return "openssh" if is_openssh_key(data) else "der" if data[0] == 0x30 and is_der_key(data) else None
+def key_at(data: bytes, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key that begins at ``at``."""
+    kind = "openssh" if data[at:at + 1] == _OPENSSH[:1] else "der"
+    end = (openssh_end if kind == "openssh" else der_key_end)(data, at)
+    return (kind, end) if end is not None and end - at >= LEAST_KEY else None
+
+
+def is_key_block(body: str) -> bool:
+    """Between the lines of a PEM block: a key that fills it, or an encryption header with whole cipher blocks."""
+    fields, lines = {}, []
+    for line in _BREAK.split(body):
+        field = _PEM_FIELD.fullmatch(line.strip())
+        if field:
+            fields[field[1].lower()] = field[2].strip()
+        else:
+            lines.append("".join(line.replace("\\", " ").split()))
+    data = decode64("".join(lines))
+    if not data:
+        return False
+    if "dek-info" in fields:
+        start = _DEK.fullmatch(fields["dek-info"])
+        return bool(start) and "ENCRYPTED" in fields.get("proc-type", "") and len(data) % (len(start[1]) // 2) == 0
+    found = key_at(data, 0)
+    return found is not None and found[1] == len(data)
+
+
+def keys_in_run(run: str, per: int, size: int, decode) -> list[tuple[str, int, int]]:
+    """Keys spelled inside a run of digits of which ``per`` make ``size`` bytes: (kind, start, end) in digits.
+
+    A key may begin at any digit, as after ``path/``. The run is decoded once from each place within the first
+    group, so work is linear in it; a key's own lengths say where it ends.
+    """
+    found = []
+    for skip in range(per):
+        data = decode(run[skip:])
+        for m in _KEY_START.finditer(data):
+            at = m.start()
+            if at % size == 0 and (key := key_at(data, at)):
+                found.append((key[0], skip + at // size * per, skip + at // size * per + -(-(key[1] - at) * per // size)))
+    kept = []
+    for kind, start, end in sorted(found, key=lambda f: (f[1], -f[2])):
+        if not kept or start >= kept[-1][2]:  # a key inside another one is part of it
+            kept.append((kind, start, end))
+    return kept
+
+
+def _whole64(run: str) -> bytes:
+    return decode64(run[:len(run) - (len(run) % 4 == 1)]) or b""
+
+
+def _whole_hex(run: str) -> bytes:
+    return bytes.fromhex(run[:len(run) // 2 * 2])
+
+
+def encoded_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64, also wrapped over lines, or hex."""
+    spans = []
+    for m in _B64.finditer(text):
+        # Digits of the lines in a row, with the place in the text where each line's begin.
+        lines, at = [], m.start()
+        for cut in _BREAK.finditer(text, m.start(), m.end()):
+            lines.append((at, cut.start()))
+            at = cut.end()
+        lines.append((at, m.end()))
+        run = "".join(text[a:b] for a, b in lines).rstrip("=")
+        upto = [0, *itertools.accumulate(b - a for a, b in lines)]
+
+        def place(digit: int) -> int:
+            line = bisect.bisect_right(upto, digit) - 1
+            return lines[line][0] + digit - upto[line]
+
+        for kind, start, end in keys_in_run(run, 4, 3, _whole64):
+            a, b = place(start), place(end - 1) + 1
+            while text[b:b + 1] == "=" and b < m.end():
+                b += 1
+            spans.append((kind, a, b))
+    for m in _ANY_HEX.finditer(text):
+        spans += [(kind, m.start() + a, m.start() + b) for kind, a, b in keys_in_run(m[0], 2, 1, _whole_hex)]
+    return spans
 
 
 def is_signed_token(header: str, body: str) -> bool:
@@ -149,18 +237,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         spans += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in re.split(r"[\s\\]+", m[2]) if ":" not in x]
-            if key_kind(decode64("".join(lines))):
-                spans.append(("pem", *m.span()))
-    covered = [(a, b) for _, a, b in spans]
-    for pattern, decode in ((_B64, decode64), (_ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in covered):
-                continue
-            if kind := key_kind(decode(m[0])):
-                spans.append((kind, *m.span()))
-    return spans
+        spans += [("pem", *m.span()) for m in _PEM.finditer(text) if is_key_block(m[2])]
+    # Tokens and blocks come in ascending order each; what lies in one of them is not reported again.
+    spans.sort(key=lambda s: s[1])
+    starts, ends = [a for _, a, _ in spans], [b for *_, b in spans]
+    highest = list(itertools.accumulate(ends, max))
+
+    def free(a: int, b: int) -> bool:
+        before = bisect.bisect_left(starts, b)
+        return before == 0 or highest[before - 1] <= a
+
+    return spans + [s for s in encoded_keys(text) if free(s[1], s[2])]
 
 
 def scan_text(text: str):

@@ -166,6 +166,43 @@ def test_only_structure_is_confirmed():
     assert secret_scan.confirmed_spans(b64(random.Random(1).randbytes(300))) == []
 
 
+def test_keys_behind_other_digits_and_over_lines():
+    """A path or a single hex digit in front, text behind, wrapped lines, spelled-out line ends, encrypted blocks."""
+    spans = secret_scan.confirmed_spans
+    for data, kind in ((RSA, "der"), (PKCS8, "der"), (OPENSSH, "openssh")):
+        for text in (b64(data), data.hex()):
+            for lead in ("path/", "a", "abc", "x/yz/"):
+                lead = lead if text != data.hex() else "a" * len(lead)
+                assert spans(f"{lead}{text} y") == [(kind, len(lead), len(lead) + len(text))]
+        lines = re.findall(".{1,64}", b64(data))
+        for end in ("\n", "\r\n", "\n    ", "\\n"):
+            text = end.join(lines)
+            assert spans(f"key:\n{text}\nafter") == [(kind, 5, 5 + len(text))]
+        pem = "\\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        assert spans(f"{{{pem}}}") == [("pem", 1, 1 + len(pem))]
+    two = b64(RSA) + "\n\n" + b64(PKCS8)
+    assert [k for k, *_ in spans(two)] == ["der", "der"]
+
+    def encrypted(size, fields="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16):
+        body = "\n".join(re.findall(".{1,64}", b64(random.Random(3).randbytes(size))))
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{fields}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+
+    assert spans(encrypted(608)) == [("pem", 0, len(encrypted(608)))]
+    assert spans(encrypted(607)) == [] and spans(encrypted(608, "Comment: none")) == []
+    assert spans(der(0x30, *[der(2, b"\1")] * 9, der(4, b"x" * 40)).hex()) == []  # integers of a byte are no modulus
+
+
+def test_long_runs_cost_linear_time():
+    import time
+
+    rng = random.Random(4)
+    for make in (lambda n: b64(rng.randbytes(n)), lambda n: rng.randbytes(n).hex(), lambda n: b64(b"openssh-key-v1\0" * (n // 15)),
+                 lambda n: "-----BEGIN PRIVATE KEY-----" * (n // 27), lambda n: b64(b"0\x82\xff\xff\x02\x01\0" * (n // 7))):
+        start = time.monotonic()
+        assert secret_scan.confirmed_spans(make(1_000_000)) == []
+        assert time.monotonic() - start < 20
+
+
 def test_secret_scan(docs_of, odd_texts):
     texts = ["Secret: token = abcdefgh", "PASSWORD='12345' api-key=zzzzzz apikey:=abc.def/1", "ſecret=abcdefgh toKen=abcdefghſ", "AKIA" + "B" * 16 + " AKIA" + "C" * 15 + " xAKIAKIA" + "D" * 14,
              "é " + "deadbeef" * 3 + " " + "a" * 23 + " token=" + "0f" * 20, JWT] + odd_texts
