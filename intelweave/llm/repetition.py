@@ -33,7 +33,8 @@ def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(len(sizes)), sizes)
     end = np.repeat(np.cumsum(sizes), sizes)
     _, rank, count = np.unique(text * (int(words.max()) + 1) + words, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - count)[rank]  # of each group, the place of its first suffix
+    # Of each group, the place of its first suffix; a level is kept for each doubling, so in as few bytes as will do.
+    rank = (np.cumsum(count) - count)[rank].astype(np.int32 if n < 2**31 - 1 else np.int64)
     levels, h = [rank], 1
     live = np.flatnonzero(count[np.searchsorted(np.cumsum(count), rank, "right")] > 1)
     while len(live):
@@ -85,7 +86,7 @@ def plain_counts(text: str) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
 
 
-def judge(texts: list[str], least: int, share: float, limit: int, limit_share: float) -> pd.DataFrame:
+def judge(texts: list[str], least: int, share: float, limit: int, limit_share: float, most: int) -> pd.DataFrame:
     codes: dict[bytes, int] = {}
     rows, sizes = [], []
     for text in texts:
@@ -110,11 +111,11 @@ def judge(texts: list[str], least: int, share: float, limit: int, limit_share: f
     out["base_failed"] = (out.n_words < LEAST_WORDS) | (100 * out.n_repeat_words > REPEAT_PERCENT * out.n_words)
     out["covered"] = per_text(covered(longest, least, True)) / np.maximum(sizes, 1)
     out["longest_repeat"] = top
-    out["kept"] = ~out.base_failed & (out.covered <= share) & ~((top > limit) & (top > limit_share * sizes))
+    out["kept"] = ~out.base_failed & (out.covered <= share) & ~((top > limit) & (top > limit_share * sizes)) & (top <= most)
     return out
 
 
-def judge_column(text: Column, least: int = 10, share: float = 0.2, limit: int = 50, limit_share: float = 0.08) -> Column:
+def judge_column(text: Column, least: int = 10, share: float = 0.2, limit: int = 50, limit_share: float = 0.08, most: int = 200) -> Column:
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
         out, some, size = [], [], 0
@@ -122,10 +123,10 @@ def judge_column(text: Column, least: int = 10, share: float = 0.2, limit: int =
             some.append(text)
             size += len(text)
             if size > 6 * CHUNK_WORDS:
-                out.append(judge(some, least, share, limit, limit_share))
+                out.append(judge(some, least, share, limit, limit_share, most))
                 some, size = [], 0
         if some:
-            out.append(judge(some, least, share, limit, limit_share))
+            out.append(judge(some, least, share, limit, limit_share, most))
         return pd.concat(out, ignore_index=True)
 
     return run(F.coalesce(text, F.lit("")))
@@ -135,8 +136,8 @@ def judge_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: counts, share of words in repeats of ``least`` words or more, longest repeat, verdict.
 
     A text fails if the base rules fail it, if more than ``share`` of its words lie in repeats of
-    ``least`` words or more, or if its longest repeat has over ``limit`` words and over ``limit_share``
-    of the text. Null and empty texts have no words and fail. Repeated rows and null ids stay as they
+    ``least`` words or more, if its longest repeat has over ``limit`` words and over ``limit_share``
+    of the text, or over ``most`` words in a text of any length. Null and empty texts have no words and fail. Repeated rows and null ids stay as they
     are; other columns are left out, so their names cannot clash.
     """
     verdict = judge_column(F.col(text_col), **limits)

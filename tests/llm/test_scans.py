@@ -269,3 +269,17 @@ def test_repetition_rules(docs_of, odd_texts, monkeypatch):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
     assert rows[2].kept and not rows[3].kept and rows[3].longest_repeat >= 80
     assert repetition.judge_repetition(docs_of([])).count() == 0
+
+
+def test_the_methods_own_limits(docs_of):
+    """Texts that the base rules keep: a long repeat in a long text, one in a short text, and neither."""
+    far = [prose(5000, 21), prose(5000, 22)]
+    texts = ["\n".join([far[0], prose(n, 23), far[1], prose(n, 23)]) for n in (150, 250)]
+    texts.append("\n".join([prose(60, 24), prose(520, 25), prose(60, 24)]))
+    for r, kept in zip(repetition.judge_repetition(docs_of(texts)).collect(), (True, False, False)):
+        assert not r.base_failed and r.kept == kept and r.covered <= 0.2, r
+
+
+def test_very_long_texts_of_few_words(docs_of):
+    rows = repetition.judge_repetition(docs_of(["a b " * 200_000, " ".join(map(str, range(300_000)))])).collect()
+    assert [(r.n_words, r.longest_repeat, r.kept) for r in rows] == [(400_000, 399_998, False), (300_000, 0, True)]
