@@ -14,6 +14,7 @@ from intelweave.functions import text as X
 from intelweave.functions import urls as U
 from intelweave.functions.vectors import similarity, squared_distance
 from intelweave.operators import bio as B
+from intelweave.operators import boundaries as S
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import knn_join as K
@@ -592,6 +593,83 @@ def _(spark, sf):
     return flat.withColumns({"sent": long("sent"), "pos": long("pos")})
 
 
+# Abbreviations planted by row number: the sample texts have none.
+_DOTTED_TEXT = ("concat(coalesce(text, ''), CASE doc_id % 4 WHEN 0 THEN ' It cost approx. nine coins. The end came late.' "
+                "WHEN 1 THEN ' They met Dr. Meyer, e.g. in town. The house (no. 5) stood.' WHEN 2 THEN ' Was it vs. them? It was...' ELSE '' END)")
+
+
+def _dotted(spark, sf) -> DataFrame:
+    return D.documents(spark, sf).selectExpr("doc_id", f"{_DOTTED_TEXT} AS text")
+
+
+def _sql_type(token: str) -> str:
+    bare = rf"""regexp_replace({token}, '^["''(\[]+|["'')\]]+$', '', 'g')"""
+    word = rf"regexp_replace(lower({bare}), '\.$', '')"
+    return f"CASE WHEN regexp_full_match({word}, '[-+]?[0-9][0-9.,]*') THEN '##' ELSE {word} END"
+
+
+def _sql_dunning(both: str, left: str, right: str, total: str) -> str:
+    def like(k: str, n: str, p: str) -> str:
+        return (f"(CASE WHEN {k} > 0 THEN ({k}) * ln({p}) ELSE 0 END + CASE WHEN ({n}) - ({k}) > 0 THEN (({n}) - ({k})) * ln(1 - ({p})) ELSE 0 END)")
+
+    p, inside, outside = f"({right}) / ({total})", f"({both}) / ({left})", f"(({right}) - ({both})) / (({total}) - ({left}))"
+    ratio = (f"2 * ({like(both, left, inside)} + {like(f'({right}) - ({both})', f'({total}) - ({left})', outside)} "
+             f"- {like(both, left, p)} - {like(f'({right}) - ({both})', f'({total}) - ({left})', p)})")
+    return f"CASE WHEN {inside} > {p} THEN {ratio} ELSE 0 END"
+
+
+_BOUNDARIES = rf"""
+WITH lists AS (SELECT doc_id, list_filter(string_split_regex({_DOTTED_TEXT}, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS t FROM documents),
+flat AS (SELECT doc_id, unnest(t) AS token, unnest(list_concat(t[2:], [NULL])) AS next FROM lists),
+tok AS (SELECT doc_id, token, next, {_sql_type('token')} AS word, {_sql_type('next')} AS following,
+               regexp_replace(token, '["'')\]]+$', '') AS bare, ends_with(bare, '.') AND NOT ends_with(bare, '..') AS dotted FROM flat),
+words AS (SELECT word, count(*) FILTER (dotted) AS c1, count(*) FILTER (NOT dotted) AS c0 FROM tok GROUP BY word),
+sums AS (SELECT sum(c1 + c0)::DOUBLE AS total, sum(c1)::DOUBLE AS dots FROM words),
+scored AS (SELECT word, c1, c0, length(replace(word, '.', '')) AS letters,
+             2 * (c1 * ln(0.99) + c0 * ln(1 - 0.99) - c1 * ln(dots / total) - c0 * ln(1 - dots / total))
+               * exp(-letters) * (length(word) - letters + 1) * pow(letters, -c0) AS score
+           FROM words, sums WHERE c1 > 0 AND word <> '##' AND letters > 0),
+abbr AS (SELECT * FROM scored WHERE score >= 0.3),
+pairs AS (SELECT word, following, count(*)::DOUBLE AS n FROM tok WHERE dotted AND following <> '' GROUP BY word, following),
+behind AS (SELECT * FROM pairs WHERE word <> '##' AND word NOT IN (SELECT word FROM abbr)),
+follows AS (SELECT following AS w, sum(n) AS k, (SELECT sum(n) FROM behind) AS breaks FROM behind GROUP BY following),
+starts AS (SELECT w FROM follows JOIN words ON word = w, sums WHERE w <> '##' AND {_sql_dunning('k', 'breaks', '(c1 + c0)::DOUBLE', 'total')} >= 30),
+tied AS (SELECT p.word, p.following FROM pairs p JOIN words l ON l.word = p.word JOIN words r ON r.word = p.following, sums
+         WHERE (p.word = '##' OR p.word IN (SELECT word FROM abbr)) AND p.following <> '##' AND p.following NOT IN (SELECT w FROM starts)
+           AND {_sql_dunning('p.n', 'l.c1::DOUBLE', '(r.c1 + r.c0)::DOUBLE', 'total')} >= 7.88),
+ends AS (SELECT doc_id, CASE
+    WHEN next IS NULL THEN true
+    WHEN NOT regexp_matches(bare, '[.?!]$') THEN false
+    WHEN NOT ends_with(bare, '.') THEN true
+    WHEN NOT dotted THEN lead <> lower(lead)
+    WHEN (word, following) IN (SELECT (word, following) FROM tied) THEN false
+    WHEN word IN (SELECT word FROM abbr) THEN lead <> lower(lead) AND following IN (SELECT w FROM starts)
+    WHEN word = '##' THEN lead = upper(lead)
+    ELSE true END AS stop
+  FROM (SELECT *, substr(regexp_replace(next, '^["''(\[]+', ''), 1, 1) AS lead FROM tok))
+"""
+
+
+@query("abbreviations", _BOUNDARIES + "SELECT word, c1 AS with_period, c0 AS without_period, round(score, 4) AS score FROM abbr")
+def _(spark, sf):
+    found = S.learn_boundaries(_dotted(spark, sf)).abbreviations
+    return found.select("word", "with_period", "without_period", F.round("score", 4).alias("score"))
+
+
+@query("sentence_starters", _BOUNDARIES + "SELECT '' AS word, w AS following FROM starts UNION ALL SELECT word, following FROM tied")
+def _(spark, sf):
+    """Words that begin sentences, and pairs that are tied over a period."""
+    model = S.learn_boundaries(_dotted(spark, sf))
+    return model.starters.select(F.lit("").alias("word"), F.col("word").alias("following")).unionByName(model.collocations)
+
+
+@query("learnt_sentences", _BOUNDARIES + "SELECT doc_id, count(*) FILTER (stop) AS n_sentences FROM ends GROUP BY doc_id")
+def _(spark, sf):
+    rows = stage(spark, _dotted(spark, sf), scratch(spark, "dotted"))
+    out = S.split_sentences(rows, S.learn_boundaries(rows), ["doc_id"])
+    return out.where(F.size("sentences") > 0).select("doc_id", long(F.size("sentences")).alias("n_sentences"))
+
+
 @query("ner_training_sample", f"""
 WITH {D.CLEAN_CTES},{_BIO},
 per AS (SELECT doc_id, sent, count(*) FILTER (tag <> 'O') AS entity_tokens FROM bio GROUP BY doc_id, sent),
