@@ -42,9 +42,14 @@ _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 els
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
+def word_bytes(text: str) -> bytes:
+    """The text with A-Z lower-cased and a blank for each byte that is not part of a word."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words: digits, letters a-z after lower-casing A-Z, and all beyond ASCII."""
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+    return word_bytes(text).split()
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intelweave.llm.common import components, sorted_runs, staged
-from intelweave.llm.licenses import words_of
+from intelweave.llm.licenses import word_bytes
 
 SHINGLE = 5
 PASSAGE = 50  # words
@@ -44,11 +44,12 @@ RANGE = UNIT - STEP + 1  # shingles of such a range
 _PRIME = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of the 64-bit mixing function
 _SEED = 0xD1B54A32D192ED03
-_TOGETHER = 1 << 18  # shingles worked on at a time, unless one text has more
+_TOGETHER = 1 << 20  # characters of texts worked on at a time, unless one text has more
+_CHUNK = 1 << 20  # bytes hashed at a time
+_PLACE = 20  # low bits that hold a shingle's place while minima are sought, more for longer texts
 WINDOW = "sig long, t long, c long, near int"
 CONTEXT = "sig long, t long, c long, before int, context binary, kind long"
 MEMBER = "t long, first long, last long, hub long"
-_WORDS = 300_000  # word hashes that a worker keeps
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,30 +58,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2**64; a worker keeps them."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        n = max(n, _CHUNK + 1024)
+        _POWERS = tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x & 0xFFFFFFFFFFFFFFFF, np.uint64))) for x in (_PRIME, pow(_PRIME, -1, 1 << 64)))
+    return _POWERS
 
-        if len(self) > _WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+_POWERS: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64),) * 2
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))  # a number for each byte
 
-_HASHES = _Hashes()
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of ``raw``, where blanks stand between words, and the place where each begins.
 
-def shingles_of(text: str) -> np.ndarray:
-    """64-bit hashes of all runs of five words; none for shorter texts."""
-    words = words_of(text)
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    The sums of byte numbers times rising powers are taken once over a chunk; a word's hash is a difference of two,
+    brought back to its own start. Chunks end at blanks, so memory does not grow with the text.
+    """
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        end = raw.find(b" ", at + _CHUNK)
+        end = len(raw) if end < 0 else end
+        x = np.frombuffer(raw, np.uint8, end - at, at)
+        word = np.concatenate([[False], x != 32, [False]])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        power, inverse = _powers(len(x))
+        sums = np.append(np.uint64(0), np.cumsum(_BYTES[x] * power[:len(x)], dtype=np.uint64))
+        start, stop = edge[::2], edge[1::2]
+        hashes.append(mix((sums[stop] - sums[start]) * inverse[start]))
+        places.append(start + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of five words of each text, in a row, and how many each text has; none for shorter texts."""
+    raws = [word_bytes(text) for text in texts]
+    h, place = word_hashes(b" ".join(raws))
+    ends = np.cumsum([len(raw) + 1 for raw in raws])
+    words = np.diff(np.searchsorted(place, ends), prepend=0)
+    n = max(len(h) - SHINGLE + 1, 0)
     out = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         out = out * np.uint64(_PRIME) + h[j:j + n]
-    return mix(out)
+    left = np.repeat(np.cumsum(words), words)[:n] - np.arange(n)  # words of the text from here on
+    return mix(out[left >= SHINGLE]), np.maximum(words - SHINGLE + 1, 0)
+
+
+def chunks(rows: Iterator[tuple], text: int) -> Iterator[list[tuple]]:
+    """Rows in lists of about ``_TOGETHER`` characters, or of one longer text."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[text])
+        if n >= _TOGETHER:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def window_minima(values: np.ndarray, length: int) -> np.ndarray:
@@ -97,9 +134,20 @@ def window_minima(values: np.ndarray, length: int) -> np.ndarray:
     return joined(length - size)[1] if size < length else at
 
 
-def compact_windows(values: np.ndarray, length: int, ends: np.ndarray | None = None) -> np.ndarray:
+def least_of_runs(values: np.ndarray, length: int) -> np.ndarray:
+    """The minimum of each run of ``length`` values."""
+    size = 1
+    while 2 * size <= length:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[:size - length], values[length - size:]) if size < length else values
+
+
+def compact_windows(values: np.ndarray, length: int, ends: np.ndarray | None = None, placed: int = 0) -> np.ndarray:
     """Rows (c, l, r) of all compact windows that hold a subsequence of ``length``, in order of c.
 
+    ``placed`` low bits of each value may hold its place: no two are equal then, and a minimum says where it stands.
+
     Of equal minima c is the first one, so it depends on the subsequence alone and not on what is around it.
     ``ends`` are the ends of several texts in a row; windows stay inside a text. The nodes of the Cartesian
     tree that hold ``length`` values are the minima of the runs of that length, and so are all nodes above them;
@@ -109,7 +157,7 @@ def compact_windows(values: np.ndarray, length: int, ends: np.ndarray | None = N
     if len(values) < length:
         return np.zeros((0, 3), np.int64)
     begins = np.append(0, ends[:-1])
-    minima = window_minima(values, length)
+    minima = (least_of_runs(values, length) & np.uint64((1 << placed) - 1)).astype(np.int64) if placed else window_minima(values, length)
     end = np.repeat(ends, ends - begins)[:len(minima)]
     nodes = minima[np.arange(len(minima)) + length <= end]  # in rising order, as a run's minimum never moves back
     nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])[:len(nodes)]]
@@ -134,8 +182,11 @@ def joint_windows(h: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarra
     intervals; the overlaps are what both leave whole. c is the first function's minimum.
     """
     sides = []
+    bits = np.uint64(max(_PLACE, len(h).bit_length()))
+    place = np.arange(len(h), dtype=np.uint64)
     for f in (0, 1):
-        c, low, high = compact_windows(mix(h + np.uint64((_SEED * (2 * seed + f + 1)) & 0xFFFFFFFFFFFFFFFF)), UNIT, ends).T
+        values = mix(h + np.uint64((_SEED * (2 * seed + f + 1)) & 0xFFFFFFFFFFFFFFFF)) >> bits << bits | place
+        c, low, high = compact_windows(values, UNIT, ends, int(bits)).T
         first, last = np.maximum(low, c - UNIT + 1), np.minimum(c, high - UNIT + 1)
         order = np.argsort(first, kind="stable")
         sides.append((c[order], first[order], last[order]))
@@ -154,10 +205,13 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
     ``near`` holds how far the unit windows reach before and behind c. Whole unit windows of one shingle are
     one row with their run's length, negative, as ``near``.
     """
-    def of_texts(ts: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, size = np.concatenate(parts), np.array([len(p) for p in parts])
+    def of_texts(ts: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        h, size = shingles_of(texts)
+        h, ts, size = h[np.repeat(size >= UNIT, size)], np.array(ts, np.int64)[size >= UNIT], size[size >= UNIT]
+        if not len(size):
+            return
         ends = np.cumsum(size)
-        t = np.repeat(np.array(ts, np.int64), size)
+        t = np.repeat(ts, size)
         edge = np.zeros(len(h), np.uint64)
         edge[ends - size] = 1
         new = np.append(True, (h[1:] != h[:-1]) | (edge[1:] > 0))
@@ -177,23 +231,16 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        ts, parts, n = [], [], 0
-        for batch in batches:
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                h = shingles_of(text)
-                if len(h) < UNIT:
-                    continue
-                ts.append(t)
-                parts.append(h)
-                n += len(h)
-                if n >= _TOGETHER:
-                    yield from of_texts(ts, parts)
-                    ts, parts, n = [], [], 0
-        if ts:
-            yield from of_texts(ts, parts)
+
+        def fresh() -> Iterator[tuple[int, str]]:
+            for batch in batches:
+                for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if t not in seen:
+                        seen.add(t)
+                        yield t, text
+
+        for rows in chunks(fresh(), 1):
+            yield from of_texts(*map(list, zip(*rows)))
 
     return texts.select("t", "text").mapInArrow(windows, WINDOW)
 
@@ -240,26 +287,31 @@ def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
         import xxhash
 
         seen: set[int] = set()
-        names = ["sig", "t", "c", "before", "context", "kind"]
         for batch in batches:
             ends = np.cumsum([len(x) for x in batch.column(2)])
             sig, c, near = (batch.column(i).flatten().to_numpy() for i in (2, 3, 4))
-            out: list[list] = [[] for _ in names]
-            for k, (t, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if t in seen:
-                    continue
-                seen.add(t)
-                h = (shingles_of(text) >> np.uint64(32)).astype("<u4").tobytes()
-                own = slice(ends[k - 1] if k else 0, ends[k])
-                before = near[own] >> 8
-                low, high = 4 * (c[own] - before), 4 * (c[own] + (near[own] & 255) + 1)
-                parts = [h[i:j] for i, j in zip(low.tolist(), high.tolist())]
-                kinds = [xxhash.xxh3_64_intdigest(p, s & 0xFFFFFFFFFFFFFF00 | b) for p, s, b in zip(parts, sig[own].tolist(), before.tolist())]
-                for x, y in zip(out, (sig[own], np.full(len(parts), t, np.int64), c[own], before, parts, np.array(kinds, np.uint64).view(np.int64))):
-                    x.append(y)
-                if len(out[0]) >= 500:
-                    yield packed(out)
-                    out = [[] for _ in names]
+
+            def fresh() -> Iterator[tuple[int, str, int]]:
+                for k, (t, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    if t not in seen:
+                        seen.add(t)
+                        yield t, text, k
+
+            out: list[list] = [[] for _ in range(6)]
+            for rows in chunks(fresh(), 1):
+                h, size = shingles_of([text for _, text, _ in rows])
+                raw = (h >> np.uint64(32)).astype("<u4").tobytes()
+                for (t, _, k), start in zip(rows, (np.cumsum(size) - size).tolist()):
+                    own = slice(ends[k - 1] if k else 0, ends[k])
+                    before = near[own] >> 8
+                    low, high = 4 * (start + c[own] - before), 4 * (start + c[own] + (near[own] & 255) + 1)
+                    parts = [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
+                    kinds = [xxhash.xxh3_64_intdigest(p, s & 0xFFFFFFFFFFFFFF00 | b) for p, s, b in zip(parts, sig[own].tolist(), before.tolist())]
+                    for x, y in zip(out, (sig[own], np.full(len(parts), t, np.int64), c[own], before, parts, np.array(kinds, np.uint64).view(np.int64))):
+                        x.append(y)
+                    if len(out[0]) >= 500:
+                        yield packed(out)
+                        out = [[] for _ in range(6)]
             if out[0]:
                 yield packed(out)
 
@@ -286,6 +338,14 @@ def need(threshold: float) -> int:
     return int(np.ceil(2 * UNIT * threshold / (1 + threshold) - 1e-9))
 
 
+def may_hold(row: np.ndarray, filled: np.ndarray, asked: np.ndarray, bits: int = 512) -> np.ndarray:
+    """For each cell of ``asked`` whether a filled cell of the same line of ``row`` has its last bits."""
+    line = np.arange(len(row))[:, None] * (bits + 1)
+    held = np.zeros(len(row) * (bits + 1), bool)
+    held[line + np.where(filled, row & np.uint32(bits - 1), np.uint32(bits))] = True
+    return held[line + (asked & np.uint32(bits - 1))]
+
+
 def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of rows: whether some unit window is similar enough, and the first and last start of one, as columns."""
     def sums(a: np.ndarray) -> np.ndarray:
@@ -295,8 +355,12 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
     both = fx & fy
     whole = sums(both) == UNIT
     good = whole & (sums(both & (x == y)) >= least)
-    # equal in place is enough; where words were put in or left out, each other window is compared as a multiset
+    # Equal in place is enough; where words were put in or left out, each other window is compared as a multiset. A bit
+    # for each shingle of the other side tells of most windows that they share too few.
     rest = np.flatnonzero((whole & ~good).any(1))
+    xr, fxr, yr, fyr = x[rest], fx[rest], y[rest], fy[rest]
+    bound = np.minimum(sums(may_hold(yr, fyr, xr) & fxr), sums(may_hold(xr, fxr, yr) & fyr))
+    rest = rest[(whole[rest] & ~good[rest] & (bound >= least)).any(1)]
     for a in range(0, len(rest), 256):
         some = rest[a:a + 256]
         met = (x[some][:, :, None] == y[some][:, None, :]) & fx[some][:, :, None] & fy[some][:, None, :]
