@@ -254,9 +254,10 @@ def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
         for sig, t, c, near in sorted_runs(batches, limit):
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             size = np.diff(np.append(start, len(sig)))
-            many = t[start] != t[start + size - 1]  # rows are sorted by text
+            least = np.minimum.reduceat(t, start)
+            many = least != np.maximum.reduceat(t, start)
             joins = before is not None and before[0] == sig[0]
-            if joins and (before[2] or before[1] != t[0]):
+            if joins and (before[2] or before[1] != least[0]):
                 many[0] = True
             keep = np.repeat(many, size)
             if joins and many[0]:
@@ -273,7 +274,7 @@ def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, t, c, near)], names=names)
 
-    return windows.repartition("sig").sortWithinPartitions("sig", "t", "c", "near").mapInArrow(run, WINDOW)
+    return windows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, WINDOW)  # one long key: a radix sort
 
 
 def contexts(texts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -352,15 +353,16 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
         s = np.pad(np.cumsum(a, 1, dtype=np.int16), ((0, 0), (1, 0)))
         return s[:, UNIT:] - s[:, :-UNIT]
 
-    both = fx & fy
-    whole = sums(both) == UNIT
+    both = fx & fy  # filled cells stand in one run
+    begin, start = both.argmax(1)[:, None], np.arange(x.shape[1] - UNIT + 1)
+    whole = (start >= begin) & (start <= begin + both.sum(1)[:, None] - UNIT)
     good = whole & (sums(both & (x == y)) >= least)
     # Equal in place is enough; where words were put in or left out, each other window is compared as a multiset. A bit
     # for each shingle of the other side tells of most windows that they share too few.
     rest = np.flatnonzero((whole & ~good).any(1))
-    xr, fxr, yr, fyr = x[rest], fx[rest], y[rest], fy[rest]
-    bound = np.minimum(sums(may_hold(yr, fyr, xr) & fxr), sums(may_hold(xr, fxr, yr) & fyr))
-    rest = rest[(whole[rest] & ~good[rest] & (bound >= least)).any(1)]
+    for a, fa, b, fb in ((x, fx, y, fy), (y, fy, x, fx)):
+        bound = sums(may_hold(a[rest], fa[rest], b[rest]) & fb[rest])
+        rest = rest[(whole[rest] & ~good[rest] & (bound >= least)).any(1)]
     for a in range(0, len(rest), 256):
         some = rest[a:a + 256]
         met = (x[some][:, :, None] == y[some][:, None, :]) & fx[some][:, :, None] & fy[some][:, None, :]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -176,6 +177,44 @@ def test_repeated_passages(docs_of, odd_texts, group):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+class _OneTask:
+    """A frame of one partition whose rows are sorted already: what is done to its batches is what a task does."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_shared_windows_over_any_cut_of_the_batches():
+    run = passages.shared_windows(_OneTask(), limit=4)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        sig = np.sort(rng.integers(0, 8, n))
+        t = rng.integers(0, 3, n) * rng.integers(0, 2, 8)[sig]  # in any order within a signature
+        table = pa.table({"sig": sig, "t": t, "c": np.arange(n), "near": np.zeros(n, np.int32)})
+        found = [c for b in run(iter(table.to_batches(max_chunksize=int(rng.integers(1, 20))))) for c in b.column(2).to_pylist()]
+        assert sorted(found) == [i for i in range(n) if len(set(t[sig == sig[i]])) > 1]
+
+
+def test_shingles_of_many_texts_are_those_of_their_words():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab C9é. \n") for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(200)]
+    h, sizes = passages.shingles_of(texts)
+    number, at = {}, 0
+    for text, size in zip(texts, sizes.tolist()):
+        words = words_of(text)
+        assert size == max(len(words) - passages.SHINGLE + 1, 0)
+        for k in range(size):
+            assert number.setdefault(tuple(words[k:k + passages.SHINGLE]), h[at + k]) == h[at + k]
+        at += size
+    assert at == len(h) and len(set(number.values())) == len(number)
+
+
 def test_compact_windows_hold_each_long_subsequence_once():
     rng = np.random.default_rng(1)
     for size in (1, 5, 30, 60):
