@@ -1,11 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block (a line, or a paragraph of several lines) meets a template where it holds at least
-``threshold`` of the template's distinct words. Tokens are put in one global order, rarest in the
+A block (a line, or a paragraph of several lines) meets a template where some stretch of it, twice as
+long as the template, holds at least ``threshold`` of the template's distinct words. A long paragraph of
+other prose uses up a short template's common words here and there, but not that close together. In a
+template of under ``SHORT`` distinct words a fifth is the word that names the license, so such a
+template must stand there whole. Tokens are put in one global order, rarest in the
 corpus first; a pair that meets the threshold must share a token of the template's prefix in that
 order (prefix filter), the block must have enough template words at all (length filter), and what is
-left behind a match must suffice (positional filter). Only then are the two sets compared. No filter
-loses a pair.
+left behind a match must suffice (positional filter). Only then is the block's densest stretch sought.
+No filter loses a pair.
 
 Words that stand in no template cannot be part of an overlap, so a block is cut down to the
 templates' vocabulary first; the corpus counts behind the order are needed for that vocabulary only
@@ -29,13 +32,23 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 ]
+#: Templates of fewer distinct words must stand in a block whole.
+SHORT = 12
 
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -80,7 +93,9 @@ class Index:
         vocabulary = {w for _, ws in templates for w in ws}
         self.order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.sets = [(label, sorted({self.order[w] for w in ws})) for label, ws in templates if ws]
-        self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for _, s in self.sets]
+        self.members = [frozenset(s) for _, s in self.sets]
+        self.span = [2 * len(ws) for _, ws in templates if ws]
+        self.need = [len(s) if len(s) < SHORT else max(1, math.ceil(threshold * len(s) - 1e-9)) for _, s in self.sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for t, (_, tokens) in enumerate(self.sets):
             for i in range(len(tokens) - self.need[t] + 1):
@@ -89,7 +104,7 @@ class Index:
         self.rare = frozenset(rare)
 
     def match(self, words: list[bytes]) -> dict[int, float]:
-        """Templates that the block meets, with their containment."""
+        """Templates that the block meets, with their containment in its densest stretch."""
         block = sorted({self.order[w] for w in words if w in self.order})
         size, seen = len(block), {}
         for j, token in enumerate(block):
@@ -100,9 +115,25 @@ class Index:
                 seen[t] = seen.get(t, 0) + 1
                 if seen[t] + min(length - i - 1, size - j - 1) < need:  # positional filter
                     seen[t] = -length
-        held = set(block)
-        both = {t: sum(x in held for x in self.sets[t][1]) for t, n in seen.items() if n > 0}
-        return {t: n / len(self.sets[t][1]) for t, n in both.items() if n >= self.need[t]}
+        held = frozenset(block)
+        close = {t: self.densest(words, t) for t, n in seen.items() if n > 0 and len(held & self.members[t]) >= self.need[t]}
+        return {t: n / len(self.members[t]) for t, n in close.items() if n >= self.need[t]}
+
+    def densest(self, words: list[bytes], t: int) -> int:
+        """The most distinct words of template ``t`` that stand in one stretch of twice its length."""
+        hits = [(i, x) for i, w in enumerate(words) if (x := self.order.get(w)) in self.members[t]]
+        held: Counter[int] = Counter()
+        best = left = 0
+        for i, x in hits:
+            held[x] += 1
+            while i - hits[left][0] >= self.span[t]:
+                gone = hits[left][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+            best = max(best, len(held))
+        return best
 
 
 def token_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str) -> dict[bytes, int]:

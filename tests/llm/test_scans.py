@@ -18,22 +18,43 @@ from .conftest import prose
 
 
 def brute_match(templates, words, threshold):
-    have = set(words)
-    return {t: len(set(ws) & have) / len(set(ws)) for t, (_, ws) in enumerate(templates) if ws and len(set(ws) & have) / len(set(ws)) >= threshold - 1e-9}
+    found = {}
+    for t, (_, ws) in enumerate(templates):
+        stretches = [words[i:i + 2 * len(ws)] for i in range(len(words))]
+        share = max((len(set(ws) & set(x)) / len(set(ws)) for x in stretches), default=0)
+        if share >= (1 if len(set(ws)) < licenses.SHORT else threshold - 1e-9):
+            found[t] = share
+    return found
 
 
 def test_filters_lose_no_template():
     rng = random.Random(1)
-    vocabulary = [bytes([97 + i]) for i in range(14)]
-    templates = [("l", rng.sample(vocabulary, rng.randint(1, 9))) for _ in range(12)]
-    counts = {w: rng.randint(0, 50) for w in vocabulary[:10]}
+    vocabulary = [bytes([97 + i]) for i in range(20)]
+    templates = [("l", rng.sample(vocabulary, rng.randint(1, 18))) for _ in range(16)]
+    counts = {w: rng.randint(0, 50) for w in vocabulary[:14]}
+    met = set()
     for threshold in (0.5, 0.8, 1.0):
         index = licenses.Index(templates, counts, threshold)
         for _ in range(300):
-            words = [rng.choice(vocabulary + [b"zz"]) for _ in range(rng.randint(0, 20))]
+            words = [rng.choice(vocabulary + [b"zz"] * rng.choice([1, 20])) for _ in range(rng.randint(0, 120))]
             want = brute_match(templates, words, threshold)
             assert index.match(words) == pytest.approx(want)
             assert not want or not index.rare.isdisjoint(words)
+            met |= want.keys()
+    assert any(len(templates[t][1]) >= licenses.SHORT for t in met)
+
+
+def test_common_words_are_no_license(docs_of):
+    filler = " ".join(f"w{i}" for i in range(40))
+    spread = filler.join(" you may not use this file except in compliance with the License You obtain a copy of at ".split(" "))
+    none = ["The album was released under the license of a small label.", spread, " ".join(w for _, t in licenses.TEMPLATES for w in t.split()[:3])]
+    edited = [" ".join("X" if i == 7 else w for i, w in enumerate(t.split())) for _, t in licenses.TEMPLATES if len(set(t.lower().split())) > licenses.SHORT + 2]
+    wrapped = ["before " * 200 + "\n" + t.replace(" ", "\n", 5) + "\n" + "behind " * 200 for _, t in licenses.TEMPLATES]
+    rows = licenses.scan_licenses(docs_of(none + edited + wrapped)).collect()
+    labels = [r.labels for r in rows]
+    assert labels[:len(none)] == [""] * len(none)
+    assert labels[len(none):-len(wrapped)] == [label for label, t in licenses.TEMPLATES if len(set(t.lower().split())) > licenses.SHORT + 2]
+    assert all(label in got.split(",") for (label, _), got in zip(licenses.TEMPLATES, labels[-len(wrapped):]))
 
 
 def test_license_scan(docs_of, odd_texts):
