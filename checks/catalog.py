@@ -18,6 +18,7 @@ from intelweave.operators import boundaries as S
 from intelweave.operators import entities as E
 from intelweave.operators import graph as G
 from intelweave.operators import knn_join as K
+from intelweave.operators import latent as L
 from intelweave.operators import quality as Q
 from intelweave.operators import sampling as R
 from intelweave.operators import tagger as N
@@ -981,6 +982,16 @@ def _(spark, sf):
     return out.select("doc_id", long(F.size("embedding")).alias("dim"), norm.alias("squared_norm"))
 
 
+@query("embed_latent", D.with_articles("""
+SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(content, '[A-Za-z0-9]') THEN 1.0 ELSE 0.0 END AS squared_norm FROM a"""))
+def _(spark, sf):
+    words = F.regexp_replace("content", "[^A-Za-z0-9]+", " ").alias("words")
+    rows = stage(spark, D.articles(spark, sf).select("doc_id", words), scratch(spark, "latent"))
+    out = L.embed_latent(rows, L.fit_latent(rows, "words"))
+    norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4)
+    return out.select("doc_id", long(F.size("embedding")).alias("dim"), norm.alias("squared_norm"))
+
+
 @query("rebuild_vectors", f"WITH {D.COLLECTION_CTES} SELECT id, title, url, len(embedding) AS dim FROM col")
 def _(spark, sf):
     path = scratch(spark, "vectors")

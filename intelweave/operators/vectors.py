@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from intelweave import vocab
 from intelweave.functions.text import url_id
 from intelweave.functions.vectors import similarity, squared_distance
+from intelweave.operators.latent import LatentModel, embed_latent
 from intelweave.operators.quality import first_per, not_stored
 
 METADATA = ["title", "url", "threat_score", "primary_industry", "industry_score"]
@@ -29,8 +30,15 @@ def fit_embedder(df: DataFrame, column: str = "clean_text", dim: int = vocab.EMB
     return Pipeline(stages=stages).fit(df.select(column))
 
 
-def embed(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``embedding`` (array of float) with a fitted :func:`fit_embedder` model."""
+def embedder_column(model: PipelineModel | LatentModel) -> str:
+    """The text column that a fitted embedder reads."""
+    return model.column if isinstance(model, LatentModel) else model.stages[0].getInputCol()
+
+
+def embed(df: DataFrame, model: PipelineModel | LatentModel) -> DataFrame:
+    """Add ``embedding`` (array of float) with a fitted :func:`fit_embedder` or ``fit_latent`` model."""
+    if isinstance(model, LatentModel):
+        return embed_latent(df, model)
     out = model.transform(df).withColumn("embedding", vector_to_array("_vector", "float32"))
     return out.select(*df.columns, "embedding")
 

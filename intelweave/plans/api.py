@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.operators import vectors as V
+from intelweave.operators.latent import LatentModel
 
 _EDGE_ORDER = ["src_label", "src", "rel", "dst_label", "dst"]
 
@@ -21,14 +22,14 @@ _EDGE_ORDER = ["src_label", "src", "rel", "dst_label", "dst"]
 def search(
     vectors: DataFrame,
     query: str,
-    embedder: PipelineModel,
+    embedder: PipelineModel | LatentModel,
     industry: str = vocab.ALL_INDUSTRIES,
     top_k: int = 5,
 ) -> DataFrame:
     """Semantic search for a text; a blank query is an error."""
     if not query.strip():
         raise ValueError("Query cannot be empty.")
-    column = embedder.stages[0].getInputCol()
+    column = V.embedder_column(embedder)
     asked = vectors.sparkSession.createDataFrame([(query,)], f"`{column}` string")
     vector = V.embed(asked, embedder).first()["embedding"]
     return search_by_vector(vectors, vector, industry, top_k)

@@ -16,6 +16,7 @@ from intelweave.operators import graph as G
 from intelweave.operators import quality as Q
 from intelweave.operators import tagging as C
 from intelweave.operators import vectors as V
+from intelweave.operators.latent import LatentModel
 from intelweave.sources import stores as S
 from intelweave.sources import tables as T
 
@@ -43,7 +44,7 @@ class Models:
     binary: PipelineModel | None
     industry: PipelineModel | None
     labels: DataFrame | None
-    embedder: PipelineModel
+    embedder: PipelineModel | LatentModel
     tagger: Callable[[DataFrame], DataFrame] | None = None
     names: Callable[[DataFrame], DataFrame] | None = None
 
