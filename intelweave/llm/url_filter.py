@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intelweave.llm.common import staged
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
@@ -69,7 +71,8 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_part: tuple[str,
     suffix may hold most rows. Null outcomes and hosts are left out; no outcomes give no rows.
     """
     hosts = outcomes.filter(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host"), two_part), "suffix": host_suffix(F.col("host"), two_part)})
+    # Written once, a row per host: the levels above and their priors are read from there, not from the outcomes again.
+    hosts = staged(hosts.withColumns({"domain": registered_domain(F.col("host"), two_part), "suffix": host_suffix(F.col("host"), two_part)}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
