@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intelweave.functions.flow import with_computed
+
 # Fixed values of the paper: thresholds and the share of dotted uses expected of an abbreviation.
 ABBREVIATION, STARTER, COLLOCATION, DOTTED_SHARE = 0.3, 30.0, 7.88, 0.99
 NUMBER = "##"
@@ -52,15 +54,18 @@ def word_type(token: Column) -> Column:
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(word, dotted, following, n)``: every use of a word, with the word behind it where it is dotted.
 
-    The one pass over the texts; all other counts are sums of these. Uses collapse in each map task first.
+    The one pass over the texts; all other counts are sums of these. Equal tokens collapse in each map task first,
+    so the patterns run once for a token, not once for a use.
     """
     flat = df.select(tokens_of(F.col(text)).alias("t")).select(
         F.explode(F.transform("t", lambda x, i: F.struct(x.alias("token"), F.get("t", i + 1).alias("next")))).alias("u")
     )
-    dotted = is_dotted(F.col("u.token"))
-    uses = flat.select(word_type(F.col("u.token")).alias("word"), dotted.alias("dotted"),
-                       F.when(dotted, word_type(F.col("u.next"))).alias("following"))
-    return uses.groupBy("word", "dotted", "following").agg(F.count("*").alias("n"))
+    # Only a token with a period may be dotted; behind others the next one does not matter.
+    raw = flat.select("u.token", F.when(F.contains(F.col("u.token"), F.lit(".")), F.col("u.next")).alias("next"))
+    raw = raw.groupBy("token", "next").agg(F.count("*").alias("n"))
+    dotted = is_dotted(F.col("token"))
+    uses = raw.select(word_type(F.col("token")).alias("word"), dotted.alias("dotted"), F.when(dotted, word_type(F.col("next"))).alias("following"), "n")
+    return uses.groupBy("word", "dotted", "following").agg(F.sum("n").alias("n"))
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
@@ -133,7 +138,8 @@ def sentence_ends(df: DataFrame, model: BoundaryModel, keys: list[str], text: st
     Only tokens with a final mark leave the text, without the text, and meet the model's tables.
     """
     spots = F.transform("t", lambda x, i: F.struct(i.cast("long").alias("end"), x.alias("token"), F.get("t", i + 1).alias("next")))
-    marked = F.filter(spots, lambda u: F.regexp_like(_bare(u["token"]), F.lit("[.?!]$")) & u["next"].isNotNull())
+    held = lambda t: F.contains(t, F.lit(".")) | F.contains(t, F.lit("?")) | F.contains(t, F.lit("!"))  # noqa: E731  spares most tokens the patterns
+    marked = F.filter(spots, lambda u: held(u["token"]) & F.regexp_like(_bare(u["token"]), F.lit("[.?!]$")) & u["next"].isNotNull())
     flat = df.select(*keys, tokens_of(F.col(text)).alias("t")).select(*keys, F.inline(marked))
     first = F.substring(_bare(F.col("next")), 1, 1)
     rows = flat.select(
@@ -161,11 +167,13 @@ def split_sentences(df: DataFrame, model: BoundaryModel, keys: list[str], text:
     ``keys`` must be unique and not null. What is gathered for a text is places in it, never more than its tokens.
     """
     ends = sentence_ends(df, model, keys, text).groupBy(*keys).agg(F.array_sort(F.collect_list("end")).alias("_ends"))
-    rows = df.join(ends, keys, "left").withColumn("_tokens", tokens_of(F.col(text)))
+    # Each step behind a generator: a filter on the result, pushed down, would split the text anew for every sentence.
+    rows = with_computed(df.join(ends, keys, "left"), {"_tokens": tokens_of(F.col(text))})
     last = F.size("_tokens").cast("long") - 1
     stops = F.concat(F.coalesce("_ends", F.array().cast("array<bigint>")), F.array(last))
     cut = F.transform(F.col("_stops"), lambda e, i: F.array_join(
         F.slice("_tokens", F.when(i > 0, F.get("_stops", i - 1) + 2).otherwise(F.lit(1)).cast("int"),
                 (e - F.when(i > 0, F.get("_stops", i - 1)).otherwise(F.lit(-1))).cast("int")), " "))
-    rows = rows.withColumn("_stops", stops).withColumn(out, F.when(last >= 0, cut).otherwise(F.array().cast("array<string>")))
+    rows = with_computed(rows, {"_stops": stops})
+    rows = with_computed(rows, {out: F.when(last >= 0, cut).otherwise(F.array().cast("array<string>"))})
     return rows.select(*df.columns, out)

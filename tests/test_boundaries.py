@@ -58,3 +58,12 @@ def test_odd_texts_and_empty_tables(spark, learnt):
     none = B.learn_boundaries(df.where("id < 0"))
     assert [t.count() for t in (none.abbreviations, none.starters, none.collocations)] == [0, 0, 0]
     assert B.split_sentences(df.where("id = 3"), none, ["id"]).first()["sentences"] == ["one"]
+
+
+def test_a_filter_on_the_sentences_does_not_split_texts_for_each_of_them(spark, learnt):
+    """Pushed below the result, it would cut the whole text into tokens anew inside the loop over its sentences."""
+    texts, df, model = learnt
+    found = B.split_sentences(df, model, ["id"]).where("size(sentences) > 0").selectExpr("id", "size(sentences) AS n")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "split(" in line and "slice(" in line]
+    assert {r["id"]: r["n"] for r in found.collect()} == {i: len(s) for i, s in texts}
