@@ -4,13 +4,17 @@ A few vectors, the pivots, cut the space into cells; each vector belongs to its
 is enough to know the distances of its members to the pivot: the least ``k`` of them, the largest, the
 smallest, and the number. With d(q, p) they bound the distance of any member from both sides, so a query
 knows, before any vector is compared, a radius that holds ``k`` neighbours, and needs only cells that reach
-into it. Cells are stored as blocks of bounded size; queries travel in blocks to the blocks of the cells
-they need, where distances are one matrix product. A hot cell is many blocks, so no task ever holds a whole
-cell. The best ``k`` of each query and block are merged at the end.
+into it. Cells are stored as blocks of bounded size, and blocks are dealt, cell by cell, to a fixed number of
+parts; queries travel in blocks to the parts that hold a cell they need. Parts are copied to a fixed number
+of shares, and a block of queries meets one share, so what is shuffled grows with the rows of both sides and
+not with their product. Within a part each cell is compared with the queries that need it, by one matrix
+product, and the best found so far narrow what the next cells are asked. A hot cell is many blocks in several
+parts, so no task ever holds a whole cell. The best ``k`` of each query and part are merged at the end.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +28,7 @@ from intelweave.functions.vectors import similarity
 
 MEMBERS = 64  # of a cell at least on average: smaller ones cost more queries than they spare members
 BLOCK = 4096  # members of a block at most on average, and queries of a query block
+PARTS = SHARES = 8  # a query is sent to each part at most, a vector to each share
 _SLACK = 1e-9  # of the squared lengths: what a matrix product may err
 
 
@@ -56,9 +61,27 @@ class Cells:
         slack = 1e-6 * (1 + bound[:, None])
         return (self.size > 0) & (d - self.high <= bound[:, None] + slack) & (self.low - d <= bound[:, None] + slack)
 
+    def part(self, cell: Column, block: Column) -> Column:
+        """Number of the part of a block: equal shares of the members, cells in the order of their numbers."""
+        before, size, blocks = (F.get(F.array(*[F.lit(int(n)) for n in v]).cast("array<bigint>"), cell) for v in (np.cumsum(self.size) - self.size, self.size, self.blocks))
+        return F.call_function("div", (before * blocks + block * size) * PARTS, blocks * int(self.size.sum())).cast("int")
+
+    def parts(self) -> np.ndarray:
+        """Cells x parts: whether a part holds a block of the cell, by the same division."""
+        before, total = np.cumsum(self.size) - self.size, self.blocks * max(int(self.size.sum()), 1)
+        first, last = (((before * self.blocks + n * self.size) * PARTS // total)[:, None] for n in (0, self.blocks - 1))
+        at = np.arange(PARTS)
+        return (self.size > 0)[:, None] & (first <= at) & (at <= last)
+
+
+def _stored(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
+    """Entries in the type they are stored in, where that is a float; others as doubles."""
+    x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return x if x.dtype in (np.float32, np.float64) else x.astype(np.float64)
+
 
 def _entries(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return _stored(batch, column, dim).astype(np.float64)
 
 
 def whole(vector: Column, dim: int) -> Column:
@@ -71,7 +94,12 @@ def choose_pivots(vectors: DataFrame, dim: int, count: int, seed: int) -> np.nda
     """``count`` different vectors, those with the least hashes: the same ones on any cluster."""
     h = F.xxhash64(F.lit(seed), "v")
     rows = vectors.select(h.alias("h"), "v").groupBy("h").agg(F.min("v").alias("v")).orderBy("h").limit(count).collect()
-    return np.array([r["v"] for r in rows], np.float64).reshape(-1, dim)
+    found = np.array([r["v"] for r in rows], np.float64).reshape(-1, dim)
+    if len(found) < 2:
+        return found
+    # Along the line of their widest spread, so that cells of one part lie near each other.
+    around = found - found.mean(0)
+    return found[np.argsort(around @ np.linalg.svd(around, full_matrices=False)[2][0], kind="stable")]
 
 
 def assigned(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -105,8 +133,8 @@ def cells_of(members: DataFrame, pivots: np.ndarray, k: int) -> Cells:
     return Cells(pivots, size, np.maximum(-(-size // BLOCK), 1), low, high, nearest)
 
 
-def _blocks(rows: DataFrame, keys: list[str], dim: int, extra: str, most: int) -> DataFrame:
-    """Rows (keys..., id, v, ``extra``) as blocks (keys..., ids, data, extras) of at most ``most`` rows each."""
+def _blocks(rows: DataFrame, keys: list[str], dim: int, most: int) -> DataFrame:
+    """Rows (keys..., id, v) as blocks (keys..., ids, data) of at most ``most`` rows each."""
     id_type = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +144,7 @@ def _blocks(rows: DataFrame, keys: list[str], dim: int, extra: str, most: int) -
         def block() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             cols = [pa.array([v], pa.int32()) for v in key]
-            ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("id"))
-            data = pa.array([_entries(table, "v", dim).tobytes()], pa.binary())
-            more = pa.array([table.column(extra).to_numpy().astype(np.float64).tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([*cols, ids, data, more], names=[*keys, "ids", "data", "extras"])
+            return pa.RecordBatch.from_arrays([*cols, *_packed(table.column("id"), _stored(table, "v", dim))], names=[*keys, "ids", "data"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -139,30 +164,37 @@ def _blocks(rows: DataFrame, keys: list[str], dim: int, extra: str, most: int) -
         if held:
             yield block()
 
-    schema = ", ".join(f"{c} int" for c in keys) + f", ids array<{id_type}>, data binary, extras binary"
+    schema = ", ".join(f"{c} int" for c in keys) + f", ids array<{id_type}>, data binary"
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def _packed(ids: pa.Array, x: np.ndarray) -> list[pa.Array]:
+    """One row: all ids as a list, all entries as bytes."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([x.tobytes()], pa.binary())]
+
+
 def asked(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(cell, block, id, v, bound): a row for every block of every cell that a query needs."""
-    dim = cells.pivots.shape[1]
-    types = dict(queries.dtypes)
+    """(part, share, ids, data, bounds): blocks of queries for every part with a cell that they need, in one share each."""
+    dim, parts = cells.pivots.shape[1], cells.parts().astype(np.float32)
+    id_type = dict(queries.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                d = cells.distances(_entries(part, "v", dim))
+            step = -(-batch.num_rows // max(-(-batch.num_rows // BLOCK), 1))
+            for a in range(0, batch.num_rows, max(step, 1)):
+                rows = batch.slice(a, step)
+                x, stored = _entries(rows, "v", dim), _stored(rows, "v", dim)
+                d = cells.distances(x)
                 bound = cells.radius(d, k)
-                row, cell = np.nonzero(cells.needed(d, bound))
-                times = cells.blocks[cell]
-                row, cell = np.repeat(row, times), np.repeat(cell, times)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(number.astype(np.int32)), part.column("id").take(at), part.column("v").take(at), pa.array(bound[row])],
-                                                 names=["cell", "block", "id", "v", "bound"])
+                wanted = cells.needed(d, bound).astype(np.float32) @ parts > 0
+                share = zlib.crc32(stored.tobytes()) % SHARES
+                for part in np.flatnonzero(wanted.any(0)).tolist():
+                    at = np.flatnonzero(wanted[:, part])
+                    block = _packed(rows.column("id").take(pa.array(at)), stored[at])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([share], pa.int32()), *block, pa.array([bound[at].tobytes()], pa.binary())],
+                                                     names=["part", "share", "ids", "data", "bounds"])
 
-    return queries.mapInArrow(run, f"cell int, block int, id {types['id']}, v {types['v']}, bound double")
+    return queries.mapInArrow(run, f"part int, share int, ids array<{id_type}>, data binary, bounds binary")
 
 
 def _nearest_of(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -173,9 +205,10 @@ def _nearest_of(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray
         d = qq[part, None] - 2 * q[part] @ x.T + xx
         slack = _SLACK * (qq[part, None] + xx.max(initial=0))
         edge = np.square(bound[part, None]) * (1 + 1e-9) + slack
-        if d.shape[1] > k:
-            edge = np.minimum(edge, np.partition(d, k - 1, 1)[:, k - 1:k] + 2 * slack)
         near = d <= edge
+        many = np.flatnonzero(near.sum(1) > 4 * k)  # sorting out the few of the others costs less than a partition
+        if len(many):
+            near[many] &= d[many] <= np.partition(d[many], k - 1, 1)[:, k - 1:k] + 2 * slack[many]
         for i in np.flatnonzero(near.any(1)).tolist():
             at = np.flatnonzero(near[i])
             exact = np.square(x[at] - q[a + i]).sum(1)
@@ -183,6 +216,44 @@ def _nearest_of(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray
             yield a + i, at[order], exact[order]
 
 
+class _Best:
+    """What the queries of one block have found so far: at most ``k`` each and their ties, and the bounds this leaves."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, bound: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.bound = ids, q, k, bound.copy()
+        self.least = np.full((len(q), k), np.inf)
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.n = 0
+
+    def ask(self, rows: np.ndarray, ids: pa.Array, x: np.ndarray, rank: np.ndarray) -> None:
+        """Compare the queries at ``rows`` with members ``x``, whose ids are ``ids``."""
+        near = list(_nearest_of(self.q[rows], self.bound[rows], x, rank, self.k))
+        if not near:
+            return
+        for i, _, exact in near:
+            row = rows[i]
+            self.least[row] = np.sort(np.append(self.least[row], exact))[:self.k]
+            self.bound[row] = min(self.bound[row], np.sqrt(self.least[row, -1]))
+        row = np.repeat(rows[[i for i, _, _ in near]], [len(at) for _, at, _ in near])
+        place, exact = (np.concatenate([n[j] for n in near]) for j in (1, 2))
+        self.held.append((row, ids.take(pa.array(place)), exact))
+        self.n += len(row)
+        if self.n > 4 * self.k * len(self.q) + BLOCK:
+            self._settle()
+
+    def _settle(self) -> None:
+        row, exact = (np.concatenate([h[j] for h in self.held]) for j in (0, 2))
+        good = np.flatnonzero(exact <= self.least[row, -1])
+        ids = pa.concat_arrays([h[1] for h in self.held]).take(pa.array(good))
+        self.held, self.n = [(row[good], ids, exact[good])], len(good)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._settle()
+            row, ids, exact = self.held[0]
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), ids, pa.array(exact)], names=["query", "id", "distance"])
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "embedding", pivots: int = 128, seed: int = 42) -> DataFrame:
     """``(query_id, id, distance, similarity)``: the ``k`` nearest ``vectors`` of every row of ``queries``, exactly.
 
@@ -215,28 +286,40 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "
 
     numbers = F.array(*[F.lit(int(b)) for b in cells.blocks])
     block = F.pmod(F.xxhash64("id", "v"), F.get(numbers, F.col("cell"))).cast("int")
-    stored = _blocks(members.withColumn("block", block), ["cell", "block"], dim, "radius", 4 * BLOCK)
-    sought = _blocks(asked(wanted, cells, k), ["cell", "block"], dim, "bound", BLOCK)
-    pairs = stored.join(sought.withColumnsRenamed({"ids": "query_ids", "data": "query_data", "extras": "bounds"}), ["cell", "block"])
+    placed = members.withColumn("block", block).withColumn("part", cells.part(F.col("cell"), F.col("block")))
+    stored = _blocks(placed.select("part", "cell", "block", "id", "v"), ["part", "cell", "block"], dim, 4 * BLOCK)
+    stored = stored.select("part", "cell", "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    sought = asked(wanted, cells, k).withColumnsRenamed({"ids": "query_ids", "data": "query_data"})
+    # The left side of a merge is streamed: a block of queries meets all blocks of its part in a row.
+    pairs = sought.join(stored.hint("merge"), ["part", "share"])
+    asked_type, stored_type = (np.float32 if t == "array<float>" else np.float64 for t in (dict(wanted.dtypes)["v"], dict(points.dtypes)["v"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
+        best, last = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, query_ids = batch.column("ids")[i].values, batch.column("query_ids")[i].values
-                x, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, dim) for c in ("data", "query_data"))
-                bound = np.frombuffer(batch.column("bounds")[i].as_buffer(), np.float64)
+                asking_ids, data = batch.column("query_ids")[i].values, batch.column("query_data")[i].as_buffer()
+                if best is None or data != last or not asking_ids.equals(best.ids):
+                    if best is not None:
+                        yield from best.rows()
+                    q = np.frombuffer(data, asked_type).astype(np.float64).reshape(-1, dim)
+                    best, last = _Best(asking_ids, q, np.frombuffer(batch.column("bounds")[i].as_buffer(), np.float64), k), data
+                    d = cells.distances(q)
+                rows = np.flatnonzero(cells.needed(d, best.bound)[:, batch.column("cell")[i].as_py()])
+                if not len(rows):
+                    continue
+                ids = batch.column("ids")[i].values
+                x = np.frombuffer(batch.column("data")[i].as_buffer(), stored_type).astype(np.float64).reshape(-1, dim)
                 rank = np.empty(len(ids), np.int64)
                 rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-                near = list(_nearest_of(q, bound, x, rank, k))
-                if near:
-                    row = np.repeat([r for r, _, _ in near], [len(at) for _, at, _ in near])
-                    place, exact = (np.concatenate([n[j] for n in near]) for j in (1, 2))
-                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row)), ids.take(pa.array(place)), pa.array(exact)], names=["query", "id", "distance"])
+                best.ask(rows, ids, x, rank)
+        if best is not None:
+            yield from best.rows()
 
     key = wanted.schema["id"].dataType.simpleString()
-    found = pairs.select("ids", "data", "query_ids", "query_data", "bounds").mapInArrow(run, f"query {key}, id {id_type}, distance double")
+    found = pairs.select("cell", "ids", "data", "query_ids", "query_data", "bounds").mapInArrow(run, f"query {key}, id {id_type}, distance double")
     best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     top = found.withColumn("rank", best).where(F.col("rank") <= k)
     return with_computed(top, {"similarity": similarity(F.col("distance"))}).select(F.col("query.id").alias("query_id"), "id", "distance", "similarity")

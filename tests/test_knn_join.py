@@ -73,3 +73,29 @@ def test_text_ids(spark):
     df = spark.createDataFrame([("b", [0.0]), ("a", [0.0]), ("é", [0.0]), (None, [5.0])], "id string, embedding array<double>")
     near = K.knn_join(df.where("id = 'é'"), df, 3).orderBy("id").collect()
     assert [r.id for r in near] == ["a", "b", "é"]
+
+
+def test_queries_are_sent_to_a_fixed_number_of_parts(spark, monkeypatch):
+    """Where nothing can be pruned, four times the vectors in more blocks cost no query more copies."""
+    monkeypatch.setattr(K, "BLOCK", 16)
+    monkeypatch.setattr(K, "MEMBERS", 10)
+    monkeypatch.setattr(K, "PARTS", 3)
+    copies = []
+    for n in (200, 800):
+        df = table(spark, list(enumerate(clustered(n, 24, 7, 3.0).tolist()))).select("id", F.col("embedding").alias("v"))
+        pivots = K.choose_pivots(df, 24, 12, 42)
+        cells = K.cells_of(K.assigned(df, pivots), pivots, 3)
+        sent = K.asked(df, cells, 3)
+        copies.append(sent.selectExpr("sum(size(ids))").first()[0] / n)
+        spots = [(r.cell, r.block, r.part) for r in spark.createDataFrame([(c, b) for c in range(len(cells.size)) for b in range(cells.blocks[c])], "cell int, block int")
+                 .withColumn("part", cells.part(F.col("cell"), F.col("block"))).collect()]
+        assert {(c, p) for c, _, p in spots if cells.size[c]} == set(zip(*map(list, np.nonzero(cells.parts()))))
+        assert {p for _, _, p in spots} == {0, 1, 2}
+    assert max(copies) <= 3
+
+
+def test_equal_vectors_under_different_ids_are_asked_each(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 2)
+    vectors = [(i, [1.0, 1.0]) for i in range(12)] + [(20, [2.0, 1.0])]
+    df = table(spark, vectors)
+    assert got(K.knn_join(df, df, 3)) == brute(vectors, vectors, 3)
