@@ -550,8 +550,8 @@ sents AS (SELECT doc_id, k - 1 AS sent, list_filter(string_split_regex(ss[k], '[
 """
 
 
-def _sentences(spark, sf, lo=8, hi=60) -> DataFrame:
-    return B.sentences(D.articles(spark, sf), ["doc_id"], "content", lo, hi)
+def _sentences(spark, sf, lo=8, hi=60, articles: DataFrame | None = None) -> DataFrame:
+    return B.sentences(D.articles(spark, sf) if articles is None else articles, ["doc_id"], "content", lo, hi)
 
 
 @query("sentences_training", f"WITH {D.CLEAN_CTES},{_SENT} SELECT doc_id, sent, array_to_string(words, ' ') AS sentence "
@@ -696,8 +696,8 @@ part AS (SELECT doc_id, sent, substr(md5('42|' || doc_id || '|' || sent), 1, 8)
 """
 
 
-def _tagger_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
-    sample = B.ner_training_sample(stage(spark, B.bio_label(_sentences(spark, sf)), scratch(spark, "bio")), ["doc_id"])
+def _tagger_parts(spark, sf, articles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    sample = B.ner_training_sample(stage(spark, B.bio_label(_sentences(spark, sf, articles=articles)), scratch(spark, "bio")), ["doc_id"])
     return R.split(stage(spark, sample, scratch(spark, "sample")), ["doc_id", "sent"], 0.9)
 
 
@@ -723,8 +723,9 @@ def _(spark, sf):
 
 @query("tag_sentences", f"WITH {D.CLEAN_CTES},{_SENT} SELECT doc_id, sent, len(words) AS tags, true AS consistent FROM sents WHERE len(words) >= 3")
 def _(spark, sf):
-    model = N.train_tagger(_tagger_parts(spark, sf)[0], ["doc_id"])
-    tagged = N.tag_sentences(_sentences(spark, sf, 3, None), model, ["doc_id"])
+    articles = stage(spark, D.articles(spark, sf).select("doc_id", "content"), scratch(spark, "articles"))  # training and tagging read it
+    model = N.train_tagger(_tagger_parts(spark, sf, articles)[0], ["doc_id"])
+    tagged = N.tag_sentences(_sentences(spark, sf, 3, None, articles), model, ["doc_id"])
     before = F.concat(F.array(F.lit("O")), F.slice("tags", 1, F.size("tags") - 1))
     continues = F.zip_with("tags", before, lambda t, b: ~t.startswith("I-") | ((b != "O") & (F.substring(t, 3, 9) == F.substring(b, 3, 9))))
     return tagged.select("doc_id", long("sent").alias("sent"), long(F.size("tags")).alias("tags"), F.forall(continues, lambda c: c).alias("consistent"))

@@ -12,9 +12,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,18 +60,55 @@ _KNOWN = _WordSlots()
 _EDGE = _KNOWN[""]
 
 
+def _table(words: list[str]) -> np.ndarray:
+    """Slots (words x 9) of words as tokens and as neighbours; the last row is the edge of a sentence."""
+    return np.fromiter(chain.from_iterable(chain(map(_KNOWN.__getitem__, words), [_EDGE])), np.int64, (len(words) + 1) * len(_EDGE)).reshape(-1, len(_EDGE))
+
+
+def _around(lengths: np.ndarray, number: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words before and behind each token, ``edge`` at a sentence's ends."""
+    ends = np.cumsum(lengths)[lengths > 0]
+    before, behind = np.append(edge, number[:-1])[:len(number)], np.append(number[1:], edge)[:len(number)]
+    behind[ends - 1] = edge
+    before[(ends - lengths[lengths > 0])] = edge
+    return before, behind
+
+
+def _pairs(own: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the pairs with the words before and behind, from the slots of the words themselves."""
+    return (before * 31 + own * 7 + 1) % SLOTS, (behind * 37 + own * 11 + 2) % SLOTS
+
+
 def feature_slots(sentences: list[list[str]]) -> np.ndarray:
     """Slots (tokens x features) of all sentences in a row: the word, its neighbours, both word pairs, and a constant."""
-    rows = [_EDGE]
-    for words in sentences:
-        rows.extend(map(_KNOWN.__getitem__, words))
-        rows.append(_EDGE)
-    table = np.array(rows, np.int64)
-    inside = np.concatenate([[False], *[[True] * len(s) + [False] for s in sentences]]).astype(bool)
-    at = np.flatnonzero(inside)
-    own, before, behind = table[at][:, _OWN], table[at - 1][:, _BEFORE], table[at + 1][:, _BEHIND]
-    pairs = np.stack([(before[:, 0] * 31 + own[:, 0] * 7 + 1) % SLOTS, (behind[:, 0] * 37 + own[:, 0] * 11 + 2) % SLOTS], 1)
-    return np.hstack([own, before, behind, pairs, np.full((len(at), 1), SLOTS - 1)])
+    words = [w for s in sentences for w in s]
+    table = _table(words)
+    number = np.arange(len(words))
+    at_before, at_behind = _around(np.array([len(s) for s in sentences], np.int64), number, len(words))
+    own, before, behind = table[number][:, _OWN], table[at_before][:, _BEFORE], table[at_behind][:, _BEHIND]
+    pairs = np.stack(_pairs(own[:, 0], before[:, 0], behind[:, 0]), 1)
+    return np.hstack([own, before, behind, pairs, np.full((len(words), 1), SLOTS - 1)])
+
+
+def token_scores(weights: np.ndarray, words: list[str], number: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``weights[feature_slots].sum(1)`` of tokens given as numbers of different ``words``, which are looked up once.
+
+    Features are added in the same order, so that sums round alike.
+    """
+    table = _table(words)
+    before, behind = _around(lengths, number, len(words))
+    own = weights[table[:, 0]]
+    for j in range(1, _OWN.stop):
+        own = own + weights[table[:, j]]
+    first, second = _pairs(table[number, 0], table[before, _BEFORE.start], table[behind, _BEHIND.start])
+    out = own[number]
+    for at, columns in ((before, _BEFORE), (behind, _BEHIND)):
+        for j in range(columns.start, columns.stop):
+            out += weights[table[:, j]][at]
+    out += weights[first]
+    out += weights[second]
+    out += weights[SLOTS - 1]
+    return out
 
 
 def allowed(tags: list[str]) -> np.ndarray:
@@ -119,13 +158,19 @@ class Tagger:
     weights: np.ndarray
 
     def decode(self, sentences: list[list[str]]) -> list[list[str]]:
-        lengths = np.array([len(s) for s in sentences], np.int64)
+        return self.decode_arrow(pa.array(sentences, pa.list_(pa.string()))).to_pylist()
+
+    def decode_arrow(self, sentences: pa.ListArray) -> pa.ListArray:
+        """Tags of sentences, without a Python object a token: only different words are looked at one by one."""
+        lengths = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy().astype(np.int64)
+        offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+        names = pa.array(self.tags, pa.string())
         if not lengths.sum():
-            return [[] for _ in sentences]
-        found = viterbi(self.weights[feature_slots(sentences)].sum(1), lengths, self.weights[SLOTS:] + allowed(self.tags))
-        names = np.array(self.tags, object)[found].tolist()
-        ends = np.cumsum(lengths).tolist()
-        return [names[e - n:e] for e, n in zip(ends, lengths.tolist())]
+            return pa.ListArray.from_arrays(offsets, names.slice(0, 0))
+        words = pc.dictionary_encode(sentences.flatten())
+        scores = token_scores(self.weights, words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), lengths)
+        found = viterbi(scores, lengths, self.weights[SLOTS:] + allowed(self.tags))
+        return pa.ListArray.from_arrays(offsets, names.take(pa.array(found)))
 
 
 def _pass(batches: Iterator[pa.RecordBatch], tags: list[str], start: np.ndarray, together: int) -> Iterator[pa.RecordBatch]:
@@ -207,7 +252,14 @@ def train_tagger(labelled: DataFrame, keys: list[str], epochs: int = 5, shards:
 def tag_sentences(sents: DataFrame, model: Tagger, keys: list[str]) -> DataFrame:
     """``(keys..., sent, words, tags)``: every sentence with the model's tags; ``I-`` always continues its own kind."""
     shared = sents.sparkSession.sparkContext.broadcast(model)
-    return B.tag_with(sents, lambda: shared.value.decode, keys)
+    cols = [*keys, "sent", "words"]
+    types = dict(sents.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, shared.value.decode_arrow(batch.column(batch.num_columns - 1))], names=[*cols, "tags"])
+
+    return sents.select(*cols).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", tags array<string>")
 
 
 def model_names(articles: DataFrame, model: Tagger, key: str = "url", column: str = "clean_text") -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from intelweave import vocab
@@ -101,3 +102,18 @@ def test_names_of_articles(spark, model):
     got = N.model_names(spark.createDataFrame(rows, "url string, clean_text string"), model).collect()
     assert sorted((str(r.url), r.model_malware or [], r.model_actors or []) for r in got) == [
         ("None", [], []), ("u", ["qxcafe"], ["grey lynx"]), ("u", ["qxcafe"], ["grey lynx"]), ("v", [], []), ("w", [], [])]
+
+
+def test_words_looked_up_once_score_as_tokens_do():
+    """Bit by bit the sums of the features, sentences without words and slices of a longer column included."""
+    rng, draw = np.random.default_rng(3), random.Random(3)
+    weights = rng.standard_normal((N.SLOTS + len(TAGS) + 1, len(TAGS))).astype(np.float32)
+    sentences = [[draw.choice(["the", "group", "APT29", "", "\u00e9\u3042", "x-y"]) for _ in range(draw.choice([0, 1, 2, 7]))] for _ in range(200)]
+    words = sorted({w for s in sentences for w in s})
+    number = np.array([words.index(w) for s in sentences for w in s])
+    scores = N.token_scores(weights, words, number, np.array([len(s) for s in sentences]))
+    assert (scores == weights[N.feature_slots(sentences)].sum(1)).all()
+    model = N.Tagger(TAGS, weights)
+    column = pa.array(sentences, pa.list_(pa.string()))
+    assert model.decode_arrow(column.slice(50, 70)).to_pylist() == [model.decode([s])[0] for s in sentences[50:120]]
+    assert model.decode_arrow(column.slice(0, 0)).to_pylist() == []
