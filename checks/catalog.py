@@ -885,8 +885,8 @@ def _binary_training(spark, sf) -> DataFrame:
     return rows.select("doc_id", "text", "label")
 
 
-def _industry_training(spark, sf) -> DataFrame:
-    rows = D.cleaned(spark, sf).select("doc_id", C.model_input().alias("text"), "primary_industry")
+def _industry_training(spark, sf, clean: DataFrame | None = None) -> DataFrame:
+    rows = (D.cleaned(spark, sf) if clean is None else clean).select("doc_id", C.model_input().alias("text"), "primary_industry")
     return C.encode_labels(rows, "primary_industry", C.label_map(D.articles(spark, sf), "primary_industry"))
 
 
@@ -920,11 +920,11 @@ def _(spark, sf):
 def _models(spark, sf):
     from intelweave.plans.batch import Models
 
-    clean = D.cleaned(spark, sf)
+    clean = stage(spark, D.cleaned(spark, sf), scratch(spark, "cleaned"))  # three fits and the tagging read it
     labelled = clean.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     binary = C.train_binary(labelled.select(C.model_input().alias("text"), F.col("quality").cast("int").alias("label")))
     labels = C.label_map(D.articles(spark, sf), "primary_industry")
-    industry = C.train_industry(_industry_training(spark, sf))
+    industry = C.train_industry(_industry_training(spark, sf, clean))
     untagged = clean.drop("primary_industry", "threat_score")
     return Models(binary, industry, labels, V.fit_embedder(clean)), untagged
 
