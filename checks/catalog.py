@@ -1312,10 +1312,10 @@ SELECT 1 AS increment, (SELECT count(*) FROM clean WHERE length(url) % 2 = 1) AS
        count(*) FILTER (NOT earlier) AS embedded, count(*) AS vectors_total FROM kept""")
 def _(spark, sf):
     """Two increments over halves of the articles; the summary of the second."""
-    from intelweave.plans.batch import Layout, Models
+    from intelweave.plans.batch import Layout, Models, cleaned
 
-    models = Models(None, None, None, V.fit_embedder(D.cleaned(spark, sf)), tagger=_plain_tagger)
-    raw = D.articles(spark, sf).select("id", "title", "url", "content")
+    raw = stage(spark, D.articles(spark, sf).select("id", "title", "url", "content"), scratch(spark, "articles"))  # the fit and both increments read it
+    models = Models(None, None, None, V.fit_embedder(cleaned(raw)), tagger=_plain_tagger)
     layout = Layout(scratch(spark, "increments"))
     I.run_increment(spark, raw.where("length(url) % 2 = 0"), models, layout, 0)
     done = I.run_increment(spark, raw, models, layout, 1)
