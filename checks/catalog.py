@@ -1347,8 +1347,8 @@ def _(spark, sf):
     def tagger(df):
         return df.withColumns({"threat_score": F.lit(0.9), "primary_industry": F.lit("Finance"), "industry_score": F.lit(0.8)})
 
-    raw = D.articles(spark, sf).select("doc_id", "id", "title", "url", "content")
-    models = batch.Models(None, None, None, V.fit_embedder(D.cleaned(spark, sf)), tagger=tagger)
+    raw = stage(spark, D.articles(spark, sf).select("doc_id", "id", "title", "url", "content"), scratch(spark, "articles"))  # the fit, the build and the increment read it
+    models = batch.Models(None, None, None, V.fit_embedder(batch.cleaned(raw)), tagger=tagger)
     layout = batch.Layout(scratch(spark, "build"))
     batch.build(spark, raw.where("doc_id % 2 = 0").drop("doc_id", "id"), models, layout)
     I.run_increment(spark, raw.drop("doc_id"), models, layout, 0)
