@@ -466,7 +466,7 @@ named AS (SELECT doc_id, term FROM words WHERE length(term) BETWEEN 4 AND 12)"""
 @query("gazetteer_large", f"""WITH {_WORD_TERMS}, gaz AS (SELECT DISTINCT term FROM named WHERE doc_id % 2 = 0)
 SELECT doc_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS terms FROM named JOIN gaz USING (term) GROUP BY doc_id""")
 def _(spark, sf):
-    rows = D.documents(spark, sf).select("doc_id", "text")
+    rows = stage(spark, D.documents(spark, sf).select("doc_id", "text"), scratch(spark, "documents"))  # terms and texts read it
     words = rows.where("doc_id % 2 = 0").select(F.explode(F.split(F.lower("text"), FE.NOT_WORD_RUN)).alias("term"))
     terms = words.where(F.length("term").between(4, 12)).select(F.lit("word").alias("kind"), F.col("term")).distinct()
     terms = stage(spark, terms, scratch(spark, "terms"))  # a table, as gazetteers are

@@ -101,8 +101,13 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
         after = x["i"] + n <= F.size(p) if ends_with_word else x["i"] + n < F.size(p)
         return F.when(opens & before & after, F.array_join(F.slice(p, x["i"] + 1, F.lit(n)), ""))
 
-    pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
-    grams = pieces.select(key, F.explode(F.array_distinct(bind(F.col("_p"), slices))).alias("term"))
+    if shapes == [(1, True)]:
+        # Single words all of them: the different words of a text are looked up once each, and no separator is.
+        words = F.filter(F.array_distinct(F.split(F.lower(column), E.NOT_WORD_RUN)), lambda w: w != "")
+        grams = df.select(key, words.alias("_w")).select(key, F.explode(held(known, lambda k: F.filter("_w", lambda w: may_hold(k, F.xxhash64(w))))).alias("term"))
+    else:
+        pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
+        grams = pieces.select(key, F.explode(F.array_distinct(bind(F.col("_p"), slices))).alias("term"))
     return grams.join(terms, "term").groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 

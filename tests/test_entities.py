@@ -68,6 +68,17 @@ def test_gazetteer_table_equals_term_lists(spark, texts, words, monkeypatch):
         assert by_table.get(r["doc_id"], []) == r["threat_actors"], raw[r["doc_id"]]
 
 
+def test_a_gazetteer_of_single_words_looks_up_each_word_of_a_text_once(spark, texts, monkeypatch):
+    monkeypatch.setattr(bitmap, "WORDS", 1)  # a full bitmap lets every word pass
+    raw = [*random_texts(100, seed=12), "Emotet, emotet; EMOTET", "emotet_x x-ryuk", "", " ", None, "\U0001d4b3\U0001d4b4 \u00e9t\u00e9"]
+    words = [("m", t) for t in ("Emotet", "ryuk", "\u00c9T\u00c9", "apt28", "\U0001d4b3\U0001d4b4", "")] + [("n", "emotet")]
+    single = E.match_gazetteer(texts(raw), "doc_id", spark.createDataFrame(words, "kind string, term string"))
+    assert "regexp_extract_all" not in single._jdf.queryExecution().optimizedPlan().toString()
+    several = E.match_gazetteer(texts(raw), "doc_id", spark.createDataFrame([*words, ("z", "no such term")], "kind string, term string"))
+    rows = lambda df: sorted((r.doc_id, r.kind, r.terms) for r in df.collect())
+    assert rows(single) == rows(several) and (100, "m", ["emotet"]) in rows(single)
+
+
 def test_combine(spark):
     df = spark.createDataFrame(
         [(["emotet"], ["apt1"], ["Microsoft", "zeus", "12345", "ab"], None)],
