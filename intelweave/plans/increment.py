@@ -13,6 +13,7 @@ from intelweave.operators import quality as Q
 from intelweave.operators import vectors as V
 from intelweave.operators.web import drop_seen
 from intelweave.plans.batch import Layout, Models, cleaned
+from intelweave.session import spread
 from intelweave.sources import stores as S
 
 LEDGER_SCHEMA = S.LEDGER_SCHEMA
@@ -62,7 +63,7 @@ def run_increment(
     new_articles(raw, ledger).write.mode("overwrite").parquet(fresh_path)
     fresh = spark.read.parquet(fresh_path)
 
-    clean = clean_increment(fresh, strict)
+    clean = clean_increment(spread(fresh, "url"), strict)
     S.write_increment(models.entities(models.tag(clean)), layout.at("entities"), increment)
     found = spark.read.parquet(f"{layout.at('entities')}/increment={increment}")
 

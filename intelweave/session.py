@@ -40,3 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str, rows: int = 500) -> DataFrame:
+    """``df`` dealt out by ``key`` over several tasks a slot, of at least ``rows`` rows on average; counts ``df`` first.
+
+    For costly steps over files: Spark cuts these, like the partitions of a shuffle, into about as many tasks as
+    there are slots, often one more, and that one runs alone when all others are done.
+    """
+    tasks = min(4 * df.sparkSession.sparkContext.defaultParallelism, df.count() // rows)
+    return df.repartition(max(tasks, 1), key)

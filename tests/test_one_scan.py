@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import catalog, views
+from intelweave.session import spread
 
 WORDS = "river stone garden market window letter summer number village bridge paper forest group files used".split()
 
@@ -41,3 +43,13 @@ def test_articles_are_cleaned_once_for_three_models_and_their_use(spark, sf):
     # What cleans texts drops the markup first; the plan that tags reads clean texts.
     assert "<.*?>" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"] for r in out.collect()} <= set(range(62))
+
+
+def test_costly_steps_are_dealt_over_several_tasks_a_slot(spark):
+    """Nine partitions on eight slots take as long as sixteen would; few rows stay in few tasks."""
+    slots = spark.sparkContext.defaultParallelism
+    many = spread(spark.range(0, 40_000, 1, slots + 1).withColumn("url", F.md5(F.col("id").cast("string"))), "url")
+    sizes = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 * slots and max(sizes) < 1.2 * 40_000 / len(sizes) and sum(sizes) == 40_000
+    assert spread(spark.range(0).withColumn("url", F.lit("u")), "url").count() == 0
+    assert spread(spark.range(1200).withColumn("url", F.lit("u")), "url").rdd.getNumPartitions() == 2
