@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intelweave.session import cut_lineage, scratch
+from intelweave.session import scratch
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,18 +33,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each points neighbours at the least node they know of,
     and the number of rounds grows with the logarithm of a component's size. A step reduces on the map
-    side and joins, so a node with very many links is split like any skewed join key. Links are
-    checkpointed after each round, never brought to the driver.
+    side and joins, so a node with very many links is split like any skewed join key. Links are staged
+    after each round, never brought to the driver, and read in tasks by their size, once for both directions:
+    the driver keeps some kilobytes of metrics for a task, and few links in many parts would cost it as much as many.
     """
-    edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        near = large.join(down, "a")
+        both = near.select(F.inline(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m")))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = staged(both.filter("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

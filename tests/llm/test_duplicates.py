@@ -41,6 +41,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_reads_few_links_in_few_tasks(spark):
+    """Each round's links are read by their size: a round costs its shuffles' tasks, and no more for every part they were written in."""
+    parts, links = 24, [(i, i + 1) for i in range(0, 16)]
+    own, tracker = spark.newSession(), spark.sparkContext.statusTracker()
+    for key, value in {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64k"}.items():
+        own.conf.set(key, value)
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert {r.root for r in components(own.createDataFrame(links, "a long, b long")).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    done = [i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i]
+    assert not [n for n in done if n >= 2 * parts]
+
+
 # == SimHash
 
 
