@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intelweave.llm.common import components, sorted_runs, staged
@@ -50,6 +50,7 @@ _PLACE = 20  # low bits that hold a shingle's place while minima are sought, mor
 WINDOW = "sig long, t long, c long, near int"
 CONTEXT = "sig long, t long, c long, before int, context binary, kind long"
 MEMBER = "t long, first long, last long, hub long"
+WHOLE = -(1 << 31)  # as ``near``: the row of a whole text, with its words as c
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -203,7 +204,8 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
     """Signatures of the joint windows of each distinct text (t, text); a task looks at equal texts once.
 
     ``near`` holds how far the unit windows reach before and behind c. Whole unit windows of one shingle are
-    one row with their run's length, negative, as ``near``.
+    one row with their run's length, negative, as ``near``. A text that is long enough for a passage has one
+    more row, with ``WHOLE`` as ``near``.
     """
     def of_texts(ts: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
         h, size = shingles_of(texts)
@@ -218,6 +220,7 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
         run = np.diff(np.append(np.flatnonzero(new), len(h)))
         head = np.flatnonzero(new)[run >= UNIT]
         cols = [(mix(h[head]).view(np.int64), t[head], (head - (ends - size)[np.searchsorted(ends, head, "right")]), -run[run >= UNIT].astype(np.int32))]
+        cols.append((mix(mix(ts.view(np.uint64))).view(np.int64), ts, size + SHINGLE - 1, np.full(len(ts), WHOLE, np.int32)))
         left = np.append(np.flatnonzero(new), len(h))
         rest = left[np.searchsorted(left, np.arange(len(h)), "right")] - np.arange(len(h))  # equal shingles from here on
         for f in range(hashes):
@@ -246,7 +249,7 @@ def text_windows(texts: DataFrame, hashes: int) -> DataFrame:
 
 
 def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
-    """The windows whose signature stands in two texts at least."""
+    """The windows whose signature stands in two texts at least, and the rows of whole texts."""
     names = ["sig", "t", "c", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def shared_windows(windows: DataFrame, limit: int = 4096) -> DataFrame:
             joins = before is not None and before[0] == sig[0]
             if joins and (before[2] or before[1] != least[0]):
                 many[0] = True
-            keep = np.repeat(many, size)
+            keep = np.repeat(many, size) | (near == WHOLE)
             if joins and many[0]:
                 # the pieces before were taken for one text's: their rows come after all
                 for piece in held:
@@ -347,6 +350,36 @@ def may_hold(row: np.ndarray, filled: np.ndarray, asked: np.ndarray, bits: int =
     return held[line + (asked & np.uint32(bits - 1))]
 
 
+def shared_in_windows(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """[pair, start]: how many shingles the unit windows of both rows that begin there share, as multisets.
+
+    Each pair's shingles are numbered; as the windows move on by one place, a shingle of each side leaves and one
+    comes, and the count of what both have follows. Empty cells match nothing.
+    """
+    n, width = x.shape
+    value = np.concatenate([np.where(fx, x, np.uint64(1 << 32)), np.where(fy, y, np.uint64((1 << 32) + 1))], 1).astype(np.uint64)
+    key = np.sort(value << np.uint64(8) | np.arange(2 * width, dtype=np.uint64), 1)
+    number = np.zeros((n, 2 * width), np.int64)
+    np.cumsum(key[:, 1:] >> np.uint64(8) != key[:, :-1] >> np.uint64(8), 1, out=number[:, 1:])
+    number += np.arange(n)[:, None] * (2 * width)
+    cells = np.empty_like(number)
+    np.put_along_axis(cells, (key & np.uint64(255)).astype(np.int64), number, 1)
+    ours, theirs = (np.ascontiguousarray(c.T) for c in (cells[:, :width], cells[:, width:]))
+    have, other = (np.bincount(c[:UNIT].ravel(), minlength=cells.size).astype(np.int16) for c in (ours, theirs))
+    out = np.empty((width - UNIT + 1, n), np.int16)
+    out[0] = np.minimum(have, other).reshape(n, -1).sum(1)
+    for k in range(width - UNIT):
+        now = out[k].copy()
+        for i, a, b in ((ours[k], have, other), (theirs[k], other, have)):
+            now -= a[i] <= b[i]
+            a[i] -= 1
+        for i, a, b in ((ours[k + UNIT], have, other), (theirs[k + UNIT], other, have)):
+            now += a[i] < b[i]
+            a[i] += 1
+        out[k + 1] = now
+    return out.T
+
+
 def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of rows: whether some unit window is similar enough, and the first and last start of one, as columns."""
     def sums(a: np.ndarray) -> np.ndarray:
@@ -363,27 +396,9 @@ def verify(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray, least:
     for a, fa, b, fb in ((x, fx, y, fy), (y, fy, x, fx)):
         bound = sums(may_hold(a[rest], fa[rest], b[rest]) & fb[rest])
         rest = rest[(whole[rest] & ~good[rest] & (bound >= least)).any(1)]
-    for a in range(0, len(rest), 256):
-        some = rest[a:a + 256]
-        met = (x[some][:, :, None] == y[some][:, None, :]) & fx[some][:, :, None] & fy[some][:, None, :]
-        bound = np.minimum(sums(met.any(2)), sums(met.any(1)))  # no window shares more
-        open_ = whole[some] & ~good[some] & (bound >= least)
-        some, open_ = some[open_.any(1)], open_[open_.any(1)]
-        if not len(some):
-            continue
-        xs, ys, fxs = x[some], y[some], fx[some]
-
-        def upto(other: np.ndarray, filled: np.ndarray) -> np.ndarray:
-            """[pair, p, q]: how often x's shingle at p stands in front of q."""
-            same = (xs[:, :, None] == other[:, None, :]) & fxs[:, :, None] & filled[:, None, :]
-            return np.pad(np.cumsum(same, 2, dtype=np.int16), ((0, 0), (0, 0), (1, 0)))
-
-        own, others = upto(xs, fxs), upto(ys, fy[some])
-        for k in np.flatnonzero(open_.any(0)):
-            p = np.arange(k, k + UNIT)
-            # the n-th of equal shingles in x's window is shared if y's window has n of them
-            shared = own[:, p, p] - own[:, p, k] < others[:, p, k + UNIT] - others[:, p, k]
-            good[some, k] |= open_[:, k] & (shared.sum(1) >= least)
+    for a in range(0, len(rest), 2048):
+        some = rest[a:a + 2048]
+        good[some] |= whole[some] & (shared_in_windows(x[some], fx[some], y[some], fy[some]) >= least)
     return good.any(1), good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1)
 
 
@@ -495,44 +510,107 @@ def compared(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*PAIR).mapInArrow(run, MEMBER + ", kind long, kind2 long")
 
 
-def rare_shingles(kinds: DataFrame, threshold: float) -> DataFrame:
-    """(sig, kind, shingle): of each unit window of a context the shingles of which a similar window must share one.
+def rarest(rank: np.ndarray, filled: np.ndarray, prefix: int) -> np.ndarray:
+    """The filled cells that are among the ``prefix`` least of a whole unit window of their row, with their equals."""
+    cells = np.zeros(filled.shape, bool)
+    runs = np.lib.stride_tricks.sliding_window_view
+    for a in range(0, len(rank), 512):
+        part = slice(a, a + 512)
+        limit = np.partition(runs(rank[part], UNIT, 1), prefix - 1, 2)[:, :, prefix - 1]
+        limit = np.pad(np.where(runs(filled[part], UNIT, 1).all(2), limit, -1), ((0, 0), (SIDE, SIDE)), constant_values=-1)
+        cells[part] = filled[part] & (rank[part] <= runs(limit, UNIT, 1).max(2))
+    return cells
 
-    Two unit windows that share ``need`` shingles share one of the rarest UNIT - need + 1 of each. Rarity is
-    the number of contexts of the signature that hold a shingle, counted on the map side first.
+
+def likely_pairs(m: np.ndarray, filled: np.ndarray, root: np.ndarray, least: int, together: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different ``root``, the lesser root first, that share one of their rarest shingles.
+
+    Two unit windows that share ``least`` shingles share one of the rarest UNIT - least + 1 of each, whatever the
+    order of rarity is; it is the number of cells that hold a shingle. Some pairs may come twice.
     """
-    prefix = UNIT - need(threshold) + 1
+    owner = np.nonzero(filled)[0]
+    value, of, n = np.unique(m[filled], return_inverse=True, return_counts=True)
+    order = np.empty(len(value), np.int32)
+    order[np.argsort(n, kind="stable")] = np.arange(len(value), dtype=np.int32)
+    low, high = np.full(len(value), np.iinfo(np.int64).max), np.full(len(value), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, root[owner])
+    np.maximum.at(high, of, root[owner])
+    rank = np.zeros(m.shape, np.int32)
+    rank[filled] = order[of]
+    cells = rarest(rank, filled, UNIT - least + 1)[filled] & (low != high)[of]  # a shingle of one class alone brings nobody together
+    key = np.unique(order[of][cells].astype(np.int64) * len(m) + owner[cells])
+    shingle, row = key // len(m), key % len(m)
+    partners = np.searchsorted(shingle, shingle, "right") - np.arange(len(key)) - 1
+    total = np.cumsum(partners)
+    at = 0
+    while at < len(key):
+        end = max(int(np.searchsorted(total, total[at] - partners[at] + together, "right")), at + 1)
+        n = partners[at:end]
+        left = np.repeat(np.arange(at, end), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = row[left], row[right]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        pair = np.unique(np.where(root[i] < root[j], i * len(m) + j, j * len(m) + i))
+        yield pair // len(m), pair % len(m)
+        at = end
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, kind, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            parts = [np.frombuffer(x, "<u4") for x in context]
-            size = np.array([len(x) for x in parts], np.int64)
-            if len(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, size)), pa.array(np.repeat(kind, size)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size])),
-                                                  pa.array(np.concatenate(parts).astype(np.int64))], names=["sig", "kind", "at", "shingle"])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for sig, kind, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows.sort(key=lambda r: r["at"])
-                order = np.array([(r["n"], r["shingle"]) for r in rows], np.int64)
-                rank = np.empty(len(rows), np.int64)
-                rank[np.lexsort((order[:, 1], order[:, 0]))] = np.arange(len(rows))
-                found: set[int] = set()
-                for k in range(len(rows) - UNIT + 1):
-                    found.update(order[k + np.argpartition(rank[k:k + UNIT], prefix - 1)[:prefix], 1].tolist())
-                out[0].extend([sig] * len(found))
-                out[1].extend([kind] * len(found))
-                out[2].extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["sig", "kind", "shingle"])
-
-    tokens = staged(kinds.select("sig", "kind", "context").mapInArrow(cut, "sig long, kind long, at int, shingle long"), "shingles")
-    counts = tokens.groupBy("sig", "shingle").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, ["sig", "shingle"])
-    lists = ranked.groupBy("sig", "kind").agg(F.collect_list(F.struct("at", "n", "shingle")).alias("rows"))  # at most 91 a context
-    return lists.mapInArrow(choose, "sig long, kind long, shingle long")
+
+def similar_kinds(classed: DataFrame, threshold: float, limit: int = 4096) -> DataFrame:
+    """(kind, kind2, first, last): the similar contexts of a signature that are in different classes (root).
+
+    A signature of up to ``limit`` contexts is one group, whose task pairs those that share a rare shingle and
+    verifies them. The contexts of larger ones are dealt out by their rarest shingles, as two similar ones share one:
+    rarity is then the number of a sample of contexts that hold a shingle, which any order may replace, so no pair is lost by it.
+    """
+    least = need(threshold)
+
+    def of_group(table: pa.Table) -> pa.Table:
+        kind, before, context, root = (table.column(x).to_numpy() for x in ("kind", "before", "context", "root"))
+        m, filled = matrix(before, context)
+        out: list[list] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for i, j in likely_pairs(m, filled, root, least):
+            for a in range(0, len(i), 2048):
+                p, q = i[a:a + 2048], j[a:a + 2048]
+                ok, first, last = verify(m[p], filled[p], m[q], filled[q], least)
+                for x, y in zip(out, (kind[p[ok]], kind[q[ok]], first[ok], last[ok])):
+                    x.append(y)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["kind", "kind2", "first", "last"])
+
+    def sampled(table: pa.Table) -> pa.Table:
+        value, n = np.unique(np.frombuffer(b"".join(table.column("context").to_pylist()), "<u4"), return_counts=True)
+        return pa.table({"sig": table.column("sig")[:1], "shingles": pa.array([value[n > 1].astype(np.int64)], pa.list_(pa.int64())), "counts": pa.array([n[n > 1]], pa.list_(pa.int64()))})
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind, before, context, root, sig = (left.column(x).to_numpy() for x in ("kind", "before", "context", "root", "sig"))
+        m, filled = matrix(before, context)
+        known, counts = (np.array(right.column(x)[0].as_py() if len(right) else [], np.int64) for x in ("shingles", "counts"))
+        value, of = np.unique(m[filled], return_inverse=True)
+        at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+        n = np.where(known[at] == value, counts[at], 0) if len(known) else np.zeros(len(value), np.int64)
+        rank = np.zeros(m.shape, np.int64)
+        rank[filled] = (n << 32 | value)[of]  # the same in every task
+        row, place = np.nonzero(rarest(rank, filled, UNIT - least + 1))
+        return pa.table({"sig": sig[row], "kind": kind[row], "root": root[row], "shingle": m[row, place].astype(np.int64)})
+
+    plain = ["sig", "kind", "before", "context", "root"]
+    sizes = classed.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    sizes = staged(sizes.select("sig", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "sizes")
+    groups = classed.join(sizes.filter("parts = 1").select("sig", F.lit(0).alias("part")), "sig").select(*plain, "part")
+    large = sizes.filter("parts > 1")
+    if not large.isEmpty():
+        kinds = classed.join(large, "sig")
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy("kind"))  # cut off on the map side
+        sample = kinds.withColumn("rank", rank).filter(F.col("rank") <= max(limit // 4, 2)).groupBy("sig").applyInArrow(sampled, "sig long, shingles array<long>, counts array<long>")
+        sample = sample.join(large, "sig").select("sig", "shingles", "counts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = kinds.withColumn("part", F.pmod("kind", "parts").cast("int"))
+        rare = dealt.groupBy("sig", "part").cogroup(sample.groupBy("sig", "part")).applyInArrow(choose, "sig long, kind long, root long, shingle long")
+        rare = staged(rare.distinct(), "rare")
+        both = rare.groupBy("sig", "shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig", "shingle")
+        met = rare.join(both, ["sig", "shingle"], "left_semi").join(large, "sig")
+        met = met.select("kind", F.pmod(F.xxhash64("shingle"), 4 * F.col("parts")).cast("int").alias("part")).distinct()
+        groups = groups.unionByName(kinds.select(*plain).join(met, "kind"))
+    return groups.groupBy("sig", "part").applyInArrow(of_group, "kind long, kind2 long, first long, last long").distinct()
 
 
 def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
@@ -540,7 +618,7 @@ def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders:
 
     All kinds meet the most frequent ones first: an edited copy is near the text that most others still
     have. Then kinds that neither this nor a shared exact range (``exact``) has brought into one class are
-    compared where they share a rare shingle. A kind of one text stands for all its windows; one of several
+    compared where they share a rare shingle, and only those found similar are joined with their windows. A kind of one text stands for all its windows; one of several
     texts is compared once, as its windows share all their ranges anyway.
     """
     kinds = large.groupBy("sig", "kind").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c", "before", "context")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
@@ -562,19 +640,16 @@ def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders:
     found = led.select("t", "first", "last", "hub")
     links = exact.select(F.col("kind").alias("a"), F.col("hub").alias("b")).unionByName(led.select(F.col("kind").alias("a"), F.col("kind2").alias("b"))).distinct()
     roots = components(links).select(F.col("node").alias("kind"), "root")
-    classed = staged(kinds.select("sig", "kind", "context").join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")), "classes")
-    several = classed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig")
-    rare = rare_shingles(classed.join(several, "sig", "left_semi"), threshold)
-    rare = staged(rare.join(classed.select("kind", "root"), "kind"), "rare")
-    # A shingle of one class alone brings nobody together.
-    both = rare.groupBy("sig", "shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig", "shingle")
-    open_ = rare.join(both, ["sig", "shingle"], "left_semi")
-    other = open_.withColumnsRenamed({"kind": "kind2", "root": "root2"})
-    pairs = open_.join(other, ["sig", "shingle"]).filter("root < root2").select("kind", "kind2").distinct()
-    rest = rows.join(staged(pairs, "pairs"), "kind").join(kinds.select(*[F.col(x).alias(x + "2") for x in ("kind", "before", "context")], "one", "two"), "kind2")
+    classed = staged(kinds.select("sig", "kind", "before", "context").join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")), "classes")
+    pairs = staged(similar_kinds(classed, threshold), "pairs")
+    rest = rows.join(pairs, "kind").join(kinds.select(F.col("kind").alias("kind2"), "one", "two"), "kind2")
     rest = rest.withColumn("at", F.when(F.col("one.t") == F.col("t"), F.col("two")).otherwise(F.col("one")))
-    rest = rest.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c")}).filter("t <> t2")
-    return found.unionByName(staged(compared(rest, threshold), "rest").select("t", "first", "last", "hub"))
+    rest = rest.withColumns({"t2": F.col("at.t"), "c2": F.col("at.c"), "hub": F.xxhash64("t", "c", F.lit("rest"))}).filter("t <> t2")
+
+    def member(t: str, c: str) -> Column:
+        return F.struct(F.col(t).alias("t"), (F.col(c) - SIDE + F.col("first")).alias("first"), (F.col(c) - SIDE + F.col("last") + PASSAGE).alias("last"), "hub")
+
+    return found.unionByName(staged(rest.select(F.inline(F.array(member("t", "c"), member("t2", "c2")))), "rest"))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -596,7 +671,7 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3,
     windows = shared.filter("near >= 0")
     hot = staged(windows.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("sig"), "hot")
     members = group_windows(contexts(texts_of, windows.join(hot, "sig", "left_anti")), threshold, group)
-    members = staged(members, "groups").unionByName(shared.filter("near < 0").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
+    members = staged(members, "groups").unionByName(shared.filter(f"near < 0 AND near <> {WHOLE}").select("t", F.col("c").alias("first"), (F.col("c") - F.col("near") + SHINGLE - 1).alias("last"), F.col("sig").alias("hub")))
     large = contexts(texts_of, windows.join(hot, "sig", "left_semi")).dropDuplicates(["sig", "t", "c", "kind"])
     large = large if hot.isEmpty() else staged(large, "large")
     if not hot.isEmpty():
@@ -604,9 +679,9 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3,
         both = ranges.groupBy("hub").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("hub")
         exact = staged(ranges.join(both, "hub", "left_semi"), "exact")
         members = members.unionByName(exact.select("t", "first", "last", "hub")).unionByName(across_kinds(large, exact, threshold))
-    words = F.regexp_count(F.col("text"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
-    texts = staged(rows.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(words).cast("long").alias("words")), "texts")
-    copies = texts.filter((F.col("copies") > 1) & (F.col("words") >= PASSAGE))
+    texts = staged(rows.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts")
+    words = shared.filter(f"near = {WHOLE}").groupBy("t").agg(F.min("c").alias("words"))
+    copies = texts.filter("copies > 1").join(words, "t")
     members = members.unionByName(copies.select("t", F.lit(0).cast("long").alias("first"), F.col("words").alias("last"), F.xxhash64("t", F.lit("copies")).alias("hub")))
     members = staged(members.groupBy("t", "first", "hub").agg(F.max("last").alias("last")), "members")
 

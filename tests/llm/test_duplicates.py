@@ -441,3 +441,66 @@ def test_pipeline_leaves_columns_of_any_name_alone(spark, sf_dir):
         out = stage(spark, wide, sf_dir)
         assert out.dtypes == wide.dtypes, name
         assert out.filter(F.col("__row_key") != F.concat(F.lit("__row_key"), F.coalesce(F.col("text"), F.lit("")).substr(1, 3))).filter("text NOT LIKE '[SECRET]%'").isEmpty()
+
+
+def some_contexts(rng, n):
+    """Contexts around one boilerplate, of a few kinds with edits, some cut short: (before, context, matrix, filled)."""
+    width, side = 2 * passages.SIDE + 1, passages.SIDE
+    kinds = rng.integers(0, 2**32, (6, width), dtype=np.uint32)
+    kinds[:, side - 10:side + 10] = kinds[0, side - 10:side + 10]
+    before, context = [], []
+    for i in range(n):
+        x = kinds[rng.integers(0, 6)].copy() if i % 3 else np.where(np.abs(np.arange(width) - side) < 10, kinds[0], rng.integers(0, 2**32, width, dtype=np.uint32))
+        at = rng.integers(0, width, rng.integers(0, 8))
+        x[at] = rng.integers(0, 2**32, len(at), dtype=np.uint32)
+        if i % 4 == 0:  # words put in move the rest
+            x = np.concatenate([x[:60], rng.integers(0, 2**32, 5, dtype=np.uint32), x[60:]])[:width]
+        low, high = rng.integers(0, 20), rng.integers(70, width + 1)
+        before.append(side - low)
+        context.append(x[low:high].astype("<u4").tobytes())
+    before, context = np.array(before, np.int64), np.array(context, object)
+    return before, context, *passages.matrix(before, context)
+
+
+def test_windows_share_what_multisets_share():
+    rng = np.random.default_rng(8)
+    width, unit = 2 * passages.SIDE + 1, passages.UNIT
+    x, y = rng.integers(0, 30, (20, width), dtype=np.uint32), rng.integers(0, 30, (20, width), dtype=np.uint32)
+    y[10:, 3:] = x[10:, :-3]
+    fx, fy = np.ones(x.shape, bool), np.ones(x.shape, bool)
+    fx[::2, :10], fy[::3, -7:] = False, False
+    found = passages.shared_in_windows(x, fx, y, fy)
+    for i in range(20):
+        for k in range(width - unit + 1):
+            a, b = (collections.Counter(v[i, k:k + unit][f[i, k:k + unit]].tolist()) for v, f in ((x, fx), (y, fy)))
+            assert found[i, k] == (a & b).total()
+
+
+def test_contexts_meet_by_rare_shingles_and_no_boilerplate_brings_them_together():
+    rng, least = np.random.default_rng(9), passages.need(0.8)
+    _, _, m, filled = some_contexts(rng, 150)
+    i, j = np.triu_indices(150, 1)
+    ok = passages.verify(m[i], filled[i], m[j], filled[j], least)[0]
+    root = rng.integers(-50, 50, 150)
+    want = {(a, b) if root[a] < root[b] else (b, a) for a, b in zip(i[ok].tolist(), j[ok].tolist()) if root[a] != root[b]}
+    for together in (1 << 19, 7):
+        got = {(a, b) for p, q in passages.likely_pairs(m, filled, root, least, together) for a, b in zip(p.tolist(), q.tolist())}
+        assert want <= got and len(want) > 100 and all(root[a] < root[b] for a, b in got)
+    alone = np.flatnonzero(np.arange(150) % 3 == 0)
+    assert not sum(len(p) for p, _ in passages.likely_pairs(m[alone], filled[alone], np.arange(len(alone)), least))
+
+
+@pytest.mark.parametrize("limit", [4096, 20])
+def test_similar_contexts_of_a_signature(spark, limit):
+    """One group or many: the pairs are the similar ones of different classes."""
+    rng, least = np.random.default_rng(10), passages.need(0.8)
+    before, context, m, filled = some_contexts(rng, 90)
+    root = rng.integers(0, 60, 90)
+    rows = [(7, i, int(b), bytes(c), int(r)) for i, (b, c, r) in enumerate(zip(before, context, root))] + [(8, 100, 45, bytes(context[0]), 1), (8, 101, 45, bytes(context[1]), 1)]
+    frame = spark.createDataFrame(rows, "sig long, kind long, before long, context binary, root long")
+    i, j = np.triu_indices(90, 1)
+    i, j = (np.where(root[i] < root[j], a, b) for a, b in ((i, j), (j, i)))
+    ok, first, last = passages.verify(m[i], filled[i], m[j], filled[j], least)
+    ok &= root[i] != root[j]
+    found = passages.similar_kinds(frame, 0.8, limit).collect()
+    assert sorted(map(tuple, found)) == sorted(zip(i[ok].tolist(), j[ok].tolist(), first[ok].tolist(), last[ok].tolist()))
