@@ -463,15 +463,22 @@ def group_windows(found: DataFrame, threshold: float, group: int) -> DataFrame:
     return found.repartition("sig").sortWithinPartitions("sig", "kind", "t", "c").mapInArrow(run, MEMBER)
 
 
-def exact_ranges(large: DataFrame) -> DataFrame:
-    """(hub, t, first, last, kind): the ranges of each window of a large group, with a hash of their shingles as hub.
+def distinct_contexts(large: DataFrame) -> DataFrame:
+    """The distinct contexts (kinds) of each signature, with their number of texts and their least and greatest window."""
+    kinds = large.groupBy("sig", "kind").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c", "before", "context")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
+    return staged(kinds.select("sig", "kind", "n", "one.before", "one.context", F.struct("one.t", "one.c").alias("one"), "two"), "contexts")
+
 
-    ``first`` and ``last`` are those of the unit windows around the range, which share it and so are similar enough.
+def exact_ranges(kinds: DataFrame) -> DataFrame:
+    """(hub, kind, first, last, least, most): the ranges of each distinct context, with a hash of their shingles as hub.
+
+    ``first`` and ``last`` are those of the unit windows around the range, which share it and so are similar enough,
+    in words from c; ``least`` and ``most`` are the context's texts. All windows of a context have its ranges.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, sig, c, before, context, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            for a in range(0, len(t), 2048):
+            sig, kind, before, context, least, most = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            for a in range(0, len(sig), 2048):
                 part = slice(a, a + 2048)
                 m, filled = matrix(before[part], context[part])
                 for at in range(0, SIDE + 1, STEP):
@@ -479,14 +486,15 @@ def exact_ranges(large: DataFrame) -> DataFrame:
                     h = sig[part][on].view(np.uint64) + np.uint64(at)
                     for k in range(at, at + RANGE):
                         h = (h ^ m[on, k]) * np.uint64(_PRIME)
-                    left = SIDE - before[part][on]
+                    left = SIDE - before[part][on].astype(np.int64)
                     right = left + filled[on].sum(1) - 1
-                    first = c[part][on] - SIDE + np.maximum(at - STEP + 1, left)
-                    last = c[part][on] - SIDE + np.minimum(at + UNIT - 1, right) + SHINGLE
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), t[part][on], first, last, kind[part][on])],
-                                                     names=["hub", "t", "first", "last", "kind"])
+                    first = np.maximum(at - STEP + 1, left) - SIDE
+                    last = np.minimum(at + UNIT - 1, right) - SIDE + SHINGLE
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(h).view(np.int64), kind[part][on], first, last, least[part][on], most[part][on])],
+                                                     names=["hub", "kind", "first", "last", "least", "most"])
 
-    return large.select("t", "sig", "c", "before", "context", "kind").mapInArrow(run, "hub long, t long, first long, last long, kind long")
+    plain = kinds.select("sig", "kind", "before", "context", F.col("one.t").alias("least"), F.col("two.t").alias("most"))
+    return plain.mapInArrow(run, "hub long, kind long, first long, last long, least long, most long")
 
 
 PAIR = ["t", "c", "before", "context", "kind", "t2", "c2", "before2", "context2", "kind2"]
@@ -613,7 +621,7 @@ def similar_kinds(classed: DataFrame, threshold: float, limit: int = 4096) -> Da
     return groups.groupBy("sig", "part").applyInArrow(of_group, "kind long, kind2 long, first long, last long").distinct()
 
 
-def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
+def across_kinds(large: DataFrame, kinds: DataFrame, exact: DataFrame, threshold: float, leaders: int = 4) -> DataFrame:
     """MEMBER rows of windows of large groups by comparing the distinct contexts (kinds) of each signature.
 
     All kinds meet the most frequent ones first: an edited copy is near the text that most others still
@@ -621,8 +629,6 @@ def across_kinds(large: DataFrame, exact: DataFrame, threshold: float, leaders:
     compared where they share a rare shingle, and only those found similar are joined with their windows. A kind of one text stands for all its windows; one of several
     texts is compared once, as its windows share all their ranges anyway.
     """
-    kinds = large.groupBy("sig", "kind").agg(F.countDistinct("t").alias("n"), F.min(F.struct("t", "c", "before", "context")).alias("one"), F.max(F.struct("t", "c")).alias("two"))
-    kinds = staged(kinds.select("sig", "kind", "n", "one.before", "one.context", F.struct("one.t", "one.c").alias("one"), "two"), "contexts")
     # Ranks are cut off on the map side, so a signature's window sees a few rows of each task.
     rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "one.t", "one.c"))
     first = kinds.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank")
@@ -675,10 +681,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3,
     large = contexts(texts_of, windows.join(hot, "sig", "left_semi")).dropDuplicates(["sig", "t", "c", "kind"])
     large = large if hot.isEmpty() else staged(large, "large")
     if not hot.isEmpty():
-        ranges = staged(exact_ranges(large), "ranges")
-        both = ranges.groupBy("hub").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("hub")
-        exact = staged(ranges.join(both, "hub", "left_semi"), "exact")
-        members = members.unionByName(exact.select("t", "first", "last", "hub")).unionByName(across_kinds(large, exact, threshold))
+        kinds = distinct_contexts(large)
+        ranges = staged(exact_ranges(kinds), "ranges")
+        both = ranges.groupBy("hub").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("hub")
+        exact = staged(ranges.join(both, "hub", "left_semi").select("hub", "kind", "first", "last"), "exact")
+        # A window's shared ranges all reach c, so they are one passage; the context brings it to their hubs.
+        reach = exact.groupBy("kind").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        reach = large.select("t", "c", "kind").join(reach, "kind").select("t", (F.col("c") + F.col("first")).alias("first"), (F.col("c") + F.col("last")).alias("last"), F.col("kind").alias("hub"))
+        members = members.unionByName(reach).unionByName(across_kinds(large, kinds, exact, threshold))
     texts = staged(rows.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts")
     words = shared.filter(f"near = {WHOLE}").groupBy("t").agg(F.min("c").alias("words"))
     copies = texts.filter("copies > 1").join(words, "t")
@@ -691,7 +701,8 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, hashes: int = 3,
     marked = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     marked = staged(marked.select("t", "first", "last", "hub", F.xxhash64("t", "n").alias("node")), "marked")
     passages = marked.groupBy("t", "node").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"))
-    roots = components(marked.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    links = marked.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = components(links if hot.isEmpty() else links.unionByName(exact.select(F.col("kind").alias("a"), F.col("hub").alias("b"))))
     classed = passages.join(roots, "node").join(texts.select("t", "least"), "t")
     names = classed.groupBy("root").agg(F.min("least").alias("class_id"))
     out = staged(classed.join(names, "root").select("t", "start_word", "end_word", "class_id"), "passages")

@@ -504,3 +504,13 @@ def test_similar_contexts_of_a_signature(spark, limit):
     ok &= root[i] != root[j]
     found = passages.similar_kinds(frame, 0.8, limit).collect()
     assert sorted(map(tuple, found)) == sorted(zip(i[ok].tolist(), j[ok].tolist(), first[ok].tolist(), last[ok].tolist()))
+
+
+def test_ranges_are_those_of_contexts_not_of_windows(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 2**32, (2, 2 * passages.SIDE + 1), dtype=np.uint32).astype("<u4")
+    rows = [(7, t, 100 + t, passages.SIDE, x[t % 2].tobytes(), t % 2) for t in range(40)]
+    kinds = passages.distinct_contexts(spark.createDataFrame(rows, passages.CONTEXT))
+    found = passages.exact_ranges(kinds).collect()
+    assert len(found) == 2 * len(range(0, passages.SIDE + 1, passages.STEP)) and {(r.kind, r.least, r.most) for r in found} == {(0, 0, 38), (1, 1, 39)}
+    assert min(r.first for r in found) == -passages.SIDE and max(r.last for r in found) == passages.SIDE + passages.SHINGLE
