@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intelweave import vocab
 from intelweave.functions import entities as E
 from intelweave.functions import text as X
-from intelweave.functions.bitmap import Bitmap, bitmap_of, may_hold
+from intelweave.functions.bitmap import asked_in_subquery
 from intelweave.functions.flow import bind, with_computed
 
 KINDS = ["cve_ids", "ip_addresses", "malware_names", "threat_actors"]
@@ -55,12 +53,12 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     sized from the table, stand in front of the exact join: a run is looked up among the first runs of terms,
     and only where one may begin slices are formed and looked up among whole terms. Nearly all other slices
     are never made, whatever the table's size. The table is read a few times: stage one that is costly.
+    Both are asked row by row, as subqueries: no plan holds their bits.
     """
     runs = f"{E.WORD_RUN}|{E.NOT_WORD_RUN}"
     terms = gazetteer.select("kind", F.lower("term").alias("term")).distinct()
     cut = terms.select("term", F.regexp_extract_all("term", F.lit(runs), F.lit(0)).alias("p"))
     shaped = cut.where(F.size("p") > 0).select(
-        F.xxhash64("term").alias("h"),
         F.xxhash64(F.get("p", F.lit(0))).alias("first"),
         F.col("term").rlike(f"^{E.WORD_RUN}").alias("starts"),
         F.size("p").alias("n"),
@@ -69,45 +67,45 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     shapes = sorted((r["n"], r["starts"]) for r in shaped.select("starts", "n").distinct().collect())
     if not shapes:
         return df.limit(0).select(key, F.lit("").alias("kind"), F.array().cast("array<string>").alias("terms"))
-    known = bitmap_of(shaped.select("h").distinct(), "h")
+    known = asked_in_subquery(gazetteer.select(F.xxhash64(F.lower("term")).alias("h")), "h")
     # Terms of one run are their own first run: they need no second look.
     longer = [(n, starts) for n, starts in shapes if n > 1]
-    first = bitmap_of(shaped.where("n > 1").select("first").distinct(), "first") if longer else None
-
-    def slices(p: Column) -> Column:
-        return held(known, lambda k: held(first, lambda f: grams_of(p, k, f)) if first else grams_of(p, k, None))
-
-    def held(bitmap: Bitmap, body: Callable[[Bitmap], Column]) -> Column:
-        # One copy of the constant in the plan, however often it is looked into.
-        return bind(bitmap.words, lambda w: body(Bitmap(w, bitmap.bits, bitmap.probes)))
 
-    def grams_of(p: Column, known: Bitmap, first: Bitmap | None) -> Column:
-        places = F.transform(p, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.xxhash64(w).alias("h")))
-        found = F.transform(F.filter(places, lambda x: may_hold(known, x["h"]) & lone(p, x)), lambda x: x["w"])
-        if first is None:
-            return found
-        open_ = F.filter(places, lambda x: may_hold(first, x["h"]))
-        grams = F.flatten(F.transform(open_, lambda x: F.array(*[gram(p, x, n, starts) for n, starts in longer])))
-        return F.concat(found, F.filter(grams, lambda t: t.isNotNull() & may_hold(known, F.xxhash64(t))))
-
-    def lone(p: Column, x: Column) -> Column:
+    def lone(p: Column) -> Column:
         # A word boundary needs a word run on one side: an outer separator counts only with another run beyond it.
-        return x["w"].rlike(f"^{E.WORD_RUN}") | ((x["i"] > 0) & (x["i"] + 1 < F.size(p)))
-
-    def gram(p: Column, x: Column, n: int, starts: bool) -> Column:
-        opens = x["w"].rlike(f"^{E.WORD_RUN}") == F.lit(starts)
-        before = F.lit(True) if starts else x["i"] > 0
+        return F.array_distinct(F.filter(p, lambda w, i: w.rlike(f"^{E.WORD_RUN}") | ((i > 0) & (i + 1 < F.size(p)))))
+
+    def places(p: Column) -> Column:
+        # Each run with as many behind it as the longest term may need, and one more for its boundary.
+        most = max(n for n, _ in longer)
+        whole = F.lit(None).cast("array<string>").alias("rest")
+        singles = F.transform(lone(p), lambda w: F.struct(w.alias("w"), F.lit(False).alias("inner"), whole))
+        opening = F.transform(p, lambda w, i: F.struct(w.alias("w"), (i > 0).alias("inner"), F.slice(p, i + 2, F.lit(most)).alias("rest")))
+        return F.concat(singles, opening)
+
+    def gram(n: int, starts: bool) -> Column:
+        opens = F.col("w").rlike(f"^{E.WORD_RUN}") == F.lit(starts)
+        before = F.lit(True) if starts else F.col("inner")
         ends_with_word = starts == (n % 2 == 1)
-        after = x["i"] + n <= F.size(p) if ends_with_word else x["i"] + n < F.size(p)
-        return F.when(opens & before & after, F.array_join(F.slice(p, x["i"] + 1, F.lit(n)), ""))
+        after = F.size("rest") >= (n - 1 if ends_with_word else n)
+        return F.when(opens & before & after, F.concat("w", F.array_join(F.slice("rest", 1, n - 1), "")))
 
+    may_be = lambda column: known(F.xxhash64(column))
     if shapes == [(1, True)]:
         # Single words all of them: the different words of a text are looked up once each, and no separator is.
         words = F.filter(F.array_distinct(F.split(F.lower(column), E.NOT_WORD_RUN)), lambda w: w != "")
-        grams = df.select(key, words.alias("_w")).select(key, F.explode(held(known, lambda k: F.filter("_w", lambda w: may_hold(k, F.xxhash64(w))))).alias("term"))
+        grams = df.select(key, F.explode(words).alias("term")).where(may_be("term"))
     else:
         pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
-        grams = pieces.select(key, F.explode(F.array_distinct(bind(F.col("_p"), slices))).alias("term"))
+        if not longer:
+            grams = pieces.select(key, F.explode(lone(F.col("_p"))).alias("term")).where(may_be("term"))
+        else:
+            first = asked_in_subquery(shaped.where("n > 1").select("first"), "first")
+            single = F.col("rest").isNull()
+            met = pieces.select(key, F.inline(bind(F.col("_p"), places)))
+            met = met.where(F.when(single, may_be("w")).otherwise(first(F.xxhash64("w"))))
+            formed = F.when(single, F.array("w")).otherwise(F.array_compact(F.array(*[gram(n, starts) for n, starts in longer])))
+            grams = met.select(key, F.explode(formed).alias("term")).where(may_be("term"))
     return grams.join(terms, "term").groupBy(key, "kind").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 

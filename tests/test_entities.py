@@ -140,3 +140,35 @@ def test_more_probes_let_fewer_others_pass(spark):
     found = bitmap.bitmap_of(held, "h", per_item=64, probes=4)
     assert held.where(~bitmap.may_hold(found, F.col("h"))).isEmpty()
     assert spark.range(1 << 40, (1 << 40) + 400_000).where(bitmap.may_hold(found, F.xxhash64("id"))).count() < 40
+
+
+@pytest.mark.parametrize("tail", ["", " x"])
+def test_bits_of_a_large_gazetteer_stay_out_of_the_plan(spark, texts, tail):
+    """The driver writes a plan's text for each stage: it must not grow with the terms."""
+    gaz = spark.range(100_000).select(F.lit("k").alias("kind"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(tail)).alias("term"))
+    found = E.match_gazetteer(texts(["w5 x and w100000 x", "w99999 x, W99999 X", "", None]), "doc_id", gaz)
+    assert len(found._jdf.queryExecution().toString()) < 100_000
+    assert {(r.doc_id, r.kind): r.terms for r in found.collect()} == {(0, "k"): ["w5" + tail], (1, "k"): ["w99999" + tail]}
+
+
+def test_a_test_in_a_subquery_is_sized_from_the_set(spark):
+    for n in (1, 5_000, 1_040_000):
+        held = spark.range(n).select(F.xxhash64("id").alias("h"))
+        asked = bitmap.asked_in_subquery(held.union(held), "h")
+        assert held.where(~asked(F.col("h"))).isEmpty()
+        others = spark.range(1 << 40, (1 << 40) + 100_000).where(asked(F.xxhash64("id")))
+        assert others.count() < 1000  # under one in a hundred
+    empty = bitmap.asked_in_subquery(spark.range(0).select(F.xxhash64("id").alias("h")), "h")
+    assert spark.range(1000).where(empty(F.xxhash64("id"))).isEmpty()
+
+
+def test_terms_of_all_shapes_at_the_ends_of_a_text(spark, texts):
+    raw = ["a b", "a b c", " a b ", "-a b-", "$ a", "a $", "$ a$", "x$ a$ y", "a-b-a b", "b", "$", "", None]
+    terms = ["a b", "a", "b c", "$ a", "a $", "$ a$", "-a", "b-", "$", "a b c", "-", "- a"]
+    gaz = spark.createDataFrame([("k", t) for t in terms] + [("l", "A B"), ("l", None)], "kind string, term string")
+    got = {(r.doc_id, r.kind): r.terms for r in E.match_gazetteer(texts(raw), "doc_id", gaz).collect()}
+    want = {}
+    for i, text in enumerate(raw):
+        whole = sorted(t for t in terms if text and re.search(r"\b" + re.escape(t) + r"\b", text))
+        want |= ({(i, "k"): whole} if whole else {}) | ({(i, "l"): ["a b"]} if "a b" in whole else {})
+    assert got == want
