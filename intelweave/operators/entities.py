@@ -71,17 +71,25 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     # Terms of one run are their own first run: they need no second look.
     longer = [(n, starts) for n, starts in shapes if n > 1]
 
-    def lone(p: Column) -> Column:
-        # A word boundary needs a word run on one side: an outer separator counts only with another run beyond it.
-        return F.array_distinct(F.filter(p, lambda w, i: w.rlike(f"^{E.WORD_RUN}") | ((i > 0) & (i + 1 < F.size(p)))))
+    # Runs alternate: whether the first one is a word tells it of all.
+    is_word = lambda begins, i: (i % 2 == 0) == begins
+    cut_up = lambda body: bind(F.col("_p"), lambda p: bind(F.get(p, F.lit(0)).rlike(f"^{E.WORD_RUN}"), lambda begins: body(p, begins)))
 
-    def places(p: Column) -> Column:
-        # Each run with as many behind it as the longest term may need, and one more for its boundary.
-        most = max(n for n, _ in longer)
+    def lone(p: Column, begins: Column) -> Column:
+        # A word boundary needs a word run on one side: an outer separator counts only with another run beyond it.
+        signs = lambda i: (i > 0) & (i + 1 < F.size(p)) if (1, False) in shapes else F.lit(False)
+        return F.array_distinct(F.filter(p, lambda w, i: is_word(begins, i) | signs(i)))
+
+    def places(p: Column, begins: Column) -> Column:
+        # Each run that may open a term, with as many behind it as the longest term may need, and one more for its boundary.
+        least, most, starts = min(longer)[0], max(longer)[0], {s for _, s in longer}
+        opens = lambda i: (i + least <= F.size(p)) & (F.lit(True) if len(starts) == 2 else is_word(begins, i) == F.lit(True in starts))
+        at = lambda w, i: F.struct(w.alias("w"), (i > 0).alias("inner"), F.slice(p, i + 2, F.lit(most)).alias("rest"))
+        opening = F.array_compact(F.transform(p, lambda w, i: F.when(opens(i), at(w, i))))
+        if shapes[0][0] > 1:
+            return opening
         whole = F.lit(None).cast("array<string>").alias("rest")
-        singles = F.transform(lone(p), lambda w: F.struct(w.alias("w"), F.lit(False).alias("inner"), whole))
-        opening = F.transform(p, lambda w, i: F.struct(w.alias("w"), (i > 0).alias("inner"), F.slice(p, i + 2, F.lit(most)).alias("rest")))
-        return F.concat(singles, opening)
+        return F.concat(F.transform(lone(p, begins), lambda w: F.struct(w.alias("w"), F.lit(False).alias("inner"), whole)), opening)
 
     def gram(n: int, starts: bool) -> Column:
         opens = F.col("w").rlike(f"^{E.WORD_RUN}") == F.lit(starts)
@@ -98,11 +106,11 @@ def match_gazetteer(df: DataFrame, key: str, gazetteer: DataFrame, column: str =
     else:
         pieces = df.select(key, F.regexp_extract_all(F.lower(column), F.lit(runs), F.lit(0)).alias("_p"))
         if not longer:
-            grams = pieces.select(key, F.explode(lone(F.col("_p"))).alias("term")).where(may_be("term"))
+            grams = pieces.select(key, F.explode(cut_up(lone)).alias("term")).where(may_be("term"))
         else:
             first = asked_in_subquery(shaped.where("n > 1").select("first"), "first")
             single = F.col("rest").isNull()
-            met = pieces.select(key, F.inline(bind(F.col("_p"), places)))
+            met = pieces.select(key, F.inline(cut_up(places)))
             met = met.where(F.when(single, may_be("w")).otherwise(first(F.xxhash64("w"))))
             formed = F.when(single, F.array("w")).otherwise(F.array_compact(F.array(*[gram(n, starts) for n, starts in longer])))
             grams = met.select(key, F.explode(formed).alias("term")).where(may_be("term"))
